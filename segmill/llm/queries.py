@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid
+from . import common, langid, media, quality_clf
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,8 +26,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", common.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_clf.train(_learnable(docs), _read(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return quality_clf.score(docs, model).select("doc_id", common.held_out("doc_id").alias("held_out"), score, (score >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}

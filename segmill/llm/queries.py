@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, media, quality_clf
+from . import common, langid, media, packing, quality_clf
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_clf.score(docs, model).select("doc_id", common.held_out("doc_id").alias("held_out"), score, (score >= 0.7).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """Path of the vocabulary file that the packing query uses; the file comes with an installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +51,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
 

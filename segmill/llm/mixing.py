@@ -66,7 +66,7 @@ def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int) -> D
     return df
 
 
-def draws(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
+def draws(targets: DataFrame, block: int, shard_slots: int, seed: int, tasks: int) -> DataFrame:
     """Slots of each source in each shard: s, blocks, shard, n (how many), first (number of the first in its source)."""
     all_ = Window.partitionBy()
     t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
@@ -75,7 +75,7 @@ def draws(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     # One row with the sources as arrays, then a row for each shard.
     one = t.groupBy("slots").agg(F.array_sort(F.collect_list(F.struct("s", "blocks", "want"))).alias("a")).withColumn("shards", shards)
     one = one.withColumn("total", F.aggregate("a", F.lit(0.0), lambda x, y: x + y["want"]))
-    shard = one.select("a", "total", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    shard = one.select("a", "total", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).repartition(tasks, "shard")
     shard = shard.withColumn("size", F.floor(F.col("slots") * (F.col("shard") + 1) / F.col("shards")) - F.floor(F.col("slots") * F.col("shard") / F.col("shards")))
     shard = shard.withColumn("exact", F.transform("a", lambda x: x["want"] / F.col("total") * F.col("size")))
     shard = shard.withColumn("sure", F.transform("exact", lambda x: F.floor(x + 1e-9)))
@@ -94,11 +94,12 @@ def draws(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     return shard.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def plan(targets: DataFrame, *, block: int, shard_slots: int, most: int, seed: int) -> DataFrame:
+def plan(targets: DataFrame, *, block: int, shard_slots: int, most: int, seed: int, tasks: int) -> DataFrame:
     """The output: a row for each slot with its shard, source (s), pass and block. A draw beyond ``most`` passes over a
     source stays empty, so no block is taken more often."""
-    d = draws(targets, block, shard_slots, seed).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("blocks") * most - F.col("first"))))
-    slot = d.where("n > 0").select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    d = draws(targets, block, shard_slots, seed, tasks).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("blocks") * most - F.col("first"))))
+    # Dealt out again, as a few rows here become very many.
+    slot = d.where("n > 0").repartition(tasks, "shard", "s").select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     slot = slot.select("shard", "s", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), (F.col("slot") % F.col("blocks")).alias("block"))
     return permuted(slot, "block", "blocks", ["s", "pass"], seed + 7)
 
@@ -133,10 +134,12 @@ class Mix:
         self.sizes = materialize(sized, "sizes")
         by_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = materialize(source_targets(by_source, weights, share, most), "targets")
-        self.placed = located(self.sizes, self.targets, self.sizes.count(), seed)
+        n, words = self.sizes.agg(F.count("*"), F.sum("size")).first()
+        self.placed = located(self.sizes, self.targets, n, seed)
+        tasks = max(1, min(1 << 15, int((words or 0) * share / block) // (1 << 18)))
         # Written, as a filter on its block number would be pushed through the rounds of the permutation and repeat each
         # of them in the next.
-        self.slots = materialize(plan(self.targets, block=block, shard_slots=shard_slots, most=most, seed=seed), "slots")
+        self.slots = materialize(plan(self.targets, block=block, shard_slots=shard_slots, most=most, seed=seed, tasks=tasks), "slots")
 
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken."""

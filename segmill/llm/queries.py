@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, line_dedup, media, mixing, packing, pii, quality_clf, quality_rules, simhash
+from . import common, html_extract, langid, line_dedup, media, mixing, packing, pii, quality_clf, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_read(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_read(spark, sf_dir, "documents"), shingle=3, bits=3)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_personal_data": op3_personal_data,
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,

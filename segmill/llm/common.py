@@ -57,6 +57,15 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(fold(id_col) == 2, F.lit(False))
 
 
+#: Rows of a join's small side up to which it is broadcast (a few tens of bytes a row); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(side: DataFrame, rows: int) -> DataFrame:
+    """``side``, which has ``rows`` rows, to be broadcast if they are few."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes together, so that a worker's memory follows
     ``limit`` and the longest single text, not the batch's row count."""

@@ -31,10 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small
 
-#: Rows of a join's small side up to which it is broadcast (24 bytes a row or so); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 HOLES = 8
 
 BLANK = " \t\x0b\x0c\r"
@@ -69,10 +67,6 @@ def part_keys(t: Column) -> Column:
     return F.when(n == top, F.array(*of(top), *of(F.shiftright(top, 1)))).otherwise(F.array(*of(top)))
 
 
-def small(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
-
-
 def hole_keys(text: str) -> list[tuple[int, int, int]]:
     """(key, first, end): what stands around each stretch first..end of the line, for a partner as long or shorter by
     one (in both of which the stretches are the shorter length's), and where an edit may fall."""

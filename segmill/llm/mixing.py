@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, materialize
+from .common import GAP, WORD, materialize, small
 
 #: Rounds of the permutation.
 ROUNDS = 12
@@ -105,22 +105,22 @@ def plan(targets: DataFrame, *, block: int, shard_slots: int, most: int, seed: i
 
 
 def located(sized: DataFrame, targets: DataFrame, n: int, seed: int) -> DataFrame:
-    """``sized`` (doc_id, source, size) with s, source_size, target and ``at``, its first word in the stream of its source.
+    """``sized`` (doc_id, source, size, th) with s, source_size, target and ``at``, its first word in the stream of its source.
     The order is by a hash; sums run over buckets of the hash first, so no task gets a whole source."""
     many = max(1, min(1 << 15, n // 200))
-    keyed = sized.withColumn("key", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("bucket", F.pmod(F.col("key"), F.lit(many)).cast("int"))
+    keyed = sized.withColumn("key", F.xxhash64("doc_id", "size", "th", F.lit(seed))).withColumn("bucket", F.pmod(F.col("key"), F.lit(many)).cast("int"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("sum")).select("source", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     sums = sums.join(targets, sums.source.eqNullSafe(targets.source)).select(sums.source.alias("_source"), sums.bucket.alias("_bucket"), "base", "s", "source_size", "target")
     joined = keyed.join(sums, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source")))
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select("doc_id", "source", "size", "s", "source_size", "target", (F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("at"))
+    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select("doc_id", "source", "size", "th", "s", "source_size", "target", (F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("at"))
 
 
 def cut_pieces(placed: DataFrame, block: int) -> DataFrame:
-    """The part of each block that each document holds: doc_id, s, at, size, block, low, high (words of the document)."""
+    """The part of each block that each document holds: doc_id, th, s, at, size, block, low, high (words of the document)."""
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    p = placed.where("size > 0").select("doc_id", "s", "source_size", "target", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    p = placed.where("size > 0").select("doc_id", "th", "s", "source_size", "target", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("block") * block - F.col("at"), F.lit(0))
     return p.withColumn("low", low).withColumn("high", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
 
@@ -130,7 +130,8 @@ class Mix:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, shard_slots: int = 8192, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11):
         self.block, self.most = block, most
-        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+        self.docs, self.id_col, self.text = docs, id_col, text
+        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("th"))
         self.sizes = materialize(sized, "sizes")
         by_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = materialize(source_targets(by_source, weights, share, most), "targets")
@@ -150,3 +151,21 @@ class Mix:
         none = self.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
         names = ["doc_id", "size", "source_size", "target", "taken"]
         return some.select(*names).unionByName(none.select(*names))
+
+    def mixed(self) -> DataFrame:
+        """The mix itself, as rows of ``docs`` with all their columns: one row for each document and pass that takes any
+        of its words, whose text is what is taken, whole texts as they are. Documents that no slot takes are not in it."""
+        pieces = cut_pieces(self.placed, self.block).join(self.slots.select("s", "block", "pass"), ["s", "block"])
+        span = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_spans")
+        taken = pieces.groupBy("doc_id", "th", "s", "at", "size", "pass").agg(span, F.sum(F.col("high") - F.col("low")).alias("n"))
+        whole = F.col("n") == F.col("size")
+        taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), whole.alias("_whole"), F.when(~whole, F.col("_spans")).alias("_spans")), "taken")
+        docs = self.docs
+        if self.sizes.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            # Rows that share an id and a text have a place each in ``taken``; one of them is joined with all places.
+            docs = docs.withColumn("_same", F.xxhash64(F.col(self.text))).dropDuplicates([self.id_col, "_same"]).drop("_same")
+        both = docs.join(small(taken, taken.count()), docs[self.id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[self.text]) == F.col("_th")))
+        words = F.regexp_extract_all(docs[self.text], F.lit(f"{WORD}(?:{GAP})?"), F.lit(0))
+        cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))), "")), F.lit(0))
+        text = F.when(F.col("_whole"), docs[self.text]).otherwise(F.rtrim(cut))
+        return both.select(*[text.alias(c) if c == self.text else docs[c] for c in docs.columns])

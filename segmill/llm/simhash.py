@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small
 
 SEED = 42
 SEGMENTS = 32
@@ -58,16 +58,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; no shuffle."""
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) of every row; no shuffle."""
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -217,19 +217,41 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+def _grouped(docs: DataFrame, id_col: str, text: str, shingle: int, bits: int) -> DataFrame:
+    """doc_id, th, fp, root (the group) and component_id of every row."""
     fps = materialize(fingerprints(docs, id_col=id_col, text=text, shingle=shingle), "fingerprints")
-    # One node for each fingerprint: its smallest id. Fingerprints of null ids alone have none and take what they reach.
-    own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "distinct")
-    made = own.select("fp", F.col("fp").alias("node"))
-    n = own.count()
-    near = links(made, n, bits=bits).select("u", "v")
+    # One node for each fingerprint. ``low`` is its smallest id; fingerprints of null ids alone have none.
+    own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    near = links(own.select("fp", F.col("fp").alias("node")), own.count(), bits=bits).select("u", "v")
     # An id with several fingerprints joins them.
     twice = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count("*").alias("c")).where("c > 1 and u <> v").select("doc_id", "u")
     same = fps.join(twice, "doc_id").select("u", F.col("fp").alias("v")).where("u <> v")
     reached = components(near.unionByName(same))
     by_fp = own.join(reached, own.fp == reached.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(by_fp.join(least, "root").select("fp", "component_id"), "groups")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(by_fp.join(least, "root").select("fp", "root", "component_id"), "groups")
+    return fps.join(named, "fp")
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    return _grouped(docs, id_col, text, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One row of ``docs`` of each group, that with the smallest id (among equal ids, the smallest hash of the text), with
+    all its columns."""
+    rows = materialize(_grouped(docs, id_col, text, shingle, bits).select("doc_id", "th", "root"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    stays = rows.groupBy("root").agg(F.min(order).alias("s"))
+    # Rows that share an id and a text can't be told apart: how often each such pair occurs, and whether it stays.
+    each = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    each = materialize(each.join(stays, "root").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (order == F.col("s")).alias("stays")), "decided")
+    of = lambda side: docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text]) == side["_th"])
+    gone = each.where("not stays or n > 1").select("_id", "_th")
+    kept = docs.join(small(gone, gone.count()), of(gone), "left_anti")
+    again = each.where("stays and n > 1").select("_id", "_th")
+    if n := again.count():
+        some = docs.join(small(again, n), of(again), "left_semi").withColumn("_th", F.xxhash64(F.col(text)))
+        kept = kept.unionByName(some.dropDuplicates([id_col, "_th"]).drop("_th"))
+    return kept

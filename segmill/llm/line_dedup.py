@@ -178,7 +178,9 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     first = materialize(seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "first")
     close = near(first, lines).withColumn("near", F.lit(True))
     bad = first.join(close, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = seen.select("place", "h1", "h2").join(bad, ["h1", "h2"]).where("near or place <> first")
+    # Written, so that both sides of the next join come from their exchanges and a line that is very common can be split.
+    bad = materialize(bad, "bad")
+    gone = seen.select("place", "h1", "h2").join(small(bad, bad.count()), ["h1", "h2"]).where("near or place <> first")
     return gone.groupBy("place.doc_id", "place.tie").agg(F.collect_set("place.line").alias("gone"))
 
 

@@ -1,6 +1,521 @@
-"""Registered queries over the driver's tables and the SQL that each is compared with."""
+"""Registered queries over the driver's tables, each with the SQL that it is compared with where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segmill.functions import geom, parse
+from segmill.operators import hypotheses, labels, profiles, raster, segments, spatial
+from segmill.sources import derived
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+W, H = derived.PAGE_W, derived.PAGE_H
+SW, SH = derived.PAGE_W * derived.SX, derived.PAGE_H * derived.SY
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name; ``sql`` follows the common table expressions of the derived tables."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            body = sql.strip()
+            ORACLE_SQL[f.__name__] = "WITH " + derived.SQL.strip() + ("" if body.startswith(",") else "\n") + body
+        return f
+
+    return put
+
+
+def feat(spark: SparkSession, d: str, side: str | None = None) -> DataFrame:
+    """Segments with their features, of one side or both."""
+    parts = {"pdf": derived.segments_pdf, "svg": derived.segments_svg}
+    if side:
+        return segments.features(parts[side](spark, d))
+    return segments.features(parts["pdf"](spark, d).unionByName(parts["svg"](spark, d)))
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Doubles rounded, as engines may differ in their last bits; minus zero as zero."""
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in names})
+
+
+@query("SELECT side, doc_id, seg_id, round(len, 6) AS len, round(ang, 6) AS ang, round(cx, 6) AS cx, round(cy, 6) AS cy, axis, round(least(ang, 180 - ang), 6) AS gap_h FROM feat")
+def seg_features(spark: SparkSession, d: str) -> DataFrame:
+    f = feat(spark, d).withColumn("gap_h", geom.angle_gap(F.col("ang"), F.lit(0.0)))
+    return rounded(f.select("side", "doc_id", "seg_id", "len", "ang", "cx", "cy", "axis", "gap_h"), "len", "ang", "cx", "cy", "gap_h")
+
+
+@query("""SELECT side, doc_id, count(*) AS n, count(*) FILTER (axis = 'H') AS n_h, count(*) FILTER (axis = 'V') AS n_v, count(*) FILTER (axis IS NULL) AS n_other,
+  round(min(least(x1, x2)), 6) AS min_x, round(min(least(y1, y2)), 6) AS min_y, round(max(greatest(x1, x2)), 6) AS max_x, round(max(greatest(y1, y2)), 6) AS max_y,
+  round(sum(len), 4) AS total, round(min(len), 6) AS min_len, round(quantile_cont(len, 0.5), 6) AS p50_len, round(quantile_cont(len, 0.9), 6) AS p90_len, round(max(len), 6) AS max_len
+FROM feat GROUP BY side, doc_id""")
+def seg_axis_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = segments.axis_summary(feat(spark, d), "side", "doc_id")
+    return rounded(rounded(s, "min_x", "min_y", "max_x", "max_y", "min_len", "p50_len", "p90_len", "max_len"), "total", digits=4)
+
+
+@query("SELECT side, doc_id, count(*) FILTER (axis = 'H') AS n_h, count(*) FILTER (axis = 'V') AS n_v, CASE WHEN count(*) FILTER (axis = 'H') = 0 AND count(*) FILTER (axis = 'V') = 0 THEN 'no axis' WHEN count(*) FILTER (axis = 'V') = 0 THEN 'no vertical' WHEN count(*) FILTER (axis = 'H') = 0 THEN 'no horizontal' ELSE 'ok' END AS status FROM feat GROUP BY ALL")
+def seg_axes_present(spark: SparkSession, d: str) -> DataFrame:
+    return segments.axes_present(feat(spark, d), "side", "doc_id")
+
+
+@query("""SELECT side, doc_id, seg_id, axis2 AS dominant, code, orient, mask_h, mask_v, round(ux, 6) AS ux, round(uy, 6) AS uy FROM (
+  SELECT *, coalesce(axis, CASE WHEN abs(x2 - x1) >= abs(y2 - y1) THEN 'H' ELSE 'V' END) AS axis2,
+    CASE WHEN least(ang, 180 - ang) <= 0.5 THEN 0 WHEN abs(ang - 90) <= 0.5 THEN 1 ELSE -1 END AS code,
+    CASE WHEN abs(degrees(atan2(y2 - y1, x2 - x1))) < 10 OR abs(abs(degrees(atan2(y2 - y1, x2 - x1))) - 180) < 10 THEN 'h' WHEN abs(abs(degrees(atan2(y2 - y1, x2 - x1))) - 90) < 10 THEN 'v' ELSE 'diag' END AS orient,
+    least(ang, 180 - ang) <= 3 AS mask_h, abs(ang - 90) <= 3 AS mask_v, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy FROM feat)""")
+def seg_classes(spark: SparkSession, d: str) -> DataFrame:
+    s = geom.seg()
+    (ux, uy), (mh, mv) = geom.direction(s), geom.hv_mask(s, 3.0)
+    f = feat(spark, d).select("side", "doc_id", "seg_id", geom.axis_or_dominant(s).alias("dominant"), geom.axis_code(F.col("ang")).alias("code"), geom.loose_orientation(s).alias("orient"), mh.alias("mask_h"), mv.alias("mask_v"), ux.alias("ux"), uy.alias("uy"))
+    return rounded(f, "ux", "uy")
+
+
+@query(""", k AS (SELECT *, len >= 0.15e0 * CASE side WHEN 'pdf' THEN sqrt(1000e0 * 1000e0 + 800e0 * 800e0) ELSE sqrt(1012e0 * 1012e0 + 794.4e0 * 794.4e0) END AS long_ FROM feat)
+SELECT side, doc_id, seg_id, round(len, 6) AS len FROM (SELECT *, count(*) FILTER (long_) OVER (PARTITION BY side, doc_id) AS n FROM k) WHERE long_ OR n = 0""")
+def seg_prefilter_keep_all(spark: SparkSession, d: str) -> DataFrame:
+    f = segments.prefilter(feat(spark, d), derived.pages(spark, d), 0.15)
+    return rounded(f.select("side", "doc_id", "seg_id", "len"), "len")
+
+
+@query("""SELECT side, doc_id, seg_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY side, doc_id ORDER BY len DESC, seg_id) AS rank,
+  count(*) OVER (PARTITION BY side, doc_id) AS n FROM feat) WHERE rank <= greatest(16, floor(n * 0.1e0))""")
+def seg_topk_rel(spark: SparkSession, d: str) -> DataFrame:
+    return segments.top_relative(feat(spark, d), 0.1, 16).select("side", "doc_id", "seg_id", "rank")
+
+
+@query("SELECT side, doc_id, seg_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY side, doc_id ORDER BY len DESC, seg_id) AS rank FROM feat) WHERE rank <= 50")
+def seg_topk_abs(spark: SparkSession, d: str) -> DataFrame:
+    return segments.top_absolute(feat(spark, d), 50, "side", "doc_id").select("side", "doc_id", "seg_id", "rank")
+
+
+@query("SELECT side, doc_id, axis, seg_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY side, doc_id, axis ORDER BY len DESC, seg_id) AS rank FROM feat WHERE axis IS NOT NULL) WHERE rank <= 20")
+def seg_topk_axis(spark: SparkSession, d: str) -> DataFrame:
+    return segments.top_absolute(feat(spark, d).where("axis is not null"), 20, "side", "doc_id", "axis").select("side", "doc_id", "axis", "seg_id", "rank")
+
+
+@query("""SELECT side, doc_id, seg_id,
+  round(CASE axis WHEN 'H' THEN least(x1, x2) WHEN 'V' THEN cx ELSE x1 END, 6) AS x1, round(CASE axis WHEN 'H' THEN cy WHEN 'V' THEN least(y1, y2) ELSE y1 END, 6) AS y1,
+  round(CASE axis WHEN 'H' THEN greatest(x1, x2) WHEN 'V' THEN cx ELSE x2 END, 6) AS x2, round(CASE axis WHEN 'H' THEN cy WHEN 'V' THEN greatest(y1, y2) ELSE y2 END, 6) AS y2 FROM feat""")
+def seg_axis_snap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.snap(feat(spark, d)).select("side", "doc_id", "seg_id", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2")
+
+
+@query(""", s AS (SELECT side, doc_id, axis, seg_id, len, CASE axis WHEN 'H' THEN least(x1, x2) ELSE least(y1, y2) END AS lo, CASE axis WHEN 'H' THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS hi,
+    CASE axis WHEN 'H' THEN cy ELSE cx END AS off FROM feat WHERE axis IS NOT NULL),
+b AS (SELECT *, round_even(off / 2e0, 0) AS bucket FROM s),
+r AS (SELECT *, max(hi) OVER (PARTITION BY side, doc_id, axis, bucket ORDER BY lo, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY side, doc_id, axis, bucket ORDER BY lo, seg_id ROWS UNBOUNDED PRECEDING) AS island FROM r),
+m AS (SELECT side, doc_id, axis, bucket, island, min(lo) AS lo, max(hi) AS hi, sum(off * len) / sum(len) AS pos, count(*) AS n FROM i GROUP BY ALL)
+SELECT side, doc_id, axis, round(CASE axis WHEN 'H' THEN lo ELSE pos END, 5) AS x1, round(CASE axis WHEN 'H' THEN pos ELSE lo END, 5) AS y1, round(CASE axis WHEN 'H' THEN hi ELSE pos END, 5) AS x2, round(CASE axis WHEN 'H' THEN pos ELSE hi END, 5) AS y2, n FROM m
+UNION ALL SELECT side, doc_id, axis, round(x1, 5), round(y1, 5), round(x2, 5), round(y2, 5), 1 FROM feat WHERE axis IS NULL""")
+def seg_merge_collinear(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.merge_collinear(feat(spark, d), off_tol=2.0, gap_max=3.0), "x1", "y1", "x2", "y2", digits=5)
+
+
+_BOX = "box AS (SELECT side, doc_id, min(least(x1, x2)) AS min_x, max(greatest(x1, x2)) AS max_x, min(least(y1, y2)) AS min_y, max(greatest(y1, y2)) AS max_y FROM feat GROUP BY side, doc_id)"
+_PROFILE = _BOX + """, prof AS (SELECT side, doc_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile,
+  CASE axis WHEN 'H' THEN least(floor(greatest(0e0, least(1e0, (cx - min_x) / greatest(max_x - min_x, 1e-6))) * 64), 63) ELSE least(floor(greatest(0e0, least(1e0, (cy - min_y) / greatest(max_y - min_y, 1e-6))) * 64), 63) END::INT AS bin, sum(len) AS w
+  FROM feat JOIN box USING (side, doc_id) WHERE axis IS NOT NULL GROUP BY ALL)"""
+
+
+@query(", " + _PROFILE + " SELECT side, doc_id, profile, bin, round(w, 5) AS w FROM prof")
+def hist_projection(spark: SparkSession, d: str) -> DataFrame:
+    f = feat(spark, d)
+    return rounded(profiles.projection(f, segments.bbox(f, "side", "doc_id"), 64), "w", digits=5).select("side", "doc_id", "profile", "bin", "w")
+
+
+@query(""", c AS (SELECT side, doc_id, 'X' AS profile, cx AS c, CASE side WHEN 'pdf' THEN 1000e0 ELSE 1000e0 * 1.012e0 END AS extent FROM feat UNION ALL SELECT side, doc_id, 'Y', cy, CASE side WHEN 'pdf' THEN 800e0 ELSE 800e0 * 0.993e0 END FROM feat),
+b AS (SELECT *, greatest(16, ceil(extent / 25))::INT AS bins FROM c WHERE c >= 0 AND c <= extent)
+SELECT side, doc_id, profile, bins, least(floor(c / extent * bins), bins - 1)::INT AS bin, count(*) AS n FROM b GROUP BY ALL""")
+def hist_axis_counts(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.counts(feat(spark, d), derived.pages(spark, d), 25.0).select("side", "doc_id", "profile", "bins", "bin", "n")
+
+
+@query(", " + _BOX + """, h AS (SELECT side, doc_id, least(floor(greatest(0e0, least(1e0, (cy - min_y) / greatest(max_y - min_y, 1e-6))) * 32), 31)::INT AS iy, least(floor(greatest(0e0, least(1e0, (cx - min_x) / greatest(max_x - min_x, 1e-6))) * 32), 31)::INT AS ix, count(*) AS n FROM feat JOIN box USING (side, doc_id) GROUP BY ALL)
+SELECT side, doc_id, iy, ix, round(n / max(n) OVER (PARTITION BY side, doc_id), 6) AS v FROM h""")
+def hist_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    f = feat(spark, d)
+    return rounded(profiles.heatmap(f, segments.bbox(f, "side", "doc_id"), 32), "v").select("side", "doc_id", "iy", "ix", "v")
+
+
+@query(""", q AS (SELECT side, doc_id, quantile_cont(cx, 0.95) - quantile_cont(cx, 0.05) AS x, quantile_cont(cy, 0.95) - quantile_cont(cy, 0.05) AS y FROM feat GROUP BY side, doc_id)
+SELECT a.doc_id, round(greatest(a.x, 1e-6) / greatest(b.x, 1e-6), 6) AS sx, round(greatest(a.y, 1e-6) / greatest(b.y, 1e-6), 6) AS sy FROM q a JOIN q b USING (doc_id) WHERE a.side = 'pdf' AND b.side = 'svg'""")
+def quantile_scale(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.quantile_spans(feat(spark, d)), "sx", "sy")
+
+
+@query(", " + _PROFILE + """, a AS (SELECT * FROM prof WHERE side = 'pdf'), b AS (SELECT * FROM prof WHERE side = 'svg'),
+na AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM a GROUP BY ALL), nb AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM b GROUP BY ALL),
+c AS (SELECT a.doc_id, a.profile, a.bin - b.bin AS shift, sum(a.w * b.w) AS s FROM a JOIN b USING (doc_id, profile) GROUP BY ALL)
+SELECT c.doc_id, c.profile, c.shift, round(c.s / (na.n * nb.n), 6) AS c FROM c JOIN na USING (doc_id, profile) JOIN nb USING (doc_id, profile)""")
+def xcorr_profiles(spark: SparkSession, d: str) -> DataFrame:
+    f = feat(spark, d)
+    return rounded(profiles.xcorr(profiles.projection(f, segments.bbox(f, "side", "doc_id"), 64), 64), "c").select("doc_id", "profile", "shift", "c")
+
+
+@query(", " + _PROFILE + """, a AS (SELECT * FROM prof WHERE side = 'pdf'), b AS (SELECT * FROM prof WHERE side = 'svg'),
+na AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM a GROUP BY ALL), nb AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM b GROUP BY ALL),
+c AS (SELECT a.doc_id, a.profile, a.bin - b.bin AS shift, sum(a.w * b.w) AS s FROM a JOIN b USING (doc_id, profile) GROUP BY ALL),
+n AS (SELECT doc_id, profile, shift, s / (na.n * nb.n) AS c FROM c JOIN na USING (doc_id, profile) JOIN nb USING (doc_id, profile))
+SELECT doc_id, profile, shift, round(c, 6) AS peak FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, profile ORDER BY round(c, 9) DESC, CASE WHEN shift >= 0 THEN shift ELSE shift + 100000 END) = 1""")
+def xcorr_peaks_fft(spark: SparkSession, d: str) -> DataFrame:
+    f = feat(spark, d)
+    return rounded(profiles.xcorr_fft(profiles.projection(f, segments.bbox(f, "side", "doc_id"), 64), 64), "peak")
+
+
+@query(""", p AS (SELECT p.doc_id, p.seg_id AS p_id, s.seg_id AS s_id, sqrt((p.cx - s.cx) * (p.cx - s.cx) + (p.cy - s.cy) * (p.cy - s.cy)) AS dist FROM fp p JOIN fs s USING (doc_id))
+SELECT doc_id, p_id, s_id, round(dist, 6) AS dist FROM p WHERE dist <= 20""")
+def grid_radius_join(spark: SparkSession, d: str) -> DataFrame:
+    a = feat(spark, d, "pdf").select("doc_id", F.col("seg_id").alias("p_id"), F.col("cx").alias("lx"), F.col("cy").alias("ly"))
+    b = feat(spark, d, "svg").select("doc_id", F.col("seg_id").alias("s_id"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    return rounded(spatial.grid_join(a, b, 20.0).select("doc_id", "p_id", "s_id", "dist"), "dist")
+
+
+_GATE = """p AS (SELECT p.doc_id, p.seg_id AS p_id, s.seg_id AS s_id, sqrt((p.cx - s.cx) * (p.cx - s.cx) + (p.cy - s.cy) * (p.cy - s.cy)) AS dist, p.len AS p_len, s.len AS s_len, abs(p.ang - s.ang) AS da FROM fp p JOIN fs s USING (doc_id)),
+g AS (SELECT * FROM p WHERE dist <= 20 AND least(da, 180 - da) <= 5 AND s_len / p_len BETWEEN 0.8e0 AND 1.2e0)"""
+
+
+@query(", " + _GATE + " SELECT doc_id, p_id, s_id, round(dist, 6) AS dist FROM g")
+def gate_matches(spark: SparkSession, d: str) -> DataFrame:
+    g = spatial.gate_matches(feat(spark, d, "pdf"), feat(spark, d, "svg"), angle_tol=5.0, len_tol=0.2, dist_tol=20.0)
+    return rounded(g.select("doc_id", "p_id", "s_id", "dist"), "dist")
+
+
+@query(", " + _GATE + """, t AS (SELECT doc_id, sum(len) AS total FROM fs GROUP BY doc_id)
+SELECT t.doc_id, count(p_id) AS pairs, round(coalesce(sum(least(p_len, s_len)), 0) / any_value(total), 6) AS score FROM t LEFT JOIN g USING (doc_id) GROUP BY t.doc_id""")
+def inlier_score(spark: SparkSession, d: str) -> DataFrame:
+    svg = feat(spark, d, "svg")
+    return rounded(spatial.inlier_score(spatial.gate_matches(feat(spark, d, "pdf"), svg, angle_tol=5.0, len_tol=0.2, dist_tol=20.0), svg), "score")
+
+
+def _ptseg(px: str, py: str, q: str) -> str:
+    t = f"greatest(0e0, least(1e0, (({px} - {q}.x1) * ({q}.x2 - {q}.x1) + ({py} - {q}.y1) * ({q}.y2 - {q}.y1)) / (({q}.x2 - {q}.x1) * ({q}.x2 - {q}.x1) + ({q}.y2 - {q}.y1) * ({q}.y2 - {q}.y1))))"
+    return f"sqrt(pow({px} - ({q}.x1 + {t} * ({q}.x2 - {q}.x1)), 2) + pow({py} - ({q}.y1 + {t} * ({q}.y2 - {q}.y1)), 2))"
+
+
+_CAND = f"""lines AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, axis ORDER BY len DESC, seg_id) AS k FROM fp WHERE axis IS NOT NULL) WHERE k <= 10),
+cand AS (SELECT p.doc_id, p.axis, p.seg_id AS p_id, s.seg_id AS s_id, least({_ptseg('p.x1', 'p.y1', 's')}, {_ptseg('p.x2', 'p.y2', 's')}, {_ptseg('s.x1', 's.y1', 'p')}, {_ptseg('s.x2', 's.y2', 'p')}) AS gap,
+  sqrt(pow(p.x1 - s.x1, 2) + pow(p.y1 - s.y1, 2)) + sqrt(pow(p.x2 - s.x2, 2) + pow(p.y2 - s.y2, 2)) AS same_, sqrt(pow(p.x1 - s.x2, 2) + pow(p.y1 - s.y2, 2)) + sqrt(pow(p.x2 - s.x1, 2) + pow(p.y2 - s.y1, 2)) AS cross_,
+  sqrt(pow(p.cx - s.cx, 2) + pow(p.cy - s.cy, 2)) AS mid, least(1e0, abs((p.x2 - p.x1) / p.len * ((s.x2 - s.x1) / s.len) + (p.y2 - p.y1) / p.len * ((s.y2 - s.y1) / s.len))) AS dot
+  FROM lines p JOIN fs s USING (doc_id, axis))"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return segments.top_absolute(feat(spark, d, "pdf").where("axis is not null"), 10, "doc_id", "axis").drop("rank")
+
+
+@query(", " + _CAND + " SELECT doc_id, axis, p_id, s_id, round(gap, 5) AS gap FROM cand WHERE gap <= 15")
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = spatial.candidate_pairs(_lines(spark, d), feat(spark, d, "svg").where("axis is not null"), 15.0)
+    return rounded(c.select("doc_id", "axis", "p_id", "s_id", "gap"), "gap", digits=5)
+
+
+@query(", " + _CAND + " SELECT doc_id, p_id, s_id, CASE WHEN degrees(acos(dot)) <= 6 THEN round(least(same_, cross_) / 30 + mid / 15 + 1 - dot, 5) END AS cost FROM cand WHERE gap <= 15")
+def candidate_cost_geo(spark: SparkSession, d: str) -> DataFrame:
+    c = spatial.candidate_pairs(_lines(spark, d), feat(spark, d, "svg").where("axis is not null"), 15.0)
+    return rounded(c.select("doc_id", "p_id", "s_id", spatial.geometric_cost(15.0).alias("cost")), "cost", digits=5)
+
+
+_PTS = """pts AS (SELECT doc_id, seg_id, i, x1 + (x2 - x1) * (i / n) AS px, y1 + (y2 - y1) * (i / n) AS py FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS i FROM (SELECT *, greatest(ceil(len / 20), 1) AS n FROM fp WHERE seg_id % 5 = 0)))"""
+_NEAR = _PTS + f""", m AS (SELECT p.doc_id, p.seg_id, p.i, p.px * 1.012e0 + 4.2e0 AS px, p.py * 0.993e0 - 5.6e0 AS py FROM pts p),
+near AS (SELECT m.doc_id, m.seg_id, m.i, min(least(10e0, {_ptseg('m.px', 'm.py', 's')})) AS d FROM m JOIN fs s USING (doc_id) GROUP BY ALL)"""
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    p = segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 5 = 0"), 20.0)
+    p = p.withColumns({"px": F.col("px") * derived.SX + derived.TX, "py": F.col("py") * derived.SY + derived.TY})
+    return spatial.nearest(p, feat(spark, d, "svg"), 10.0)
+
+
+@query(", " + _PTS + " SELECT doc_id, seg_id, i, round(px, 6) AS px, round(py, 6) AS py FROM pts")
+def sample_steps(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 5 = 0"), 20.0), "px", "py")
+
+
+@query("SELECT doc_id, seg_id, i::INT AS pt_id, round(x1 + (x2 - x1) * (i / 17e0), 6) AS px, round(y1 + (y2 - y1) * (i / 17e0), 6) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp WHERE seg_id % 20 = 0)")
+def sample_inside(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.sample_inside(feat(spark, d, "pdf").where("seg_id % 20 = 0")).select("doc_id", "seg_id", "pt_id", "px", "py"), "px", "py")
+
+
+@query(", " + _NEAR + " SELECT doc_id, seg_id, i, round(d, 5) AS d FROM near")
+def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_near(spark, d).select("doc_id", "seg_id", "i", "d"), "d", digits=5)
+
+
+@query(", " + _NEAR + " SELECT doc_id, count(*) AS n, round(avg(CASE WHEN d < 10 THEN exp(-d * d / 32) ELSE 0 END), 6) AS score, round(sqrt(avg(d * d)), 5) AS rmse, round(quantile_cont(d, 0.95), 5) AS p95, round(quantile_cont(d, 0.5), 5) AS median FROM near GROUP BY doc_id")
+def residual_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rounded(segments.residuals(_near(spark, d), "doc_id", sigma=4.0, hard=10.0), "score"), "rmse", "p95", "median", digits=5)
+
+
+@query(", " + _PTS.replace("seg_id % 5 = 0", "seg_id % 25 = 0") + f""", hyp AS (SELECT * FROM (VALUES (0, 1.012e0, 0.993e0, 4.2e0, -5.6e0), (1, 1.02e0, 1e0, 0e0, 0e0), (2, 1e0, 1e0, 5e0, -5e0), (3, 0.99e0, 0.98e0, 10e0, 0e0)) h(hyp_id, sx, sy, tx, ty)),
+m AS (SELECT hyp_id, doc_id, seg_id, i, px * sx + tx AS px, py * sy + ty AS py FROM pts, hyp), near AS (SELECT m.hyp_id, m.doc_id, m.seg_id, m.i, min(least(10e0, {_ptseg('m.px', 'm.py', 's')})) AS d FROM m JOIN fs s USING (doc_id) GROUP BY ALL)
+SELECT doc_id, hyp_id, count(*) AS n, round(avg(CASE WHEN d < 10 THEN exp(-d * d / 32) ELSE 0 END), 6) AS score FROM near GROUP BY ALL""")
+def chamfer_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    hyp = spark.createDataFrame([(0, 1.012, 0.993, 4.2, -5.6), (1, 1.02, 1.0, 0.0, 0.0), (2, 1.0, 1.0, 5.0, -5.0), (3, 0.99, 0.98, 10.0, 0.0)], "hyp_id int, sx double, sy double, tx double, ty double")
+    p = segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 25 = 0"), 20.0).crossJoin(F.broadcast(hyp))
+    p = p.select("doc_id", "hyp_id", "seg_id", "i", (F.col("px") * F.col("sx") + F.col("tx")).alias("px"), (F.col("py") * F.col("sy") + F.col("ty")).alias("py"))
+    return rounded(segments.residuals(spatial.nearest(p, feat(spark, d, "svg"), 10.0), "doc_id", "hyp_id", sigma=4.0, hard=10.0).select("doc_id", "hyp_id", "n", "score"), "score")
+
+
+@query(""", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, axis ORDER BY len DESC, seg_id) AS k FROM fp WHERE axis IS NOT NULL) WHERE k <= 10),
+p AS (SELECT doc_id, seg_id, len, i, x1 + (x2 - x1) * (i / n) AS px, y1 + (y2 - y1) * (i / n) AS py FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS i FROM (SELECT *, greatest(ceil(len / 20), 1) AS n FROM l))),
+m AS (SELECT doc_id, seg_id, len, i, px * 1.012e0 + 4.2e0 AS px, py * 0.993e0 - 5.6e0 AS py FROM p),
+near AS (SELECT m.doc_id, m.seg_id, m.len, m.i, min(least(10e0, """ + _ptseg("m.px", "m.py", "s") + """)) AS d FROM m JOIN fs s USING (doc_id) GROUP BY ALL)
+SELECT doc_id, seg_id, round(avg(CASE WHEN d < 10 THEN exp(-d * d / 32) ELSE 0 END) * any_value(len), 5) AS support FROM near GROUP BY doc_id, seg_id""")
+def line_support(spark: SparkSession, d: str) -> DataFrame:
+    ln = _lines(spark, d)
+    p = segments.sample_steps(ln, 20.0).withColumns({"px": F.col("px") * derived.SX + derived.TX, "py": F.col("py") * derived.SY + derived.TY})
+    near = segments.residuals(spatial.nearest(p, feat(spark, d, "svg"), 10.0), "doc_id", "seg_id", sigma=4.0, hard=10.0)
+    return rounded(near.join(ln.select("doc_id", "seg_id", "len"), ["doc_id", "seg_id"]).select("doc_id", "seg_id", (F.col("score") * F.col("len")).alias("support")), "support", digits=5)
+
+
+@query(""", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, axis ORDER BY len DESC, seg_id) AS k FROM fp WHERE axis IS NOT NULL) WHERE k <= 10)
+SELECT r.doc_id, r.seg_id, n.seg_id AS n_id, round(greatest(0e0, least(1e0, ((n.cx - r.x1) * ((r.x2 - r.x1) / r.len) + (n.cy - r.y1) * ((r.y2 - r.y1) / r.len)) / r.len)), 6) AS t, round(least(abs(r.ang - n.ang), 180 - abs(r.ang - n.ang)), 6) AS dtheta, round(least(n.len / r.len, 5e0), 6) AS rho
+FROM l r JOIN fp n ON r.doc_id = n.doc_id AND r.seg_id <> n.seg_id WHERE n.axis IS NOT NULL AND sqrt((r.cx - n.cx) * (r.cx - n.cx) + (r.cy - n.cy) * (r.cy - n.cy)) <= 60""")
+def neighbor_signature(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spatial.signatures(_lines(spark, d), feat(spark, d, "pdf"), 60.0), "t", "dtheta", "rho")
+
+
+_DIM = """val AS (SELECT doc_id, txt_id, cx, cy, CASE WHEN v > 0 THEN v END AS value FROM (SELECT *, CASE WHEN text LIKE '%cm' THEN n / 100 ELSE n END AS v FROM (SELECT *, replace(regexp_extract(text, '^[0-9]{1,5}([.,][0-9]{1,3})?'), ',', '.')::DOUBLE AS n FROM labels_geo))),
+dl AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS a FROM fp WHERE len >= greatest(sqrt(1000e0 * 1000e0 + 800e0 * 800e0) * 0.07e0, 50)),
+dl2 AS (SELECT *, CASE WHEN abs(a) < 10 OR abs(abs(a) - 180) < 10 THEN 'h' WHEN abs(abs(a) - 90) < 10 THEN 'v' END AS orientation FROM dl),
+j AS (SELECT l.doc_id, l.seg_id, l.orientation, t.txt_id, t.value, (t.cx - l.cx) * ((l.x2 - l.x1) / l.len) + (t.cy - l.cy) * ((l.y2 - l.y1) / l.len) AS along, (t.cy - l.cy) * ((l.x2 - l.x1) / l.len) - (t.cx - l.cx) * ((l.y2 - l.y1) / l.len) AS across, CASE l.orientation WHEN 'h' THEN abs(l.x2 - l.x1) ELSE abs(l.y2 - l.y1) END AS span FROM dl2 l JOIN val t USING (doc_id) WHERE l.orientation IS NOT NULL AND t.value IS NOT NULL),
+lp AS (SELECT *, CASE WHEN across >= 0 THEN 1 ELSE -1 END AS side_of FROM j WHERE abs(across) <= 40),
+pairs AS (SELECT doc_id, seg_id, txt_id, side_of, abs(across) AS dist, along, value, orientation, span / value AS ratio FROM lp QUALIFY row_number() OVER (PARTITION BY doc_id, seg_id, side_of ORDER BY abs(across), txt_id) = 1)"""
+
+
+def _label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    diag = (W * W + H * H) ** 0.5
+    return labels.label_pairs(labels.dimension_lines(feat(spark, d, "pdf"), diag=diag), labels.valued(derived.labels(spark, d)), max_normal=40.0)
+
+
+@query(", " + _DIM + " SELECT doc_id, seg_id, txt_id, side_of, round(dist, 5) AS dist, round(along, 5) AS along, round(ratio, 5) AS ratio FROM pairs")
+def label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_label_pairs(spark, d).select("doc_id", "seg_id", "txt_id", "side_of", "dist", "along", "ratio"), "dist", "along", "ratio", digits=5)
+
+
+@query(", " + _DIM + """, m AS (SELECT doc_id, orientation, median(ratio) AS m, count(*) AS n FROM pairs GROUP BY ALL),
+i AS (SELECT p.doc_id, p.orientation, count(*) AS inliers, median(ratio) AS r FROM pairs p JOIN m USING (doc_id, orientation) WHERE abs(ratio - m) <= 0.1e0 * abs(m) GROUP BY ALL)
+SELECT m.doc_id, m.orientation, m.n, coalesce(inliers, 0) AS inliers, CASE WHEN inliers >= 3 THEN round(r, 5) END AS scale FROM m LEFT JOIN i USING (doc_id, orientation)""")
+def dimscale_robust(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(labels.dimension_scale(_label_pairs(spark, d), tol=0.1), "scale", digits=5)
+
+
+@query(""", t AS (SELECT txt_id, text, regexp_extract(text, '^[0-9]{1,5}([.,][0-9]{1,3})?') AS n, text LIKE '%cm' AS cm FROM labels_geo)
+SELECT txt_id, text, CASE WHEN n <> '' AND replace(n, ',', '.')::DOUBLE > 0 THEN round(replace(n, ',', '.')::DOUBLE / CASE WHEN cm THEN 100 ELSE 1 END, 6) END AS value, replace(n, ',', '.')::DOUBLE AS longest, CASE WHEN text LIKE '% cm' THEN 'cm' WHEN text LIKE '% m' THEN 'm' END AS unit FROM t""")
+def label_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return rounded(derived.labels(spark, d).select("txt_id", "text", parse.label_value(t).alias("value"), parse.longest_number(t).alias("longest"), parse.loose_unit(t).alias("unit")), "value")
+
+
+@query(""", t AS (SELECT p_partkey, p_size, (['px', 'pt', 'cm', 'in', '%', 'mm'])[p_partkey % 6 + 1] AS u, (['m', 'cm', 'inch', 'yard', '0.5', 'MM'])[p_partkey % 6 + 1] AS mu FROM part)
+SELECT p_partkey, round(CASE u WHEN '%' THEN 0 ELSE p_size * CASE u WHEN 'px' THEN 1 WHEN 'pt' THEN 96e0 / 72e0 WHEN 'cm' THEN 96e0 / 2.54e0 WHEN 'in' THEN 96 ELSE 96e0 / 25.4e0 END END, 6) AS px, CASE mu WHEN 'm' THEN 1 WHEN 'cm' THEN 0.01e0 WHEN 'inch' THEN 0.0254e0 WHEN '0.5' THEN 0.5e0 WHEN 'MM' THEN 0.001e0 END AS metres FROM t""")
+def unit_factor(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("p_partkey") % 6).cast("int")
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), k)
+    p = derived.read(spark, d, "part")
+    return rounded(p.select("p_partkey", parse.length_px(F.concat(F.col("p_size").cast("string"), pick("px", "pt", "cm", "in", "%", "mm"))).alias("px"), parse.unit_metres(pick("m", "cm", "inch", "yard", "0.5", "MM")).alias("metres")), "px")
+
+
+@query("SELECT s_suppkey, round(CASE WHEN s_suppkey % 10 <> 0 THEN abs(s_acctbal - (s_suppkey % 10) * 500e0) / abs((s_suppkey % 10) * 500e0) * 100 END, 6) AS gap, coalesce(abs((s_suppkey % 10) * 500e0 - s_acctbal) <= 0.05e0 * greatest(abs((s_suppkey % 10) * 500e0), abs(s_acctbal)), false) AS near, abs(s_acctbal / 5000e0 - 1) > 0.02e0 AS uneven FROM supplier")
+def scale_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (F.col("s_suppkey") % 10) * F.lit(500.0), F.col("s_acctbal")
+    return rounded(derived.read(spark, d, "supplier").select("s_suppkey", geom.percent_gap(a, b).alias("gap"), geom.nearly(a, b).alias("near"), (F.abs(b / 5000.0 - 1) > 0.02).alias("uneven")), "gap")
+
+
+@query("""SELECT vec_id, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, any_value(angle) AS angle, round(max(hi) - min(lo), 5) AS extent, round(max(mo), 5) AS max_off, round(sqrt(avg(off * off)), 5) AS rms_off FROM (
+  SELECT *, round(CASE WHEN degrees(theta) < 0 THEN degrees(theta) + 180 ELSE degrees(theta) END, 5) AS angle, abs((x - mx) * sin(theta) - (y - my) * cos(theta)) AS mo, (x - mx) * sin(theta) - (y - my) * cos(theta) AS off, (x - mx) * cos(theta) + (y - my) * sin(theta) AS lo, (x - mx) * cos(theta) + (y - my) * sin(theta) AS hi
+  FROM points JOIN (SELECT vec_id, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS theta FROM points GROUP BY vec_id) USING (vec_id)) GROUP BY vec_id""")
+def tls_fit(spark: SparkSession, d: str) -> DataFrame:
+    f = segments.line_fit(derived.points(spark, d), "vec_id").withColumn("extent", F.col("hi") - F.col("lo"))
+    return rounded(rounded(f.select("vec_id", "n", "mx", "my", "angle", "extent", "max_off", "rms_off"), "mx", "my"), "angle", "extent", "max_off", "rms_off", digits=5)
+
+
+_EDGES = """e AS (SELECT vec_id, i, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WHERE vec_id % 5 = 0 WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+ed AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM e WHERE x2 IS NOT NULL AND NOT (x1 = x2 AND y1 = y2))"""
+
+
+@query(", " + _EDGES + """, a AS (SELECT vec_id, CASE WHEN raw < 0 THEN raw + 180 WHEN raw >= 180 THEN raw - 180 ELSE raw END AS a FROM ed),
+g AS (SELECT *, lead(a) OVER (PARTITION BY vec_id ORDER BY a) - a AS gap FROM a)
+SELECT vec_id, round(180 - greatest(coalesce(max(gap), 0), min(a) + 180 - max(a)), 5) AS spread FROM g GROUP BY vec_id""")
+def angle_spread(spark: SparkSession, d: str) -> DataFrame:
+    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    return rounded(segments.angle_spread(e, "vec_id"), "spread", digits=5)
+
+
+@query(", " + _EDGES + """ SELECT a.vec_id, round(max(degrees(acos(greatest(-1e0, least(1e0, (a.x2 - a.x1) / a.len * ((b.x2 - b.x1) / b.len) + (a.y2 - a.y1) / a.len * ((b.y2 - b.y1) / b.len)))))), 4) AS spread FROM ed a JOIN ed b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.vec_id""")
+def pair_spread(spark: SparkSession, d: str) -> DataFrame:
+    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    return rounded(segments.pair_spread(e, "vec_id"), "spread", digits=4)
+
+
+@query(", " + _EDGES + " SELECT vec_id, i::INT AS i, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM ed")
+def polyline_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id"), "x1", "y1", "x2", "y2")
+
+
+@query(""", p AS (SELECT seg_id AS id, unnest(range(5)) AS i, x1, y1, x2, y2, n FROM (SELECT *, 0 AS n FROM pdf WHERE seg_id % 50 = 0)),
+q AS (SELECT id, i, x1 + (x2 - x1) * (i / 4e0) AS x, y1 + (y2 - y1) * (i / 4e0) + CASE WHEN id % 100 = 0 AND i % 2 = 1 THEN 5e0 ELSE 0e0 END AS y FROM p)
+SELECT id, CASE WHEN id % 100 = 0 THEN i ELSE -1 END::INT AS part FROM q WHERE CASE WHEN id % 100 = 0 THEN i < 4 ELSE i = 0 END""")
+def straightness(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("i")
+    p = derived.segments_pdf(spark, d).where("seg_id % 50 = 0").select(F.col("seg_id").alias("id"), "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    bump = F.when((F.col("id") % 100 == 0) & (i % 2 == 1), 5.0).otherwise(F.lit(0.0))
+    p = p.select("id", "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * (i / 4.0)).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * (i / 4.0) + bump).alias("y"))
+    return segments.straight(p, "id", max_spread=2.0, max_off=1.0).select("id", "part")
+
+
+@query(""", r AS (SELECT p_partkey AS id, (p_partkey % 100)::DOUBLE AS x, (p_partkey % 70)::DOUBLE AS y, p_size::DOUBLE AS w, (p_partkey % 4)::DOUBLE AS h FROM part)
+SELECT id, unnest([0, 1, 2, 3])::INT AS part, unnest([x, x + w, x + w, x]) AS x1, unnest([y, y, y + h, y + h]) AS y1, unnest([x + w, x + w, x, x]) AS x2, unnest([y, y + h, y + h, y]) AS y2 FROM r WHERE w > 0 AND h > 0""")
+def rect_edges(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    r = derived.read(spark, d, "part").select(k.alias("id"), (k % 100).cast("double").alias("x"), (k % 70).cast("double").alias("y"), F.col("p_size").cast("double").alias("w"), (k % 4).cast("double").alias("h"))
+    return segments.rect_edges(r, "id")
+
+
+@query(""", m AS (SELECT *, 90 * (seg_id % 4)::INT AS rot, CASE seg_id % 2 WHEN 0 THEN 1e0 ELSE -1e0 END AS fx FROM pdf),
+c AS (SELECT *, CASE rot WHEN 0 THEN 1e0 WHEN 180 THEN -1e0 ELSE 0e0 END AS co, CASE rot WHEN 90 THEN 1e0 WHEN 270 THEN -1e0 ELSE 0e0 END AS si FROM m)
+SELECT doc_id, seg_id, round(fx * 1.5e0 * (co * (x1 - 500) - si * (y1 - 400) + 500) + 3, 6) AS fit_x, round(0.5e0 * (si * (x1 - 500) + co * (y1 - 400) + 400) - 2, 6) AS fit_y,
+  round(fx * 1.5e0 * (co * x1 - si * y1) + 3, 6) AS match_x, round(0.5e0 * (si * x1 + co * y1) - 2, 6) AS match_y,
+  round(fx * (co * 1.5e0 * x1 - si * 0.5e0 * y1) + 3, 6) AS matrix_x, round(si * 1.5e0 * x1 + co * 0.5e0 * y1 - 2, 6) AS matrix_y,
+  round(CASE WHEN fx < 0 THEN 1000 - CASE rot WHEN 90 THEN y1 WHEN 180 THEN 1000 - x1 WHEN 270 THEN 1000 - y1 ELSE x1 END ELSE CASE rot WHEN 90 THEN y1 WHEN 180 THEN 1000 - x1 WHEN 270 THEN 1000 - y1 ELSE x1 END END, 6) AS coarse_x,
+  round(CASE rot WHEN 90 THEN 800 - x1 WHEN 180 THEN 800 - y1 WHEN 270 THEN x1 ELSE y1 END, 6) AS coarse_y FROM c""")
+def transform_conventions(spark: SparkSession, d: str) -> DataFrame:
+    s = derived.segments_pdf(spark, d).withColumn("rot", (F.col("seg_id") % 4).cast("int") * 90).withColumn("fx", F.when(F.col("seg_id") % 2 == 0, 1.0).otherwise(F.lit(-1.0)))
+    args = [F.col("rot"), F.col("fx"), *map(F.lit, (1.0, 1.5, 0.5, 3.0, -2.0))]
+    p = (F.col("x1"), F.col("y1"))
+    got = {"fit": geom.fit_affine(*args, F.lit(W), F.lit(H)).point(*p), "match": geom.match_affine(*args).point(*p), "matrix": geom.matrix_affine(*args).point(*p), "coarse": geom.coarse_point(*p, F.col("rot"), F.when(F.col("fx") < 0, "x").otherwise("none"), *map(F.lit, (0.0, 0.0, W, H)))}
+    names = [f"{k}_{c}" for k in got for c in "xy"]
+    return rounded(s.select("doc_id", "seg_id", *[v.alias(n) for n, v in zip(names, (v for pair in got.values() for v in pair), strict=True)]), *names)
+
+
+def _canvas(spark: SparkSession, d: str, side: str, size: int = 64) -> DataFrame:
+    w, h = (W, H) if side == "pdf" else (SW, SH)
+    return raster.draw(feat(spark, d, side), "doc_id", size=size, w=w, h=h)
+
+
+_DRAW = """u AS (SELECT side, doc_id, x1 / w * 63 AS u1, y1 / h * 63 AS v1, x2 / w * 63 AS u2, y2 / h * 63 AS v2 FROM (SELECT *, CASE side WHEN 'pdf' THEN 1000e0 ELSE 1000e0 * 1.012e0 END AS w, CASE side WHEN 'pdf' THEN 800e0 ELSE 800e0 * 0.993e0 END AS h FROM both_)),
+st AS (SELECT *, unnest(range(0, n::BIGINT + 1)) AS k FROM (SELECT *, greatest(ceil(greatest(abs(u2 - u1), abs(v2 - v1))), 1) AS n FROM u)),
+px AS (SELECT DISTINCT side, doc_id, round_even(v1 + (v2 - v1) * (k / n), 0)::BIGINT AS row, round_even(u1 + (u2 - u1) * (k / n), 0)::BIGINT AS col FROM st),
+px64 AS (SELECT * FROM px WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63)"""
+
+
+@query(", " + _DRAW + " SELECT doc_id, row, col FROM px64 WHERE side = 'pdf'")
+def raster_dda(spark: SparkSession, d: str) -> DataFrame:
+    return _canvas(spark, d, "pdf")
+
+
+@query(", " + _DRAW + """, sh AS (SELECT * FROM (VALUES (0, 0), (1, 0), (0, 1), (-1, 2)) t(dr, dc))
+SELECT a.doc_id, dr::INT AS dr, dc::INT AS dc, count(*) AS common, count(*) / 4096e0 AS share FROM px64 b, sh, px64 a WHERE b.side = 'svg' AND a.side = 'pdf' AND a.doc_id = b.doc_id AND a.row = (b.row + dr + 64) % 64 AND a.col = (b.col + dc + 64) % 64 GROUP BY ALL""")
+def raster_overlap(spark: SparkSession, d: str) -> DataFrame:
+    ids = derived.pages(spark, d).select("doc_id").distinct()
+    shifts = ids.crossJoin(F.broadcast(spark.createDataFrame([(0, 0), (1, 0), (0, 1), (-1, 2)], "dr int, dc int")))
+    return raster.overlap(_canvas(spark, d, "pdf"), _canvas(spark, d, "svg"), 64, shifts)
+
+
+@query(", " + _DRAW + """, s AS (SELECT doc_id, round_even(least(greatest(px / 1000e0 * 63, 0), 63), 0) AS u, round_even(least(greatest(py / 800e0 * 63, 0), 63), 0) AS v FROM (SELECT doc_id, x1 + (x2 - x1) * (i / 17e0) AS px, y1 + (y2 - y1) * (i / 17e0) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp WHERE seg_id % 20 = 0))),
+k AS (SELECT DISTINCT * FROM s), m AS (SELECT k.doc_id, u, v, least(4e0, coalesce(min(sqrt((u - col) * (u - col) + (v - row) * (v - row))), 4e0)) AS d FROM k LEFT JOIN (SELECT * FROM px64 WHERE side = 'svg' AND doc_id % 3 = 0) p ON k.doc_id = p.doc_id AND abs(u - col) <= 4 AND abs(v - row) <= 4 GROUP BY ALL)
+SELECT doc_id, count(*) AS n, round(sqrt(avg(d * d)), 6) AS rmse, round(1 / (1 + sqrt(avg(d * d))), 6) AS score, round(quantile_cont(d, 0.95), 6) AS p95, round(quantile_cont(d, 0.5), 6) AS median FROM s JOIN m USING (doc_id, u, v) GROUP BY doc_id""")
+def distmap_qa(spark: SparkSession, d: str) -> DataFrame:
+    s = segments.sample_inside(feat(spark, d, "pdf").where("seg_id % 20 = 0")).select("doc_id", "px", "py")
+    # Drawings of two documents in three are left out, so that distances beyond the bound occur.
+    svg = feat(spark, d, "svg").where("doc_id % 3 = 0").select("doc_id", *[(F.col(c) * (W / SW if c[0] == "x" else H / SH)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return rounded(raster.distance_quality(svg, s, size=64, w=W, h=H, hard=4.0), "rmse", "p95", "median", "score")
+
+
+@query("""SELECT doc_id, 'H' AS dir, row AS line, min(col) AS lo, max(col) AS hi FROM (SELECT *, col - row_number() OVER (PARTITION BY doc_id, row ORDER BY col) AS k FROM pixels WHERE val > 50) GROUP BY doc_id, row, k HAVING min(col) < max(col)
+UNION ALL SELECT doc_id, 'V', col, min(row), max(row) FROM (SELECT *, row - row_number() OVER (PARTITION BY doc_id, col ORDER BY row) AS k FROM pixels WHERE val > 50) GROUP BY doc_id, col, k HAVING min(row) < max(row)""")
+def runlength_segments(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.pixels(spark, d).where("val > 50")
+    return raster.runs(p, "row").unionByName(raster.runs(p, "col"))
+
+
+_GRAD = """g0 AS (SELECT *, lag(val) OVER r AS w0, lead(val) OVER r AS w1, lag(val) OVER c AS n0, lead(val) OVER c AS n1 FROM pixels WINDOW r AS (PARTITION BY doc_id, row ORDER BY col), c AS (PARTITION BY doc_id, col ORDER BY row)),
+g AS (SELECT doc_id, row, col, sqrt(pow(CASE WHEN w0 IS NULL AND w1 IS NULL THEN 0 WHEN w0 IS NULL THEN w1 - val WHEN w1 IS NULL THEN val - w0 ELSE (w1 - w0) / 2 END, 2) + pow(CASE WHEN n0 IS NULL AND n1 IS NULL THEN 0 WHEN n0 IS NULL THEN n1 - val WHEN n1 IS NULL THEN val - n0 ELSE (n1 - n0) / 2 END, 2)) AS g FROM g0)"""
+
+
+@query(", " + _GRAD + " SELECT doc_id, row, col, round(g, 6) AS g FROM g")
+def pixel_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(raster.gradient(derived.pixels(spark, d)).select("doc_id", "row", "col", "g"), "g")
+
+
+@query(", " + _GRAD + """, e AS (SELECT doc_id, row, col FROM g JOIN (SELECT doc_id, greatest(quantile_cont(g, 0.6), 10) AS cut FROM g GROUP BY doc_id) USING (doc_id) WHERE g > cut),
+r AS (SELECT doc_id, 'H' AS dir, row AS line, min(col) AS lo, max(col) AS hi FROM (SELECT *, col - row_number() OVER (PARTITION BY doc_id, row ORDER BY col) AS k FROM e) GROUP BY doc_id, row, k HAVING min(col) < max(col)
+  UNION ALL SELECT doc_id, 'V', col, min(row), max(row) FROM (SELECT *, row - row_number() OVER (PARTITION BY doc_id, col ORDER BY row) AS k FROM e) GROUP BY doc_id, col, k HAVING min(row) < max(row)),
+s AS (SELECT doc_id, CASE dir WHEN 'H' THEN (lo + 0.5e0) / 4 ELSE (line + 0.5e0) / 4 END AS x1, CASE dir WHEN 'H' THEN 20 - (line + 0.5e0) / 4 ELSE 20 - (lo + 0.5e0) / 4 END AS y1, CASE dir WHEN 'H' THEN (hi + 0.5e0) / 4 ELSE (line + 0.5e0) / 4 END AS x2, CASE dir WHEN 'H' THEN 20 - (line + 0.5e0) / 4 ELSE 20 - (hi + 0.5e0) / 4 END AS y2 FROM r)
+SELECT * FROM s WHERE pow(x2 - x1, 2) + pow(y2 - y1, 2) >= 0.25e0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pow(x2 - x1, 2) + pow(y2 - y1, 2) DESC, x1, y1, x2, y2) <= 100""")
+def raster_edge_scan(spark: SparkSession, d: str) -> DataFrame:
+    return raster.edge_segments(derived.pixels(spark, d), zoom=4.0, page_h=20.0, quantile=0.6, least=0.5, most=100).select("doc_id", "x1", "y1", "x2", "y2")
+
+
+@query(""", t AS (SELECT doc_id, 1 AS o, 39 - row AS r, col AS c, val FROM pixels WHERE col < 40 UNION ALL SELECT doc_id, 2, 39 - col, row, val FROM pixels WHERE col < 40)
+SELECT doc_id, o::INT AS o, r AS row, c AS col, val FROM t""")
+def raster_turns(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.pixels(spark, d).where("col < 40")
+    flip, rot = raster.turn(p, 40, 40, flip="y"), raster.turn(p, 40, 40, rot=90)
+    return flip.withColumn("o", F.lit(1)).unionByName(rot.withColumn("o", F.lit(2))).select("doc_id", "o", "row", "col", "val")
+
+
+@query("SELECT doc_id, row + 3 AS row, col - 5 AS col, CASE WHEN max(val) OVER (PARTITION BY doc_id) > 1 THEN val / 255e0 ELSE val END AS val FROM pixels QUALIFY row + 3 BETWEEN 0 AND 29 AND col - 5 BETWEEN 0 AND 19")
+def raster_place(spark: SparkSession, d: str) -> DataFrame:
+    return raster.place(raster.normalised(derived.pixels(spark, d)), 3, -5, 30, 20).select("doc_id", "row", "col", "val")
+
+
+@query("""SELECT a.doc_id, count(*) AS n, round(CASE WHEN stddev_pop(a.val) <= 1e-9 OR stddev_pop(b.val) <= 1e-9 THEN 0 ELSE corr(a.val, b.val) END, 6) AS ncc FROM pixels a JOIN pixels b ON a.doc_id = b.doc_id AND a.row = b.row AND a.col = b.col + 1 GROUP BY a.doc_id""")
+def ncc_scale(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.pixels(spark, d)
+    b = p.select("doc_id", "row", (F.col("col") + 1).alias("col"), F.col("val").alias("b"))
+    return rounded(raster.ncc(p.withColumnRenamed("val", "a").join(b, ["doc_id", "row", "col"]), "doc_id"), "ncc")
+
+
+@query("""SELECT doc_id, 0 AS rot, true AS flip_y, round(1000e0 * 1.012e0 / 1000e0, 9) AS sx, round(800e0 * 0.993e0 / 800e0, 9) AS sy, 'high' AS confidence, 'pagebox:high' AS source FROM (SELECT DISTINCT doc_id FROM pdf)""")
+def pagebox_align(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(hypotheses.page_alignment(derived.pages(spark, d)), "sx", "sy", digits=9)
+
+
+@query("""SELECT doc_id, round(greatest(sqrt(1640000e0) * 0.002e0, 0.5e0), 6) AS tol, round(sqrt(doc_id * doc_id + 2.25e0), 6) AS shift, round((1.5e0 + 0.5e0) / 2, 6) AS scale, doc_id % 2 = 1 AS mirrored, sqrt(doc_id * doc_id + 2.25e0) <= greatest(sqrt(1640000e0) * 0.002e0, 0.5e0) AS aligned, CASE doc_id % 2 WHEN 1 THEN 'X' ELSE 'none' END AS flip FROM (SELECT DISTINCT doc_id FROM pdf)""")
+def alignment_diag(spark: SparkSession, d: str) -> DataFrame:
+    pages = derived.pages(spark, d)
+    m = pages.where("side = 'pdf'").select("doc_id", F.when(F.col("doc_id") % 2 == 1, -1).otherwise(1).alias("fx"), F.lit(1).alias("fy"), F.lit(1.5).alias("sx"), F.lit(0.5).alias("sy"), F.col("doc_id").cast("double").alias("tx"), F.lit(1.5).alias("ty"))
+    return rounded(hypotheses.diagnostics(m, pages), "tol", "shift", "scale")
+
+
+_ORIENT = """hyp AS (SELECT * FROM (VALUES (0, 0, 1, 1), (1, 0, -1, 1), (2, 0, 1, -1), (3, 0, -1, -1), (4, 180, 1, 1), (5, 180, -1, 1), (6, 180, 1, -1), (7, 180, -1, -1)) h(hyp_id, rot, fx, fy)),
+mv0 AS (SELECT doc_id, hyp_id, (fx < 0) <> (rot = 180) AS mx, (fy < 0) <> (rot = 180) AS my, x1, y1, x2, y2 FROM pdf, hyp),
+mv AS (SELECT doc_id, hyp_id, CASE WHEN mx THEN 1000 - x1 ELSE x1 END AS x1, CASE WHEN my THEN 800 - y1 ELSE y1 END AS y1, CASE WHEN mx THEN 1000 - x2 ELSE x2 END AS x2, CASE WHEN my THEN 800 - y2 ELSE y2 END AS y2 FROM mv0),
+un AS (SELECT doc_id, x1 * (1000e0 / 1012e0) AS x1, y1 * (800e0 / 794.4e0) AS y1, x2 * (1000e0 / 1012e0) AS x2, y2 * (800e0 / 794.4e0) AS y2 FROM svg),
+ca AS (SELECT doc_id, hyp_id, profile, least(floor(t * 40), 39)::INT AS bin, count(*) AS n FROM (SELECT doc_id, hyp_id, 'x' AS profile, (x1 + x2) / 2 / 1000e0 AS t FROM mv UNION ALL SELECT doc_id, hyp_id, 'y', (y1 + y2) / 2 / 800e0 FROM mv) WHERE t >= 0 AND t <= 1 GROUP BY ALL),
+cb AS (SELECT doc_id, profile, least(floor(t * 40), 39)::INT AS bin, count(*) AS n FROM (SELECT doc_id, 'x' AS profile, (x1 + x2) / 2 / 1000e0 AS t FROM un UNION ALL SELECT doc_id, 'y', (y1 + y2) / 2 / 800e0 FROM un) WHERE t >= 0 AND t <= 1 GROUP BY ALL),
+da AS (SELECT k.doc_id, k.hyp_id, k.profile, b.bin, coalesce(ca.n, 0) - k.m AS v FROM (SELECT doc_id, hyp_id, profile, sum(n) / 40e0 AS m FROM ca GROUP BY ALL) k, (SELECT unnest(range(40)) AS bin) b LEFT JOIN ca ON ca.doc_id = k.doc_id AND ca.hyp_id = k.hyp_id AND ca.profile = k.profile AND ca.bin = b.bin),
+db AS (SELECT k.doc_id, k.profile, b.bin, coalesce(cb.n, 0) - k.m AS v FROM (SELECT doc_id, profile, sum(n) / 40e0 AS m FROM cb GROUP BY ALL) k, (SELECT unnest(range(40)) AS bin) b LEFT JOIN cb ON cb.doc_id = k.doc_id AND cb.profile = k.profile AND cb.bin = b.bin),
+na AS (SELECT doc_id, hyp_id, profile, sqrt(sum(v * v)) AS n FROM da GROUP BY ALL), nb AS (SELECT doc_id, profile, sqrt(sum(v * v)) AS n FROM db GROUP BY ALL),
+cc AS (SELECT a.doc_id, a.hyp_id, a.profile, b.bin - a.bin AS shift, sum(a.v * b.v) AS s FROM da a JOIN db b USING (doc_id, profile) GROUP BY ALL),
+cn AS (SELECT cc.doc_id, cc.hyp_id, cc.profile, shift, round(s / greatest(na.n * nb.n, 1e-12), 9) AS c FROM cc JOIN na USING (doc_id, hyp_id, profile) JOIN nb USING (doc_id, profile)),
+pk AS (SELECT * FROM cn QUALIFY row_number() OVER (PARTITION BY doc_id, hyp_id, profile ORDER BY c DESC, shift) = 1),
+sh AS (SELECT doc_id, hyp_id, max(shift) FILTER (profile = 'x') * 25e0 AS dx, max(shift) FILTER (profile = 'y') * 20e0 AS dy, (max(c) FILTER (profile = 'x') + max(c) FILTER (profile = 'y')) / 2 AS response FROM pk GROUP BY ALL),
+pm AS (SELECT DISTINCT doc_id, hyp_id, round_even(v1 + (v2 - v1) * (k / n), 0)::BIGINT AS row, round_even(u1 + (u2 - u1) * (k / n), 0)::BIGINT AS col FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS k FROM (SELECT doc_id, hyp_id, x1 / 1000e0 * 63 AS u1, y1 / 800e0 * 63 AS v1, x2 / 1000e0 * 63 AS u2, y2 / 800e0 * 63 AS v2, greatest(ceil(greatest(abs(x2 / 1000e0 * 63 - x1 / 1000e0 * 63), abs(y2 / 800e0 * 63 - y1 / 800e0 * 63))), 1) AS n FROM mv))),
+ps AS (SELECT DISTINCT doc_id, round_even(v1 + (v2 - v1) * (k / n), 0)::BIGINT AS row, round_even(u1 + (u2 - u1) * (k / n), 0)::BIGINT AS col FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS k FROM (SELECT doc_id, x1 / 1000e0 * 63 AS u1, y1 / 800e0 * 63 AS v1, x2 / 1000e0 * 63 AS u2, y2 / 800e0 * 63 AS v2, greatest(ceil(greatest(abs(x2 / 1000e0 * 63 - x1 / 1000e0 * 63), abs(y2 / 800e0 * 63 - y1 / 800e0 * 63))), 1) AS n FROM un))),
+ov AS (SELECT m.doc_id, m.hyp_id, count(*) AS common FROM (SELECT pm.doc_id, pm.hyp_id, ((row + round_even(dy / 800e0 * 63, 0)::INT) % 64 + 64) % 64 AS row, ((col + round_even(dx / 1000e0 * 63, 0)::INT) % 64 + 64) % 64 AS col FROM pm JOIN sh USING (doc_id, hyp_id) WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63) m
+  JOIN (SELECT * FROM ps WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63) s USING (doc_id, row, col) GROUP BY ALL),
+orient AS (SELECT sh.doc_id, hyp_id, rot, fx, fy, dx, dy, response, coalesce(common, 0) / 4096e0 AS overlap, coalesce(common, 0) / 4096e0 - 0.25e0 * (abs(dx) / 1000e0 + abs(dy) / 800e0) AS key FROM sh LEFT JOIN ov USING (doc_id, hyp_id) JOIN hyp USING (hyp_id))"""
+
+
+def _orient(spark: SparkSession, d: str) -> DataFrame:
+    return hypotheses.orientation(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), hypotheses.flips(spark), w=W, h=H, svg_w=SW, svg_h=SH)
+
+
+@query(", " + _ORIENT + " SELECT doc_id, hyp_id, rot, fx, fy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(response, 6) AS response, round(overlap, 6) AS overlap, round(key, 6) AS key FROM orient")
+def orientation_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_orient(spark, d), "dx", "dy", "response", "overlap", "key")
+
+
+@query(", " + _ORIENT + " SELECT doc_id, hyp_id, rot, fx, fy, round(dx, 6) AS dx, round(dy, 6) AS dy FROM orient QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(key, 9) DESC, round(response, 9) DESC, hyp_id) = 1")
+def orientation_best(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(hypotheses.best(_orient(spark, d), "key", "response").select("doc_id", "hyp_id", "rot", "fx", "fy", "dx", "dy"), "dx", "dy")

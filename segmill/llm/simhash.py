@@ -243,7 +243,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     all its columns."""
     rows = materialize(_grouped(docs, id_col, text, shingle, bits).select("doc_id", "th", "root"), "members")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    stays = rows.groupBy("root").agg(F.min(order).alias("s"))
+    # Written, so that the join below reads it from an exchange and a large group's rows can be split.
+    stays = materialize(rows.groupBy("root").agg(F.min(order).alias("s")), "stays")
     # Rows that share an id and a text can't be told apart: how often each such pair occurs, and whether it stays.
     each = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     each = materialize(each.join(stays, "root").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (order == F.col("s")).alias("stays")), "decided")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.functions import geom, parse
-from segmill.operators import hypotheses, labels, profiles, raster, segments, spatial
-from segmill.sources import derived
+from segmill.operators import fit, hypotheses, labels, match, profiles, raster, segments, spatial
+from segmill.plans import pipeline
+from segmill.sources import derived, svg
+from segmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +521,158 @@ def orientation_hypotheses(spark: SparkSession, d: str) -> DataFrame:
 @query(", " + _ORIENT + " SELECT doc_id, hyp_id, rot, fx, fy, round(dx, 6) AS dx, round(dy, 6) AS dy FROM orient QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(key, 9) DESC, round(response, 9) DESC, hyp_id) = 1")
 def orientation_best(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hypotheses.best(_orient(spark, d), "key", "response").select("doc_id", "hyp_id", "rot", "fx", "fy", "dx", "dy"), "dx", "dy")
+
+
+_COARSE = """hyp AS (SELECT * FROM (VALUES (0, 0, 'none'), (1, 0, 'x'), (2, 0, 'y'), (3, 90, 'none'), (4, 90, 'x'), (5, 90, 'y'), (6, 180, 'none'), (7, 180, 'x'), (8, 180, 'y'), (9, 270, 'none'), (10, 270, 'x'), (11, 270, 'y')) h(hyp_id, rot, flip)),
+b AS (SELECT 4.2e0 AS x0, -5.6e0 AS y0, 1000e0 * 1.012e0 AS w, 800e0 * 0.993e0 AS h),
+t0 AS (SELECT doc_id, seg_id, len, hyp_id, flip, x0, y0, w, h, CASE rot WHEN 90 THEN y1 - y0 WHEN 180 THEN w - (x1 - x0) WHEN 270 THEN w - (y1 - y0) ELSE x1 - x0 END AS p1, CASE rot WHEN 90 THEN h - (x1 - x0) WHEN 180 THEN h - (y1 - y0) WHEN 270 THEN x1 - x0 ELSE y1 - y0 END AS q1,
+  CASE rot WHEN 90 THEN y2 - y0 WHEN 180 THEN w - (x2 - x0) WHEN 270 THEN w - (y2 - y0) ELSE x2 - x0 END AS p2, CASE rot WHEN 90 THEN h - (x2 - x0) WHEN 180 THEN h - (y2 - y0) WHEN 270 THEN x2 - x0 ELSE y2 - y0 END AS q2 FROM fs, hyp, b),
+t1 AS (SELECT doc_id, seg_id, len, hyp_id, x0, y0, w, h, CASE flip WHEN 'x' THEN w - p1 ELSE p1 END + x0 AS x1, CASE flip WHEN 'y' THEN h - q1 ELSE q1 END + y0 AS y1, CASE flip WHEN 'x' THEN w - p2 ELSE p2 END + x0 AS x2, CASE flip WHEN 'y' THEN h - q2 ELSE q2 END + y0 AS y2 FROM t0),
+t2 AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM t1), t3 AS (SELECT *, CASE WHEN raw < 0 THEN raw + 180 WHEN raw >= 180 THEN raw - 180 ELSE raw END AS ang FROM t2),
+mv AS (SELECT *, CASE WHEN least(ang, 180 - ang) <= 2 AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= 2 THEN 'V' END AS axis FROM t3),
+pa AS (SELECT doc_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN (cx - 0e0) / 1000e0 ELSE (cy - 0e0) / 800e0 END)) * 64), 63)::INT AS bin, sum(len) AS w FROM fp WHERE axis IS NOT NULL GROUP BY ALL),
+pb AS (SELECT doc_id, hyp_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN ((x1 + x2) / 2 - x0) / w ELSE ((y1 + y2) / 2 - y0) / h END)) * 64), 63)::INT AS bin, sum(len) AS w FROM mv WHERE axis IS NOT NULL GROUP BY ALL),
+na AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM pa GROUP BY ALL), nb AS (SELECT doc_id, hyp_id, profile, sqrt(sum(w * w)) AS n FROM pb GROUP BY ALL),
+cc AS (SELECT pb.doc_id, pb.hyp_id, pb.profile, pa.bin - pb.bin AS shift, sum(pa.w * pb.w) AS s FROM pa JOIN pb USING (doc_id, profile) GROUP BY ALL),
+pk AS (SELECT cc.doc_id, cc.hyp_id, cc.profile, shift, round(s / (na.n * nb.n), 9) AS c FROM cc JOIN na USING (doc_id, profile) JOIN nb USING (doc_id, hyp_id, profile) QUALIFY row_number() OVER (PARTITION BY cc.doc_id, cc.hyp_id, cc.profile ORDER BY round(s / (na.n * nb.n), 9) DESC, CASE WHEN shift >= 0 THEN shift ELSE shift + 1000000 END) = 1),
+top AS (SELECT doc_id, hyp_id, max(c) FILTER (profile = 'X') AS cx, max(c) FILTER (profile = 'Y') AS cy, max(shift) FILTER (profile = 'X') * (1000e0 / 64) AS dx, max(shift) FILTER (profile = 'Y') * (800e0 / 64) AS dy FROM pk GROUP BY ALL),
+sc AS (SELECT m.doc_id, m.hyp_id, ((x1 + x2) / 2 - x0) * (1000e0 / w) + 0e0 + dx AS lx, ((y1 + y2) / 2 - y0) * (800e0 / h) + 0e0 + dy AS ly, sqrt(pow((x2 - x1) * (1000e0 / w), 2) + pow((y2 - y1) * (800e0 / h), 2)) AS s_len, degrees(atan2(y2 * (800e0 / h) - y1 * (800e0 / h), x2 * (1000e0 / w) - x1 * (1000e0 / w))) AS sa FROM mv m JOIN top USING (doc_id, hyp_id)),
+nr AS (SELECT s.doc_id, s.hyp_id, sum(least(p.len, s_len)) AS near FROM sc s JOIN fp p USING (doc_id) WHERE sqrt((lx - p.cx) * (lx - p.cx) + (ly - p.cy) * (ly - p.cy)) <= 12 AND s_len / p.len BETWEEN 0.85e0 AND 1.15e0 AND least(abs(p.ang - (sa + 360) % 180), 180 - abs(p.ang - (sa + 360) % 180)) <= 6 GROUP BY ALL),
+tt AS (SELECT doc_id, hyp_id, sum(s_len) AS total FROM sc GROUP BY ALL),
+coarse AS (SELECT doc_id, hyp_id, rot, flip, cx, cy, dx, dy, coalesce(near, 0) / total AS inliers, 0.4e0 * cx + 0.4e0 * cy + 0.2e0 * (coalesce(near, 0) / total) AS score FROM top JOIN hyp USING (hyp_id) JOIN tt USING (doc_id, hyp_id) LEFT JOIN nr USING (doc_id, hyp_id))"""
+
+
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    return hypotheses.coarse(feat(spark, d, "pdf"), feat(spark, d, "svg"), hypotheses.turns(spark), (0.0, 0.0, W, H), (derived.TX, derived.TY, SW, SH))
+
+
+@query(", " + _COARSE + " SELECT doc_id, hyp_id, rot, flip, round(cx, 6) AS cx, round(cy, 6) AS cy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(inliers, 5) AS inliers, round(score, 5) AS score FROM coarse")
+def coarse_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    c = _coarse(spark, d).drop("level")
+    return rounded(rounded(c, "cx", "cy", "dx", "dy"), "inliers", "score", digits=5)
+
+
+@query(", " + _COARSE + " SELECT doc_id, hyp_id, rot, flip, round(dx, 6) AS dx, round(dy, 6) AS dy FROM coarse QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, hyp_id) = 1")
+def coarse_best(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(hypotheses.best(_coarse(spark, d).drop("level"), "score").select("doc_id", "hyp_id", "rot", "flip", "dx", "dy"), "dx", "dy")
+
+
+@query("SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, regexp_matches(html, '<(text|tspan|flowRoot|flowPara)[\\s>/]') AS has_text FROM pages")
+def attr_scan_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.read(spark, d, "pages")
+    return p.select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"), parse.has_text(F.col("html")).alias("has_text"))
+
+
+@query(""", t AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 13)::DOUBLE AS b FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_size::DOUBLE * 2 END AS vb_w, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 7e0 END AS vb_h, 2 + (p_partkey % 2)::INT AS n_points, a + b AS point_sum, 3 AS floats FROM part JOIN t USING (p_partkey)""")
+def attribute_parse(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    box = F.when(k % 4 == 3, F.lit('<svg viewBox="0 0 -1 7">')).otherwise(F.format_string('<svg viewBox="0, 0 %d 7">', F.col("p_size") * 2))
+    pts = F.concat(s, F.lit(","), (k % 13).cast("string"), F.lit(" 1 2"), F.when(k % 2 == 1, " 3,4 9").otherwise(F.lit(" 5")))
+    p = derived.read(spark, d, "part").select("p_partkey", parse.view_box(box).alias("v"), parse.points(pts).alias("q"), parse.bare_floats(F.concat(F.lit("M"), s, F.lit(" 1.5L2"))).alias("f"))
+    return p.select("p_partkey", F.col("v.w").alias("vb_w"), F.col("v.h").alias("vb_h"), F.size("q").alias("n_points"), (F.get("q", F.lit(0))["x"] + F.get("q", F.lit(0))["y"]).alias("point_sum"), F.size("f").alias("floats"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 10, 6) AS x1, round(y1 * 2 - 3, 6) AS y1, round(x2 * 2 + 10, 6) AS x2, round(y2 * 2 - 3, 6) AS y2 FROM svg WHERE seg_id % 7 = 0")
+def svg_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Drawings are written from segments, under a transform, and scanned back."""
+    s = derived.segments_svg(spark, d).where("seg_id % 7 = 0")
+    line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
+    path = F.format_string('<path d="M%s %s L%s,%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
+    e = s.select("doc_id", "seg_id", F.when(F.col("seg_id") % 2 == 0, line).otherwise(path).alias("e"))
+    docs = e.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "e"))).alias("a"))
+    text = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="3000" height="2000"><g transform="translate(10,-3) scale(2)">'), F.array_join(F.transform("a", lambda x: x["e"]), ""), F.lit("</g></svg>"))
+    return rounded(svg.segments(docs.select("doc_id", text.alias("svg"))), "x1", "y1", "x2", "y2")
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.pages(spark, d).groupBy("doc_id").pivot("side", ["pdf", "svg"]).agg(F.first("w").alias("w"), F.first("h").alias("h"))
+    return p.select("doc_id", (F.col("svg_w") / F.col("pdf_w")).alias("sx0"), (F.col("svg_h") / F.col("pdf_h")).alias("sy0"), F.lit(0.0).alias("tx0"), F.lit(0.0).alias("ty0"))
+
+
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    return fit.fit(feat(spark, d, "pdf"), feat(spark, d, "svg"), _seeds(spark, d))
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return derived.pages(spark, d).select("doc_id").distinct().select("doc_id", F.lit(1).alias("fx"), F.lit(1).alias("fy"), *[F.lit(v).alias(k) for k, v in (("sx", derived.SX), ("sy", derived.SY), ("tx", derived.TX), ("ty", derived.TY))])
+
+
+@query()
+def ransac_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark, d)
+
+
+@query()
+def select_lines(spark: SparkSession, d: str) -> DataFrame:
+    return match.select_lines(feat(spark, d, "pdf"), feat(spark, d, "svg"), _truth(spark, d)).select("doc_id", "pick", "seg_id", "axis", "len", "notes")
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    svg_ = feat(spark, d, "svg")
+    return match.match_lines(match.select_lines(feat(spark, d, "pdf"), svg_, _truth(spark, d)), svg_)
+
+
+@query()
+def match_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
+@query()
+def match_report(spark: SparkSession, d: str) -> DataFrame:
+    return match.report(_matches(spark, d), _truth(spark, d))
+
+
+@query(""", m AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS line, axis, len FROM fp WHERE axis IS NOT NULL AND doc_id % 2 = 0 QUALIFY line <= 3),
+s AS (SELECT doc_id, line FROM (SELECT DISTINCT doc_id FROM pdf), (SELECT unnest([1, 2, 3, 4, 5]) AS line))
+SELECT s.doc_id, s.line::INT AS line, coalesce(axis, '') AS axis, coalesce(printf('%.4f', len), '') AS pdf_len, CASE WHEN seg_id IS NULL THEN 'missing' WHEN seg_id % 10 = 0 THEN 'no match' ELSE '' END AS notes FROM s LEFT JOIN m USING (doc_id, line)""")
+def report_slots(spark: SparkSession, d: str) -> DataFrame:
+    f = segments.top_absolute(feat(spark, d, "pdf").where("axis is not null and doc_id % 2 = 0"), 3, "doc_id")
+    hit = F.col("seg_id") % 10 != 0
+    none = F.lit(None).cast("double")
+    m = f.select("doc_id", F.col("rank").cast("int").alias("pick"), "axis", "seg_id", F.when(hit, F.col("seg_id")).alias("s_id"), F.when(hit, 0.5).alias("cost"), F.when(hit, 0.9).otherwise(F.lit(0.0)).alias("confidence"), F.col("len").alias("pdf_len"), none.alias("svg_len"), none.alias("rel_error"), F.lit(None).cast("int").alias("pass01"))
+    return match.report(m, _truth(spark, d)).select("doc_id", "line", "axis", "pdf_len", "notes")
+
+
+@query()
+def phase_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Phase correlation of a canvas with itself rolled by (3, -2)."""
+    p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
+    rolled = p.withColumns({"row": F.pmod(F.col("row") + 3, F.lit(64)), "col": F.pmod(F.col("col") - 2, F.lit(64))})
+    return rounded(raster.phase_shifts(p.withColumn("side", F.lit("pdf")).unionByName(rolled.withColumn("side", F.lit("svg"))), 64, 64), "response")
+
+
+@query()
+def raster_orientation(spark: SparkSession, d: str) -> DataFrame:
+    """A canvas against itself turned by a quarter: three more quarters bring it back."""
+    p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
+    t = raster.turn(p, 64, 64, rot=90)
+    return rounded(raster.raster_orientation(p.withColumn("side", F.lit("pdf")).unionByName(t.withColumn("side", F.lit("svg"))), 64, 64), "score")
+
+
+@query()
+def raster_scale(spark: SparkSession, d: str) -> DataFrame:
+    p = _canvas(spark, d, "pdf").where("doc_id < 4").withColumn("val", F.lit(1.0))
+    q = p.withColumn("side", F.lit("svg"))
+    return rounded(raster.raster_scale(p.withColumn("side", F.lit("pdf")).unionByName(q), 64, 64, low=0.9, high=1.1), "scale", "ncc")
+
+
+@query()
+def metric_scale(spark: SparkSession, d: str) -> DataFrame:
+    s = labels.dimension_scale(_label_pairs(spark, d), tol=0.1)
+    return rounded(labels.metric_scale(s, _truth(spark, d), pixels_per_unit=100.0), "dim_x", "dim_y", "model_scale", "gap", digits=5)
+
+
+@query()
+def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Orientation, fit, lines, matches and report of all documents."""
+    return pipeline.run(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d))["report"]
+
+
+@query("""SELECT doc_id, count(*) AS segments, round(sum(len), 4) AS total FROM (SELECT doc_id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM svg WHERE seg_id % 7 = 0) GROUP BY doc_id""")
+def arriving_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What the streaming job computes for a micro-batch of drawings."""
+    s = derived.segments_svg(spark, d).where("seg_id % 7 = 0")
+    line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
+    docs = s.groupBy("doc_id").agg(F.array_join(F.collect_list(line), "").alias("body")).select("doc_id", F.concat(F.lit("<svg>"), "body", F.lit("</svg>")).alias("svg"))
+    return rounded(incremental.summaries(docs).select("doc_id", F.col("n").alias("segments"), "total"), "total", digits=4)

@@ -42,7 +42,7 @@ def overlays(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     ``pairs`` has doc_id, pick, label, pdf and svg (structs x1, y1, x2, y2; svg may be null), in drawing coordinates."""
     at = lambda s: {k: geom.fixed(F.col(f"{s}.{k}"), 3) for k in ("x1", "y1", "x2", "y2")}
     label = F.concat(F.lit('<text x="'), geom.fixed((F.col("pdf.x1") + F.col("pdf.x2")) / 2, 3), F.lit('" y="'), geom.fixed((F.col("pdf.y1") + F.col("pdf.y2")) / 2, 3), F.lit('" font-size="8">'), _escaped(F.coalesce(F.col("label"), F.lit(""))), F.lit("</text>"))
-    part = F.concat(_tag("line", **at("pdf"), stroke="red"), F.coalesce(_tag("line", **at("svg"), stroke="blue", stroke_dasharray="4 2"), F.lit("")), label)
+    part = F.concat(_tag("line", **at("pdf"), stroke="red"), F.when(F.col("svg").isNotNull(), _tag("line", **at("svg"), stroke="blue", stroke_dasharray="4 2")).otherwise(F.lit("")), label)
     body = pairs.select("doc_id", "pick", part.alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pick", "part"))).alias("a"))
     size = pages.where("side = 'svg'").select("doc_id", "w", "h")
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), geom.fixed(F.col("w"), 3), F.lit(" "), geom.fixed(F.col("h"), 3), F.lit('"><g id="CHECK_LINES" fill="none">'))

@@ -29,10 +29,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that one file holds, where a bound on the rows is known.
+ROWS_PER_FILE = 200_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage and survives lost
-    executors. The files go when the driver's Python ends."""
+    executors. ``rows``, a bound on the rows where the caller knows one, keeps small tables from becoming many small
+    files. The files go when the driver's Python ends."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmill.durable import materialize
+
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "GAP", "WORD", "arrow", "fold", "held_out", "materialize", "slices", "small"]
+
 #: Separators and words of every word count (Java and Python patterns alike).
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="segmill-"))
-    return _own_dir[0]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is already gone
-        pass
+#: Rows of a batch that goes to a Python worker: documents can be long, and a worker holds a batch at a time.
+BATCH_ROWS = 1000
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage and survives lost
-    executors. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows. For ``DataFrame.transform``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def fold(id_col: str | Column) -> Column:
@@ -66,7 +48,7 @@ def small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes together, so that a worker's memory follows
     ``limit`` and the longest single text, not the batch's row count."""
     sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow, slices
 
 # Fixed values of the HTML standard: elements without an end tag, elements whose content isn't markup, and elements that
 # run within a line.
@@ -357,4 +357,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", page
                 found = [model.main_text(t) for t in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages[id_col].alias("k"), pages[url].alias("u"), pages[page].alias("html")).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return pages.select(pages[id_col].alias("k"), pages[url].alias("u"), pages[page].alias("html")).transform(arrow, run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

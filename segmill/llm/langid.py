@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow, slices
 
 #: Positions that are hashed and summed at once.
 STEP = 1 << 18
@@ -108,7 +108,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int
         i, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[i, b])], ["i", "b", "n"])
 
-    counts = sample.mapInArrow(count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.transform(arrow, count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
     n = np.full((size, len(langs)), 0.1)
     n[counts["b"].to_numpy(), counts["i"].to_numpy()] += counts["n"].to_numpy()
     logp = np.vstack((np.log(n / n.sum(axis=0)), np.zeros(len(langs)))).astype(np.float32)
@@ -152,4 +152,4 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
                 yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.select(docs[c]).schema[0].dataType.simpleString()}" for c in keep)
-    return cols.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return cols.transform(arrow, run, f"{kinds}, lang_pred string, score double")

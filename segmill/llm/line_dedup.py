@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import arrow, materialize, slices, small
 
 HOLES = 8
 
@@ -117,13 +117,13 @@ def within_one(a: str, b: str) -> bool:
     return a[lo:] == b[lo + 1 :]
 
 
-def near(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines (``first``: h1, h2, place of the first occurrence, keys) that are within one edit of a
+def near(first: DataFrame, lines: DataFrame, distinct: int) -> DataFrame:
+    """h1, h2 of the ``distinct`` lines (``first``: h1, h2, place of the first occurrence, keys) that are within one edit of a
     different line whose first occurrence is earlier. ``lines`` has the texts."""
     keyed = first.select("h1", "h2", F.explode("keys").alias("key"))
     # A line's keys differ, so a key counted twice has two lines.
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    able = materialize(keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "able")
+    able = materialize(keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "able", distinct)
     texts = lines.join(small(able, able.count()), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min("t").alias("t"))
     texts = materialize(texts, "candidates")
 
@@ -135,7 +135,7 @@ def near(first: DataFrame, lines: DataFrame) -> DataFrame:
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays([pa.array(key), part.column("h1").take(take), part.column("h2").take(take), pa.array(a), pa.array(b)], ["key", "h1", "h2", "a", "b"])
 
-    around = texts.select("t", "h1", "h2").mapInArrow(holes, "key long, h1 long, h2 long, a long, b long")
+    around = texts.select("t", "h1", "h2").transform(arrow, holes, "key long, h1 long, h2 long, a long, b long")
     met = around.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     spans = around.join(met, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
@@ -146,7 +146,7 @@ def near(first: DataFrame, lines: DataFrame) -> DataFrame:
                 k = np.unique(deletion_keys(t)[places])
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.repeat(batch.column(c)[i], len(k)) for c in ("h1", "h2"))], ["key", "h1", "h2"])
 
-    emitted = materialize(texts.join(spans, ["h1", "h2"]).select("t", "spans", "h1", "h2").mapInArrow(emit, "key long, h1 long, h2 long"), "variants")
+    emitted = materialize(texts.join(spans, ["h1", "h2"]).select("t", "spans", "h1", "h2").transform(arrow, emit, "key long, h1 long, h2 long"), "variants")
     twice = emitted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     pairs = emitted.join(twice, "key", "left_semi").join(texts, ["h1", "h2"])
 
@@ -166,7 +166,7 @@ def near(first: DataFrame, lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take)], ["h1", "h2"])
 
     ordered = pairs.repartition("key").sortWithinPartitions("key", "place", "h1", "h2").select("key", "h1", "h2", "t")
-    return ordered.mapInArrow(decide, "h1 long, h2 long").distinct()
+    return ordered.transform(arrow, decide, "h1 long, h2 long").distinct()
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
@@ -175,11 +175,12 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     lines = occurrences(docs, least)
     seen = materialize(lines.select("place", "h1", "h2", part_keys(F.col("t")).alias("keys")), "lines")
     # Equal lines have equal keys.
-    first = materialize(seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "first")
-    close = near(first, lines).withColumn("near", F.lit(True))
+    first = materialize(seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "first", seen.count())
+    distinct = first.count()
+    close = near(first, lines, distinct).withColumn("near", F.lit(True))
     bad = first.join(close, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # Written, so that both sides of the next join come from their exchanges and a line that is very common can be split.
-    bad = materialize(bad, "bad")
+    bad = materialize(bad, "bad", distinct)
     gone = seen.select("place", "h1", "h2").join(small(bad, bad.count()), ["h1", "h2"]).where("near or place <> first")
     return gone.groupBy("place.doc_id", "place.tie").agg(F.collect_set("place.line").alias("gone"))
 

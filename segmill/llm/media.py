@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow, slices
 
 PACKET = 188
 SYNC = 0x47
@@ -206,7 +206,7 @@ def media_features(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, (_, t) in zip(found, FIELDS, strict=True))], [id_col, *(n for n, _ in FIELDS)])
 
     names = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in FIELDS)
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {names}")
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"`{id_col}` {kind}, {names}")
 
 
 def streams(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,4 +219,4 @@ def streams(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> D
                 media = [mux(pad((t or "").encode("utf-8", "surrogatepass"))) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], [id_col, "media"])
 
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"`{id_col}` {kind}, media binary")

@@ -56,7 +56,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int) -> DataFrame:
-    """``df`` with ``index``, a number from 0 to ``n`` - 1, replaced by its image under the permutation of the keys."""
+    """``df`` with ``index``, a number from 0 to ``n`` - 1, replaced by its image under the permutation of the keys.
+    Write the result before filtering or joining on ``index``: a predicate on it would be pushed through the rounds, each
+    of which names the round before three times."""
     names = [c for c in df.columns if c != index]
     for r in range(ROUNDS):
         partner = F.pmod(F.pmod(F.xxhash64(F.lit(seed), F.lit(r), *keys), F.col(n)) - F.col(index), F.col(n))
@@ -134,13 +136,13 @@ class Mix:
         sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("th"))
         self.sizes = materialize(sized, "sizes")
         by_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-        self.targets = materialize(source_targets(by_source, weights, share, most), "targets")
-        n, words = self.sizes.agg(F.count("*"), F.sum("size")).first()
-        self.placed = located(self.sizes, self.targets, n, seed)
+        self.targets = materialize(source_targets(by_source, weights, share, most), "targets", by_source.count())
+        self.rows, words = self.sizes.agg(F.count("*"), F.sum("size")).first()
+        self.placed = located(self.sizes, self.targets, self.rows, seed)
         tasks = max(1, min(1 << 15, int((words or 0) * share / block) // (1 << 18)))
         # Written, as a filter on its block number would be pushed through the rounds of the permutation and repeat each
         # of them in the next.
-        self.slots = materialize(plan(self.targets, block=block, shard_slots=shard_slots, most=most, seed=seed, tasks=tasks), "slots")
+        self.slots = materialize(plan(self.targets, block=block, shard_slots=shard_slots, most=most, seed=seed, tasks=tasks), "slots", int((words or 0) * share / block) + 1)
 
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken."""
@@ -159,7 +161,7 @@ class Mix:
         span = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_spans")
         taken = pieces.groupBy("doc_id", "th", "s", "at", "size", "pass").agg(span, F.sum(F.col("high") - F.col("low")).alias("n"))
         whole = F.col("n") == F.col("size")
-        taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), whole.alias("_whole"), F.when(~whole, F.col("_spans")).alias("_spans")), "taken")
+        taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), whole.alias("_whole"), F.when(~whole, F.col("_spans")).alias("_spans")), "taken", self.rows * self.most)
         docs = self.docs
         if self.sizes.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
             # Rows that share an id and a text have a place each in ``taken``; one of them is joined with all places.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, slices
+from .common import arrow, materialize, slices
 
 #: Pattern by which this kind of vocabulary cuts a text before merging; fixed by the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 1
                         total.append(len(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, PIECES.format(kind=kind))
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, PIECES.format(kind=kind))
 
 
 Pattern = tuple[tuple[int, int], ...]  # lengths with how often each, in order
@@ -172,4 +172,4 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return ranked(cut, sum(histogram.values())).select(*names, "rank").mapInArrow(run, PIECES.format(kind=kind) + ", sequence_id long, offset long")
+    return ranked(cut, sum(histogram.values())).select(*names, "rank").transform(arrow, run, PIECES.format(kind=kind) + ", sequence_id long, offset long")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, str, int]  # start, kind, end
@@ -398,4 +398,4 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), *n, digest, all_, added], ["doc_id", *counts, "base_sha256", "spans", "n_added"])
 
     names = "".join(f"{c} long, " for c in counts)
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, {names}base_sha256 string, spans string, n_added long")
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"doc_id {kind}, {names}base_sha256 string, spans string, n_added long")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow, slices
 
 #: Level of every compression, in training and scoring.
 LEVEL = 3
@@ -117,4 +117,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str =
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizer.score(part.column("text").to_pylist()))], [id_col, "score"])
 
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"`{id_col}` {kind}, score double")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import arrow, materialize, slices, small
 
 SEED = 42
 SEGMENTS = 32
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
                 fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
+    return docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).transform(arrow, run, f"doc_id {kind}, th long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def links(fps: DataFrame, n: int, *, bits: int = 3, blocks: int | None = None, c
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("fp"), node], ["key", "fp", "node"])
 
     kind = fps.schema["node"].dataType.simpleString()
-    keyed = fps.mapInArrow(emit, f"key long, fp long, node {kind}")
+    keyed = fps.transform(arrow, emit, f"key long, fp long, node {kind}")
     # Cells above the bound: few rows, as each stands for ``cell`` keyed rows; they are looked up in a join of any kind.
     large = keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > cell).select("key", F.ceil(F.col("m") / (cell // 2)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -194,7 +194,7 @@ def links(fps: DataFrame, n: int, *, bits: int = 3, blocks: int | None = None, c
             yield from found(rest)
 
     width = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "fp")
-    return width.select("key", "p", "q", "fp", "node").mapInArrow(compare, f"u {kind}, v {kind}")
+    return width.select("key", "p", "q", "fp", "node").transform(arrow, compare, f"u {kind}, v {kind}")
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -202,14 +202,15 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     contraction (Kiveris et al. 2014), each round written to the shared folder, until nothing changes."""
     norm = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e, before = materialize(norm(edges), "links"), None
+    rows = 2 * e.count()  # contraction never adds links
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = norm(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined_ = large.join(down, "u")
-        small = joined_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = materialize(norm(small), "links")
+        pairs = joined_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        e = materialize(norm(pairs), "links", rows)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -221,15 +222,16 @@ def _grouped(docs: DataFrame, id_col: str, text: str, shingle: int, bits: int) -
     """doc_id, th, fp, root (the group) and component_id of every row."""
     fps = materialize(fingerprints(docs, id_col=id_col, text=text, shingle=shingle), "fingerprints")
     # One node for each fingerprint. ``low`` is its smallest id; fingerprints of null ids alone have none.
-    own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    near = links(own.select("fp", F.col("fp").alias("node")), own.count(), bits=bits).select("u", "v")
+    own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct", fps.count())
+    n = own.count()
+    near = links(own.select("fp", F.col("fp").alias("node")), n, bits=bits).select("u", "v")
     # An id with several fingerprints joins them.
     twice = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count("*").alias("c")).where("c > 1 and u <> v").select("doc_id", "u")
     same = fps.join(twice, "doc_id").select("u", F.col("fp").alias("v")).where("u <> v")
     reached = components(near.unionByName(same))
     by_fp = own.join(reached, own.fp == reached.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(by_fp.join(least, "root").select("fp", "root", "component_id"), "groups")
+    named = materialize(by_fp.join(least, "root").select("fp", "root", "component_id"), "groups", n)
     return fps.join(named, "fp")
 
 
@@ -242,17 +244,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     """One row of ``docs`` of each group, that with the smallest id (among equal ids, the smallest hash of the text), with
     all its columns."""
     rows = materialize(_grouped(docs, id_col, text, shingle, bits).select("doc_id", "th", "root"), "members")
+    n = rows.count()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     # Written, so that the join below reads it from an exchange and a large group's rows can be split.
-    stays = materialize(rows.groupBy("root").agg(F.min(order).alias("s")), "stays")
+    stays = materialize(rows.groupBy("root").agg(F.min(order).alias("s")), "stays", n)
     # Rows that share an id and a text can't be told apart: how often each such pair occurs, and whether it stays.
     each = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
-    each = materialize(each.join(stays, "root").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (order == F.col("s")).alias("stays")), "decided")
+    each = materialize(each.join(stays, "root").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (order == F.col("s")).alias("stays")), "decided", n)
     of = lambda side: docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text]) == side["_th"])
     gone = each.where("not stays or n > 1").select("_id", "_th")
     kept = docs.join(small(gone, gone.count()), of(gone), "left_anti")
     again = each.where("stays and n > 1").select("_id", "_th")
-    if n := again.count():
-        some = docs.join(small(again, n), of(again), "left_semi").withColumn("_th", F.xxhash64(F.col(text)))
+    if twice := again.count():
+        some = docs.join(small(again, twice), of(again), "left_semi").withColumn("_th", F.xxhash64(F.col(text)))
         kept = kept.unionByName(some.dropDuplicates([id_col, "_th"]).drop("_th"))
     return kept

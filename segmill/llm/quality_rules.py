@@ -103,11 +103,10 @@ def cutoffs(known: DataFrame, *, risk: float = 0.005, level: float = 0.05) -> Da
     sums = [F.sum(_hit(r, F.lit(c)).cast("long")).alias(f"{r}_{c}") for r in RULES for c in GRID]
     n = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in GRID])).alias("x")
-    # As many strata as labelled rows at most.
-    strata = n.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    t = n.select("stratum", "n", tests).select("stratum", "n", "x.*").crossJoin(F.broadcast(strata))
+    t = n.select("stratum", "n", tests).select("stratum", "n", "x.*")
+    strata = good.select("stratum").distinct().count()
     p = binomial_tail(F.col("n"), F.col("k"), risk)
-    sure = t.where(p <= F.lit(level) / (F.col("strata") * len(RULES) * len(GRID)))
+    sure = t.where(p <= level / (max(1, strata) * len(RULES) * len(GRID)))
     return sure.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 

@@ -30,7 +30,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 #: Rows of a narrow table that one file holds, where a bound on the rows is known.
-ROWS_PER_FILE = 200_000
+ROWS_PER_FILE = 100_000
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:

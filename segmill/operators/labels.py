@@ -83,3 +83,29 @@ def metric_scale(scales: DataFrame, models: DataFrame, *, pixels_per_unit: float
     j = j.withColumn("gap", geom.percent_gap(mean, F.col("model_scale")))
     note = F.concat_ws("; ", F.when(F.col("gap") > 5, "scales differ"), F.when(F.col("uneven"), "axes differ"), F.when(mean.isNull(), "no labels"))
     return j.withColumn("notes", note)
+
+
+def text_summary(texts: DataFrame, examples: int = 5) -> DataFrame:
+    """For each document: how many texts there are, with a value and with a unit, and the first few as they are."""
+    t = texts.withColumn("_v", parse.label_value(F.col("text")))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("txt_id", "text"))), 1, examples)
+    w = Window.partitionBy("doc_id").orderBy("txt_id")
+    few = t.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= examples).groupBy("doc_id").agg(first.alias("_few"))
+    n = t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("_v").alias("with_value"), F.count_if(parse.loose_unit(F.col("text")).isNotNull()).alias("with_unit"))
+    return n.join(few, "doc_id").select("doc_id", "n", "with_value", "with_unit", F.transform("_few", lambda x: x["text"]).alias("examples"))
+
+
+def pixels_per_unit(settings: Column) -> Column:
+    """Pixels of a unit from a map of settings: the first of these that is a positive number: pixels_per_unit, then the mean
+    of scale_x and scale_y, then the mean column norm of the matrix a, b, c, d."""
+    at = lambda k: F.try_element_at(settings, F.lit(k)).try_cast("double")
+    mean = mean_finite(at("scale_x"), at("scale_y"))
+    matrix = (geom.norm(at("a"), at("b")) + geom.norm(at("c"), at("d"))) / 2
+    positive = lambda v: F.when(v > 0, v)
+    return F.coalesce(positive(at("pixels_per_unit")), positive(mean), positive(matrix))
+
+
+def mean_finite(*values: Column) -> Column:
+    """Mean of those that are numbers and finite; null if none is."""
+    ok = F.filter(F.array(*values), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda a, v: a + v) / F.size(ok))

@@ -215,3 +215,17 @@ def raster_scale(px: DataFrame, rows: int, cols: int, *, low: float, high: float
         return pd.DataFrame({"doc_id": [p.doc_id.iloc[0]], "scale": [s[2]], "ncc": [s[0]]})
 
     return px.groupBy("doc_id").applyInPandas(run, "doc_id long, scale double, ncc double")
+
+
+def draw_upright(segs: DataFrame, *keys: str, size: int, w: float | Column, h: float | Column) -> DataFrame:
+    """``draw`` for y-up coordinates on a canvas whose rows go down: ends are rounded to pixels first, and what leaves the
+    canvas is clipped to its border."""
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), F.rint(c)))
+    s = segs.select(*keys, *[clip(F.col(c) * (size - 1) / w).alias(c) for c in ("x1", "x2")], *[clip((h - F.col(c)) * (size - 1) / h).alias(c) for c in ("y1", "y2")])
+    return draw(s, *keys, size=size, w=float(size - 1), h=float(size - 1))
+
+
+def crop_margin(px: DataFrame, rows: int, cols: int, share: float) -> DataFrame:
+    """Without a border of ``share`` of each side."""
+    dr, dc = int(rows * share), int(cols * share)
+    return place(px, -dr, -dc, rows - 2 * dr, cols - 2 * dc)

@@ -184,3 +184,34 @@ def quantile_spans(feat: DataFrame) -> DataFrame:
 def candidate_order() -> list[Column]:
     """Order of scored candidates: score, length, tie, H before V, centre, id."""
     return [F.desc("score"), F.desc("len"), F.asc("tie"), F.asc("axis"), F.asc(F.col("cx") + F.col("cy")), F.asc("seg_id")]
+
+
+def statistics(feat: DataFrame, *keys: str) -> DataFrame:
+    """Counts, box, length and angle percentiles of each group; angles are folded to 0 to 90 degrees."""
+    q = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
+    f = feat.withColumn("_fold", F.least(F.col("ang"), 180 - F.col("ang")))
+    return f.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col("axis") == "H").alias("n_h"), F.count_if(F.col("axis") == "V").alias("n_v"),
+        F.min("len").alias("min_len"), q("len", 0.5, "p50_len"), q("len", 0.9, "p90_len"), F.max("len").alias("max_len"),
+        q("_fold", 0.05, "p05_ang"), q("_fold", 0.5, "p50_ang"), q("_fold", 0.95, "p95_ang"),
+    )
+
+
+def object_counts(objects: DataFrame, *keys: str, kind: str = "kind") -> DataFrame:
+    """How many objects of each kind a group has, and its share of them."""
+    g = objects.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+    total = g.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    return g.join(total, list(keys)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+
+
+def longest_part(edges_: DataFrame, *keys: str, least: float = 0.0, order: str = "i") -> DataFrame:
+    """The longest edge of each polyline, if it is long enough; the first of equals."""
+    e = edges_.withColumn("len", geom.length(geom.seg()))
+    m = e.groupBy(*keys).agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "len"), F.struct("len", -F.col(order))).alias("m"))
+    return m.where(F.col("m.len") >= least).select(*keys, "m.*")
+
+
+def touching_box(points: DataFrame, boxes: DataFrame, *keys: str, on: str = "doc_id") -> DataFrame:
+    """Groups of points whose own box meets a query box (``on``, bx0, by0, bx1, by1)."""
+    g = points.groupBy(on, *keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return g.join(boxes, on).where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").drop("bx0", "by0", "bx1", "by1")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from segmill.functions import geom, parse
 from segmill.operators import fit, hypotheses, labels, match, profiles, raster, segments, spatial
 from segmill.plans import pipeline
-from segmill.sources import derived, svg
+from segmill.plans import preprocess as preprocess_
+from segmill.sources import content, derived, svg
 from segmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,3 +677,66 @@ def arriving_summaries(spark: SparkSession, d: str) -> DataFrame:
     line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
     docs = s.groupBy("doc_id").agg(F.array_join(F.collect_list(line), "").alias("body")).select("doc_id", F.concat(F.lit("<svg>"), "body", F.lit("</svg>")).alias("svg"))
     return rounded(incremental.summaries(docs).select("doc_id", F.col("n").alias("segments"), "total"), "total", digits=4)
+
+
+@query("""SELECT side, doc_id, count(*) AS n, count(*) FILTER (axis = 'H') AS n_h, count(*) FILTER (axis = 'V') AS n_v, round(min(len), 6) AS min_len, round(quantile_cont(len, 0.5), 6) AS p50_len, round(quantile_cont(len, 0.9), 6) AS p90_len, round(max(len), 6) AS max_len,
+  round(quantile_cont(least(ang, 180 - ang), 0.05), 6) AS p05_ang, round(quantile_cont(least(ang, 180 - ang), 0.5), 6) AS p50_ang, round(quantile_cont(least(ang, 180 - ang), 0.95), 6) AS p95_ang FROM feat GROUP BY side, doc_id""")
+def seg_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = segments.statistics(feat(spark, d), "side", "doc_id")
+    return rounded(s, "min_len", "p50_len", "p90_len", "max_len", "p05_ang", "p50_ang", "p95_ang")
+
+
+@query("SELECT doc_id, kind, n, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS share FROM (SELECT doc_id, coalesce(axis, 'other') AS kind, count(*) AS n FROM fp GROUP BY ALL)")
+def object_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.object_counts(feat(spark, d, "pdf").withColumn("kind", F.coalesce("axis", F.lit("other"))), "doc_id"), "share")
+
+
+@query(", " + _EDGES + " SELECT vec_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(len, 6) AS len FROM ed WHERE len >= 0.3e0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len DESC, i) = 1")
+def longest_part(spark: SparkSession, d: str) -> DataFrame:
+    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    return rounded(segments.longest_part(e, "vec_id", least=0.3), "x1", "y1", "x2", "y2", "len")
+
+
+@query(""", b AS (SELECT vec_id % 4 AS doc_id, vec_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM points GROUP BY vec_id)
+SELECT doc_id, vec_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM b WHERE x0 <= -0.2e0 - doc_id / 100e0 AND x1 >= -0.3e0 AND y0 <= -0.25e0 AND y1 >= -0.4e0""")
+def boxes_touching(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.points(spark, d).withColumn("doc_id", F.col("vec_id") % 4)
+    q = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(-0.3).alias("bx0"), F.lit(-0.4).alias("by0"), (F.lit(-0.2) - F.col("id") / 100.0).alias("bx1"), F.lit(-0.25).alias("by1"))
+    return rounded(segments.touching_box(p, q, "vec_id"), "x0", "y0", "x1", "y1").select("doc_id", "vec_id", "x0", "y0", "x1", "y1")
+
+
+@query("""SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_extract(text, '^[0-9]+') <> '0') AS with_value, count(*) FILTER (text LIKE '%m') AS with_unit, list(text ORDER BY txt_id)[1:5]::VARCHAR[] AS examples FROM labels_geo GROUP BY doc_id""")
+def text_summary(spark: SparkSession, d: str) -> DataFrame:
+    return labels.text_summary(derived.labels(spark, d))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN (p_size + 3) / 2e0 WHEN 2 THEN (p_size + 5e0) / 2 END::DOUBLE AS ppu FROM part")
+def pixels_per_unit(spark: SparkSession, d: str) -> DataFrame:
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    pairs = lambda **v: F.create_map(*[x for name, c in v.items() for x in (F.lit(name), c if not isinstance(c, str) else F.lit(c))])
+    m = F.when(k == 0, pairs(pixels_per_unit=s, scale_x="9")).when(k == 1, pairs(pixels_per_unit="x", scale_x=s, scale_y="3")).when(k == 2, pairs(a=s, b="0", c="3", d="4")).otherwise(pairs(pixels_per_unit="-1"))
+    return derived.read(spark, d, "part").select("p_partkey", labels.pixels_per_unit(m).alias("ppu"))
+
+
+@query(""", r AS (SELECT doc_id, greatest(0e0, least(63e0, round_even(x1 * 63 / 1000e0, 0))) AS u1, greatest(0e0, least(63e0, round_even((800 - y1) * 63 / 800e0, 0))) AS v1, greatest(0e0, least(63e0, round_even(x2 * 63 / 1000e0, 0))) AS u2, greatest(0e0, least(63e0, round_even((800 - y2) * 63 / 800e0, 0))) AS v2 FROM pdf),
+s AS (SELECT *, unnest(range(0, n::BIGINT + 1)) AS k FROM (SELECT *, greatest(ceil(greatest(abs(u2 - u1), abs(v2 - v1))), 1) AS n FROM r))
+SELECT DISTINCT doc_id, round_even(v1 + (v2 - v1) * (k / n), 0)::BIGINT AS row, round_even(u1 + (u2 - u1) * (k / n), 0)::BIGINT AS col FROM s""")
+def raster_upright(spark: SparkSession, d: str) -> DataFrame:
+    return raster.draw_upright(derived.segments_pdf(spark, d), "doc_id", size=64, w=W, h=H)
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 1, 6) AS x1, round(y1 * 2 + 3, 6) AS y1, round(x2 * 2 + 1, 6) AS x2, round(y2 * 2 + 3, 6) AS y2 FROM pdf WHERE seg_id % 9 = 0")
+def content_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Content streams are written from segments, under a matrix, and scanned back."""
+    s = derived.segments_pdf(spark, d).where("seg_id % 9 = 0")
+    line = F.format_string("%s %s m %s %s l S", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
+    docs = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("e")))).alias("a"))
+    text = F.concat(F.lit("q 2 0 0 2 1 3 cm "), F.array_join(F.transform("a", lambda x: x["e"]), "\n"), F.lit(" Q 0 0 m 1 1 l n"))
+    return rounded(content.segments(docs.select("doc_id", text.alias("content"))), "x1", "y1", "x2", "y2")
+
+
+@query()
+def preprocess(spark: SparkSession, d: str) -> DataFrame:
+    p = _canvas(spark, d, "pdf").where("doc_id < 4").withColumn("val", F.lit(1.0))
+    both = p.withColumn("side", F.lit("pdf")).unionByName(p.withColumn("side", F.lit("svg")))
+    return preprocess_.run(both, feat(spark, d, "pdf").where("doc_id < 4"), derived.labels(spark, d), rows=64, cols=64)

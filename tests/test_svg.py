@@ -78,3 +78,12 @@ def test_sinks(spark, tmp_path):
 def test_command_line(tmp_path):
     assert cli.main(["run", "--pdf", str(tmp_path / "none"), "--svg", "x", "--pages", "y", "--out", str(tmp_path / "o")]) == 2
     assert cli.main(["scan", "--path", str(tmp_path / "none"), "--out", str(tmp_path / "o"), "--opts", "bad"]) == 2
+
+
+def test_content_streams():
+    from segmill.sources import content
+
+    one = content.content_polylines("q 2 0 0 2 0 0 cm 0 0 m 1 0 l 1 1 l s Q 0 0 4 5 re f 9 9 m 8 8 l n 1 1 m 2 2 l h B*")
+    assert one[0] == [(0, 0), (2, 0), (2, 2), (0, 0)] and one[1][2] == (4, 5) and one[2] == [(1, 1), (2, 2), (1, 1)] and len(one) == 3
+    curve = content.content_polylines("0 0 m 0 10 10 10 10 0 c S")[0]
+    assert max(y for _, y in curve) == pytest.approx(7.5, abs=0.3) and content.content_polylines(None) == []

@@ -31,10 +31,6 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def has_letter(codes: np.ndarray) -> bool:
-    return bool(_letters()[codes].any())
-
-
 def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, each between two zeros, with everything but letters as a space; the start
     of each text, with the end; whether it has a letter."""

@@ -12,6 +12,7 @@ and never learned from; an id with several label rows is used once for each dist
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     if len(y) == 0 or not 0 < y.sum() < len(y):
         p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return Model(b"", b"", (0.0, 0.0, float(np.log(p / (1 - p)))))
-    third = np.array([hash((int(i), seed)) % 3 for i in ids])
+    third = np.array([zlib.crc32(f"{seed} {i}".encode()) % 3 for i in ids])
     if min((y[third > 0] == k).sum() for k in (0, 1)) == 0 or min((y[third == 0] == k).sum() for k in (0, 1)) == 0:
         third = np.arange(len(y)) % 3  # too few rows to be choosy
     pick = lambda k: [t for t, a, b in zip(texts, y, third, strict=True) if a == k and b > 0]

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, materialize, small
+from .common import GAP, WORD, materialize
 
 #: Rounds of the permutation.
 ROUNDS = 12
@@ -166,8 +166,8 @@ class Mix:
         if self.sizes.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
             # Rows that share an id and a text have a place each in ``taken``; one of them is joined with all places.
             docs = docs.withColumn("_same", F.xxhash64(F.col(self.text))).dropDuplicates([self.id_col, "_same"]).drop("_same")
-        # Rows with arrays take several times the room of plain ones.
-        both = docs.join(small(taken, 4 * taken.count()), docs[self.id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[self.text]) == F.col("_th")))
+        # As many rows as documents, so both sides are shuffled at any size that isn't tiny.
+        both = docs.join(taken, docs[self.id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[self.text]) == F.col("_th")))
         words = F.regexp_extract_all(docs[self.text], F.lit(f"{WORD}(?:{GAP})?"), F.lit(0))
         cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))), "")), F.lit(0))
         text = F.when(F.col("_whole"), docs[self.text]).otherwise(F.rtrim(cut))

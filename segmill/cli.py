@@ -1,4 +1,5 @@
-"""``python -m segmill.cli run``: align Parquet tables of segments and pages, and write the report.
+"""``python -m segmill.cli``: ``run`` aligns Parquet tables of segments and pages and writes the report; ``preprocess`` works
+on rasters and labels; ``scan`` reads SVG files.
 
 Exit codes: 0 done, 2 for inputs or settings that can't be used, 1 for anything else."""
 
@@ -11,7 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from segmill import config, sinks
-from segmill.plans import pipeline
+from segmill.metrics import Run
+from segmill.operators import segments
+from segmill.plans import pipeline, preprocess
 from segmill.sources import svg
 
 
@@ -20,7 +23,8 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="align segments_pdf with segments_svg (Parquet) and write the report")
     scan = sub.add_parser("scan", help="read SVG files into a table of segments")
-    for s in (run, scan):
+    pre = sub.add_parser("preprocess", help="orientation and scale from rasters, checked by labels (Parquet tables)")
+    for s in (run, scan, pre):
         s.add_argument("--config")
         s.add_argument("--opts", action="append", default=[], metavar="path=value")
         s.add_argument("--out", required=True)
@@ -29,6 +33,11 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--pages", required=True)
     run.add_argument("--raster", action="store_true", help="the page's segments come from a raster")
     scan.add_argument("--path", required=True)
+    for name in ("--pixels", "--lines", "--texts"):
+        pre.add_argument(name, required=True)
+    for name in ("--rows", "--cols"):
+        pre.add_argument(name, required=True, type=int)
+    pre.add_argument("--pixels-per-unit", type=float, default=1.0)
     a = p.parse_args(argv)
     try:
         cfg = config.load(a.config, a.opts)
@@ -36,10 +45,21 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "scan":
             svg.segments(svg.read(spark, a.path), tol=cfg["svg"]["curve_tol"]).write.mode("overwrite").parquet(a.out)
             return 0
-        out = pipeline.run(spark.read.parquet(a.pdf), spark.read.parquet(a.svg), spark.read.parquet(a.pages), config.for_rasters(cfg) if a.raster else cfg)
-        sinks.write_report(out["report"], f"{a.out}/report")
-        out["models"].write.mode("overwrite").parquet(f"{a.out}/models")
-        out["matches"].write.mode("overwrite").parquet(f"{a.out}/matches")
+        took = Run()
+        if a.command == "preprocess":
+            with took.stage("preprocess"):
+                lines = segments.features(spark.read.parquet(a.lines), cfg["features"]["axis_tol_deg"])
+                preprocess.run(spark.read.parquet(a.pixels), lines, spark.read.parquet(a.texts), rows=a.rows, cols=a.cols, pixels_per_unit=a.pixels_per_unit).write.mode("overwrite").parquet(a.out)
+            print(took.report())
+            return 0
+        with took.stage("align"):
+            out = pipeline.run(spark.read.parquet(a.pdf), spark.read.parquet(a.svg), spark.read.parquet(a.pages), config.for_rasters(cfg) if a.raster else cfg)
+        with took.stage("write"):
+            sinks.write_report(out["report"], f"{a.out}/report")
+            out["models"].write.mode("overwrite").parquet(f"{a.out}/models")
+            out["matches"].write.mode("overwrite").parquet(f"{a.out}/matches")
+        took.count("documents", out["models"].count())
+        print(took.report())
     except (ValueError, FileNotFoundError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

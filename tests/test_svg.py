@@ -75,7 +75,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "s"), header=True).first()[3] == "1.000000"
 
 
-def test_command_line(tmp_path):
+def test_command_line(spark, tmp_path):
     assert cli.main(["run", "--pdf", str(tmp_path / "none"), "--svg", "x", "--pages", "y", "--out", str(tmp_path / "o")]) == 2
     assert cli.main(["scan", "--path", str(tmp_path / "none"), "--out", str(tmp_path / "o"), "--opts", "bad"]) == 2
 
@@ -87,3 +87,27 @@ def test_content_streams():
     assert one[0] == [(0, 0), (2, 0), (2, 2), (0, 0)] and one[1][2] == (4, 5) and one[2] == [(1, 1), (2, 2), (1, 1)] and len(one) == 3
     curve = content.content_polylines("0 0 m 0 10 10 10 10 0 c S")[0]
     assert max(y for _, y in curve) == pytest.approx(7.5, abs=0.3) and content.content_polylines(None) == []
+
+
+def test_command_line_preprocess(spark, tmp_path):
+    px = [(1, side, r, c, 1.0) for side in ("pdf", "svg") for r, c in ((1, 1), (1, 2), (5, 6), (9, 3))]
+    spark.createDataFrame(px, "doc_id long, side string, row long, col long, val double").write.parquet(str(tmp_path / "px"))
+    table(spark, [(0, 0, 100, 0)]).write.parquet(str(tmp_path / "lines"))
+    spark.createDataFrame([(1, 1, "2 m", 50.0, 5.0)], "doc_id long, txt_id long, text string, cx double, cy double").write.parquet(str(tmp_path / "texts"))
+    args = ["preprocess", "--rows", "12", "--cols", "12", "--out", str(tmp_path / "out")]
+    for name, folder in (("--pixels", "px"), ("--lines", "lines"), ("--texts", "texts")):
+        args += [name, str(tmp_path / folder)]
+    assert cli.main(args) == 0
+    r = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (r.rot, r.flip) == (0, "none") and r.ncc == pytest.approx(1.0) and r.dim_x is None
+
+
+def test_metrics():
+    from segmill.metrics import Run
+
+    m = Run()
+    with m.stage("a"):
+        pass
+    m.count("n", 2)
+    m.count("n")
+    assert [k for k, _ in m.rows()] == ["a", "total"] and "n 3" in m.report()

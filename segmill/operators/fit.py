@@ -53,10 +53,11 @@ def within(hyps: DataFrame, seeds: DataFrame, *, scale: float, shift: float) ->
     return hyps.join(seeds, "doc_id").where(ok).drop("sx0", "sy0", "tx0", "ty0")
 
 
-def scored(hyps: DataFrame, points: DataFrame, svg: DataFrame, *, sigma: float, hard: float) -> DataFrame:
-    """Each hypothesis with its chamfer score and residuals over the sample points (doc_id, seg_id, i, px, py)."""
+def scored(hyps: DataFrame, points: DataFrame, svg: DataFrame, *, sigma: float, hard: float, full: bool = False) -> DataFrame:
+    """Each hypothesis with its chamfer score over the sample points (doc_id, seg_id, i, px, py), ``full`` with residuals."""
     m = points.join(hyps, "doc_id").select("doc_id", "hyp_id", "seg_id", "i", (F.col("fx") * F.col("sx") * F.col("px") + F.col("tx")).alias("px"), (F.col("fy") * F.col("sy") * F.col("py") + F.col("ty")).alias("py"))
-    return hyps.join(segments.residuals(spatial.nearest(m, svg, hard), "doc_id", "hyp_id", sigma=sigma, hard=hard), ["doc_id", "hyp_id"])
+    stats = segments.residuals if full else segments.chamfer
+    return hyps.join(stats(spatial.nearest(m, svg, hard), "doc_id", "hyp_id", sigma=sigma, hard=hard), ["doc_id", "hyp_id"])
 
 
 def best(hyps: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, k
     model = materialize(best(scored(hyps.unionByName(own), sample, target, sigma=sigma, hard=hard)), "model")
     for a, b in rounds:
         model = materialize(best(scored(lattice(model, scale_step=a, shift_step=b), sample, target, sigma=sigma, hard=hard)), "model")
-    last = scored(model.select("doc_id", F.lit(0).alias("hyp_id"), "fx", "fy", "sx", "sy", "tx", "ty"), segments.sample_steps(pdf, 40.0), target, sigma=sigma, hard=hard)
+    last = scored(model.select("doc_id", F.lit(0).alias("hyp_id"), "fx", "fy", "sx", "sy", "tx", "ty"), segments.sample_steps(pdf, 40.0), target, sigma=sigma, hard=hard, full=True)
     notes = F.filter(F.array(F.when(F.col("rmse") > max_rmse, "rmse"), F.when(F.col("score") < min_score, "score")), lambda n: n.isNotNull())
     return last.select("doc_id", "fx", "fy", "sx", "sy", "tx", "ty", "score", "rmse", "p95", "median", notes.alias("quality_notes"))
 

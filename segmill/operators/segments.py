@@ -158,10 +158,18 @@ def sample_steps(feat: DataFrame, step: float, cap: int | None = None) -> DataFr
     return p
 
 
+def _closeness(sigma: float, hard: float) -> Column:
+    return F.when(F.col("d") < hard, F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma))).otherwise(F.lit(0.0))
+
+
+def chamfer(d: DataFrame, *keys: str, sigma: float, hard: float) -> DataFrame:
+    """Chamfer score of capped distances ``d`` alone: score, n. It sums up before the shuffle, which percentiles can't."""
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(_closeness(sigma, hard)).alias("score"))
+
+
 def residuals(d: DataFrame, *keys: str, sigma: float, hard: float) -> DataFrame:
     """Chamfer score and residual statistics of capped distances ``d``: score, rmse, p95, median, n."""
-    near = F.when(F.col("d") < hard, F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma))).otherwise(F.lit(0.0))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(near).alias("score"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.percentile("d", F.lit(0.95)).alias("p95"), F.percentile("d", F.lit(0.5)).alias("median"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(_closeness(sigma, hard)).alias("score"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.percentile("d", F.lit(0.95)).alias("p95"), F.percentile("d", F.lit(0.5)).alias("median"))
 
 
 def robust_median(df: DataFrame, value: str, *keys: str, tol: float = 0.05, least: int = 3) -> DataFrame:

@@ -653,7 +653,7 @@ def raster_orientation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def raster_scale(spark: SparkSession, d: str) -> DataFrame:
-    p = _canvas(spark, d, "pdf").where("doc_id < 4").withColumn("val", F.lit(1.0))
+    p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     q = p.withColumn("side", F.lit("svg"))
     return rounded(raster.raster_scale(p.withColumn("side", F.lit("pdf")).unionByName(q), 64, 64, low=0.9, high=1.1), "scale", "ncc")
 
@@ -737,6 +737,6 @@ def content_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
-    p = _canvas(spark, d, "pdf").where("doc_id < 4").withColumn("val", F.lit(1.0))
+    p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     both = p.withColumn("side", F.lit("pdf")).unionByName(p.withColumn("side", F.lit("svg")))
-    return preprocess_.run(both, feat(spark, d, "pdf").where("doc_id < 4"), derived.labels(spark, d), rows=64, cols=64)
+    return preprocess_.run(both, feat(spark, d, "pdf"), derived.labels(spark, d), rows=64, cols=64)

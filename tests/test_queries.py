@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from segmill.plans.registry import ORACLE_SQL, QUERIES
+from segmill.sources import derived
 
 from .conftest import rows
 
@@ -19,6 +20,12 @@ def test_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", ["raster_scale", "preprocess"])
+def test_covers_all_documents(spark, sf_dir, name):
+    ids = {r.doc_id for r in derived.pages(spark, sf_dir).select("doc_id").collect()}
+    assert len(ids) > 4 and {r.doc_id for r in QUERIES[name](spark, sf_dir).collect()} == ids
+
+
 def test_entry_module():
     import __spark_entry__ as e
 

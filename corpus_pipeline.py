@@ -28,8 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: lines that an earlier line equals or nearly equals go; every document stays."""
-    return _counted(line_dedup.dedup(docs), docs.columns)
+    """Line dedup: lines that an earlier line equals, or nearly equals if they have 20 characters, go; every document
+    stays."""
+    return _counted(line_dedup.dedup(docs, exact=1), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Lines are what newlines separate, without blanks at their ends. A line of at least ``least`` characters goes if an earlier
 line, in the order of (document id, line number), equals it or is one insertion, deletion or substitution of a
-character away. Shorter lines always stay, as one edit is much of them.
+character away, as one edit is much of a shorter line. Shorter lines stay, or, with ``exact``, those of at least
+``exact`` characters go if an earlier line equals them; then an earlier line of any length that ``exact`` admits counts
+as near, too.
 
 Near lines meet in a deletion-neighbourhood join. If one edit separates two lines then one becomes the other, or both
 become the same, by deleting at most one character; so each line emits the keyed hash of itself and of itself without
@@ -117,9 +119,9 @@ def within_one(a: str, b: str) -> bool:
     return a[lo:] == b[lo + 1 :]
 
 
-def near(first: DataFrame, lines: DataFrame, distinct: int) -> DataFrame:
-    """h1, h2 of the ``distinct`` lines (``first``: h1, h2, place of the first occurrence, keys) that are within one edit of a
-    different line whose first occurrence is earlier. ``lines`` has the texts."""
+def near(first: DataFrame, lines: DataFrame, distinct: int, least: int) -> DataFrame:
+    """h1, h2 of the ``distinct`` lines (``first``: h1, h2, place of the first occurrence, keys) of at least ``least``
+    characters that are within one edit of a different line whose first occurrence is earlier. ``lines`` has the texts."""
     keyed = first.select("h1", "h2", F.explode("keys").alias("key"))
     # A line's keys differ, so a key counted twice has two lines.
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -159,7 +161,7 @@ def near(first: DataFrame, lines: DataFrame, distinct: int) -> DataFrame:
             for i, (k, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 if k != key:
                     key, seen = k, []
-                if any(within_one(s, t) for s in seen):
+                if len(t) >= least and any(within_one(s, t) for s in seen):
                     gone.append(i)
                 seen.append(t)
             take = pa.array(gone, pa.int64())
@@ -169,15 +171,17 @@ def near(first: DataFrame, lines: DataFrame, distinct: int) -> DataFrame:
     return ordered.transform(arrow, decide, "h1 long, h2 long").distinct()
 
 
-def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20, exact: int | None = None) -> DataFrame:
     """doc_id, tie and ``gone``, the numbers (from 0) of the lines that go, for each document that loses any."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    lines = occurrences(docs, least)
-    seen = materialize(lines.select("place", "h1", "h2", part_keys(F.col("t")).alias("keys")), "lines")
+    lines = occurrences(docs, least if exact is None else min(least, exact))
+    # A line that is one shorter than ``least`` can still be the earlier one of a near pair.
+    keys = F.when(F.length("t") >= least - 1, part_keys(F.col("t"))).otherwise(F.array().cast("array<bigint>"))
+    seen = materialize(lines.select("place", "h1", "h2", keys.alias("keys")), "lines")
     # Equal lines have equal keys.
     first = materialize(seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "first", seen.count())
     distinct = first.count()
-    close = near(first, lines, distinct).withColumn("near", F.lit(True))
+    close = near(first, lines, distinct, least).withColumn("near", F.lit(True))
     bad = first.join(close, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # Written, so that both sides of the next join come from their exchanges and a line that is very common can be split.
     bad = materialize(bad, "bad", distinct)
@@ -185,10 +189,10 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     return gone.groupBy("place.doc_id", "place.tie").agg(F.collect_set("place.line").alias("gone"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20, exact: int | None = None) -> DataFrame:
     """``docs`` with the lines that go taken out of the text, and ``_lines`` and ``_dropped``, how many lines there were
     and how many went."""
-    gone = materialize(dropped_lines(docs, id_col=id_col, text=text, least=least), "gone")
+    gone = materialize(dropped_lines(docs, id_col=id_col, text=text, least=least, exact=exact), "gone")
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), F.col("gone").alias("_gone"))
     own = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("long"))
     # The numbers of a document's lines take far less room than its text; counted here as one row for each ten lines.

@@ -65,6 +65,29 @@ def test_dedup_is_brute_force(spark):
     assert len(near) > 10
 
 
+def test_short_lines_go_if_equal(spark):
+    """Every length with ``exact``; the bound on the length holds for near matches of the later line alone."""
+    rng = random.Random(4)
+    base = [prose(rng, k % 4 + 1)[: 1 + k % 26] for k in range(60)] + ["a", "ab", "n" * 18 + "xy", "n" * 19 + "y"]
+    docs = []
+    for i in range(60):
+        own = [rng.choice(base) for _ in range(rng.randint(0, 6))] + rng.choice(([], [""], ["  "]))
+        docs.append((i, "\n".join(mutate(rng, s) if s.strip() and rng.random() < 0.4 else s for s in own)))
+    docs.append((60, "m" * 19 + "\n" + "m" * 20 + "\n" + "k" * 20 + "\n" + "k" * 19))
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), exact=1).collect()}
+    every = [(i, n, s.strip(" ")) for i, t in docs for n, s in enumerate(t.split("\n"))]
+    first = {}
+    for i, n, s in every:
+        if s:
+            first.setdefault(s, (i, n))
+    order = sorted(first, key=first.get)
+    near = {s for k, s in enumerate(order) if len(s) >= 20 and any(edit1(s, e) for e in order[:k])}
+    gone = {(i, n) for i, n, s in every if s and (s in near or first[s] != (i, n))}
+    for i, t in docs:
+        assert got[i] == "\n".join(s for n, s in enumerate(t.split("\n")) if (i, n) not in gone)
+    assert got[60] == "m" * 19 + "\n" + "k" * 20 + "\n" + "k" * 19 and sum(len(s) < 20 for i, n, s in every if (i, n) in gone) > 20
+
+
 def test_dedup_edges(spark, odd, clash, none):
     got = lines.dedup(odd)
     assert got.count() == odd.count() and lines.dedup(none).count() == 0

@@ -41,6 +41,12 @@ def test_stages(spark, sf_dir):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(docs.columns)
 
 
+def test_line_stage_drops_equal_short_lines(spark):
+    docs = spark.createDataFrame([(1, "one\ntwo", "en", "a", 7), (2, "two\nsix", "en", "a", 7)], SCHEMA)
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "one\ntwo", 7), (2, "six", 3)}
+
+
 def test_run_on_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

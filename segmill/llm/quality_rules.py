@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, materialize
+from .common import GAP, materialize, small
 
 #: Separators of words, as characters.
 BLANK = " \t\n\x0b\x0c\r"
@@ -110,16 +110,16 @@ def cutoffs(known: DataFrame, *, risk: float = 0.005, level: float = 0.05) -> Da
     return sure.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", holdout: int = 40_000, risk: float = 0.005, level: float = 0.05, seed: int = 3) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: float = 0.005, level: float = 0.05) -> DataFrame:
     """doc_id, the base facts, base_failed, failed_rule (the first rule that rejects it, null if none) and kept, a row
-    for each row of ``docs``. ``holdout`` is the documented bound on the labelled rows: about so many, drawn by a hash of
-    the id, calibrate the cutoffs."""
+    for each row of ``docs``. All labelled rows calibrate the cutoffs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"))
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null")
-    lab = lab.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(min(1.0, holdout / max(1, lab.count())) * (1 << 30)))
-    lab = lab.groupBy("doc_id").agg((F.min("y") == 1).alias("good"))
-    # About ``holdout`` rows of an id and a flag at most, and no more strata than those: both can be broadcast.
-    known = materialize(facts(rows.join(F.broadcast(lab), "doc_id")), "facts")
+    n = lab.count()
+    # Bad rows play no part in the cutoffs.
+    lab = lab.groupBy("doc_id").agg((F.min("y") == 1).alias("good")).where("good")
+    known = materialize(facts(rows.join(small(lab, n), "doc_id")), "facts")
+    # A certified stratum takes over a thousand good rows, so there are few.
     cut = cutoffs(known, risk=risk, level=level)
     d = facts(rows).join(F.broadcast(cut), "stratum", "left")
     failed = F.coalesce(*[F.when(_hit(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES])
@@ -127,7 +127,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     return d.select(*names, base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
 
 
-#: The same in DuckDB, for label tables within the bound on the holdout.
+#: The same in DuckDB.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS stratum FROM documents

@@ -61,6 +61,17 @@ def test_cutoffs_keep_the_bound(spark):
     assert set(got) == {"a"} and got["a"]["cut_capitals"] == want and got["a"]["cut_symbols"] == min(rules.GRID)
 
 
+def test_all_labels_calibrate(spark):
+    """A stratum of 2,000 good rows among 60,000 labelled ones certifies its cutoffs; two thirds of them would not do."""
+    words = " ".join(f"w{i}x" for i in range(24))
+    stratum = F.when(F.col("id") < 2000, "rare").otherwise("most")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(words).alias("text"), stratum.alias("lang"))
+    bad = spark.createDataFrame([(-1, words + " " + "#" * 400, "rare")], docs.schema)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = rules.judge(docs.unionByName(bad), labels)
+    assert got.where("doc_id = -1").first().failed_rule == "symbols" and got.where("not kept").count() == 1
+
+
 def test_targets_are_those_of_repeated_dealing(spark):
     rng = random.Random(8)
     for _ in range(4):

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import arrow, slices
 
 #: Level of every compression, in training and scoring.
 LEVEL = 3
+#: Bytes of a piece of a dictionary.
+PIECE = 512
 
 
 @dataclass
@@ -60,10 +63,24 @@ class Sizer:
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
-    """Raw content: pieces of every sampled text in turn, the same share of each, until ``size`` is full."""
-    share = max(64, size // max(1, len(texts)))
-    out = b"".join(t.encode("utf-8", "surrogatepass")[:share] for t in texts)
-    return out[-size:]
+    """Raw content: pieces drawn by a hash over all positions of each sampled text, one of every text before a second of
+    any, until ``size`` is full, in the order of the texts; the whole texts if they fit."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, raw)) <= size:
+        return b"".join(raw)
+    places = []
+    for k, r in enumerate(raw):
+        text = xxhash.xxh64_intdigest(r)
+        own = sorted((xxhash.xxh64_intdigest(f"{text} {at}"), at) for at in range(0, len(r), PIECE))
+        places += [(turn, h, k, at) for turn, (h, at) in enumerate(own)]
+    drawn, left = [], size
+    for _, _, k, at in sorted(places):
+        if left <= 0:
+            break
+        n = min(PIECE, len(raw[k]) - at, left)
+        drawn.append((k, at, at + n))
+        left -= n
+    return b"".join(raw[k][a:b] for k, a, b in sorted(drawn))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:

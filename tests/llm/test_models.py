@@ -68,6 +68,16 @@ def test_quality_held_out_accuracy(corpus):
     assert right >= 0.9 * p.count()
 
 
+def test_quality_dictionary_covers_all_positions():
+    """Texts that exceed the dictionary give pieces of their beginnings, middles and ends alike."""
+    rng = random.Random(7)
+    texts = ["".join(f"{k:03d}:{i:04d}:{rng.randrange(1 << 32):08x};" for i in range(400)) for k in range(60)]
+    d = quality_clf._dictionary(texts, 1 << 16)
+    at = [int(x[4:8]) for x in d.decode().split(";") if re.fullmatch(r"\d{3}:\d{4}:[0-9a-f]{8}", x)]
+    assert len(d) == 1 << 16 and all(sum(q * 100 <= i < q * 100 + 100 for i in at) > 0.15 * len(at) for q in range(4))
+    assert quality_clf._dictionary(texts[:2], 1 << 16) == "".join(texts[:2]).encode()
+
+
 def test_quality_edges(odd, clash, none, labels, none_labels):
     m = quality_clf.train(odd, labels)
     got = quality_clf.score(odd, m).collect()

@@ -11,7 +11,7 @@ DEFAULTS: dict[str, Any] = {
     "merge": {"enable": False, "off_tol": 1.0, "gap_max": 2.0},
     "orientation": {"bins": 40, "size": 64, "min_overlap": 0.05},
     "coarse": {"enabled": False, "bins": 64, "dist_tol": 12.0, "angle_tol": 6.0, "len_tol": 0.15, "allow_flips": ["none", "x", "y"]},
-    "fit": {"iters": 120, "keep": 40, "points": 60, "sigma": 4.0, "hard": 12.0, "min_score": 0.15, "max_rmse": 12.0, "seed": 7},
+    "fit": {"iters": 120, "keep": 40, "points": 1500, "sigma": 4.0, "hard": 12.0, "min_score": 0.15, "max_rmse": 12.0, "seed": 7},
     "select": {"pick_k": 5, "cap": 20, "diversity_rel": 0.1},
     "match": {"radius": 20.0, "neighbour_radius": 80.0, "tol_rel": 0.01, "max_cost": None, "neighbour_weight": 1.0},
     "svg": {"curve_tol": 0.25},

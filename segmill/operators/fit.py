@@ -76,7 +76,7 @@ def lattice(models: DataFrame, *, scale_step: float, shift_step: float) -> DataF
     return m.select("doc_id", k.alias("hyp_id"), "fx", "fy", (F.col("sx") * (1 + F.col("a") * scale_step)).alias("sx"), (F.col("sy") * (1 + F.col("b") * scale_step)).alias("sy"), (F.col("tx") + F.col("c") * shift_step).alias("tx"), (F.col("ty") + F.col("d") * shift_step).alias("ty"))
 
 
-def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, keep: int = 40, points: int = 60, sigma: float = 4.0, hard: float = 12.0, scale: float = 0.04, shift: float = 24.0, rounds: tuple[tuple[float, float], ...] = ((0.004, 2.0), (0.002, 1.0), (0.001, 0.6), (0.0005, 0.3)), seed: int = 7, widen: bool = True, min_score: float = 0.15, max_rmse: float = 12.0) -> DataFrame:
+def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, keep: int = 40, points: int = 1500, sigma: float = 4.0, hard: float = 12.0, scale: float = 0.04, shift: float = 24.0, rounds: tuple[tuple[float, float], ...] = ((0.004, 2.0), (0.002, 1.0), (0.001, 0.6), (0.0005, 0.3)), seed: int = 7, widen: bool = True, min_score: float = 0.15, max_rmse: float = 12.0) -> DataFrame:
     """One model for each document that has both axes on both sides: fx, fy, sx, sy, tx, ty, score, rmse, p95, median,
     quality_notes. Documents without a hypothesis in the window get one more try with windows twice as wide. Coarse
     scores use ``points`` sample points a document; the last ones use all that the sampling step gives."""

@@ -194,3 +194,19 @@ def test_empty_tables(spark):
     e = segments.features(table(spark, [(0, 0, 1, 0)]).where("false"))
     assert segments.axis_summary(e, "doc_id").count() == 0 and segments.merge_collinear(e).count() == 0
     assert spatial.nearest(segments.sample_steps(e, 1.0), e, 2.0).count() == 0
+
+
+def test_fit_scores_on_the_reference_bound_of_points(spark, sf_dir):
+    """A document of the smallest tables has more than 60 points; all of them up to 1,500 take part in the search."""
+    import inspect
+
+    from segmill.config import DEFAULTS
+    from segmill.operators import fit, segments
+    from segmill.sources import derived
+
+    bound = inspect.signature(fit.fit).parameters["points"].default
+    assert bound == DEFAULTS["fit"]["points"] == 1500
+    pdf = segments.features(derived.segments_pdf(spark, sf_dir))
+    every = {r.doc_id: r["count"] for r in segments.sample_steps(pdf, 40.0).groupBy("doc_id").count().collect()}
+    assert {r.doc_id: r["count"] for r in fit._sample(pdf, bound).groupBy("doc_id").count().collect()} == {k: min(n, 1500) for k, n in every.items()}
+    assert max(every.values()) > 60

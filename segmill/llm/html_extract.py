@@ -29,6 +29,8 @@ from .common import arrow, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp plaintext template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that the head may hold; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Start tags that end an open paragraph, and those that end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
@@ -36,6 +38,8 @@ ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("ta
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+#: The end of a tag that closes itself; a slash at the end of an unquoted value doesn't.
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>]*/>$""")
 
 
 @dataclass
@@ -85,6 +89,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def text(s: str) -> None:
         nonlocal linked
+        if s and stack and stack[-1][0] == "head" and not s.isspace():
+            end_head()
         if s:
             parts.append(s)
             if any(t == "a" for t, _ in stack):
@@ -95,6 +101,12 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         del stack[k:]
 
+    def end_head() -> None:
+        k = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
+        if k >= 0:
+            flush()
+            del stack[k:]
+
     i, n = 0, len(page)
     while i < n:
         j = page.find("<", i)
@@ -120,6 +132,8 @@ def blocks(page: str | None) -> list[Block]:
                 elif name not in INLINE:
                     flush()
                 continue
+            if name == "body" or name not in HEAD and not any(t == "noscript" for t, _ in stack):
+                end_head()
             if name == "br":
                 parts.append(" ")
                 continue
@@ -135,6 +149,8 @@ def blocks(page: str | None) -> list[Block]:
                     if stack[k][0] == name:
                         close_to(k)
                         break
+            if name in ("svg", "math") and page.startswith("/>", end - 2) and not _UNQUOTED.search(page, m.end(), end):
+                continue
             if name in RAW:
                 if low is None:
                     low = page.lower()

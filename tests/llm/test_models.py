@@ -187,6 +187,15 @@ def test_html_blocks_of_broken_pages():
     assert text(deep) == ["x"]
 
 
+def test_html_open_head_and_self_closing_svg():
+    text = lambda p: [b.text for b in html_extract.blocks(p)]
+    assert text("<html><head><title>t</title><meta name=a><body><p>b</p><p>c") == ["b", "c"]
+    assert text("<head><title>t</title><link rel=x><p>b</p>") == ["b"] and text("<head><title>t</title> b <i>c</i>") == ["b c"]
+    assert text("<head><noscript><img src=x><p>n</p></noscript></head><p>b</p>") == ["b"]
+    assert text("<p>a</p><svg viewBox='0 0 1 1' /><p>b</p><math/><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><svg><text>t</text></svg><p>b</p><svg id=x/><text>u</text></svg><p>c</p>") == ["a", "b", "c"]
+
+
 def test_html_edges(spark):
     d = spark.createDataFrame([(1, "u", None, "z"), (1, None, "", "z"), (None, "u", "<article><p>Some  text &eacute;.</p></article>", "z")], "page_id long, url string, html string, text string")
     got = sorted(html_extract.extract(d).collect(), key=str)

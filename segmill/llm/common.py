@@ -9,9 +9,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmill.durable import materialize
+from segmill.durable import materialize, release
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "GAP", "WORD", "arrow", "fold", "held_out", "materialize", "slices", "small"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "GAP", "WORD", "arrow", "fold", "free", "held_out", "materialize", "release", "slices", "small"]
 
 #: Separators and words of every word count (Java and Python patterns alike).
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,7 +22,8 @@ BATCH_ROWS = 1000
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows. For ``DataFrame.transform``."""
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows. For ``DataFrame.transform``. Spark reads the bound from
+    the session when the result is run, so the session keeps it; a smaller bound that it has stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
@@ -39,13 +40,24 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(fold(id_col) == 2, F.lit(False))
 
 
-#: Rows of a join's small side up to which it is broadcast (a few tens of bytes a row); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+def free(df: DataFrame, *wished: str) -> list[str]:
+    """The wished names, each with as many underscores behind it as make it differ from every column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wished:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def small(side: DataFrame, rows: int) -> DataFrame:
-    """``side``, which has ``rows`` rows, to be broadcast if they are few."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+#: Bytes of a join's small side up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(side: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``side``, which has ``rows`` rows of about ``row_bytes`` bytes in memory, to be broadcast if it is small."""
+    return F.broadcast(side) if rows * row_bytes <= BROADCAST_BYTES else side
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:

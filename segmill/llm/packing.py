@@ -1,61 +1,78 @@
 """Packing of documents into fixed-length token sequences, shortest pack first over the length histogram.
 
-Every text is tokenized whole and followed by one end id. A document longer than a sequence is cut into full sequences
+Every text is tokenized whole, by the ``tokenizers`` library alone, and followed by one end id. A document longer than a sequence is cut into full sequences
 and a rest. The histogram of piece lengths (as many bins as a sequence has tokens, whatever the input's size) goes to the
 driver, where lengths are placed longest first, each into the open pack that is shortest, as counts of packing patterns
 and not as pieces. Patterns are joined back to pieces by the rank of a piece among those of its length.
 
-Defined results: null and empty texts are the end id alone; repeated rows are documents of their own, so their pieces
+Defined results: null and empty texts are the end id alone; the string of a special token within a text is that token's id; repeated rows are documents of their own, so their pieces
 appear once for each row; an empty table has no pieces; very long texts are cut, never truncated; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow, materialize, slices
 
-#: Pattern by which this kind of vocabulary cuts a text before merging; fixed by the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_of() -> dict[str, int]:
-    """Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow
-    from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: A space before something that is no white space. Byte-level vocabularies cut a text before every such space: a space
+#: goes to what follows it, and of a run of white space the last one is left for what follows the run.
+_CUT = re.compile(r" (?=\S)")
+#: Words that a worker keeps with their ids, and the length up to which a word is kept.
+WORDS, LONGEST = 1 << 18, 64
+
+
+class Encoder:
+    """Ids of texts by the vocabulary file at ``path``, as the ``tokenizers`` library gives them without added special
+    tokens; a special token's string in a text is that token, as it is for the library. Where the file says that texts are cut
+    into words before a merge, words that return are looked up; else texts are encoded whole."""
+
+    def __init__(self, path: str):
+        self.own = Tokenizer.from_file(path)
+        told = json.loads(self.own.to_str())
+        first = told.get("pre_tokenizer") or {}
+        plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in told["added_tokens"])
+        # The rule of ``_CUT`` holds for this kind of file only.
+        self.by_word = plain and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and told["normalizer"] is None and told["post_processor"] is None and told["model"].get("dropout") is None
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.frombuffer(self._encode([text])[0], "<u4")
+        head, *words = _CUT.split(text)
+        lookup = self.known.get
+        found = list(map(lookup, words))
+        if None in found:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            new = list({w for w, f in zip(words, found, strict=True) if f is None})
+            ids = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
+            self.known.update((w, b) for w, b in ids.items() if len(w) <= LONGEST)
+            found = [ids[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return np.frombuffer(b"".join([*self._encode([head]), *found]), "<u4")
 
 
 @cache
-def encoder(path: str):
-    """A function from a text to its ids (uint32). The vocabulary file is the ``tokenizers`` library's; where its ids
-    are in the order of its merges, the faster library gives the same ids, and this is checked on a probe text."""
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    slow = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
-    byte_of = _byte_of()
-    try:
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in own.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in token)}
-        special = {t.content for t in own.get_added_tokens_decoder().values()}
-        ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
-        quick = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        fast = lambda text: quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
-        probe = "It's 12 o'clock,  Ünïcode \n\n\ttabs\r\n\x85\xa0 <|endoftext|> don't 日本語 \U0001f600 é  x" + "".join(map(chr, range(1, 0x250)))
-        return fast if np.array_equal(fast(probe), slow(probe)) else slow
-    except (KeyError, ValueError):
-        return slow
+def encoder(path: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+    return Encoder(path)
 
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"

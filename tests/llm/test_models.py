@@ -239,8 +239,12 @@ def test_pieces_hold_the_tokenizers_ids(odd):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
-    texts = ["", "It's  a\n\ttest", "<|endoftext|> x", "naïve Übergröße \U0001f600 日本", "a" * 5000, " " * 300, "\x85\xa0\r\n"]
+    assert own.encode("hello <|endoftext|> x", add_special_tokens=False).ids == [31373, 220, 50256, 2124]
+    texts = ["", "It's  a\n\ttest", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|>  <|endoftext|>b <|endoftext|", "naïve Übergröße \U0001f600 日本", "a" * 5000, " " * 300, "\x85\xa0\r\n", "é" * 99 + " " + "é" * 99]
+    rng = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "a", "It", "'s", "'ll", "12", "\u0663", "\u0301", "!", "—", "日", "<|endoftext|>", "<|", "é", "\U0001f600", "\0"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += [f"x {chr(c)} {chr(c)}{chr(c)} y{chr(c)} " for c in range(0x3100) if not 0xD800 <= c < 0xE000]
     encode = packing.encoder(tokenizer_path())
     for t in texts + [r.text or "" for r in odd.collect()]:
         assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids

@@ -1,6 +1,6 @@
 """Packing of documents into fixed-length token sequences, shortest pack first over the length histogram.
 
-Every text is tokenized whole, by the ``tokenizers`` library alone, and followed by one end id. A document longer than a sequence is cut into full sequences
+Every text is tokenized whole and followed by one end id. A document longer than a sequence is cut into full sequences
 and a rest. The histogram of piece lengths (as many bins as a sequence has tokens, whatever the input's size) goes to the
 driver, where lengths are placed longest first, each into the open pack that is shortest, as counts of packing patterns
 and not as pieces. Patterns are joined back to pieces by the rank of a piece among those of its length.
@@ -16,57 +16,94 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow, materialize, slices
 
-#: A space before something that is no white space. Byte-level vocabularies cut a text before every such space: a space
-#: goes to what follows it, and of a run of white space the last one is left for what follows the run.
-_CUT = re.compile(r" (?=\S)")
-#: Words that a worker keeps with their ids, and the length up to which a word is kept.
-WORDS, LONGEST = 1 << 18, 64
+#: Pattern by which byte-level vocabularies cut a text before merging; fixed by the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with a code point above Latin are encoded by the ``tokenizers`` library.
+LATIN = 0x250
+_OTHER = re.compile(f"[^\\x00-{chr(LATIN - 1)}]")
+
+
+def _byte_of() -> dict[str, int]:
+    """Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow
+    from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _merged(word: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """The word's parts after all merges, the lowest rank first, of equal ones the leftmost."""
+    while len(word) > 1:
+        r, i = min((rank.get(p, len(rank)), i) for i, p in enumerate(zip(word, word[1:], strict=False)))
+        if r == len(rank):
+            break
+        word[i : i + 2] = [word[i] + word[i + 1]]
+    return word
 
 
 class Encoder:
     """Ids of texts by the vocabulary file at ``path``, as the ``tokenizers`` library gives them without added special
-    tokens; a special token's string in a text is that token, as it is for the library. Where the file says that texts are cut
-    into words before a merge, words that return are looked up; else texts are encoded whole."""
+    tokens; a special token's string in a text is that token, as it is for the library.
+
+    A faster library that merges any neighbours whose union is in the vocabulary, lowest id first, gives the same ids if
+    ids are in the order of merges and every entry, encoded alone, is itself. For let neighbours x, y be entry t before
+    one of them is part of a later merge. No merge crossed the borders of t until then, so t alone would have come to
+    x, y by the same merges; as t alone ends as t, its last merge is that of x and y. Both conditions are tested for
+    the whole vocabulary, and the cut into words, which depends on each character's class only, for every code point up to
+    ``LATIN``. Texts with others, or with a special token's string, or all texts if a test fails, go to ``tokenizers``."""
 
     def __init__(self, path: str):
         self.own = Tokenizer.from_file(path)
-        told = json.loads(self.own.to_str())
-        first = told.get("pre_tokenizer") or {}
-        plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in told["added_tokens"])
-        # The rule of ``_CUT`` holds for this kind of file only.
-        self.by_word = plain and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and told["normalizer"] is None and told["post_processor"] is None and told["model"].get("dropout") is None
-        self.known: dict[str, bytes] = {}
+        self.quick = self._quick()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+    def _quick(self) -> tiktoken.Encoding | None:
+        told = json.loads(self.own.to_str())
+        first, model = told.get("pre_tokenizer") or {}, told["model"]
+        if model["type"] != "BPE" or first.get("type") != "ByteLevel" or not first.get("use_regex") or first.get("add_prefix_space") or told["normalizer"] or told["post_processor"]:
+            return None
+        if model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return None
+        self.special = [t["content"] for t in told["added_tokens"]]
+        byte_of, vocab = _byte_of(), {t: i for t, i in model["vocab"].items() if t not in self.special}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ids = [vocab.get(a + b, -1) for a, b in pairs]
+        single = sorted(t for t in vocab if len(t) == 1)
+        if single != sorted(byte_of) or len(vocab) != len(single) + len(set(ids)) or ids != sorted(set(ids)) or min(ids) <= max(vocab[t] for t in single):
+            return None
+        raw = {t: bytes(byte_of[c] for c in t) for t in vocab}
+        texts, rank = {}, dict(zip(pairs, range(len(pairs)), strict=True))
+        for t, r in raw.items():
+            try:
+                texts[t] = r.decode()
+            except UnicodeDecodeError:  # part of a character
+                if _merged(list(t), rank) != [t]:
+                    return None
+        if [e.ids for e in self.own.encode_batch_fast(list(texts.values()), add_special_tokens=False)] != [[vocab[t]] for t in texts]:
+            return None
+        quick = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks={raw[t]: i for t, i in vocab.items()}, special_tokens={})
+        for c in map(chr, range(LATIN)):
+            probe = f"a{c}a 1{c}1 .{c}. {c} '{c} {c}{c}  {c}\n{c}\t {c}'s{c}"
+            if quick.encode_ordinary(probe) != self.own.encode(probe, add_special_tokens=False).ids:
+                return None
+        return quick
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word:
-            return np.frombuffer(self._encode([text])[0], "<u4")
-        head, *words = _CUT.split(text)
-        lookup = self.known.get
-        found = list(map(lookup, words))
-        if None in found:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            ids = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-            self.known.update((w, b) for w, b in ids.items() if len(w) <= LONGEST)
-            found = [ids[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        return np.frombuffer(b"".join([*self._encode([head]), *found]), "<u4")
+        if self.quick and not _OTHER.search(text) and not any(s in text for s in self.special):
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 @cache

@@ -1,14 +1,13 @@
 """Line deduplication across documents: exact and within one edit, the earliest line stays.
 
-Lines are what newlines separate, without blanks at their ends. A line of at least ``least`` characters goes if an earlier
-line, in the order of (document id, line number), equals it or is one insertion, deletion or substitution of a
-character away, as one edit is much of a shorter line. Shorter lines stay, or, with ``exact``, those of at least
-``exact`` characters go if an earlier line equals them; then an earlier line of any length that ``exact`` admits counts
-as near, too.
+Lines are what newlines separate, without blanks at their ends. A line that isn't empty goes if an earlier line, in the
+order of (document id, hash of the text, line number), equals it. A line of at least ``least`` characters also goes if an
+earlier line is one insertion, deletion or substitution of a character away; one edit is much of a shorter line.
 
-Near lines meet in a deletion-neighbourhood join. If one edit separates two lines then one becomes the other, or both
-become the same, by deleting at most one character; so each line emits the keyed hash of itself and of itself without
-each of its characters, equal keys are joined, and the edit distance of a joined pair is verified on the texts.
+Near lines meet in a deletion-neighbourhood join. If one edit separates two lines then one becomes the other by deleting
+a character, or both become the same by deleting the character at the same place; so each line emits the keyed hash of
+itself and of itself without each of its characters, equal keys are joined, and the edit distance of a joined pair is
+verified on the texts.
 
 Variants that can't meet another line's aren't emitted, which two exact tests decide. An edit leaves the first or the
 last half of a line untouched: lines whose first and last parts (of a length set by the line's length class) no other
@@ -16,11 +15,12 @@ line has can't have a partner. For those left, an edit falls into one of ``HOLES
 behind it: deletions are emitted for the stretches around which another line is the same.
 
 Lines are known by 128 bits of hash; texts are moved for candidates only. A key that many lines share isn't expanded
-into pairs: its lines are sorted, and each is compared with earlier ones until one is near.
+into pairs: its lines are sorted, and of those that lost the character at one place only the earliest is remembered, so a
+task holds one line for each place at most.
 
-Defined results: a null text stays null; an empty one stays empty; lines of repeated rows with the same id and number are
-one occurrence, so all copies of a repeated row are treated alike; rows with a null id come last in the order, and such
-rows are ordered among themselves by the hash of their text; the columns of ``docs`` are all kept, under any names.
+Defined results: a null text stays null; an empty one stays empty; rows are told apart by id and text, so rows that share an
+id but not the text keep their own lines, while equal rows are one occurrence and are treated alike; rows with a null id
+come last in the order; the columns of ``docs`` are all kept, under any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize, slices, small
+from .common import arrow, free, materialize, release, slices, small
 
 HOLES = 8
 
@@ -45,15 +45,17 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each line that counts: its place, its hashes and its text ``t``."""
-    lines = docs.where("text is not null").select("doc_id", tie().alias("tie"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "tie", "line", bare(F.col("raw")).alias("t")).where(F.length("t") >= least)
-    return lines.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "line").alias("place"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), "t")
+def text_key(text: Column) -> Column:
+    """60 bits of the text's MD5, which other engines can compute, too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def tie() -> Column:
-    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """A row for each line that isn't empty: its place, its hashes and its text ``t``."""
+    # The key and the lines of a text are computed once, below the generator.
+    lines = docs.where("text is not null").select("doc_id", text_key(F.col("text")).alias("tie"), F.split("text", "\n").alias("lines"))
+    lines = lines.select("doc_id", "tie", F.posexplode("lines").alias("line", "raw")).select("doc_id", "tie", "line", bare(F.col("raw")).alias("t")).where("t <> ''")
+    return lines.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "line").alias("place"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), "t")
 
 
 def part_keys(t: Column) -> Column:
@@ -142,94 +144,107 @@ def near(first: DataFrame, lines: DataFrame, distinct: int, least: int) -> DataF
     spans = around.join(met, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for the whole line (place -1) and for each place of a character that an edit may touch."""
         for batch in batches:
             for i, (t, spans) in enumerate(zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-                places = np.unique(np.concatenate([np.zeros(1, int), *(np.arange(s["a"], s["b"]) + 1 for s in spans)]))
-                k = np.unique(deletion_keys(t)[places])
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.repeat(batch.column(c)[i], len(k)) for c in ("h1", "h2"))], ["key", "h1", "h2"])
+                at = np.unique(np.concatenate([np.full(1, -1), *(np.arange(s["a"], s["b"]) for s in spans)]))
+                k = deletion_keys(t)[at + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(at.astype(np.int32)), *(pa.repeat(batch.column(c)[i], len(k)) for c in ("h1", "h2"))], ["key", "at", "h1", "h2"])
 
-    emitted = materialize(texts.join(spans, ["h1", "h2"]).select("t", "spans", "h1", "h2").transform(arrow, emit, "key long, h1 long, h2 long"), "variants")
-    twice = emitted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    emitted = materialize(texts.join(spans, ["h1", "h2"]).select("t", "spans", "h1", "h2").transform(arrow, emit, "key long, at int, h1 long, h2 long"), "variants")
+    # Keys that two different lines share; a line's own places can have equal keys.
+    twice = emitted.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a <> b or c <> d").select("key")
     pairs = emitted.join(twice, "key", "left_semi").join(texts, ["h1", "h2"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and place. Lines of one key are mostly within one edit of each other; each is held
-        against the earlier ones of its key until one is near."""
-        key, seen = None, []
+        """Rows come sorted by key and place. Two lines of a key are within one edit if one is the key itself, or if they
+        lost the character at the same place; any other near pair of them has such a key elsewhere. So the earliest
+        line of each place, and the earliest of all, stand for what is earlier."""
+        key, first, by_place = None, None, {}
         for batch in batches:
             gone = []
-            for i, (k, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True)):
+            for i, (k, at, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 if k != key:
-                    key, seen = k, []
-                if len(t) >= least and any(within_one(s, t) for s in seen):
+                    key, first, by_place = k, t, {}
+                held = (by_place.get(at), by_place.get(-1)) if at >= 0 else (first,)
+                if len(t) >= least and any(e is not None and e != t and within_one(e, t) for e in held):
                     gone.append(i)
-                seen.append(t)
+                by_place.setdefault(at, t)
             take = pa.array(gone, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take)], ["h1", "h2"])
 
-    ordered = pairs.repartition("key").sortWithinPartitions("key", "place", "h1", "h2").select("key", "h1", "h2", "t")
-    return ordered.transform(arrow, decide, "h1 long, h2 long").distinct()
+    ordered = pairs.repartition("key").sortWithinPartitions("key", "place", "h1", "h2", F.desc("at")).select("key", "at", "h1", "h2", "t")
+    out = materialize(ordered.transform(arrow, decide, "h1 long, h2 long").distinct(), "near")
+    release(able, texts, emitted)
+    return out
 
 
-def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20, exact: int | None = None) -> DataFrame:
-    """doc_id, tie and ``gone``, the numbers (from 0) of the lines that go, for each document that loses any."""
+def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
+    """doc_id, tie and ``gone``, the numbers (from 0) of the lines that go, for each text that loses any; written."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    lines = occurrences(docs, least if exact is None else min(least, exact))
+    lines = occurrences(docs)
     # A line that is one shorter than ``least`` can still be the earlier one of a near pair.
     keys = F.when(F.length("t") >= least - 1, part_keys(F.col("t"))).otherwise(F.array().cast("array<bigint>"))
     seen = materialize(lines.select("place", "h1", "h2", keys.alias("keys")), "lines")
     # Equal lines have equal keys.
     first = materialize(seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "first", seen.count())
     distinct = first.count()
-    close = near(first, lines, distinct, least).withColumn("near", F.lit(True))
+    near_ = near(first, lines, distinct, least)
+    close = near_.withColumn("near", F.lit(True))
     bad = first.join(close, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # Written, so that both sides of the next join come from their exchanges and a line that is very common can be split.
     bad = materialize(bad, "bad", distinct)
-    gone = seen.select("place", "h1", "h2").join(small(bad, bad.count()), ["h1", "h2"]).where("near or place <> first")
-    return gone.groupBy("place.doc_id", "place.tie").agg(F.collect_set("place.line").alias("gone"))
+    gone = seen.select("place", "h1", "h2").join(small(bad, bad.count(), 128), ["h1", "h2"]).where("near or place <> first")
+    gone = materialize(gone.groupBy("place.doc_id", "place.tie").agg(F.collect_set("place.line").alias("gone")), "gone")
+    release(seen, first, near_, bad)
+    return gone
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20, exact: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
     """``docs`` with the lines that go taken out of the text, and ``_lines`` and ``_dropped``, how many lines there were
-    and how many went."""
-    gone = materialize(dropped_lines(docs, id_col=id_col, text=text, least=least, exact=exact), "gone")
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), F.col("gone").alias("_gone"))
-    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("long"))
-    # The numbers of a document's lines take far less room than its text; counted here as one row for each ten lines.
-    rows = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_gone")), F.lit(0)) / 10).first()[0]
-    both = docs.join(small(gone, int(rows)), docs[id_col].eqNullSafe(F.col("_gone_id")) & (own == F.col("_gone_tie")), "left")
-    left = F.concat_ws("\n", F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains("_gone", i)))
-    kept = F.when(F.col("_gone").isNull(), docs[text]).otherwise(left)
-    names = [kept.alias(text) if c == text else docs[c] for c in docs.columns]
-    count = F.when(docs[text].isNull(), F.lit(0)).otherwise(F.size(F.split(docs[text], "\n"))).cast("long")
-    return both.select(*names, count.alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
+    and how many went (with further underscores if ``docs`` has such columns)."""
+    gone_id, gone_tie, gone, own = free(docs, "_gone_id", "_gone_tie", "_gone", "_own")
+    n_lines, n_dropped = free(docs, "_lines", "_dropped")
+    lost = dropped_lines(docs, id_col=id_col, text=text, least=least).toDF(gone_id, gone_tie, gone)
+    # The numbers of a document's lines take far less room than its text.
+    size = lost.agg(F.count("*") * 48 + F.coalesce(F.sum(F.size(gone)), F.lit(0)) * 8).first()[0]
+    mine = docs.withColumn(own, text_key(F.col(text)))
+    both = mine.join(small(lost, int(size), 1), F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_tie)), "left")
+    # One pass over the lines and one over those that go; the split text is bound, not split again for each line.
+    left = F.transform(F.array(F.split(text, "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.get(left, F.lit(0)))
+    count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    names = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*names, count.alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped))
 
 
 #: The same in DuckDB, with every line's deletions: two lines of one length that lose their characters at one place and
 #: are equal, or a line that equals another less one character.
 ORACLE_SQL = r"""
-WITH raw AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
+WITH d AS (
+  SELECT *, ('0x' || substr(md5(text), 1, 15))::BIGINT AS tie FROM documents
+), raw AS (
+  SELECT doc_id, tie, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line
+  FROM (SELECT DISTINCT doc_id, tie, text FROM d WHERE text IS NOT NULL)
 ), occ AS (
-  SELECT doc_id, line, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM raw
+  SELECT (doc_id IS NULL, coalesce(doc_id, 0), tie, line) AS place, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t, raw FROM raw
 ), first AS (
-  SELECT t, min((doc_id, line)) AS place FROM occ WHERE length(t) >= 20 GROUP BY t
+  SELECT t, min(place) AS place FROM occ WHERE t <> '' GROUP BY t
 ), var AS (
-  SELECT t, place, p, left(t, p - 1) AS a, substr(t, p + 1) AS b FROM (SELECT t, place, unnest(range(1, length(t) + 1)) AS p FROM first)
+  SELECT t, place, p, left(t, p - 1) AS a, substr(t, p + 1) AS b FROM (SELECT t, place, unnest(range(1, length(t) + 1)) AS p FROM first WHERE length(t) >= 19)
 ), keyed AS (
-  SELECT md5(t) AS t, place, p, hash(a || chr(0) || b) AS around, hash(a || b) AS less FROM var
+  SELECT md5(t) AS t, length(t) AS n, place, p, hash(a || chr(0) || b) AS around, hash(a || b) AS less FROM var
 ), near AS (
-  SELECT t FROM (SELECT t, place, min(place) OVER (PARTITION BY p, around) AS low FROM keyed) WHERE low < place
+  SELECT t FROM (SELECT t, n, place, min(place) OVER (PARTITION BY p, around) AS low FROM keyed) WHERE low < place AND n >= 20
   UNION
-  SELECT CASE WHEN k.place < f.place THEN f.m ELSE k.t END FROM keyed k JOIN (SELECT md5(t) AS m, hash(t) AS h, place FROM first) f ON k.less = f.h
-), gone AS (
-  SELECT o.doc_id, o.line FROM occ o JOIN first f USING (t) WHERE (o.doc_id, o.line) <> f.place OR md5(t) IN (SELECT t FROM near)
+  SELECT CASE WHEN k.place < f.place THEN f.m ELSE k.t END FROM keyed k JOIN (SELECT md5(t) AS m, length(t) AS n, hash(t) AS h, place FROM first) f ON k.less = f.h
+  WHERE CASE WHEN k.place < f.place THEN f.n ELSE k.n END >= 20
 ), kept AS (
-  SELECT doc_id, count(*) AS n, string_agg(raw, chr(10) ORDER BY line) AS text FROM occ ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id
-), counted AS (
-  SELECT doc_id, count(*) AS n_lines FROM raw GROUP BY doc_id
+  SELECT o.place[2] AS doc_id, o.place[1] AS none, o.place[3] AS tie, count(*) AS n, string_agg(raw, chr(10) ORDER BY o.place[4]) AS text
+  FROM occ o LEFT JOIN first f USING (t) LEFT JOIN near x ON x.t = md5(o.t) WHERE o.t = '' OR (o.place = f.place AND x.t IS NULL) GROUP BY ALL
 )
-SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, (coalesce(c.n_lines, 0) - coalesce(k.n, 0))::BIGINT AS n_dropped,
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
+  (CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END - coalesce(k.n, 0))::BIGINT AS n_dropped,
   CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
-FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+FROM d LEFT JOIN kept k ON k.none = (d.doc_id IS NULL) AND k.doc_id = coalesce(d.doc_id, 0) AND k.tie = d.tie
 """

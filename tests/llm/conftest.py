@@ -46,7 +46,7 @@ def clash(odd):
     """Further columns that are named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ("fp", "th", "score", "lang_pred", "key", "k", "text_", "size", "s", "place", "stratum", "taken", "length", "kept")
+    names = ("fp", "th", "score", "lang_pred", "key", "k", "text_", "size", "s", "place", "stratum", "taken", "length", "kept", "_gone", "_gone_id", "_gone_tie", "_own", "_lines", "_lines_", "_dropped", "_id", "_th", "_spans", "_whole", "_same", "_s", "_key", "block", "shard", "pass", "at", "line", "tie", "h1", "n", "root", "u")
     return odd.withColumns({n: F.lit("x") for n in names})
 
 

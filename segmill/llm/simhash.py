@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize, slices, small
+from .common import arrow, free, materialize, release, slices, small
 
 SEED = 42
 SEGMENTS = 32
@@ -210,7 +210,8 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined_ = large.join(down, "u")
         pairs = joined_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = materialize(norm(pairs), "links", rows)
+        last, e = e, materialize(norm(pairs), "links", rows)
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -250,12 +251,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     stays = materialize(rows.groupBy("root").agg(F.min(order).alias("s")), "stays", n)
     # Rows that share an id and a text can't be told apart: how often each such pair occurs, and whether it stays.
     each = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
-    each = materialize(each.join(stays, "root").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (order == F.col("s")).alias("stays")), "decided", n)
-    of = lambda side: docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text]) == side["_th"])
-    gone = each.where("not stays or n > 1").select("_id", "_th")
+    own, same = free(docs, "_id", "_th")
+    each = materialize(each.join(stays, "root").select(F.col("doc_id").alias(own), F.col("th").alias(same), F.col("n").alias("_n"), (order == F.col("s")).alias("_stays")), "decided", n)
+    release(rows, stays)
+    of = lambda side: docs[id_col].eqNullSafe(side[own]) & (F.xxhash64(docs[text]) == side[same])
+    gone = each.where("not _stays or _n > 1").select(own, same)
     kept = docs.join(small(gone, gone.count()), of(gone), "left_anti")
-    again = each.where("stays and n > 1").select("_id", "_th")
+    again = each.where("_stays and _n > 1").select(own, same)
     if twice := again.count():
-        some = docs.join(small(again, twice), of(again), "left_semi").withColumn("_th", F.xxhash64(F.col(text)))
-        kept = kept.unionByName(some.dropDuplicates([id_col, "_th"]).drop("_th"))
+        some = docs.join(small(again, twice), of(again), "left_semi").withColumn(same, F.xxhash64(F.col(text)))
+        kept = kept.unionByName(some.dropDuplicates([id_col, same]).drop(same))
     return kept

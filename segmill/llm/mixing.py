@@ -1,20 +1,26 @@
 """Mixing of sources to target weights, in blocks of words.
 
 The documents of each source, in a pseudorandom order, form one stream of words that is cut into blocks of a fixed
-length. The output is dealt into shards of a fixed number of slots; a shard draws how many of its slots each source
-gets, slots are numbered through within their source, and a pseudorandom permutation of the source's block numbers says
-which block fills a slot: the first pass takes every block once, the next starts over with another permutation.
+length. The output is dealt into shards of a fixed number of slots; every slot draws its source with the sources' shares
+of the targets, so that a shard's counts are multinomial. Slots are numbered through within their source, and a
+pseudorandom permutation of the source's block numbers says which block fills a slot: the first pass takes every block
+once, the next starts over with another permutation.
 
-The draw is a residual multinomial: of ``slots * share`` slots a source gets the whole part surely, and only what is left
-over is drawn with the fractional parts as weights. Expected counts are those of a plain multinomial draw; the counts
-of small sources stay near their targets.
+Multinomial counts stray from their targets by the square root of a source's slots. Draws that a source gets beyond its
+target are drawn anew for those that lack some, so that in the end every source has the slots of its target; this touches
+the square root of the slots, the others stay as drawn.
+
+A draw is a point on a line on which each source has an interval; points and intervals meet by equal cells of the line, so
+any number of sources is drawn from without a list of them in one row. Numbers within a source are summed over groups of
+shards first.
 
 The permutation is swap-or-not (Hoang, Morris, Rogaway 2012): it works on any number of blocks with plain column
 arithmetic. Everything here is DataFrame operations.
 
 Defined results: a null text has size 0; documents of size 0 take 0; a null source is a source, the last one; repeated
 rows are documents of their own; with no words at all every target and take is 0; an empty table gives no rows; other
-columns are ignored. Sources are assumed to be few enough for one array of them in a row (thousands).
+columns are ignored, or kept by ``mixed`` under any names. The table of sources (a name and a few numbers each) is
+sorted in one task, as their order sets their weights.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, materialize
+from .common import GAP, WORD, free, materialize, release, small
 
 #: Rounds of the permutation.
 ROUNDS = 12
@@ -68,38 +74,59 @@ def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int) -> D
     return df
 
 
-def draws(targets: DataFrame, block: int, shard_slots: int, seed: int, tasks: int) -> DataFrame:
-    """Slots of each source in each shard: s, blocks, shard, n (how many), first (number of the first in its source)."""
-    all_ = Window.partitionBy()
+#: Shards that are summed together before numbers within a source run over all of them.
+GROUP = 1024
+
+
+def intervals(targets: DataFrame, block: int) -> DataFrame:
+    """Each source with words as an interval low..high of the line from 0 to 1, as long as its share of the slots: s,
+    blocks, slots (of all sources), own (slots of its target), low, high."""
     t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    t = t.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks")).withColumn("slots", F.round(F.sum("want").over(all_)).cast("long"))
-    shards = F.ceil(F.col("slots") / shard_slots).cast("long")
-    # One row with the sources as arrays, then a row for each shard.
-    one = t.groupBy("slots").agg(F.array_sort(F.collect_list(F.struct("s", "blocks", "want"))).alias("a")).withColumn("shards", shards)
-    one = one.withColumn("total", F.aggregate("a", F.lit(0.0), lambda x, y: x + y["want"]))
-    shard = one.select("a", "total", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).repartition(tasks, "shard")
-    shard = shard.withColumn("size", F.floor(F.col("slots") * (F.col("shard") + 1) / F.col("shards")) - F.floor(F.col("slots") * F.col("shard") / F.col("shards")))
-    shard = shard.withColumn("exact", F.transform("a", lambda x: x["want"] / F.col("total") * F.col("size")))
-    shard = shard.withColumn("sure", F.transform("exact", lambda x: F.floor(x + 1e-9)))
-    shard = shard.withColumn("part", F.transform("exact", lambda x: F.greatest(x - F.floor(x + 1e-9), F.lit(0.0))))
-    shard = shard.withColumn("left", (F.col("size") - F.aggregate("sure", F.lit(0).cast("long"), lambda x, y: x + y)).cast("int"))
-    shard = shard.withColumn("sum", F.aggregate("part", F.lit(0.0), lambda x, y: x + y))
-    point = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), k), F.lit(1 << 52)) / float(1 << 52) * F.col("sum")
-    shard = shard.withColumn("points", F.when(F.col("left") > 0, F.transform(F.sequence(F.lit(1), F.col("left")), point)).otherwise(F.array().cast("array<double>")))
-    ends = F.aggregate("part", F.array().cast("array<double>"), lambda x, y: F.concat(x, F.array(F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0.0)) + y)))
-    shard = shard.withColumn("ends", F.when(F.size("a") > 0, ends)).select("a", "sure", "part", "points", "ends", "shard", F.posexplode("a").alias("i", "x"))
-    i, last = F.col("i"), F.size("a") - 1
-    low, high = F.when(i > 0, F.try_element_at("ends", F.greatest(i, F.lit(1)))).otherwise(F.lit(-1.0)), F.when(i < last, F.try_element_at("ends", i + 1)).otherwise(F.lit(float("inf")))
-    drawn = F.size(F.filter("points", lambda p: (p >= low) & (p < high)))
-    shard = shard.select("shard", "x.s", "x.blocks", (F.try_element_at("sure", i + 1) + drawn).alias("n"))
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shard.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-
-
-def plan(targets: DataFrame, *, block: int, shard_slots: int, most: int, seed: int, tasks: int) -> DataFrame:
-    """The output: a row for each slot with its shard, source (s), pass and block. A draw beyond ``most`` passes over a
-    source stays empty, so no block is taken more often."""
-    d = draws(targets, block, shard_slots, seed, tasks).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("blocks") * most - F.col("first"))))
+    t = t.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks"))
+    upto = F.sum("want").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("upto", upto).withColumn("all", F.max("upto").over(Window.partitionBy()))
+    t = t.withColumn("before", F.coalesce(F.lag("upto").over(Window.orderBy("s")), F.lit(0.0)))
+    own = (F.round("upto") - F.round("before")).cast("long")
+    return t.select("s", "blocks", F.round("all").cast("long").alias("slots"), own.alias("own"), (F.col("before") / F.col("all")).alias("low"), F.when(F.col("upto") == F.col("all"), F.lit(1.0)).otherwise(F.col("upto") / F.col("all")).alias("high"))
+
+
+def drawn(spans: DataFrame, sources: int, slots: int, shard_slots: int, seed: int, tasks: int) -> DataFrame:
+    """Multinomial counts: s, blocks, shard, n (slots of the source in the shard)."""
+    cells = max(1, min(1 << 20, 4 * sources))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    at = spans.where("high > low").select("s", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    points = spans.sparkSession.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard_slots).alias("shard"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("u"))
+    met = points.withColumn("cell", cell(F.col("u"))).join(small(at, 5 * sources), "cell").where("low <= u and u < high")
+    return met.groupBy("shard", "s", "blocks").agg(F.count("*").alias("n"))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``first``, the number within its source of a shard's first slot."""
+    c = counts.withColumn("group", F.floor(F.col("shard") / GROUP))
+    before = Window.partitionBy("s").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    base = c.groupBy("s", "group").agg(F.sum("n").alias("sum")).select("s", "group", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("s", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return c.join(base, ["s", "group"]).select("shard", "s", "blocks", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"))
+
+
+def settled(counts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``counts`` (shard, s, n) with the draws beyond each source's target drawn anew for sources that lack some, in order."""
+    c = numbered(counts).join(spans.select("s", "own"), "s")
+    c = c.withColumn("over", F.least(F.col("n"), F.greatest(F.lit(0), F.col("first") + F.col("n") - F.col("own"))))
+    total = counts.groupBy("s").agg(F.sum("n").alias("n"))
+    lack = spans.join(total, "s", "left").select("s", "blocks", (F.col("own") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    # Both have about as many rows as the square root of all slots.
+    each = lambda df, order: df.withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)))
+    spare = each(c.where("over > 0").select("shard", F.col("s").alias("was"), F.col("over").alias("n")), ("shard", "was"))
+    again = spare.select("k", "shard").join(each(lack, ("s",)).select("k", "s", "blocks"), "k").groupBy("shard", "s", "blocks").agg(F.count("*").alias("n"))
+    kept = c.where("n > over").select("shard", "s", "blocks", (F.col("n") - F.col("over")).alias("n"))
+    return kept.unionByName(again).groupBy("shard", "s", "blocks").agg(F.sum("n").alias("n"))
+
+
+def plan(counts: DataFrame, *, most: int, seed: int, tasks: int) -> DataFrame:
+    """The output: a row for each slot with its shard, source (s), pass and block; no block is taken in more than ``most``
+    passes."""
+    d = numbered(counts).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("blocks") * most - F.col("first"))))
     # Dealt out again, as a few rows here become very many.
     slot = d.where("n > 0").repartition(tasks, "shard", "s").select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     slot = slot.select("shard", "s", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), (F.col("slot") % F.col("blocks")).alias("block"))
@@ -137,12 +164,17 @@ class Mix:
         self.sizes = materialize(sized, "sizes")
         by_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = materialize(source_targets(by_source, weights, share, most), "targets", by_source.count())
-        self.rows, words = self.sizes.agg(F.count("*"), F.sum("size")).first()
+        self.rows = self.sizes.count()
         self.placed = located(self.sizes, self.targets, self.rows, seed)
-        tasks = max(1, min(1 << 15, int((words or 0) * share / block) // (1 << 18)))
+        spans = intervals(self.targets, block)
+        sources, slots = spans.agg(F.count("*"), F.coalesce(F.max("slots"), F.lit(0))).first()
+        tasks = max(1, min(1 << 15, slots // (1 << 18)))
+        draws = materialize(drawn(spans, sources, slots, shard_slots, seed, tasks), "draws")
+        counts = materialize(settled(draws, spans), "counts")
         # Written, as a filter on its block number would be pushed through the rounds of the permutation and repeat each
         # of them in the next.
-        self.slots = materialize(plan(self.targets, block=block, shard_slots=shard_slots, most=most, seed=seed, tasks=tasks), "slots", int((words or 0) * share / block) + 1)
+        self.slots = materialize(plan(counts, most=most, seed=seed, tasks=tasks), "slots")
+        release(draws, counts)
 
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken."""
@@ -161,14 +193,16 @@ class Mix:
         span = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_spans")
         taken = pieces.groupBy("doc_id", "th", "s", "at", "size", "pass").agg(span, F.sum(F.col("high") - F.col("low")).alias("n"))
         whole = F.col("n") == F.col("size")
-        taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), whole.alias("_whole"), F.when(~whole, F.col("_spans")).alias("_spans")), "taken", self.rows * self.most)
         docs = self.docs
+        own, same, is_whole, spans = free(docs, "_id", "_th", "_whole", "_spans")
+        taken = materialize(taken.select(F.col("doc_id").alias(own), F.col("th").alias(same), whole.alias(is_whole), F.when(~whole, F.col("_spans")).alias(spans)), "taken", self.rows * self.most)
         if self.sizes.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
             # Rows that share an id and a text have a place each in ``taken``; one of them is joined with all places.
-            docs = docs.withColumn("_same", F.xxhash64(F.col(self.text))).dropDuplicates([self.id_col, "_same"]).drop("_same")
+            key = free(docs, "_same")[0]
+            docs = docs.withColumn(key, F.xxhash64(F.col(self.text))).dropDuplicates([self.id_col, key]).drop(key)
         # As many rows as documents, so both sides are shuffled at any size that isn't tiny.
-        both = docs.join(taken, docs[self.id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[self.text]) == F.col("_th")))
+        both = docs.join(taken, docs[self.id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[self.text]) == F.col(same)))
         words = F.regexp_extract_all(docs[self.text], F.lit(f"{WORD}(?:{GAP})?"), F.lit(0))
-        cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))), "")), F.lit(0))
-        text = F.when(F.col("_whole"), docs[self.text]).otherwise(F.rtrim(cut))
+        cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(spans, lambda x: F.slice(w, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))), "")), F.lit(0))
+        text = F.when(F.col(is_whole), docs[self.text]).otherwise(F.rtrim(cut))
         return both.select(*[text.alias(c) if c == self.text else docs[c] for c in docs.columns])

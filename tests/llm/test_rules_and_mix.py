@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,59 @@ def test_mix(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_draws_are_multinomial(spark):
+    """Counts of 400 shards: each source's mean and variance are those of a multinomial, and so is the covariance."""
+    share = {0: 0.5, 1: 0.3, 2: 0.15, 3: 0.05, 4: 0.0}
+    ends = [0.0, 0.5, 0.8, 0.95, 1.0, 1.0]
+    spans = spark.createDataFrame([(s, 1000, ends[s], ends[s + 1]) for s in share], "s int, blocks long, low double, high double")
+    n = {}
+    for r in mixing.drawn(spans, 5, 400 * 256, 256, 11, 3).collect():
+        n.setdefault(r.shard, [0] * 5)[r.s] += r.n
+    a = np.array(list(n.values()), float)
+    assert a.shape == (400, 5) and (a.sum(axis=1) == 256).all() and (a[:, 4] == 0).all()
+    p = np.array(list(share.values()))
+    assert np.allclose(a.mean(axis=0), 256 * p, atol=5 * np.sqrt(256 * 0.25 / 400))
+    want = 256 * (np.diag(p) - np.outer(p, p))
+    assert np.allclose(np.cov(a.T), want, atol=0.25 * want.max())
+
+
+def test_settled_counts_are_the_targets(spark):
+    rng = random.Random(6)
+    own = {0: 900, 1: 300, 2: 60, 3: 4, 4: 36}
+    drawn = [0] * 5
+    rows = []
+    for shard in range(13):
+        for s in rng.choices(range(4), (900, 310, 50, 1), k=100):
+            rows.append((shard, s))
+            drawn[s] += 1
+    counts = spark.createDataFrame(rows, "shard long, s int").groupBy("shard", "s").count().selectExpr("shard", "s", "100L as blocks", "count as n")
+    spans = spark.createDataFrame([(s, 100, n) for s, n in own.items()], "s int, blocks long, own long")
+    got = [(r.shard, r.s, r.n) for r in mixing.settled(counts, spans).collect()]
+    assert {s: sum(n for _, t, n in got if t == s) for s in own} == own
+    assert {k: sum(n for i, _, n in got if i == k) for k in range(13)} == dict.fromkeys(range(13), 100)
+    was = {(r.shard, r.s): r.n for r in counts.collect()}
+    assert sum(max(0, n - was.get((i, s), 0)) for i, s, n in got) == sum(max(0, d - own[s]) for s, d in enumerate(drawn))
+
+
+def test_taken_is_brute_force(spark):
+    """Words taken of each document, from the slots and the places of documents, block by block."""
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(0, 90)), None, rng.choice(("a", "a", "b", None)), 0) for i in range(120)], SCHEMA)
+    m = mixing.Mix(docs, block=8, shard_slots=32)
+    times = Counter((r.s, r.block) for r in m.slots.collect())
+    want, at = {}, {}
+    for r in sorted(m.placed.collect(), key=lambda r: (r.s, r.at, r["size"])):
+        assert r.at == at.get(r.s, 0)
+        at[r.s] = r.at + r["size"]
+        want[r.doc_id] = sum(times[r.s, w // 8] for w in range(r.at, r.at + r["size"]))
+    assert {r.doc_id: r.taken for r in m.taken().collect()} == want
+    spans = {r.s: r for r in mixing.intervals(m.targets, 8).collect()}
+    assert {s: sum(n for (t, _), n in times.items() if t == s) for s in spans} == {s: min(r.own, 2 * r.blocks) for s, r in spans.items()}
+    for key in {(r.s, r["pass"]) for r in m.slots.collect()}:
+        b = [r.block for r in m.slots.collect() if (r.s, r["pass"]) == key]
+        assert len(b) == len(set(b)) and max(b) < spans[key[0]].blocks
+
+
 def test_mix_edges(odd, clash, none):
     m = mixing.Mix(odd, block=4)
     got = m.taken().collect()

@@ -76,16 +76,17 @@ class Model:
     size: int
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int = 1 << 15, per_lang: int = 4000, seed: int = 1) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 1 << 15, per_lang: int = 4000, seed: int = 1) -> Model:
     """Count n-grams by language on the executors. ``docs`` are the rows to learn from. ``per_lang`` is the documented
-    bound on the fit: about so many documents of each language, drawn by a hash of the text, are counted, each whole."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    bound on the fit: about so many documents of each language, drawn by a hash of id and text, are counted, each whole;
+    so of a text that many documents share no more than its share is drawn."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((size + 1, 0), np.float32), size)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
     index = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,21 +182,22 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, bool, int]]]:
     return b"".join(out), points
 
 
-FIELDS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+FIELDS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("points", pa.list_(pa.struct([("pts", pa.int64()), ("random", pa.bool_()), ("at", pa.int64())]))))
 
 
-def describe(text: str | None) -> tuple[int, int, str, int, int, str, str]:
+def describe(text: str | None) -> tuple[int, int, str, int, int, str, str, list[dict]]:
     """Store a text, read the stored bytes back, and give what ``FIELDS`` names."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     stream = mux(pad(raw))
     back, points = demux(stream)
     random = [p for p in points if p[1]]
     feature = f"packets={len(stream) // PACKET};pes={len(points)};pts={points[0][0]}-{points[-1][0]};random={len(random)};points={zlib.crc32(np.array(random, np.int64).tobytes()):08x}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stream), hashlib.sha256(stream).hexdigest(), feature
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, [{"pts": t, "random": r, "at": at} for t, r, at in points]
 
 
 def media_features(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id_col`` and ``FIELDS`` of every row; no shuffle."""
+    """``id_col`` and ``FIELDS`` of every row; no shuffle. ``points`` lists each PES: its timestamp, whether it is a
+    random-access point, and the payload byte that it starts at."""
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,8 @@ def media_features(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                 found = zip(*map(describe, part.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, (_, t) in zip(found, FIELDS, strict=True))], [id_col, *(n for n, _ in FIELDS)])
 
-    names = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in FIELDS)
+    kinds = {pa.int64(): "long", pa.string(): "string"}
+    names = ", ".join(f"{n} {kinds.get(t, 'array<struct<pts: long, random: boolean, at: long>>')}" for n, t in FIELDS)
     return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"`{id_col}` {kind}, {names}")
 
 

@@ -3,8 +3,10 @@
 Base facts of a text are counted; a few of them are ratios with a rule each: reject at or above a cutoff. For each
 stratum (language) and rule a fixed grid of cutoffs is tested on labelled rows: with n good rows, of which the cutoff
 rejects k, the exact binomial test of "the rule falsely rejects more than ``risk`` of good rows" has p-value
-P(Bin(n, risk) <= k). A cutoff is certified if p <= ``level`` / number of tests (Bonferroni over strata, rules and
-cutoffs), and the lowest certified one is used. So with chance 1 - ``level`` at least, no stratum loses more than
+P(Bin(n, risk) <= k). Cutoffs of a rule are tested in a fixed sequence from the highest down, each at ``level`` / (strata
+times rules), until one fails; as lower cutoffs reject no fewer rows their p-values only grow, so those certified are the
+ones with p <= that level, and the lowest is used. A fixed sequence needs no correction for its length, Bonferroni corrects
+over strata and rules. So with chance 1 - ``level`` at least, no stratum loses more than
 ``risk`` of its good rows to a rule in use, and rules times ``risk`` to all of them. A stratum with too few labelled
 rows gets no cutoff and so loses nothing.
 
@@ -106,7 +108,7 @@ def cutoffs(known: DataFrame, *, risk: float = 0.005, level: float = 0.05) -> Da
     t = n.select("stratum", "n", tests).select("stratum", "n", "x.*")
     strata = good.select("stratum").distinct().count()
     p = binomial_tail(F.col("n"), F.col("k"), risk)
-    sure = t.where(p <= level / (max(1, strata) * len(RULES) * len(GRID)))
+    sure = t.where(p <= level / (max(1, strata) * len(RULES)))
     return sure.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
@@ -169,7 +171,7 @@ WITH d AS (
 ), cut AS (
   SELECT stratum, min(cutoff) FILTER (WHERE rule = 'symbols') AS cut_symbols, min(cutoff) FILTER (WHERE rule = 'dup_lines') AS cut_dup_lines,
     min(cutoff) FILTER (WHERE rule = 'repeats') AS cut_repeats, min(cutoff) FILTER (WHERE rule = 'capitals') AS cut_capitals
-  FROM p WHERE p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM tests) * 48) GROUP BY stratum
+  FROM p WHERE p <= 0.05 / ((SELECT count(DISTINCT stratum) FROM tests) * 4) GROUP BY stratum
 ), j AS (
   SELECT b.*, CASE WHEN word_chars > 0 AND n_symbols * 1000 >= cut_symbols * word_chars THEN 'symbols'
     WHEN n_lines > 0 AND n_dup_lines * 1000 >= cut_dup_lines * n_lines THEN 'dup_lines'

@@ -70,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(_read(spark, sf_dir, "documents"))
+    return media.media_features(_read(spark, sf_dir, "documents")).withColumn("points", F.to_json("points"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

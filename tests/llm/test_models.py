@@ -51,6 +51,40 @@ def test_language_sums_are_brute_force():
     assert again[0] == got[0] and np.allclose(again[1], got[1], atol=1e-5)
 
 
+def test_language_is_brute_force(corpus):
+    """Counts and sums by dictionaries of n-grams, one character at a time; hashes are those of the operator."""
+    from collections import Counter
+    from math import exp, log, sqrt
+
+    size = 1 << 15
+
+    def grams(t):
+        out = []
+        plain = "\0" + "".join(c if c.isalpha() else " " for c in t.lower()) + "\0"
+        for n in langid.ORDERS:
+            for i in range(1, len(plain) - n):
+                g = plain[i : i + n]
+                if "\0" not in g and any(c.isalpha() for c in g):
+                    h = 0x9E3779B97F4A7C15 + n
+                    for c in g:
+                        h = ((h ^ ord(c)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+                    h ^= h >> 29
+                    out.append(((h * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 40) & (size - 1))
+        return out
+
+    rows = corpus.select("doc_id", "text", "lang").collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    by = {k: Counter(g for r in learn if r.lang == k for g in grams(r.text)) for k in SYLLABLES}
+    model = langid.train(corpus.where(common.fold("doc_id") != 2))
+    got = {r.doc_id: r for r in langid.predict(corpus, model).collect()}
+    total = {k: sum(c.values()) + 0.1 * size for k, c in by.items()}
+    for r in rows[::9]:
+        own = grams(r.text)
+        z = {k: sum(log((by[k][g] + 0.1) / total[k]) for g in own) / sqrt(len(own)) for k in by}
+        best = max(z, key=z.get)
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(1 / sum(exp(v - z[best]) for v in z.values()), abs=1e-3)
+
+
 def test_language_edges(odd, clash, none, corpus):
     m = langid.train(odd)
     got = langid.predict(odd, m).collect()
@@ -68,23 +102,52 @@ def test_quality_held_out_accuracy(corpus):
     assert right >= 0.9 * p.count()
 
 
-def test_quality_dictionary_covers_all_positions():
-    """Texts that exceed the dictionary give pieces of their beginnings, middles and ends alike."""
+def test_quality_pieces_cover_all_positions():
+    """Every byte of a text is in one piece, and the first pieces drawn come from anywhere in their texts."""
     rng = random.Random(7)
     texts = ["".join(f"{k:03d}:{i:04d}:{rng.randrange(1 << 32):08x};" for i in range(400)) for k in range(60)]
-    d = quality_clf._dictionary(texts, 1 << 16)
-    at = [int(x[4:8]) for x in d.decode().split(";") if re.fullmatch(r"\d{3}:\d{4}:[0-9a-f]{8}", x)]
-    assert len(d) == 1 << 16 and all(sum(q * 100 <= i < q * 100 + 100 for i in at) > 0.15 * len(at) for q in range(4))
-    assert quality_clf._dictionary(texts[:2], 1 << 16) == "".join(texts[:2]).encode()
+    every = [quality_clf._pieces(t) for t in texts]
+    for t, p in zip(texts, every, strict=True):
+        assert sorted(x for _, _, x in p) == sorted(t.encode()[i : i + quality_clf.PIECE] for i in range(0, len(t), quality_clf.PIECE)) and [k for k, _, _ in p] == list(range(len(p)))
+    at = [texts[k].encode().index(p[0][2]) for k, p in enumerate(every)]
+    assert all(sum(q * 1800 <= i < q * 1800 + 1800 for i in at) > 0.05 * len(at) for q in range(4))
+    assert quality_clf._pieces("") == []
+
+
+def test_quality_scores_are_brute_force(corpus):
+    """Every score from its own two compressions, one chunk at a time, without the operator's classes."""
+    import math
+
+    import zstandard
+
+    m = quality_clf.train(corpus, corpus.select("doc_id", "quality"))
+    dicts = [zstandard.ZstdCompressionDict(d) for d in (m.good, m.bad)]
+    got = {r.doc_id: r.score for r in quality_clf.score(corpus, m).collect()}
+    for r in corpus.collect():
+        raw = r.text.encode()
+        size = [sum(len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False).compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024)) for d in dicts]
+        x = (size[1] - size[0]) / (size[0] + size[1])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(m.weights[0] * x + m.weights[1]))), abs=1e-9)
+
+
+def test_quality_sample_is_bounded(spark, corpus):
+    """An id that very many documents share is one row of the sample, with the least text."""
+    labels = corpus.select("doc_id", "quality")
+    many = corpus.where("doc_id = 3").crossJoin(spark.range(500)).withColumn("text", F.concat("text", F.lit("~"), "id")).drop("id")
+    m, again = (quality_clf.train(d, labels) for d in (corpus, corpus.unionByName(many)))
+    assert (m.good, m.bad, m.weights) == (again.good, again.bad, again.weights)
 
 
-def test_quality_edges(odd, clash, none, labels, none_labels):
+def test_quality_edges(spark, odd, clash, none, labels, none_labels, corpus):
     m = quality_clf.train(odd, labels)
     got = quality_clf.score(odd, m).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert len({round(r.score, 12) for r in got if r.doc_id in (3, 4)}) == 1
     assert quality_clf.score(clash, m).count() == len(got) and quality_clf.score(none, m).count() == 0
     assert {round(r.score, 9) for r in quality_clf.score(odd, quality_clf.train(odd, none_labels)).collect()} == {0.5}
+    full = quality_clf.train(corpus, corpus.select("doc_id", "quality"))
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [r.score for r in quality_clf.score(empty, full).collect()] == pytest.approx([1 / (1 + np.exp(-full.weights[1]))] * 2)
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -231,6 +294,7 @@ def test_media_edges(odd, clash, none):
         raw = (r.text or "").encode()
         p = raw + bytes(-len(raw) % 64 if raw else 64)
         assert by[r.doc_id][0][:4] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert [tuple(p) for p in by[6][0][-1]] == media.demux(media.streams(odd.where("doc_id = 6")).first().media)[1] and len(by[6][0][-1]) > 3
     assert media.media_features(clash).count() == len(got) and media.media_features(none).count() == 0
     assert media.demux(media.streams(odd.where("doc_id = 8")).first().media)[0].rstrip(b"\0").decode() == odd.where("doc_id = 8").first().text
 

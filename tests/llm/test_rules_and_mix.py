@@ -57,13 +57,44 @@ def test_cutoffs_keep_the_bound(spark):
     def p(n, k, risk=0.005):
         return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(risk) + (n - j) * math.log(1 - risk)) for j in range(k + 1))
 
-    level = 0.05 / (2 * 4 * len(rules.GRID))
+    level = 0.05 / (2 * 4)
     want = min((c for c in rules.GRID if p(4000, 4 if c <= 400 else 0) <= level), default=None)
     assert set(got) == {"a"} and got["a"]["cut_capitals"] == want and got["a"]["cut_symbols"] == min(rules.GRID)
 
 
+def test_every_stratum_rejects_beyond_the_base_rule(spark):
+    """Four strata of 1,200 to 2,400 good rows, some of which shout a little; junk of each kind passes the base rule and is
+    rejected by the cutoff that the stratum's own rows certify, recomputed here row by row."""
+    rng = random.Random(21)
+    good, junk = [], []
+    size = {"de": 1200, "en": 2400, "es": 1500, "fr": 1300}
+    for lang, n in size.items():
+        for k in range(n):
+            words = [f"{lang}{k}w{i}x" for i in range(24)]
+            for i in rng.sample(range(24), rng.choice((0, 0, 0, 1, 2)) if k % 40 else 9):
+                words[i] = words[i].upper()
+            good.append((len(good), " ".join(words), lang))
+        base = [f"{lang}{i}q" for i in range(40)]
+        junk += [(-len(junk) - 1, " ".join(base) + " " + "#" * 300, lang), (-len(junk) - 2, " ".join(base).upper(), lang), (-len(junk) - 3, "\n".join(base[:20] + ["same line"] * 30), lang)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good], "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
+    assert all(not got[i].base_failed and not got[i].kept for i, *_ in junk if i % 3 != 0)
+
+    def capitals(t):
+        return sum("A" <= c <= "Z" for c in t) * 1000 / sum(map(len, WORD.findall(t)))
+
+    for lang in size:
+        own = [capitals(t) for i, t, x in good if x == lang]
+        tail = lambda k, n=len(own): sum(math.comb(n, j) * 0.005**j * 0.995 ** (n - j) for j in range(k + 1))  # noqa: E731, B023
+        cut = min((c for c in rules.GRID if tail(sum(v >= c for v in own)) <= 0.05 / 16), default=None)
+        assert cut is not None
+        assert {i for i, t, x in good if x == lang and capitals(t) >= cut} == {i for i, _, x in good if x == lang and not got[i].kept}
+        assert got[next(i for i, t, x in junk if x == lang and t.isupper())].failed_rule == "capitals"
+
+
 def test_all_labels_calibrate(spark):
-    """A stratum of 2,000 good rows among 60,000 labelled ones certifies its cutoffs; two thirds of them would not do."""
+    """A stratum of 2,000 good rows among 60,000 labelled ones certifies its cutoffs."""
     words = " ".join(f"w{i}x" for i in range(24))
     stratum = F.when(F.col("id") < 2000, "rare").otherwise("most")
     docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(words).alias("text"), stratum.alias("lang"))

@@ -2,10 +2,12 @@
 
 A page is read into leaf blocks, the runs of text between block-level tags, each with the tags, classes and ids of its
 ancestors. Features of a block come from its ancestors and its text, transitions from its neighbours; Viterbi decoding
-says which blocks are main text. The weights are trained in numpy on generated labelled pages of many layouts.
+says which blocks are main text. The weights are trained in numpy on generated labelled pages of many layouts, among them
+pages without any element or class that says what a block is.
 
 Defined results: a null or empty page has an empty text; scripts, styles, comments and the head are never text; malformed
-pages (unclosed tags, quotes or comments) are read to their end; repeated rows give repeated rows; other columns are
+pages (unclosed tags, quotes or comments) are read to their end in time that is linear in their length, however deep they
+nest; character references are decoded within a run of text, never across tags; repeated rows give repeated rows; other columns are
 ignored; a page of any length is read whole.
 """
 
@@ -14,9 +16,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +45,34 @@ _TOKEN = re.compile(r"[a-z]+")
 _UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>]*/>$""")
 
 
+#: Elements that tell what their content is; the innermost of them counts for itself.
+REGIONS = frozenset("article main nav aside footer header form section".split())
+
+
+@dataclass(frozen=True)
+class Place:
+    """What a block's ancestors say of it; shared by all blocks of one element, and by elements that add nothing."""
+
+    parent: str = ""  # innermost element that doesn't run within a line
+    near: str = ""  # innermost of REGIONS
+    depth: int = 0
+    tags: frozenset[str] = frozenset()  # of all ancestors that don't run within a line
+    names: frozenset[str] = frozenset()  # words of the classes, ids and roles of all ancestors
+
+    def within(self, tag: str, words: set[str], known: tuple[frozenset[str], frozenset[str]] | None) -> Place:
+        """The place inside of an element; tags and words that aren't ``known`` are left out, which bounds the sets."""
+        names = words if known is None else words & known[1]
+        names = self.names if names <= self.names else self.names | names
+        if tag in INLINE:
+            return self if names is self.names else Place(self.parent, self.near, self.depth, self.tags, names)
+        tags = self.tags if tag in self.tags or known is not None and tag not in known[0] else self.tags | {tag}
+        return Place(tag, tag if tag in REGIONS else self.near, self.depth + 1, tags, names)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # ancestors, outermost first
-    names: frozenset[str]  # words of the classes, ids and roles of all ancestors
+    place: Place
     linked: int  # characters within links
 
 
@@ -69,44 +95,45 @@ def _tag_end(page: str, at: int) -> int:
     return close + 1
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; blocks without text are left out."""
+def blocks(page: str | None, known: tuple[frozenset[str], frozenset[str]] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; blocks without text are left out. ``known`` are the tags and the words of names
+    that a model tells apart (default: all)."""
     page = page or ""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, Place]] = []
+    at: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, where it is in the stack
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
     low = None
+    top = Place()
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), frozenset().union(*(n for _, n in stack)) if stack else frozenset(), linked))
+            text = " ".join("".join(parts).split())
+            if text and not at["head"]:
+                out.append(Block(text, stack[-1][1] if stack else top, linked))
             parts.clear()
         linked = 0
 
     def text(s: str) -> None:
         nonlocal linked
         if s and stack and stack[-1][0] == "head" and not s.isspace():
-            end_head()
+            close_to(at["head"][0])
         if s:
+            s = html.unescape(s) if "&" in s else s
             parts.append(s)
-            if any(t == "a" for t, _ in stack):
+            if at["a"]:
                 linked += len(s.strip())
 
     def close_to(k: int) -> None:
         if any(t not in INLINE for t, _ in stack[k:]):
             flush()
+        for t, _ in stack[k:]:
+            at[t].pop()
         del stack[k:]
 
-    def end_head() -> None:
-        k = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
-        if k >= 0:
-            flush()
-            del stack[k:]
-
     i, n = 0, len(page)
     while i < n:
         j = page.find("<", i)
@@ -120,35 +147,28 @@ def blocks(page: str | None) -> list[Block]:
         elif page[j + 1 : j + 2] in ("!", "?"):
             end = page.find(">", j)
             i = n if end < 0 else end + 1
-        elif (m := _NAME.match(page, j + 2 if page.startswith("</", j) else j + 1)) is None or (end := _tag_end(page, m.end())) < 0:
+        elif j > last or (m := _NAME.match(page, j + 2 if page.startswith("</", j) else j + 1)) is None or (end := _tag_end(page, m.end())) < 0:
             text("<")
             i = j + 1
         else:
             name, i = m[0].lower(), end
             if page[j + 1] == "/":
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-                if k >= 0:
-                    close_to(k)
+                if at[name]:
+                    close_to(at[name][-1])
                 elif name not in INLINE:
                     flush()
                 continue
-            if name == "body" or name not in HEAD and not any(t == "noscript" for t, _ in stack):
-                end_head()
+            if at["head"] and (name == "body" or name not in HEAD and not at["noscript"]):
+                close_to(at["head"][0])
             if name == "br":
                 parts.append(" ")
                 continue
             if name not in INLINE:
                 flush()
-                if name in ENDS_P:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)
-                    if k >= 0:
-                        close_to(k)
-                for k in range(len(stack) - 1, -1, -1):
-                    if name not in ENDS_OWN or stack[k][0] in ENDS_OWN[name]:
-                        break
-                    if stack[k][0] == name:
-                        close_to(k)
-                        break
+                if name in ENDS_P and at["p"]:
+                    close_to(at["p"][-1])
+                if name in ENDS_OWN and at[name] and at[name][-1] > max((at[t][-1] for t in ENDS_OWN[name] if at[t]), default=-1):
+                    close_to(at[name][-1])
             if name in ("svg", "math") and page.startswith("/>", end - 2) and not _UNQUOTED.search(page, m.end(), end):
                 continue
             if name in RAW:
@@ -161,26 +181,35 @@ def blocks(page: str | None) -> list[Block]:
                 i = n if close < 0 else close + 1
             elif name not in VOID:
                 found = (a or b or c for _, a, b, c in _ATTRIBUTE.findall(page, m.end(), end))
-                stack.append((name, frozenset(w for v in found for w in _TOKEN.findall(v.lower()))))
+                words = {w for v in found for w in _TOKEN.findall(v.lower())}
+                at[name].append(len(stack))
+                stack.append((name, (stack[-1][1] if stack else top).within(name, words, known)))
     flush()
-    return [b for b in out if "head" not in b.tags]
+    return out
 
 
 #: Words of notices and furniture; as features only.
 CUES = "cookie cookies subscribe newsletter share comment comments reply advertisement sponsored privacy terms rights reserved copyright menu login related follow sign search home contact accept".split()
 
 
+#: Words by which pages name the element of their main text; as features only.
+CONTENT = frozenset("content main post article entry story text body".split())
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that each block has."""
     out = []
+    # A page on which nothing is said to be the main text is read by its texts alone, with weights of their own.
+    bare = not any({"article", "main"} & b.place.tags or CONTENT & b.place.names for b in page)
     for k, b in enumerate(page):
+        p = b.place
         words = b.text.split()
-        f = ["always", f"parent={b.tags[-1] if b.tags else ''}", f"length={min(7, len(words).bit_length())}", f"links={int(4 * b.linked / max(1, len(b.text)))}", f"stop={b.text[-1] in '.!?…:;'}", f"sign={b.text[0] in '©»›|·'}", f"deep={min(6, len(b.tags))}"]
-        f += [f"in={t}" for t in set(b.tags)]
-        f += [f"name={w}" for w in b.names]
-        # A tree within a tree: what stands nearest to the block counts for itself.
-        near = next((t for t in reversed(b.tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form", "section")), "")
-        f.append(f"near={near}")
+        look = [f"length={min(7, len(words).bit_length())}", f"links={int(4 * b.linked / max(1, len(b.text)))}", f"stop={b.text[-1] in '.!?…:;'}", f"parent={p.parent}", f"sign={b.text[0] in '©»›|·'}", f"near={p.near}"]
+        f = ["always", *look, f"deep={min(6, p.depth)}"]
+        if bare:
+            f += [f"bare,{x}" for x in look]
+        f += [f"in={t}" for t in p.tags]
+        f += [f"name={w}" for w in p.names]
         low = {w.strip(".,:;!?()").lower() for w in words} if len(words) < 40 else set()
         f += [f"cue={c}" for c in CUES if c in low]
         if k == 0 or k == len(page) - 1:
@@ -195,6 +224,12 @@ class Model:
     weights: np.ndarray  # (features, 2)
     trans: np.ndarray  # (2, 2)
 
+    @cached_property
+    def known(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Tags and words of names that the weights tell apart."""
+        of = lambda kind: frozenset(n.removeprefix(kind) for n in self.index if n.startswith(kind))
+        return of("in=") | {"article", "main"}, of("name=") | CONTENT
+
     def scores(self, page: list[Block]) -> np.ndarray:
         out = np.zeros((len(page), 2))
         for k, names in enumerate(features(page)):
@@ -219,7 +254,7 @@ class Model:
         return y == 1
 
     def main_text(self, page: str | None) -> str:
-        b = blocks(page)
+        b = blocks(page, self.known)
         return "\n".join(x.text for x, y in zip(b, self.decode(b), strict=True) if y)
 
 
@@ -237,8 +272,14 @@ def labelled_page(rng: random.Random) -> str:
     link = lambda s: f'<a href="/{word()}">{s}</a>'
     cls = lambda *names: f' {pick(("class", "class", "id"))}="{pick(names)}{pick(("", "", "-" + word(), str(rng.randint(1, 9))))}"' if rng.random() < 0.75 else ""
 
+    # A page of plain elements; its menus and the like may be plain, too.
+    bare = rng.random() < 0.2
+
     def paragraph() -> str:
         t = prose()
+        if bare:
+            t = t if rng.random() < 0.3 else t + " " + prose()
+            return pick((f"<div>{main(t)}</div>", f"<p>{main(t)}</p>", f"{main(t)}<br><br>", f"<div>{main(t)}", f"<p>{main(t)}"))
         k = rng.random()
         if k < 0.05:
             return f"<h{rng.randint(2, 4)}>{main(words(1, 8))}</h2>"
@@ -252,11 +293,15 @@ def labelled_page(rng: random.Random) -> str:
             return f"<p><b>{main(t)}<br>"
         if k < 0.22:
             return f"<pre>{main(t)}</pre>"
+        if k < 0.26:
+            return f"<div>{main(t)}</div>"
         return f"<p>{main(pick(('', '<b>', '<i>')) + t)}</p>"
 
     def nav() -> str:
         items = [link(words(1, 2)) for _ in range(rng.randint(3, 8))]
         body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
+        if bare and rng.random() < 0.5:
+            return pick((f"<div>{body}</div>", body, "".join(f"<div>{x}</div>" for x in items)))
         return pick((f"<nav{cls('menu', 'navbar', 'nav')}>{body}</nav>", f"<div class=\"{pick(('menu', 'nav', 'navigation', 'breadcrumbs'))}\">{body}</div>"))
 
     def ad() -> str:
@@ -279,6 +324,8 @@ def labelled_page(rng: random.Random) -> str:
 
     def footer() -> str:
         t = f"&copy; {word()}.example &middot; {prose()}"
+        if bare and rng.random() < 0.5:
+            return f"<div>{t}</div>"
         return pick((f"<footer{cls('footer', 'site')}>{pick((t, f'<p>{t}</p>', nav() + t))}</footer>", f"<div class=\"footer\">{t}</div>"))
 
     def header() -> str:
@@ -295,6 +342,8 @@ def labelled_page(rng: random.Random) -> str:
         if rng.random() < 0.1:
             parts.append(f"<footer>{sentence()}</footer>")
         inner = "".join(parts)
+        if bare:
+            return pick(("{}", "<div>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", "<div><div>{}</div></div>", "<center>{}</center>")).format(inner)
         k = rng.random()
         if k < 0.55:
             return f"<article{cls('post', 'article', 'entry', 'story')}>{inner}</article>"
@@ -306,7 +355,9 @@ def labelled_page(rng: random.Random) -> str:
     after = [x() for x in (aside, comments, ad, form, notice) if rng.random() < 0.25]
     rng.shuffle(before)
     rng.shuffle(after)
-    if rng.random() < 0.85:
+    if bare:
+        before, after = [x() for x in (nav, form) if rng.random() < 0.3], [x() for x in (nav, aside) if rng.random() < 0.15]
+    if rng.random() < (0.4 if bare else 0.85):
         after.append(footer())
     wrap = pick(("{}", "{}", "<div class=\"wrapper\">{}</div>", "<div id=\"page\"><div class=\"container\">{}</div></div>"))
     return f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body>" + wrap.format("".join(before) + body() + "".join(after)) + pick(("</body></html>", ""))

@@ -1,15 +1,20 @@
 """Personal data in text: exact patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The network is trained in numpy on generated lines with labelled spans (e-mail addresses, IP addresses, card numbers and
-phone numbers in several notations, among numbers and codes that are none). Every character of a text that is a digit
-or an @ calls for the windows around it; spans of the four kinds have such a character, so windows without any hold
-none. Overlapping windows share their characters: the tag scores of a character are averaged over its windows, those
-near a window's middle counting more, and one Viterbi pass over each stretch of connected windows decodes it as a whole.
-
-Spans of the patterns always stay; decoded spans that touch none of them are added.
+The network is trained in numpy on generated lines with labelled spans (e-mail addresses, IP addresses, card numbers, phone
+numbers and secrets in several notations, among numbers and codes that are none). Every character of a text that is a
+digit or an @ calls for the windows around it; what is looked for has such a character, so windows without any hold none.
+Overlapping windows share their characters: the tag scores of a character are averaged over its windows, those near a
+window's middle counting more, and one Viterbi pass over each stretch of connected windows decodes it as a whole. A
+long stretch is decoded in parts side by side, by the best scores from every tag to every tag, with the same result.
+
+Spans of the patterns always stay. Decoded spans that touch none of them are added if an exact check agrees: a card number
+has 14 to 19 digits and the right check digit, parts of an IP address are at most 255, a phone number has 9 to 15 digits, an
+address has an @ within. So a number that fails its check is never added, whatever the network says. Secrets (keys and
+tokens of 16 characters or more, with digits) are a kind of their own, apart from the spans.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive; a text of any length is
-read whole; repeated rows give repeated rows; other columns are ignored.
+read whole, with some 60 bytes of memory for each character of its longest stretch; repeated rows give repeated rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from pyspark.sql import DataFrame
 from .common import arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the network tells apart.
+TOLD = (*KINDS, "secret")
 Span = tuple[int, str, int]  # start, kind, end
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -70,30 +77,26 @@ def base_spans(text: str) -> list[Span]:
 # The tagger
 
 WINDOW, STRIDE, HIDDEN = 96, 48, 16
-TAGS = 1 + 2 * len(KINDS)  # outside; then the first and the further characters of each kind
-SIGNS = "@.+-()_%:/ \n,=\"'#"
-CLASSES = len(SIGNS) + 6
+TAGS = 1 + 2 * len(TOLD)  # outside; then the first and the further characters of each kind
+SIGNS = "@.+-()_%:/ \n,=\"'#|"
+CLASSES = len(SIGNS) + 29
 
 
 @cache
 def _class_table() -> np.ndarray:
-    """Class of each code point below 128: a sign, a digit, a small or capital letter, or another; hexadecimal letters
-    stand apart. 128 is for all others."""
+    """Class of each code point below 128: a sign, a digit, one of the letters in either case, or another. 128 is for all
+    others."""
     n = len(SIGNS)
-    t = np.full(129, n + 4, np.int64)
+    t = np.full(129, n + 27, np.uint8)
     for c in range(128):
         s = chr(c)
         if s in SIGNS:
             t[c] = SIGNS.index(s)
         elif s.isdigit():
             t[c] = n
-        elif s in "abcdef":
-            t[c] = n + 1
-        elif s.islower():
-            t[c] = n + 2
-        elif s.isupper():
-            t[c] = n + 3
-    t[128] = n + 5
+        elif s.isalpha():
+            t[c] = n + 1 + ord(s.lower()) - ord("a")
+    t[128] = n + 28
     return t
 
 
@@ -106,121 +109,138 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """Hidden states (time, rows, HIDDEN) over class indices (time, rows)."""
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    c, out, memory = h, np.empty((*x.shape, HIDDEN), np.float32), []
-    for t in range(len(x)):
-        z = w[x[t]] + h @ u
-        s = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+def _both(x: np.ndarray) -> np.ndarray:
+    """Classes (2, time, rows): forwards and backwards."""
+    return np.stack((x, x[::-1]))
+
+
+def _scores(x: np.ndarray, p: dict[str, np.ndarray], keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """Tag scores (time, rows, TAGS) over classes (time, rows); with ``keep``, what the gradient needs. Both directions run
+    side by side: w (2, CLASSES, 4 HIDDEN), u (2, HIDDEN, 4 HIDDEN)."""
+    steps, rows = x.shape
+    xx, w, u = _both(x), p["w"], p["u"]
+    h = np.zeros((2, rows, HIDDEN), np.float32)
+    c, out, memory = h, np.empty((2, steps, rows, HIDDEN), np.float32), []
+    for t in range(steps):
+        z = np.stack((w[0][xx[0, t]], w[1][xx[1, t]])) + h @ u
+        s = _sigmoid(z[:, :, : 3 * HIDDEN])
+        i, f, o, g = s[:, :, :HIDDEN], s[:, :, HIDDEN : 2 * HIDDEN], s[:, :, 2 * HIDDEN :], np.tanh(z[:, :, 3 * HIDDEN :])
         c_new = f * c + i * g
         tc = np.tanh(c_new)
         if keep:
             memory.append((h, c, i, f, o, g, tc))
         h, c = o * tc, c_new
-        out[t] = h
-    return out, memory
-
-
-def _lstm_back(x: np.ndarray, u: np.ndarray, memory: list, dh_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    dw, du = np.zeros((CLASSES, 4 * HIDDEN), np.float32), np.zeros_like(u)
-    dh = np.zeros_like(dh_out[0])
-    dc = np.zeros_like(dh)
-    for t in range(len(x) - 1, -1, -1):
-        h, c, i, f, o, g, tc = memory[t]
-        dh = dh + dh_out[t]
+        out[:, t] = h
+    states = np.concatenate((out[0], out[1, ::-1]), axis=2)
+    return states @ p["v"] + p["c"], (states, memory)
+
+
+def _back(x: np.ndarray, u: np.ndarray, memory: list, dstates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients by w and u from those by the states (time, rows, 2 HIDDEN)."""
+    steps, rows = x.shape
+    dout = np.stack((dstates[:, :, :HIDDEN], dstates[::-1, :, HIDDEN:]))
+    dz_all = np.empty((2, steps, rows, 4 * HIDDEN), np.float32)
+    dh = np.zeros((2, rows, HIDDEN), np.float32)
+    dc, ut = np.zeros_like(dh), u.transpose(0, 2, 1)
+    for t in range(steps - 1, -1, -1):
+        _, c, i, f, o, g, tc = memory[t]
+        dh = dh + dout[:, t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate((dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), axis=1)
-        np.add.at(dw, x[t], dz)
-        du += h.T @ dz
-        dh, dc = dz @ u.T, dc * f
-    return dw, du
-
-
-def _scores(x: np.ndarray, p: dict[str, np.ndarray], keep: bool = False) -> tuple[np.ndarray, tuple]:
-    """Tag scores (time, rows, TAGS)."""
-    a, ma = _lstm(x, p["wf"], p["uf"], keep)
-    b, mb = _lstm(x[::-1], p["wb"], p["ub"], keep)
-    h = np.concatenate((a, b[::-1]), axis=2)
-    return h @ p["v"] + p["c"], (h, ma, mb)
+        dz = np.concatenate((dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), axis=2)
+        dz_all[:, t] = dz
+        dh, dc = dz @ ut, dc * f
+    flat = dz_all.reshape(2, steps * rows, -1)
+    before = np.stack([m[0] for m in memory], axis=1).reshape(2, steps * rows, HIDDEN)
+    seen = np.eye(CLASSES, dtype=np.float32)[_both(x).reshape(2, -1)]
+    return seen.transpose(0, 2, 1) @ flat, before.transpose(0, 2, 1) @ flat
 
 
 def _forbidden() -> np.ndarray:
     """Tag pairs that can't follow each other: a further character needs a character of its kind before it."""
     t = np.zeros((TAGS, TAGS), bool)
-    for k in range(len(KINDS)):
+    for k in range(len(TOLD)):
         for before in range(TAGS):
             t[before, 2 + 2 * k] = before not in (1 + 2 * k, 2 + 2 * k)
     return t
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _crf_gradient(e: np.ndarray, trans: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean negative log-likelihood of the tags ``y`` (time, rows), and its gradients by scores and transitions."""
-    steps, rows, _ = e.shape
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        alpha[t] = e[t] + _logsum(alpha[t - 1][:, :, None] + trans[None], 1)
-    for t in range(steps - 2, -1, -1):
-        beta[t] = _logsum(trans[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = _logsum(alpha[-1], 1)
-    de = np.exp(alpha + beta - z[None, :, None])
-    dt = np.zeros_like(trans)
-    r = np.arange(rows)
-    gold = e[0][r, y[0]].copy()
-    for t in range(1, steps):
-        dt += np.exp(alpha[t - 1][:, :, None] + trans[None] + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
-        np.subtract.at(dt, (y[t - 1], y[t]), 1)
-        gold += trans[y[t - 1], y[t]] + e[t][r, y[t]]
+    """Mean negative log-likelihood of the tags ``y`` (time, rows), and its gradients by scores and transitions. Forward and
+    backward sums are kept as shares of each step's sum ``c``."""
+    steps, rows, tags = e.shape
+    high = e.max(axis=2, keepdims=True)
+    psi, step = np.exp(e - high), np.exp(trans)
+    alpha, beta, c = np.empty_like(psi), np.ones_like(psi), np.empty((steps, rows, 1), psi.dtype)
+    a = psi[0]
     for t in range(steps):
-        de[t][r, y[t]] -= 1
+        a = a if t == 0 else (alpha[t - 1] @ step) * psi[t]
+        c[t] = a.sum(axis=1, keepdims=True)
+        alpha[t] = a / c[t]
+    for t in range(steps - 2, -1, -1):
+        beta[t] = (psi[t + 1] * beta[t + 1]) @ step.T / c[t + 1]
+    z = (np.log(c) + high).sum(axis=(0, 2))
+    de = alpha * beta
+    dt = step * (alpha[:-1].reshape(-1, tags).T @ (psi[1:] * beta[1:] / c[1:]).reshape(-1, tags))
+    np.subtract.at(dt, (y[:-1], y[1:]), 1)
+    at = np.arange(steps)[:, None], np.arange(rows)[None, :], y
+    gold = e[at].sum(axis=0) + trans[y[:-1], y[1:]].sum(axis=0)
+    de[at] -= 1
     return float((z - gold).mean()), (de / rows).astype(np.float32), (dt / rows).astype(np.float32)
 
 
 def _generated(rng: random.Random) -> tuple[str, list[Span]]:
     """One labelled window of text."""
     word = lambda n=8: "".join(rng.choice(("en", "re", "th", "ion", "er", "an", "é", "ñ", "sch", "ble", "ou", "ü", "ti", "a", "o")) for _ in range(rng.randint(1, n // 2)))
+    plain = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzetaoinshr") for _ in range(rng.randint(1, 9)))
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     ascii_ = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(n))
 
-    def item() -> tuple[str, str | None]:
-        k = rng.randint(0, 13)
+    pick = rng.choice
+    said = lambda *cues: pick((*cues, *[""] * len(cues)))
+
+    def number() -> str:
+        n = rng.choice((14, 15, 16, 16, 16, 16, 19)) - 1
+        first = d(n)
+        return first + next(c for c in "0123456789" if luhn(first + c))
+
+    def item() -> tuple[str, str, str | None]:
+        """What stands before, the item, its kind."""
+        k = rng.randint(0, 15)
         if k <= 1:
-            name = ascii_(rng.randint(2, 8)) + rng.choice(("", ".", "_", "-", "+")) + rng.choice((d(2), ascii_(4), ""))
-            return name.rstrip("._-+") + "@" + ascii_(rng.randint(3, 8)) + rng.choice(("", d(1))) + "." + rng.choice(("example.com", "com", "org", "co.uk", "example.net")), "email"
+            name = ascii_(rng.randint(2, 8)) + pick(("", ".", "_", "-", "+")) + pick((d(2), ascii_(4), "", "é" + ascii_(2)))
+            return "", name.rstrip("._-+") + pick(("@", "@", "@", " @ ")) + ascii_(rng.randint(3, 8)) + pick(("", d(1), "ü")) + "." + pick(("example.com", "com", "org", "co.uk", "example.net")), "email"
         if k <= 3:
-            return ".".join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
+            return "", ".".join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
         if k <= 5:
-            first = d(15)
-            n = first + next(c for c in "0123456789" if luhn(first + c))
-            sep = rng.choice(("", "", " ", "-"))
-            return sep.join(n[i : i + 4] for i in range(0, 16, 4)), "card"
+            n, sep = number(), pick(("", "", " ", "-", ".", "/", " - ", "|"))
+            cut = (4, 10, 15) if len(n) == 15 else range(4, len(n), 4)
+            return said("card ", "visa ", "card: ", "credit card "), sep.join(n[i:j] for i, j in zip((0, *cut), (*cut, len(n)), strict=True)), "card"
         if k <= 8:
-            return rng.choice((f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}.{d(3)}.{d(7)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}")), "phone"
-        if k == 9:
-            return rng.choice(("AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(16)), "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 32, 40)))))), None
-        if k == 10:
-            return rng.choice((f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}", f"{d(1)},{d(3)}", f"{d(1)}.")), None
+            return said("tel ", "phone: ", "call "), pick((f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}.{d(3)}.{d(7)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}")), "phone"
+        if k <= 10:
+            hexes = "".join(pick("0123456789abcdef") for _ in range(pick((16, 24, 32, 40, 64))))
+            mixed = "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz0123456789") for _ in range(rng.randint(16, 40)))
+            if k == 9:
+                return pick(('token = "', 'api_key = "', "secret: ", 'key="', "password=", "token ")), pick((hexes, hexes, mixed)), "secret"
+            return pick(("sha ", "commit ", "id ", "md5 ", "file ", "hash: ")), hexes, None
         if k == 11:
-            return rng.choice((d(4), d(1), d(2), d(6), d(9), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}")), None
+            return "", pick((f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}", f"{d(1)},{d(3)}", f"{d(1)}.", f"{d(3)}.{d(3)}.{d(2)}", ".".join(d(rng.randint(1, 4)) for _ in range(rng.choice((4, 5, 6)))))), None
         if k == 12:
-            return rng.choice(("@" + ascii_(6), "a @ b", "@", "= \"" + d(3) + ascii_(5) + "\"")), None
-        return rng.choice((d(22), d(30))), None
+            return "", pick((d(4), d(1), d(2), d(6), d(9), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(2)}/{d(2)}/{d(4)}")), None
+        if k == 13:
+            return "", pick(("@" + ascii_(6), "a @ b", "@", "= \"" + d(3) + ascii_(5) + "\"")), None
+        if k == 14:
+            return pick(("order ", "order no. ", "tracking ", "invoice ", "ref ", "isbn ", "number ")), pick((d(16), d(14), d(10), d(13), f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{d(3)}-{d(10)}")), None
+        return "", pick((d(22), d(30), d(12))), None
 
     parts, spans, n = [], [], 0
     while n < WINDOW + 40:
-        s, kind = (word(), None) if rng.random() < 0.72 else item()
+        before, s, kind = ("", rng.choice((word, plain))(), None) if rng.random() < 0.72 else item()
         if rng.random() < 0.1:
             s = s.upper() if kind is None else s
         if kind:
-            spans.append((n, kind, n + len(s)))
-        parts.append(s + rng.choice((" ", " ", " ", " ", ", ", ". ", "\n", " | ", "!! ")))
+            spans.append((n + len(before), kind, n + len(before) + len(s)))
+        parts.append(before + s + (pick(('" ', '"\n')) if before.endswith('"') else pick((" ", " ", " ", " ", ", ", ". ", "\n", " | ", "!! "))))
         n += len(parts[-1])
     at = rng.randint(0, 40)
     text = "".join(parts)[at : at + WINDOW]
@@ -230,36 +250,34 @@ def _generated(rng: random.Random) -> tuple[str, list[Span]]:
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags (time, rows) of ``n`` generated windows."""
     rng = random.Random(seed)
-    x, y = np.zeros((WINDOW, n), np.int64), np.zeros((WINDOW, n), np.int64)
+    x, y = np.zeros((WINDOW, n), np.uint8), np.zeros((WINDOW, n), np.int64)
     for r in range(n):
         text, spans = _generated(rng)
         x[:, r] = classes(text)
         for a, kind, b in spans:
-            y[a, r] = 1 + 2 * KINDS.index(kind)
-            y[a + 1 : b, r] = 2 + 2 * KINDS.index(kind)
+            y[a, r] = 1 + 2 * TOLD.index(kind)
+            y[a + 1 : b, r] = 2 + 2 * TOLD.index(kind)
     return x, y
 
 
 @cache
-def train(steps: int = 350, rows: int = 48, seed: int = 5) -> dict[str, np.ndarray]:
-    """The network's parameters, by Adam over generated windows. The same arguments give the same parameters."""
+def train(steps: int = 600, rows: int = 64, seed: int = 5) -> dict[str, np.ndarray]:
+    """The network's parameters, by Adam over generated windows; on the driver, once a process, in some seconds. The same
+    arguments give the same parameters."""
     r = np.random.default_rng(seed)
-    shape = {"wf": (CLASSES, 4 * HIDDEN), "wb": (CLASSES, 4 * HIDDEN), "uf": (HIDDEN, 4 * HIDDEN), "ub": (HIDDEN, 4 * HIDDEN), "v": (2 * HIDDEN, TAGS), "c": (TAGS,), "t": (TAGS, TAGS)}
-    p = {k: (r.normal(size=s) * (0.3 if k in "wfwb" else 0.2)).astype(np.float32) for k, s in shape.items()}
-    for k in ("wf", "wb"):
-        p[k][:, HIDDEN : 2 * HIDDEN] += 1  # gates that forget start open
+    shape = {"w": (2, CLASSES, 4 * HIDDEN), "u": (2, HIDDEN, 4 * HIDDEN), "v": (2 * HIDDEN, TAGS), "c": (TAGS,), "t": (TAGS, TAGS)}
+    p = {k: (r.normal(size=s) * (0.3 if k == "w" else 0.2)).astype(np.float32) for k, s in shape.items()}
+    p["w"][:, :, HIDDEN : 2 * HIDDEN] += 1  # gates that forget start open
     stop = np.where(_forbidden(), np.float32(-1e4), np.float32(0))
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    xs, ys = labelled(rows * 60, seed)
+    xs, ys = labelled(rows * 90, seed)
     for step in range(1, steps + 1):
         pick = r.integers(0, xs.shape[1], rows)
         x, y = xs[:, pick], ys[:, pick]
-        e, (h, ma, mb) = _scores(x, p, keep=True)
+        e, (states, memory) = _scores(x, p, keep=True)
         _, de, dt = _crf_gradient(e, p["t"] + stop, y)
-        g = {"v": np.einsum("trh,trk->hk", h, de), "c": de.sum(axis=(0, 1)), "t": np.where(_forbidden(), 0, dt)}
-        dh = de @ p["v"].T
-        g["wf"], g["uf"] = _lstm_back(x, p["uf"], ma, dh[:, :, :HIDDEN])
-        g["wb"], g["ub"] = _lstm_back(x[::-1], p["ub"], mb, dh[::-1, :, HIDDEN:])
+        g = {"v": np.einsum("trh,trk->hk", states, de), "c": de.sum(axis=(0, 1)), "t": np.where(_forbidden(), 0, dt)}
+        g["w"], g["u"] = _back(x, p["u"], memory, de @ p["v"].T)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for k, a in g.items():
@@ -290,6 +308,58 @@ def _viterbi(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray
     return tags
 
 
+#: Steps of the parts in which a long stretch is decoded, and the length from which it is.
+PART, LONG = 256, 4096
+
+
+def _viterbi_long(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best tags of one long stretch (time, TAGS): the same as ``_viterbi``, in parts of ``PART`` steps side by side. First
+    the best score through each part from every tag before it to its last tag, then the best chain of parts, then the
+    best path within each part whose ends are known."""
+    n = len(e)
+    head = n % PART or PART
+    first = _viterbi_tables(e[None, :head], trans, None)
+    parts = (n - head) // PART
+    body = e[head:].reshape(parts, PART, TAGS)
+    through = trans[None] + body[:, 0][:, None, :]  # part, tag before, tag now
+    for t in range(1, PART):
+        through = (through[:, :, :, None] + trans).max(axis=2) + body[:, t][:, None, :]
+    score, back = first[0][0], np.zeros((parts, TAGS), np.int8)
+    for k in range(parts):
+        z = score[:, None] + through[k]
+        back[k] = z.argmax(axis=0)
+        score = z.max(axis=0)
+    last = np.zeros(parts + 1, np.int64)
+    last[parts] = score.argmax()
+    for k in range(parts - 1, -1, -1):
+        last[k] = back[k, last[k + 1]]
+    out = np.empty(n, np.int8)
+    out[:head] = _follow(first[1], last[:1])[0]
+    if parts:
+        out[head:] = _follow(_viterbi_tables(body, trans, last[:-1])[1], last[1:]).ravel()
+    return out
+
+
+def _viterbi_tables(e: np.ndarray, trans: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Final scores (rows, TAGS) and the tag before each (rows, time, TAGS), after the tags ``before``, if any."""
+    back = np.zeros(e.shape, np.int8)
+    s = e[:, 0] if before is None else trans[before] + e[:, 0]
+    for t in range(1, e.shape[1]):
+        z = s[:, :, None] + trans[None]
+        back[:, t] = z.argmax(axis=1)
+        s = z.max(axis=1) + e[:, t]
+    return s, back
+
+
+def _follow(back: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Tags (rows, time) that lead to the last tags ``now``."""
+    tags, r = np.empty(back.shape[:2], np.int8), np.arange(len(back))
+    for t in range(back.shape[1] - 1, -1, -1):
+        tags[:, t] = now
+        now = back[r, t, now]
+    return tags
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Unions (start, end in windows of the grid) of the windows around digits and @."""
     last = max(0, (len(text) - 1) // STRIDE)
@@ -305,38 +375,58 @@ def stretches(text: str) -> list[tuple[int, int]]:
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def model_spans(texts: list[str], p: dict[str, np.ndarray], limit: int = 2048) -> list[list[Span]]:
-    """Decoded spans of each text; windows are run ``limit`` at a time."""
+def _merged(cls: np.ndarray, a: int, b: int, p: dict[str, np.ndarray], limit: int) -> np.ndarray:
+    """Tag scores (characters, TAGS) of the windows a..b of a text, ``limit`` windows at a time."""
+    n = min((b - 1 - a) * STRIDE + WINDOW, len(cls) - a * STRIDE)
+    total, weight = np.zeros(((b - 1 - a) * STRIDE + WINDOW, TAGS), np.float32), np.zeros((b - 1 - a) * STRIDE + WINDOW, np.float32)
+    for lo in range(a, b, limit):
+        hi = min(b, lo + limit)
+        x = np.full(((hi - lo - 1) * STRIDE + WINDOW,), SIGNS.index("\n"), np.uint8)
+        part = cls[lo * STRIDE : lo * STRIDE + len(x)]
+        x[: len(part)] = part
+        scores = _scores(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE].T, p)[0]
+        for w in range(lo, hi):
+            at = (w - a) * STRIDE
+            total[at : at + WINDOW] += scores[:, w - lo] * _WEIGHT[:, None]
+            weight[at : at + WINDOW] += _WEIGHT
+    total /= weight[:, None]
+    return total[:n]
+
+
+def _runs(row: np.ndarray, offset: int) -> list[Span]:
+    """Spans of a stretch's tags."""
+    begins = np.flatnonzero((row > 0) & ((row % 2 == 1) | (np.append(0, row[:-1]) == 0)))
+    # A span goes on while the tag is that of further characters, of one kind.
+    stops = np.flatnonzero(np.append((row[1:] == 0) | (row[1:] % 2 == 1), True)) + 1
+    ends = stops[np.searchsorted(stops, begins, "right")]
+    return [(offset + s, TOLD[(int(row[s]) - 1) // 2], offset + t) for s, t in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
+def model_spans(texts: list[str], p: dict[str, np.ndarray], limit: int = 1024) -> list[list[Span]]:
+    """Decoded spans of each text; about ``limit`` windows are run at a time."""
     found: list[list[Span]] = [[] for _ in texts]
-    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
-    known: dict[int, np.ndarray] = {}
-    at = 0
-    while at < len(todo):
-        group, windows = [], 0
-        while at < len(todo) and (not group or windows + todo[at][2] - todo[at][1] <= limit):
-            group.append(todo[at])
-            windows += todo[at][2] - todo[at][1]
-            at += 1
-        x = np.full((windows, WINDOW), SIGNS.index("\n"), np.int64)
-        k = 0
+    short: list[tuple[int, int, int]] = []
+
+    def run(group: list[tuple[int, int, int]]) -> None:
+        """Short stretches: their windows are run together, and those of like length are decoded together."""
+        x = np.full((sum(b - a for _, a, b in group), WINDOW), SIGNS.index("\n"), np.uint8)
+        k, known = 0, (-1, np.zeros(0, np.uint8))
         for i, a, b in group:
-            if i not in known:
-                known = {i: classes(texts[i])}
+            known = known if known[0] == i else (i, classes(texts[i]))
             for w in range(a, b):
-                part = known[i][w * STRIDE : w * STRIDE + WINDOW]
+                part = known[1][w * STRIDE : w * STRIDE + WINDOW]
                 x[k, : len(part)] = part
                 k += 1
-        scores = np.concatenate([_scores(np.ascontiguousarray(x[j : j + limit].T), p)[0].transpose(1, 0, 2) for j in range(0, windows, limit)])
+        scores = _scores(np.ascontiguousarray(x.T), p)[0].transpose(1, 0, 2)
         merged, k = [], 0
         for i, a, b in group:
-            n = min((b - 1 - a) * STRIDE + WINDOW, len(texts[i]) - a * STRIDE)
-            total, weight = np.zeros(((b - 1 - a) * STRIDE + WINDOW, TAGS), np.float32), np.zeros((b - 1 - a) * STRIDE + WINDOW, np.float32)
+            size = (b - 1 - a) * STRIDE + WINDOW
+            total, weight = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32)
             for w in range(b - a):
                 total[w * STRIDE : w * STRIDE + WINDOW] += scores[k] * _WEIGHT[:, None]
                 weight[w * STRIDE : w * STRIDE + WINDOW] += _WEIGHT
                 k += 1
-            merged.append((total / weight[:, None])[:n])
-        # Stretches of like length are decoded together.
+            merged.append((total / weight[:, None])[: len(texts[i]) - a * STRIDE])
         order = sorted(range(len(group)), key=lambda j: len(merged[j]))
         for lo in range(0, len(order), 256):
             part = order[lo : lo + 256]
@@ -347,34 +437,53 @@ def model_spans(texts: list[str], p: dict[str, np.ndarray], limit: int = 2048) -
             tags = _viterbi(e, length, p["t"])
             for r, j in enumerate(part):
                 i, a, _ = group[j]
-                row = tags[r, : length[r]]
-                begins = np.flatnonzero((row > 0) & ((row % 2 == 1) | (np.append(0, row[:-1]) == 0)))
-                for s in begins.tolist():
-                    kind = (int(row[s]) - 1) // 2
-                    t = s + 1
-                    while t < len(row) and row[t] == 2 + 2 * kind:
-                        t += 1
-                    found[i].append((a * STRIDE + s, KINDS[kind], a * STRIDE + t))
-    return found
-
-
-#: What a decoded span must hold at least to be added: digits of a number, an @ of an address.
-def _plausible(text: str, span: Span) -> bool:
+                found[i] += _runs(tags[r, : length[r]], a * STRIDE)
+
+    for i, t in enumerate(texts):
+        for a, b in stretches(t):
+            if (b - a) * STRIDE > LONG:
+                found[i] += _runs(_viterbi_long(_merged(classes(t[a * STRIDE : (b - 1) * STRIDE + WINDOW]), 0, b - a, p, limit), p["t"]), a * STRIDE)
+                continue
+            if short and sum(y - x for _, x, y in short) + b - a > limit:
+                run(short)
+                short = []
+            short.append((i, a, b))
+    if short:
+        run(short)
+    return [sorted(f) for f in found]
+
+
+def valid(text: str, span: Span) -> bool:
+    """The exact check of a decoded span."""
     s = text[span[0] : span[2]]
-    digits = sum(c in "0123456789" for c in s)
-    return {"email": "@" in s[1:-1], "ip": s.count(".") == 3 and digits >= 4, "card": digits >= 14, "phone": 9 <= digits <= 15}[span[1]]
-
-
-def find(texts: list[str | None], p: dict[str, np.ndarray]) -> Iterator[tuple[list[Span], list[Span]]]:
-    """For each text its spans by the patterns, and those with the added ones."""
+    digits = "".join(c for c in s if c in "0123456789")
+    if span[1] == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^\W\d_]", s)
+    if span[1] == "ip":
+        return bool(_IP.fullmatch(s)) and all(len(q.lstrip("0")) <= 3 and int(q) <= 255 for q in s.split("."))
+    if span[1] == "phone":
+        return 9 <= len(digits) <= 15 and not re.search(r"[^\W\d_]", s)
+    if span[1] == "email":
+        return bool(re.search(r"\w ?@ ?\w[^@]*\.\w", s))
+    return len(s) >= 16 and bool(digits) and bool(re.fullmatch(r"[A-Za-z0-9_+/=-]+", s)) and bool(re.search(r"[A-Za-z]", s))
+
+
+def find(texts: list[str | None], p: dict[str, np.ndarray]) -> Iterator[tuple[list[Span], list[Span], list[Span]]]:
+    """For each text its spans by the patterns, those with the added ones, and the secrets."""
     given = [t or "" for t in texts]
     hot = [i for i, t in enumerate(given) if _TRIGGER.search(t)]
     decoded = dict(zip(hot, model_spans([given[i] for i in hot], p), strict=True))
     for i, t in enumerate(given):
         base = base_spans(t) if i in decoded else []
-        taken = sorted((a, b) for a, _, b in base)
-        more = [s for s in decoded.get(i, ()) if _plausible(t, s) and not any(a < s[2] and s[0] < b for a, b in taken)]
-        yield base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
+        free, taken, k, reach = [], sorted((a, b) for a, _, b in base), 0, 0
+        for s in decoded.get(i, ()):  # in order of their starts
+            while k < len(taken) and taken[k][0] < s[2]:
+                reach = max(reach, taken[k][1])
+                k += 1
+            if reach <= s[0] and valid(t, s):
+                free.append(s)
+        order = lambda s: (s[0], TOLD.index(s[1]))
+        yield base, sorted(base + [s for s in free if s[1] != "secret"], key=order), [s for s in free if s[1] == "secret"]
 
 
 def written(spans: list[Span]) -> str:
@@ -382,7 +491,8 @@ def written(spans: list[Span]) -> str:
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts of the patterns' spans by kind, base_sha256, spans and n_added, a row for each row; no shuffle."""
+    """doc_id, counts of the patterns' spans by kind, base_sha256, spans, n_added, secrets (spans, too) and n_found (spans
+    and secrets), a row for each row; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
     counts = [f"n_{k}" for k in KINDS]
@@ -391,11 +501,11 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Dat
         for batch in batches:
             for part in slices(batch):
                 rows = list(find(part.column("text").to_pylist(), shared.value))
-                n = [pa.array([sum(s[1] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
-                digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in rows])
-                all_ = pa.array([written(every) for _, every in rows])
-                added = pa.array([len(every) - len(base) for base, every in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *n, digest, all_, added], ["doc_id", *counts, "base_sha256", "spans", "n_added"])
+                n = [pa.array([sum(s[1] == k for s in base) for base, _, _ in rows], pa.int64()) for k in KINDS]
+                digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _, _ in rows])
+                all_, secrets = pa.array([written(every) for _, every, _ in rows]), pa.array([written(keys) for _, _, keys in rows])
+                added, total = pa.array([len(every) - len(base) for base, every, _ in rows], pa.int64()), pa.array([len(every) + len(keys) for _, every, keys in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), *n, digest, all_, added, secrets, total], ["doc_id", *counts, "base_sha256", "spans", "n_added", "secrets", "n_found"])
 
     names = "".join(f"{c} long, " for c in counts)
-    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"doc_id {kind}, {names}base_sha256 string, spans string, n_added long")
+    return docs.select(docs[id_col].alias("k"), docs[text].alias("text")).transform(arrow, run, f"doc_id {kind}, {names}base_sha256 string, spans string, n_added long, secrets string, n_found long")

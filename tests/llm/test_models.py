@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -179,13 +180,89 @@ def test_tagger_finds_what_patterns_miss_and_leaves_prose():
     p = pii.train()
     rng = random.Random(2)
     texts = [prose(rng, 400) + f" ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} " + prose(rng, 300) for _ in range(40)]
-    found = [every for _, every in pii.find(texts, p)]
+    found = [every for _, every, _ in pii.find(texts, p)]
     assert sum(any(k == "phone" for _, k, _ in s) for s in found) >= 30
-    assert all(not every for _, every in pii.find([prose(rng, 500) for _ in range(20)] + [None, "", "page 12 of 1999, v2.0"], p))
+    assert all(not every for _, every, _ in pii.find([prose(rng, 500) for _ in range(20)] + [None, "", "page 12 of 1999, v2.0"], p))
     long_ = [prose(rng, 3000) + " 4111111111111111 " + prose(rng, 3000)]
     assert [k for _, k, _ in next(pii.find(long_, p))[0]] == ["card"]
 
 
+#: Lines written by hand: text, what should be added to the patterns' spans.
+WRITTEN = [
+    ("Call our office at (415) 555-0132 before Friday, or come by.", ["phone:(415) 555-0132"]),
+    ("My number is 212-555-0199 and I am home after six.", ["phone:212-555-0199"]),
+    ("Reach Anna on 0049 151 23456789 in the evening.", ["phone:0049 151 23456789"]),
+    ("Paid with card 4111.1111.1111.1111 at the desk.", ["card:4111.1111.1111.1111"]),
+    ("The card 5500/0055/5555/5559 was declined twice.", ["card:5500/0055/5555/5559"]),
+    ("Write to karl.müller@example.org for the keys.", []),
+    ("order no. 4111 1111 1111 1112 was shipped", []),
+    ("tracking 9400110200881234, isbn 9783161484100", []),
+    ("The years 1914 1918 1939 1945 were hard ones.", []),
+    ("It measured 12.5 by 3.75 by 100.25 cm, 17.000.000 in all.", []),
+    ("On 2021-04-17 at 12:45 the server moved to v10.2.3 of the tool.", []),
+    ("pi is 3.14159265358979323846264338327950288", []),
+    ("Section 4.2.1.7 refers to tables 300.400.500.600 and 1.2.3", []),
+    ("Ring 030.5550.1234 or (030) 555-0177; the old 555-0100 is dead.", ["phone:030.5550.1234", "phone:(030) 555-0177"]),
+    ("The parts are 1200.0034.77 and 12-34-56, twelve of each.", []),
+    ("He was born in 1899, wrote 37 books and 1200 letters, and died in 1961.", []),
+    ("see commit 3f786850e387550fdab836ed7e6dc881de23001b for the change", []),
+]
+
+
+def test_added_spans_on_lines_that_the_generator_did_not_write():
+    """Precision and recall of what is added; the base spans are the patterns' whatever the network says."""
+    right = added = wanted = 0
+    for (text, want), (base, every, _) in zip(WRITTEN, pii.find([t for t, _ in WRITTEN], pii.train()), strict=True):
+        assert base == plain_spans(text)
+        new = {f"{k}:{text[a:b]}" for a, k, b in every if (a, k, b) not in base}
+        right += len(new & set(want))
+        added += len(new)
+        wanted += len(want)
+    assert right / max(1, added) >= 0.8 and right / wanted >= 0.6, (right, added, wanted)
+
+
+def test_numbers_that_fail_their_check_are_never_added():
+    rng = random.Random(12)
+    texts = []
+    while len(texts) < 200:
+        n = "".join(rng.choice("0123456789") for _ in range(16))
+        if not pii.luhn(n):
+            texts.append(f"{prose(rng, 4)} card {rng.choice(('', ' '.join(n[i : i + 4] for i in range(0, 16, 4)) + ' ', n + ' '))}{prose(rng, 4)} 999.300.1.2")
+    assert all(k not in ("card", "ip") for _, every, _ in pii.find(texts, pii.train()) for _, k, _ in every)
+
+
+def test_secrets_stand_apart():
+    rng = random.Random(13)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    texts = [f'{prose(rng, 9)} token = "{k}" {prose(rng, 9)}' for k in keys]
+    found = [([t[a:b] for a, _, b in s], every) for t, (_, every, s) in zip(texts, pii.find(texts, pii.train()), strict=True)]
+    assert sum(f == [k] for (f, _), k in zip(found, keys, strict=True)) >= 36 and not any(every for _, every in found)
+
+
+def test_a_stretch_of_any_length_is_decoded_as_one():
+    r = np.random.default_rng(4)
+    t = r.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)
+    for n in (1, 2, 255, 256, 257, 511, 1024, 1300):
+        e = r.normal(size=(n, pii.TAGS)).astype(np.float32)
+        assert (pii._viterbi_long(e, t) == pii._viterbi(e[None], np.array([n]), t)[0]).all()
+    p, rng = pii.train(), random.Random(3)
+    text = " ".join(rng.choice(("4111111111111111", "12", "(415) 555-0132", "a1b2", "7", "10.0.0.1")) for _ in range(900))
+    long_, pii.LONG = pii.LONG, 1 << 30
+    try:
+        want = pii.model_spans([text], p)
+    finally:
+        pii.LONG = long_
+    assert pii.model_spans([text], p) == want and len(text) > 2 * pii.LONG
+    again = pii.model_spans([text], p, limit=7)
+    assert again == want
+
+
+def test_a_megabyte_of_digits():
+    began = time.process_time()
+    assert next(pii.find(["0123456789" * 100_000], pii.train()))[0] == []
+    assert time.process_time() - began < 60
+
+
 def test_viterbi_is_brute_force():
     import itertools
 
@@ -213,6 +290,10 @@ def test_pii_edges(odd, clash, none):
     got = pii.spans(odd).collect()
     assert len(got) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
     assert sorted(map(str, pii.spans(clash).collect())) == sorted(map(str, got)) and pii.spans(none).count() == 0
+    one = odd.limit(1).withColumn("text", F.lit("a.b@c.de (415) 555-0132 10.0.0.1"))
+    r = pii.spans(one).first()
+    assert (r.n_email, r.n_ip, r.n_phone, r.n_added, r.n_found) == (1, 1, 0, 1, 3) and r.spans == "email:0:8,phone:9:23,ip:24:32"
+    assert r.base_sha256 == hashlib.sha256(b"email:0:8,ip:24:32").hexdigest()
 
 
 def test_html_held_out():
@@ -226,7 +307,7 @@ def test_html_held_out():
             x.text = x.text.replace("\1", "") or "."
         right += sum(p == q for p, q in zip(m.decode(b), y, strict=True))
         total += len(y)
-    assert right / total > 0.98
+    assert right / total > 0.97
 
 
 def test_html_pages(spark, sf_dir):
@@ -234,18 +315,56 @@ def test_html_pages(spark, sf_dir):
     import html as h
 
     m = html_extract.train()
-    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect():
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         a = re.split(r"</?(?:p|h1)>", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
         want = [" ".join(h.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in a]
         assert m.main_text(r.html) == "\n".join(x for x in want if x)
 
 
+def test_html_pages_without_names():
+    """Prose in plain elements is main text; menus and footers beside it aren't."""
+    m = html_extract.train()
+    rng = random.Random(8)
+    a, b, c = (prose(rng, n).capitalize() + "." for n in (40, 25, 60))
+    links = "".join(f'<a href="/{k}">{prose(rng, 1)}</a> | ' for k in range(6))
+    for page in (f"<div>{a}</div><div>{b}</div>", f"<html><body><div><div>{a}</div><div>{b}</div></div></body></html>", f"<p>{a}<p>{b}", f"<body>{a}<br><br><div>{b}</div>", f"<table><tr><td><div>{a}</div><div>{b}</div></td></tr></table>"):
+        assert m.main_text(page).replace("\n", " ") == f"{a} {b}", page
+    assert m.main_text(f"<div>{links}</div><div>{a}</div><div>{b}</div><div>{c}</div>") == f"{a}\n{b}\n{c}"
+
+
+def test_html_viterbi_is_brute_force():
+    import itertools
+
+    m = html_extract.train()
+    rng = random.Random(31)
+    for _ in range(25):
+        b = html_extract.blocks(html_extract.labelled_page(rng).replace("\1", ""), m.known)[:9]
+        e = m.scores(b)
+        best = max(itertools.product((0, 1), repeat=len(b)), key=lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(m.trans[p, q] for p, q in zip(y, y[1:], strict=False)))  # noqa: B023
+        assert m.decode(b).tolist() == [k == 1 for k in best]
+
+
+def test_html_deep_and_long_pages_take_linear_time():
+    m = html_extract.train()
+
+    def took(page):
+        began = time.process_time()
+        found = html_extract.blocks(page, m.known)
+        return time.process_time() - began, len(found)
+
+    for make in (lambda n: "<div>x" * n, lambda n: "".join(f'<div class="w{k}">x' for k in range(n)), lambda n: "<ul><li><ul>" + "<div>" * n + "<li>x</li></span>" * n, lambda n: "<a" * (8 * n), lambda n: "<p>a<b>&amp;</i>" * n, lambda n: "<p>" + "x y " * (40 * n)):
+        small, big = took(make(4000))[0], took(make(32_000))[0]
+        assert big < 24 * max(small, 0.02)
+    assert took("<div>x" * 9000)[1] == 9000
+
+
 def test_html_blocks_of_broken_pages():
     text = lambda p: [b.text for b in html_extract.blocks(p)]
     assert text("<p>a<p>b &amp; c&nbsp;d<br>e<ul><li>x<li>y</ul>") == ["a", "b & c d e", "x", "y"]
     assert text('<div title="a > b">c</div><script>var s="</p>";</script>z') == ["c", "z"]
     assert text("<!-- no <p>x</p>") == [] and text("a < b <c") == ["a < b <c"] and text(None) == [] and text("<style>x") == []
     assert text("<head><title>t</title></head><body>b</body>") == ["b"]
+    assert text("<p>&<b>amp;</b> &am<i>p;</i> &lt;b&gt;</p>") == ["&amp; &amp; <b>"] and text("a <b") == ["a <b"]
     deep = "<div>" * 3000 + "x"
     assert text(deep) == ["x"]
 
@@ -261,8 +380,8 @@ def test_html_open_head_and_self_closing_svg():
 
 def test_html_edges(spark):
     d = spark.createDataFrame([(1, "u", None, "z"), (1, None, "", "z"), (None, "u", "<article><p>Some  text &eacute;.</p></article>", "z")], "page_id long, url string, html string, text string")
-    got = sorted(html_extract.extract(d).collect(), key=str)
-    assert [r.text for r in got] == ["", "", "Some text é."] or {r.text for r in got} == {"", "Some text é."}
+    got = html_extract.extract(d).collect()
+    assert {(r.page_id, r.url): r.text for r in got} == {(1, "u"): "", (1, None): "", (None, "u"): "Some text é."} and len(got) == 3
     assert all(r.n_chars == len(r.text) for r in got) and html_extract.extract(d.where("false")).count() == 0
 
 

@@ -112,12 +112,18 @@ def angle_spread(edges_: DataFrame, *keys: str) -> DataFrame:
 
 
 def pair_spread(edges_: DataFrame, *keys: str, order: str = "i") -> DataFrame:
-    """Largest angle (0 to 180) between the directed edges of each group."""
-    ux, uy = geom.direction(geom.seg())
-    d = edges_.select(*keys, F.col(order).alias("i"), ux.alias("ux"), uy.alias("uy"))
-    e = d.select(*keys, F.col("i").alias("j"), F.col("ux").alias("vx"), F.col("uy").alias("vy"))
-    dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy")))
-    return d.join(e, list(keys)).where("i < j").groupBy(*keys).agg(F.max(F.degrees(F.acos(dot))).alias("spread"))
+    """Largest angle (0 to 180) between the directed edges of each group of two or more. The edge that differs most from
+    another is the one whose direction is nearest to the opposite of the other's, on the circle of directions."""
+    s = geom.seg()
+    d = edges_.select(*keys, F.pmod(F.degrees(F.atan2(s.y2 - s.y1, s.x2 - s.x1)), F.lit(360.0)).alias("a"))
+    here = d.select(*keys, F.explode(F.array(F.col("a") - 360, F.col("a"), F.col("a") + 360)).alias("a"), F.lit(True).alias("own"))
+    there = d.select(*keys, F.pmod(F.col("a") + 180, F.lit(360.0)).alias("a"), F.lit(False).alias("own"))
+    w = Window.partitionBy(*keys).orderBy("a")
+    own = F.when(F.col("own"), F.col("a"))
+    below = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = here.unionByName(there).withColumn("gap", F.least(F.col("a") - below, above - F.col("a")))
+    return near.where("not own").groupBy(*keys).agg(F.count("*").alias("n"), (180 - F.min("gap")).alias("spread")).where("n > 1").drop("n")
 
 
 def straight(points: DataFrame, *keys: str, max_spread: float = 10.0, max_off: float = 1.0, order: str = "i") -> DataFrame:
@@ -219,7 +225,13 @@ def longest_part(edges_: DataFrame, *keys: str, least: float = 0.0, order: str =
     return m.where(F.col("m.len") >= least).select(*keys, "m.*")
 
 
-def touching_box(points: DataFrame, boxes: DataFrame, *keys: str, on: str = "doc_id") -> DataFrame:
-    """Groups of points whose own box meets a query box (``on``, bx0, by0, bx1, by1)."""
+def touching_box(points: DataFrame, boxes: DataFrame, *keys: str, on: str = "doc_id", cell: float = 64.0) -> DataFrame:
+    """Groups of points whose own box meets a query box (``on``, bx0, by0, bx1, by1); each group once for each box that it
+    meets. Both kinds of boxes are put into the cells of a grid that they cover; a pair is found in the cell of the corner
+    where the two begin to overlap, and so once."""
     g = points.groupBy(on, *keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    return g.join(boxes, on).where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").drop("bx0", "by0", "bx1", "by1")
+    at = lambda c: F.floor(c / cell)
+    cells = lambda df, a, b, c, d: df.withColumn("_gx", F.explode(F.sequence(at(F.col(a)), at(F.col(c))))).withColumn("_gy", F.explode(F.sequence(at(F.col(b)), at(F.col(d)))))
+    j = cells(g, "x0", "y0", "x1", "y1").join(cells(boxes.where("bx0 <= bx1 and by0 <= by1"), "bx0", "by0", "bx1", "by1"), [on, "_gx", "_gy"])
+    once = (F.col("_gx") == at(F.greatest("x0", "bx0"))) & (F.col("_gy") == at(F.greatest("y0", "by0")))
+    return j.where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").where(once).drop("bx0", "by0", "bx1", "by1", "_gx", "_gy")

@@ -32,9 +32,21 @@ def grid_join(left: DataFrame, right: DataFrame, radius: float | Column, *, keys
 
 
 def covered_cells(df: DataFrame, s: geom.Seg, size: float, margin: float = 0.0) -> DataFrame:
-    """``df`` with a row for each cell (_gx, _gy) that the box of a segment covers, widened by ``margin``."""
-    span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b) - margin, size), _cell(F.greatest(a, b) + margin, size)))
-    return df.withColumn("_gx", span(s.x1, s.x2)).withColumn("_gy", span(s.y1, s.y2))
+    """``df`` with a row for each cell (_gx, _gy) that has a point within ``margin`` (along either axis) of a segment: in each
+    column of cells, the rows that the segment's part above that column reaches. So a slanted segment covers cells in
+    proportion to its length, not to its box."""
+    lo, hi = F.least(s.x1, s.x2), F.greatest(s.x1, s.x2)
+    wide = df.withColumn("_gx", F.explode(F.sequence(_cell(lo - margin, size), _cell(hi + margin, size))))
+    # The segment within the column, widened; of no width if it is upright, where all of it is within.
+    slope = (s.y2 - s.y1) / (s.x2 - s.x1)
+    left, right = F.greatest(lo, F.col("_gx") * size - margin), F.least(hi, (F.col("_gx") + 1) * size + margin)
+    at = lambda x: s.y1 + (x - s.x1) * slope
+    # A column meets the box by a margin of rounding at most where ``left`` is beyond ``right``.
+    flat = (s.x1 == s.x2) | (left > right)
+    low = F.when(flat, F.least(s.y1, s.y2)).otherwise(F.greatest(F.least(at(left), at(right)), F.least(s.y1, s.y2)))
+    high = F.when(flat, F.greatest(s.y1, s.y2)).otherwise(F.least(F.greatest(at(left), at(right)), F.greatest(s.y1, s.y2)))
+    eps = 1e-6 * size  # for rounding of the crossing points
+    return wide.withColumn("_gy", F.explode(F.sequence(_cell(low - margin - eps, size), _cell(high + margin + eps, size))))
 
 
 def cell_size(segs: DataFrame, *, per_cell: float = 40.0, keys: tuple[str, ...] = ("doc_id",), halvings: int = 6) -> DataFrame:

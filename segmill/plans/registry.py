@@ -226,25 +226,25 @@ def candidate_cost_geo(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("doc_id", "p_id", "s_id", spatial.geometric_cost(15.0).alias("cost")), "cost", digits=5)
 
 
-_PTS = """pts AS (SELECT doc_id, seg_id, i, x1 + (x2 - x1) * (i / n) AS px, y1 + (y2 - y1) * (i / n) AS py FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS i FROM (SELECT *, greatest(ceil(len / 20), 1) AS n FROM fp WHERE seg_id % 5 = 0)))"""
+_PTS = """pts AS (SELECT doc_id, seg_id, i, x1 + (x2 - x1) * (i / n) AS px, y1 + (y2 - y1) * (i / n) AS py FROM (SELECT *, unnest(range(0, n::BIGINT + 1)) AS i FROM (SELECT *, greatest(ceil(len / 20), 1) AS n FROM fp)))"""
 _NEAR = _PTS + f""", m AS (SELECT p.doc_id, p.seg_id, p.i, p.px * 1.012e0 + 4.2e0 AS px, p.py * 0.993e0 - 5.6e0 AS py FROM pts p),
 near AS (SELECT m.doc_id, m.seg_id, m.i, min(least(10e0, {_ptseg('m.px', 'm.py', 's')})) AS d FROM m JOIN fs s USING (doc_id) GROUP BY ALL)"""
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    p = segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 5 = 0"), 20.0)
+    p = segments.sample_steps(feat(spark, d, "pdf"), 20.0)
     p = p.withColumns({"px": F.col("px") * derived.SX + derived.TX, "py": F.col("py") * derived.SY + derived.TY})
     return spatial.nearest(p, feat(spark, d, "svg"), 10.0)
 
 
 @query(", " + _PTS + " SELECT doc_id, seg_id, i, round(px, 6) AS px, round(py, 6) AS py FROM pts")
 def sample_steps(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 5 = 0"), 20.0), "px", "py")
+    return rounded(segments.sample_steps(feat(spark, d, "pdf"), 20.0), "px", "py")
 
 
-@query("SELECT doc_id, seg_id, i::INT AS pt_id, round(x1 + (x2 - x1) * (i / 17e0), 6) AS px, round(y1 + (y2 - y1) * (i / 17e0), 6) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp WHERE seg_id % 20 = 0)")
+@query("SELECT doc_id, seg_id, i::INT AS pt_id, round(x1 + (x2 - x1) * (i / 17e0), 6) AS px, round(y1 + (y2 - y1) * (i / 17e0), 6) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp)")
 def sample_inside(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segments.sample_inside(feat(spark, d, "pdf").where("seg_id % 20 = 0")).select("doc_id", "seg_id", "pt_id", "px", "py"), "px", "py")
+    return rounded(segments.sample_inside(feat(spark, d, "pdf")).select("doc_id", "seg_id", "pt_id", "px", "py"), "px", "py")
 
 
 @query(", " + _NEAR + " SELECT doc_id, seg_id, i, round(d, 5) AS d FROM near")
@@ -257,12 +257,12 @@ def residual_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(segments.residuals(_near(spark, d), "doc_id", sigma=4.0, hard=10.0), "score"), "rmse", "p95", "median", digits=5)
 
 
-@query(", " + _PTS.replace("seg_id % 5 = 0", "seg_id % 25 = 0") + f""", hyp AS (SELECT * FROM (VALUES (0, 1.012e0, 0.993e0, 4.2e0, -5.6e0), (1, 1.02e0, 1e0, 0e0, 0e0), (2, 1e0, 1e0, 5e0, -5e0), (3, 0.99e0, 0.98e0, 10e0, 0e0)) h(hyp_id, sx, sy, tx, ty)),
+@query(", " + _PTS + f""", hyp AS (SELECT * FROM (VALUES (0, 1.012e0, 0.993e0, 4.2e0, -5.6e0), (1, 1.02e0, 1e0, 0e0, 0e0), (2, 1e0, 1e0, 5e0, -5e0), (3, 0.99e0, 0.98e0, 10e0, 0e0)) h(hyp_id, sx, sy, tx, ty)),
 m AS (SELECT hyp_id, doc_id, seg_id, i, px * sx + tx AS px, py * sy + ty AS py FROM pts, hyp), near AS (SELECT m.hyp_id, m.doc_id, m.seg_id, m.i, min(least(10e0, {_ptseg('m.px', 'm.py', 's')})) AS d FROM m JOIN fs s USING (doc_id) GROUP BY ALL)
 SELECT doc_id, hyp_id, count(*) AS n, round(avg(CASE WHEN d < 10 THEN exp(-d * d / 32) ELSE 0 END), 6) AS score FROM near GROUP BY ALL""")
 def chamfer_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     hyp = spark.createDataFrame([(0, 1.012, 0.993, 4.2, -5.6), (1, 1.02, 1.0, 0.0, 0.0), (2, 1.0, 1.0, 5.0, -5.0), (3, 0.99, 0.98, 10.0, 0.0)], "hyp_id int, sx double, sy double, tx double, ty double")
-    p = segments.sample_steps(feat(spark, d, "pdf").where("seg_id % 25 = 0"), 20.0).crossJoin(F.broadcast(hyp))
+    p = segments.sample_steps(feat(spark, d, "pdf"), 20.0).crossJoin(F.broadcast(hyp))
     p = p.select("doc_id", "hyp_id", "seg_id", "i", (F.col("px") * F.col("sx") + F.col("tx")).alias("px"), (F.col("py") * F.col("sy") + F.col("ty")).alias("py"))
     return rounded(segments.residuals(spatial.nearest(p, feat(spark, d, "svg"), 10.0), "doc_id", "hyp_id", sigma=4.0, hard=10.0).select("doc_id", "hyp_id", "n", "score"), "score")
 
@@ -341,7 +341,7 @@ def tls_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(f.select("vec_id", "n", "mx", "my", "angle", "extent", "max_off", "rms_off"), "mx", "my"), "angle", "extent", "max_off", "rms_off", digits=5)
 
 
-_EDGES = """e AS (SELECT vec_id, i, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WHERE vec_id % 5 = 0 WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+_EDGES = """e AS (SELECT vec_id, i, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 ed AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM e WHERE x2 IS NOT NULL AND NOT (x1 = x2 AND y1 = y2))"""
 
 
@@ -349,27 +349,27 @@ ed AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len, deg
 g AS (SELECT *, lead(a) OVER (PARTITION BY vec_id ORDER BY a) - a AS gap FROM a)
 SELECT vec_id, round(180 - greatest(coalesce(max(gap), 0), min(a) + 180 - max(a)), 5) AS spread FROM g GROUP BY vec_id""")
 def angle_spread(spark: SparkSession, d: str) -> DataFrame:
-    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    e = segments.edges(derived.points(spark, d), "vec_id")
     return rounded(segments.angle_spread(e, "vec_id"), "spread", digits=5)
 
 
 @query(", " + _EDGES + """ SELECT a.vec_id, round(max(degrees(acos(greatest(-1e0, least(1e0, (a.x2 - a.x1) / a.len * ((b.x2 - b.x1) / b.len) + (a.y2 - a.y1) / a.len * ((b.y2 - b.y1) / b.len)))))), 4) AS spread FROM ed a JOIN ed b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.vec_id""")
 def pair_spread(spark: SparkSession, d: str) -> DataFrame:
-    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    e = segments.edges(derived.points(spark, d), "vec_id")
     return rounded(segments.pair_spread(e, "vec_id"), "spread", digits=4)
 
 
 @query(", " + _EDGES + " SELECT vec_id, i::INT AS i, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM ed")
 def polyline_edges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id"), "x1", "y1", "x2", "y2")
+    return rounded(segments.edges(derived.points(spark, d), "vec_id"), "x1", "y1", "x2", "y2")
 
 
-@query(""", p AS (SELECT seg_id AS id, unnest(range(5)) AS i, x1, y1, x2, y2, n FROM (SELECT *, 0 AS n FROM pdf WHERE seg_id % 50 = 0)),
+@query(""", p AS (SELECT seg_id AS id, unnest(range(5)) AS i, x1, y1, x2, y2, n FROM (SELECT *, 0 AS n FROM pdf)),
 q AS (SELECT id, i, x1 + (x2 - x1) * (i / 4e0) AS x, y1 + (y2 - y1) * (i / 4e0) + CASE WHEN id % 100 = 0 AND i % 2 = 1 THEN 5e0 ELSE 0e0 END AS y FROM p)
 SELECT id, CASE WHEN id % 100 = 0 THEN i ELSE -1 END::INT AS part FROM q WHERE CASE WHEN id % 100 = 0 THEN i < 4 ELSE i = 0 END""")
 def straightness(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("i")
-    p = derived.segments_pdf(spark, d).where("seg_id % 50 = 0").select(F.col("seg_id").alias("id"), "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    p = derived.segments_pdf(spark, d).select(F.col("seg_id").alias("id"), "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
     bump = F.when((F.col("id") % 100 == 0) & (i % 2 == 1), 5.0).otherwise(F.lit(0.0))
     p = p.select("id", "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * (i / 4.0)).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * (i / 4.0) + bump).alias("y"))
     return segments.straight(p, "id", max_spread=2.0, max_off=1.0).select("id", "part")
@@ -423,14 +423,13 @@ def raster_overlap(spark: SparkSession, d: str) -> DataFrame:
     return raster.overlap(_canvas(spark, d, "pdf"), _canvas(spark, d, "svg"), 64, shifts)
 
 
-@query(", " + _DRAW + """, s AS (SELECT doc_id, round_even(least(greatest(px / 1000e0 * 63, 0), 63), 0) AS u, round_even(least(greatest(py / 800e0 * 63, 0), 63), 0) AS v FROM (SELECT doc_id, x1 + (x2 - x1) * (i / 17e0) AS px, y1 + (y2 - y1) * (i / 17e0) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp WHERE seg_id % 20 = 0))),
-k AS (SELECT DISTINCT * FROM s), m AS (SELECT k.doc_id, u, v, least(4e0, coalesce(min(sqrt((u - col) * (u - col) + (v - row) * (v - row))), 4e0)) AS d FROM k LEFT JOIN (SELECT * FROM px64 WHERE side = 'svg' AND doc_id % 3 = 0) p ON k.doc_id = p.doc_id AND abs(u - col) <= 4 AND abs(v - row) <= 4 GROUP BY ALL)
+@query(", " + _DRAW + """, s AS (SELECT doc_id, round_even(least(greatest(px / 1000e0 * 63, 0), 63), 0) AS u, round_even(least(greatest(py / 800e0 * 63, 0), 63), 0) AS v FROM (SELECT doc_id, x1 + (x2 - x1) * (i / 17e0) AS px, y1 + (y2 - y1) * (i / 17e0) AS py FROM (SELECT *, unnest(range(1, 17)) AS i FROM fp))),
+k AS (SELECT DISTINCT * FROM s), m AS (SELECT k.doc_id, u, v, least(1.5e0, coalesce(min(sqrt((u - col) * (u - col) + (v - row) * (v - row))), 1.5e0)) AS d FROM k LEFT JOIN (SELECT * FROM px64 WHERE side = 'svg') p ON k.doc_id = p.doc_id AND abs(u - col) <= 1 AND abs(v - row) <= 1 GROUP BY ALL)
 SELECT doc_id, count(*) AS n, round(sqrt(avg(d * d)), 6) AS rmse, round(1 / (1 + sqrt(avg(d * d))), 6) AS score, round(quantile_cont(d, 0.95), 6) AS p95, round(quantile_cont(d, 0.5), 6) AS median FROM s JOIN m USING (doc_id, u, v) GROUP BY doc_id""")
 def distmap_qa(spark: SparkSession, d: str) -> DataFrame:
-    s = segments.sample_inside(feat(spark, d, "pdf").where("seg_id % 20 = 0")).select("doc_id", "px", "py")
-    # Drawings of two documents in three are left out, so that distances beyond the bound occur.
-    svg = feat(spark, d, "svg").where("doc_id % 3 = 0").select("doc_id", *[(F.col(c) * (W / SW if c[0] == "x" else H / SH)).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return rounded(raster.distance_quality(svg, s, size=64, w=W, h=H, hard=4.0), "rmse", "p95", "median", "score")
+    s = segments.sample_inside(feat(spark, d, "pdf")).select("doc_id", "px", "py")
+    svg = feat(spark, d, "svg").select("doc_id", *[(F.col(c) * (W / SW if c[0] == "x" else H / SH)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return rounded(raster.distance_quality(svg, s, size=64, w=W, h=H, hard=1.5), "rmse", "p95", "median", "score")
 
 
 @query("""SELECT doc_id, 'H' AS dir, row AS line, min(col) AS lo, max(col) AS hi FROM (SELECT *, col - row_number() OVER (PARTITION BY doc_id, row ORDER BY col) AS k FROM pixels WHERE val > 50) GROUP BY doc_id, row, k HAVING min(col) < max(col)
@@ -458,11 +457,12 @@ def raster_edge_scan(spark: SparkSession, d: str) -> DataFrame:
     return raster.edge_segments(derived.pixels(spark, d), zoom=4.0, page_h=20.0, quantile=0.6, least=0.5, most=100).select("doc_id", "x1", "y1", "x2", "y2")
 
 
-@query(""", t AS (SELECT doc_id, 1 AS o, 39 - row AS r, col AS c, val FROM pixels WHERE col < 40 UNION ALL SELECT doc_id, 2, 39 - col, row, val FROM pixels WHERE col < 40)
+@query(""", t AS (SELECT doc_id, 1 AS o, 39 - row AS r, col AS c, val FROM pixels UNION ALL SELECT doc_id, 2, (SELECT max(col) FROM pixels) - col, row, val FROM pixels)
 SELECT doc_id, o::INT AS o, r AS row, c AS col, val FROM t""")
 def raster_turns(spark: SparkSession, d: str) -> DataFrame:
-    p = derived.pixels(spark, d).where("col < 40")
-    flip, rot = raster.turn(p, 40, 40, flip="y"), raster.turn(p, 40, 40, rot=90)
+    p = derived.pixels(spark, d)
+    wide = (p.agg(F.max("col")).first()[0] or 0) + 1
+    flip, rot = raster.turn(p, 40, wide, flip="y"), raster.turn(p, 40, wide, rot=90)
     return flip.withColumn("o", F.lit(1)).unionByName(rot.withColumn("o", F.lit(2))).select("doc_id", "o", "row", "col", "val")
 
 
@@ -574,10 +574,10 @@ def attribute_parse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.col("v.w").alias("vb_w"), F.col("v.h").alias("vb_h"), F.size("q").alias("n_points"), (F.get("q", F.lit(0))["x"] + F.get("q", F.lit(0))["y"]).alias("point_sum"), F.size("f").alias("floats"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 10, 6) AS x1, round(y1 * 2 - 3, 6) AS y1, round(x2 * 2 + 10, 6) AS x2, round(y2 * 2 - 3, 6) AS y2 FROM svg WHERE seg_id % 7 = 0")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 10, 6) AS x1, round(y1 * 2 - 3, 6) AS y1, round(x2 * 2 + 10, 6) AS x2, round(y2 * 2 - 3, 6) AS y2 FROM svg")
 def svg_scan(spark: SparkSession, d: str) -> DataFrame:
     """Drawings are written from segments, under a transform, and scanned back."""
-    s = derived.segments_svg(spark, d).where("seg_id % 7 = 0")
+    s = derived.segments_svg(spark, d)
     line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
     path = F.format_string('<path d="M%s %s L%s,%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
     e = s.select("doc_id", "seg_id", F.when(F.col("seg_id") % 2 == 0, line).otherwise(path).alias("e"))
@@ -670,10 +670,10 @@ def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.run(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d))["report"]
 
 
-@query("""SELECT doc_id, count(*) AS segments, round(sum(len), 4) AS total FROM (SELECT doc_id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM svg WHERE seg_id % 7 = 0) GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) AS segments, round(sum(len), 4) AS total FROM (SELECT doc_id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM svg) GROUP BY doc_id""")
 def arriving_summaries(spark: SparkSession, d: str) -> DataFrame:
     """What the streaming job computes for a micro-batch of drawings."""
-    s = derived.segments_svg(spark, d).where("seg_id % 7 = 0")
+    s = derived.segments_svg(spark, d)
     line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
     docs = s.groupBy("doc_id").agg(F.array_join(F.collect_list(line), "").alias("body")).select("doc_id", F.concat(F.lit("<svg>"), "body", F.lit("</svg>")).alias("svg"))
     return rounded(incremental.summaries(docs).select("doc_id", F.col("n").alias("segments"), "total"), "total", digits=4)
@@ -693,7 +693,7 @@ def object_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", " + _EDGES + " SELECT vec_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(len, 6) AS len FROM ed WHERE len >= 0.3e0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len DESC, i) = 1")
 def longest_part(spark: SparkSession, d: str) -> DataFrame:
-    e = segments.edges(derived.points(spark, d).where("vec_id % 5 = 0"), "vec_id")
+    e = segments.edges(derived.points(spark, d), "vec_id")
     return rounded(segments.longest_part(e, "vec_id", least=0.3), "x1", "y1", "x2", "y2", "len")
 
 
@@ -725,10 +725,10 @@ def raster_upright(spark: SparkSession, d: str) -> DataFrame:
     return raster.draw_upright(derived.segments_pdf(spark, d), "doc_id", size=64, w=W, h=H)
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 1, 6) AS x1, round(y1 * 2 + 3, 6) AS y1, round(x2 * 2 + 1, 6) AS x2, round(y2 * 2 + 3, 6) AS y2 FROM pdf WHERE seg_id % 9 = 0")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1 * 2 + 1, 6) AS x1, round(y1 * 2 + 3, 6) AS y1, round(x2 * 2 + 1, 6) AS x2, round(y2 * 2 + 3, 6) AS y2 FROM pdf")
 def content_scan(spark: SparkSession, d: str) -> DataFrame:
     """Content streams are written from segments, under a matrix, and scanned back."""
-    s = derived.segments_pdf(spark, d).where("seg_id % 9 = 0")
+    s = derived.segments_pdf(spark, d)
     line = F.format_string("%s %s m %s %s l S", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
     docs = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("e")))).alias("a"))
     text = F.concat(F.lit("q 2 0 0 2 1 3 cm "), F.array_join(F.transform("a", lambda x: x["e"]), "\n"), F.lit(" Q 0 0 m 1 1 l n"))

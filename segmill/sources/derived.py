@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCS = 20
+#: Segments of a document, about, from as many documents on as small tables have.
+DOCS, PER_DOC = 20, 750
 PAGE_W, PAGE_H = 1000.0, 800.0
 SX, SY, TX, TY = 1.012, 0.993, 4.2, -5.6
 
@@ -15,10 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_docs: dict[str, int] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> int:
+    """How many documents the tables are dealt into: they grow with the tables, not the documents' sizes."""
+    if sf_dir not in _docs:
+        _docs[sf_dir] = max(DOCS, read(spark, sf_dir, "orders").count() // PER_DOC)
+    return _docs[sf_dir]
+
+
 def segments_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     o = read(spark, sf_dir, "orders").select(
-        k.alias("seg_id"), (c % DOCS).alias("doc_id"), ((k * 37) % 1000).cast("double").alias("x1"), ((k * 91) % 800).cast("double").alias("y1"), (5 + c % 195).cast("double").alias("n"), (((k % 7) - 3) * F.lit(0.004)).alias("t")
+        k.alias("seg_id"), (c % documents(spark, sf_dir)).alias("doc_id"), ((k * 37) % 1000).cast("double").alias("x1"), ((k * 91) % 800).cast("double").alias("y1"), (5 + c % 195).cast("double").alias("n"), (((k % 7) - 3) * F.lit(0.004)).alias("t")
     )
     i = F.col("seg_id")
     x2 = F.when(i % 11 == 0, F.col("x1") + 0.6 * F.col("n")).when(i % 2 == 0, F.col("x1") + F.col("n")).otherwise(F.col("x1") + F.col("n") * F.col("t"))
@@ -39,7 +50,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     ending = F.when(k % 3 == 0, " cm").when(k % 3 == 1, ",5 m").otherwise("")
-    return read(spark, sf_dir, "part").select((k % DOCS).alias("doc_id"), k.alias("txt_id"), F.concat(F.col("p_size").cast("string"), ending).alias("text"), ((k * 53) % 1000).cast("double").alias("cx"), ((k * 29) % 800).cast("double").alias("cy"))
+    return read(spark, sf_dir, "part").select((k % documents(spark, sf_dir)).alias("doc_id"), k.alias("txt_id"), F.concat(F.col("p_size").cast("string"), ending).alias("text"), ((k * 53) % 1000).cast("double").alias("cx"), ((k * 29) % 800).cast("double").alias("cy"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +66,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables for SQL engines: common table expressions to put before a query.
 SQL = """
-pdf0 AS (SELECT o_orderkey AS seg_id, o_custkey % 20 AS doc_id, ((o_orderkey * 37) % 1000)::DOUBLE AS x1, ((o_orderkey * 91) % 800)::DOUBLE AS y1,
+docs AS (SELECT greatest(20, count(*) // 750) AS n_docs FROM orders),
+pdf0 AS (SELECT o_orderkey AS seg_id, o_custkey % (SELECT n_docs FROM docs) AS doc_id, ((o_orderkey * 37) % 1000)::DOUBLE AS x1, ((o_orderkey * 91) % 800)::DOUBLE AS y1,
   (5 + o_custkey % 195)::DOUBLE AS n, ((o_orderkey % 7) - 3) * 0.004e0 AS t FROM orders),
 pdf AS (SELECT doc_id, seg_id, x1, y1,
   CASE WHEN seg_id % 11 = 0 THEN x1 + 0.6e0 * n WHEN seg_id % 2 = 0 THEN x1 + n ELSE x1 + n * t END AS x2,
@@ -69,7 +81,7 @@ feat1 AS (SELECT * EXCLUDE (raw), CASE WHEN raw < 0 THEN raw + 180 WHEN raw >= 1
 feat AS (SELECT *, CASE WHEN least(ang, 180 - ang) <= 2 AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= 2 THEN 'V' END AS axis FROM feat1),
 fp AS (SELECT * FROM feat WHERE side = 'pdf'),
 fs AS (SELECT * FROM feat WHERE side = 'svg'),
-labels_geo AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS txt_id, p_size::VARCHAR || CASE p_partkey % 3 WHEN 0 THEN ' cm' WHEN 1 THEN ',5 m' ELSE '' END AS text,
+labels_geo AS (SELECT p_partkey % (SELECT n_docs FROM docs) AS doc_id, p_partkey AS txt_id, p_size::VARCHAR || CASE p_partkey % 3 WHEN 0 THEN ' cm' WHEN 1 THEN ',5 m' ELSE '' END AS text,
   ((p_partkey * 53) % 1000)::DOUBLE AS cx, ((p_partkey * 29) % 800)::DOUBLE AS cy FROM part),
 pixels AS (SELECT event_id % 5 AS doc_id, (event_id // 5) % 40 AS row, event_id // 200 AS col, value AS val FROM events),
 points AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 2)) AS i FROM embeddings))

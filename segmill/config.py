@@ -10,8 +10,10 @@ DEFAULTS: dict[str, Any] = {
     "features": {"axis_tol_deg": 2.0, "min_length_rel": 0.01, "length_ref": "diagonal"},
     "merge": {"enable": False, "off_tol": 1.0, "gap_max": 2.0},
     "orientation": {"bins": 40, "size": 64, "min_overlap": 0.05},
-    "coarse": {"enabled": False, "bins": 64, "dist_tol": 12.0, "angle_tol": 6.0, "len_tol": 0.15, "allow_flips": ["none", "x", "y"]},
-    "fit": {"iters": 120, "keep": 40, "points": 1500, "sigma": 4.0, "hard": 12.0, "min_score": 0.15, "max_rmse": 12.0, "seed": 7},
+    "coarse": {"enabled": False, "bins": 64, "dist_tol": 12.0, "angle_tol": 6.0, "len_tol": 0.15, "relax_topk_rel": [0.1, 0.2, 0.4], "relax_hv_angle": [6.0, 8.0, 10.0], "min_long_segments": 4, "allow_flips": ["none", "x", "y"]},
+    "refine": {"scale_max_dev_rel": 0.02, "trans_max_dev_px": 8.0, "quality_gate": {"enabled": True, "rmse_px": 12.0, "score_min": 0.15, "fallback_trans_max_dev_px": 25.0, "fallback_scale_max_dev_rel": 0.05, "fallback_max_iters": 60}},
+    "verify": {"mode": "", "distmap_raster": 256, "distmap_samples": 16},
+    "fit": {"patience": 60, "iters": 120, "keep": 40, "points": 1500, "sigma": 4.0, "hard": 12.0, "seed": 7},
     "select": {"pick_k": 5, "cap": 20, "diversity_rel": 0.1},
     "match": {"radius": 20.0, "neighbour_radius": 80.0, "tol_rel": 0.01, "max_cost": None, "neighbour_weight": 1.0},
     "svg": {"curve_tol": 0.25},

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 #: Points of each length unit of drawings, in pixels at 96 to the inch.
 PIXELS = {"px": 1.0, "": 1.0, "pt": 96.0 / 72.0, "pc": 16.0, "in": 96.0, "cm": 96.0 / 2.54, "mm": 96.0 / 25.4, "q": 96.0 / 101.6}
 #: Metres of each unit name.
-METRES = {"m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0, "mm": 0.001, "millimeter": 0.001, "millimeters": 0.001, "millimetre": 0.001, "millimetres": 0.001, "cm": 0.01, "centimeter": 0.01, "centimeters": 0.01, "centimetre": 0.01, "centimetres": 0.01, "dm": 0.1, "decimeter": 0.1, "decimeters": 0.1, "in": 0.0254, "inch": 0.0254, "inches": 0.0254}
+METRES = {
+    "m": 1.0, "meter": 1.0, "metre": 1.0, "metres": 1.0, "meters": 1.0,
+    "mm": 0.001, "millimeter": 0.001, "millimetre": 0.001, "millimeters": 0.001, "millimetres": 0.001,
+    "cm": 0.01, "centimeter": 0.01, "centimetre": 0.01, "centimeters": 0.01, "centimetres": 0.01,
+    "dm": 0.1, "decimeter": 0.1, "decimetre": 0.1,
+    "inch": 0.0254, "in": 0.0254,
+}
 #: Fixed pattern of a dimension label: a number of at most five digits with at most three decimals, and m or cm.
 LABEL = r"(?i)(?<!\d)(\d{1,5}(?:[.,]\d{1,3})?)\s*(m|cm)?(?!\s*(?:m2|m²|²|mm)\b)"
 
@@ -51,9 +57,11 @@ def length_px(text: Column) -> Column:
 
 
 def unit_metres(unit: Column) -> Column:
-    """Metres of a unit: a number stands for itself, a name is looked up, others are null."""
+    """Metres of a unit: a positive number stands for itself, a name is looked up, none or a blank one is a metre, others
+    are null."""
     u = F.lower(F.trim(unit))
-    return F.coalesce(u.try_cast("double"), _lookup(METRES, u))
+    number = u.try_cast("double")
+    return F.when(unit.isNull() | (u == ""), F.lit(1.0)).when(number.isNotNull(), F.when(number > 0, number)).otherwise(_lookup(METRES, u))
 
 
 def bare_floats(text: Column) -> Column:

@@ -45,12 +45,26 @@ def draw(pdf: DataFrame, svg: DataFrame, *, iters: int, keep: int, seed: int, fx
     return j.select("doc_id", "hyp_id", F.lit(fx).alias("fx"), F.lit(fy).alias("fy"), "sx", "sy", tx.alias("tx"), ty.alias("ty"))
 
 
-def within(hyps: DataFrame, seeds: DataFrame, *, scale: float, shift: float) -> DataFrame:
+def within(hyps: DataFrame, seeds: DataFrame, *, scale: float | Column, shift: float | Column) -> DataFrame:
     """Hypotheses whose scales are within a share of the seed's, and whose shifts are within a distance of it. ``seeds`` has
-    doc_id, sx0, sy0, tx0, ty0."""
+    doc_id, sx0, sy0, tx0, ty0, and what ``scale`` and ``shift`` are made of if they are columns."""
     ok = (F.abs(F.col("sx") - F.col("sx0")) <= F.greatest(F.abs("sx0") * scale, F.lit(0.01 * scale))) & (F.abs(F.col("sy") - F.col("sy0")) <= F.greatest(F.abs("sy0") * scale, F.lit(0.01 * scale)))
     ok &= (F.abs(F.col("tx") - F.col("tx0")) <= shift) & (F.abs(F.col("ty") - F.col("ty0")) <= shift)
-    return hyps.join(seeds, "doc_id").where(ok).drop("sx0", "sy0", "tx0", "ty0")
+    return hyps.join(seeds, "doc_id").where(ok).select(*hyps.columns)
+
+
+def patient(hyps: DataFrame, patience: int) -> DataFrame:
+    """What a search that takes hypotheses in the order of hyp_id sees of them (with ``score``) if it stops once
+    ``patience`` in a row haven't raised its best score; 0 never stops. A document's draws are a fixed, small number."""
+    if patience <= 0:
+        return hyps
+    w = Window.partitionBy("doc_id").orderBy("hyp_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    up = F.coalesce(F.col("score") > F.max("score").over(before), F.lit(True))
+    h = hyps.withColumn("_n", F.row_number().over(w)).withColumn("_up", up)
+    h = h.withColumn("_last", F.max(F.when(F.col("_up"), F.col("_n"))).over(before))
+    h = h.withColumn("_stop", F.coalesce((F.col("_n") - 1 - F.col("_last") >= patience).cast("int"), F.lit(0)))
+    return h.withColumn("_stopped", F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_stopped = 0").select(*hyps.columns)
 
 
 def scored(hyps: DataFrame, points: DataFrame, svg: DataFrame, *, sigma: float, hard: float, full: bool = False) -> DataFrame:
@@ -76,9 +90,10 @@ def lattice(models: DataFrame, *, scale_step: float, shift_step: float) -> DataF
     return m.select("doc_id", k.alias("hyp_id"), "fx", "fy", (F.col("sx") * (1 + F.col("a") * scale_step)).alias("sx"), (F.col("sy") * (1 + F.col("b") * scale_step)).alias("sy"), (F.col("tx") + F.col("c") * shift_step).alias("tx"), (F.col("ty") + F.col("d") * shift_step).alias("ty"))
 
 
-def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, keep: int = 40, points: int = 1500, sigma: float = 4.0, hard: float = 12.0, scale: float = 0.04, shift: float = 24.0, rounds: tuple[tuple[float, float], ...] = ((0.004, 2.0), (0.002, 1.0), (0.001, 0.6), (0.0005, 0.3)), seed: int = 7, widen: bool = True, min_score: float = 0.15, max_rmse: float = 12.0) -> DataFrame:
+def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, keep: int = 40, points: int = 1500, sigma: float = 4.0, hard: float = 12.0, scale: float | Column = 0.04, shift: float | Column = 24.0, rounds: tuple[tuple[float, float], ...] = ((0.004, 2.0), (0.002, 1.0), (0.001, 0.6), (0.0005, 0.3)), seed: int = 7, widen: bool = True, min_score: float = 0.15, max_rmse: float = 12.0, patience: int = 60) -> DataFrame:
     """One model for each document that has both axes on both sides: fx, fy, sx, sy, tx, ty, score, rmse, p95, median,
-    quality_notes. Documents without a hypothesis in the window get one more try with windows twice as wide. Coarse
+    quality_notes. Documents without a hypothesis in the window get one more try with windows twice as wide, up to their
+    caps. Draws are judged as a search in their order would that stops after ``patience`` of them without a better one. Coarse
     scores use ``points`` sample points a document; the last ones use all that the sampling step gives."""
     sample = materialize(_sample(pdf, points), "sample")
     target = materialize(svg.select("doc_id", "x1", "y1", "x2", "y2"), "target")
@@ -86,11 +101,12 @@ def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, k
     hyps = within(drawn, seeds, scale=scale, shift=shift)
     if widen:
         lost = seeds.join(hyps.select("doc_id").distinct(), "doc_id", "left_anti")
-        hyps = hyps.unionByName(within(drawn, lost, scale=2 * scale, shift=2 * shift))
+        hyps = hyps.unionByName(within(drawn, lost, scale=F.least(_lit(scale) * 2, F.greatest(_lit(scale), F.lit(SCALE_CAP))), shift=F.least(_lit(shift) * 2, F.greatest(_lit(shift), F.lit(SHIFT_CAP)))))
     # The seed itself takes part, so that a document with poor draws has something to refine.
     own = seeds.select("doc_id", F.lit(-1).alias("hyp_id"), F.lit(1).alias("fx"), F.lit(1).alias("fy"), F.col("sx0").alias("sx"), F.col("sy0").alias("sy"), F.col("tx0").alias("tx"), F.col("ty0").alias("ty"))
     # Each round's one row a document is written, as the next round uses it more than once.
-    model = materialize(best(scored(hyps.unionByName(own), sample, target, sigma=sigma, hard=hard)), "model")
+    first = scored(hyps.unionByName(own), sample, target, sigma=sigma, hard=hard)
+    model = materialize(best(patient(first, patience)), "model")
     for a, b in rounds:
         model = materialize(best(scored(lattice(model, scale_step=a, shift_step=b), sample, target, sigma=sigma, hard=hard)), "model")
     last = scored(model.select("doc_id", F.lit(0).alias("hyp_id"), "fx", "fy", "sx", "sy", "tx", "ty"), segments.sample_steps(pdf, 40.0), target, sigma=sigma, hard=hard, full=True)
@@ -105,10 +121,19 @@ def _sample(pdf: DataFrame, points: int) -> DataFrame:
     return p.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= points).drop("_k")
 
 
-def windows(overlap: Column, least: float = 0.05) -> dict[str, Column]:
-    """Search windows by how well the orientation's overlap was: shift (pixels) and scale (share), with their caps."""
-    low = overlap < least
-    return {"shift": F.when(low, F.lit(24.0)).otherwise(F.lit(16.0)), "scale": F.when(low, F.lit(0.06)).otherwise(F.lit(0.04)), "shift_cap": F.lit(64.0), "scale_cap": F.lit(0.12)}
+#: How far search windows may grow, as a share of the scale and in pixels.
+SCALE_CAP, SHIFT_CAP = 0.12, 64.0
+
+
+def _lit(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def windows(overlap: Column, least: float = 0.05, *, scale: float = 0.02, shift: float = 8.0) -> dict[str, Column]:
+    """Search windows (pixels, share of the scale) around an orientation's seed: those of the settings if its overlap was
+    good, wider if it was low, wider still without a seed (null); never beyond the caps."""
+    of = lambda base, low, none, cap: F.least(F.when(overlap.isNull(), max(base, none)).when(overlap < least, max(base, low)).otherwise(F.lit(base)), F.lit(cap))
+    return {"shift": of(shift, 16.0, 24.0, SHIFT_CAP), "scale": of(scale, 0.04, 0.06, SCALE_CAP)}
 
 
 def all_flips(pdf: DataFrame, svg: DataFrame, *, iters: int, keep: int, seed: int) -> DataFrame:

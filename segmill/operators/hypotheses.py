@@ -4,11 +4,12 @@ Every hypothesis of every document is scored in one job; the best is an aggregat
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segmill.durable import materialize
 from segmill.functions import geom
 
 from . import profiles, raster, spatial
@@ -82,68 +83,132 @@ def orientation(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, *, w: float, h:
 
 
 def best(hyps: DataFrame, *score: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The hypothesis of each document with the largest score columns, the first of equals."""
+    """The hypothesis of each document with the largest score columns, of equals that of the first level, then the first."""
     rest = [c for c in hyps.columns if c not in keys]
-    order = F.struct(*[F.round(c, 9).alias(f"o{i}") for i, c in enumerate(score)], (-F.col("hyp_id")).alias("o"))
+    first = [(-F.col(c)).alias(f"f{i}") for i, c in enumerate(("level", "hyp_id")) if c in hyps.columns]
+    order = F.struct(*[F.round(c, 9).alias(f"o{i}") for i, c in enumerate(score)], *first)
     m = hyps.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("m"))
     return m.select(*keys, "m.*")
 
 
-def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: tuple[float, ...], box_svg: tuple[float, ...], *, bins: int = 64, dist_tol: float = 12.0, angle_tol: float = 6.0, len_tol: float = 0.15, k_rel: tuple[float, ...] = (1.0,), least: int = 4) -> DataFrame:
-    """Coarse search from the drawing to the page: for each hypothesis (and each share of the longest segments that is
-    tried) the profiles' correlations cx, cy, the scale by boxes, the shift in bins and the inliers of all segments;
-    score = 0.4 cx + 0.4 cy + 0.2 inliers. Sides have len, ang and axis."""
-    x0, y0, w, h = box_svg
-    px0, py0, pw, ph = box_pdf
-    moved = svg.crossJoin(F.broadcast(hyps))
-    a = geom.coarse_point(F.col("x1"), F.col("y1"), F.col("rot"), F.col("flip"), *map(F.lit, (x0, y0, w, h)))
-    b = geom.coarse_point(F.col("x2"), F.col("y2"), F.col("rot"), F.col("flip"), *map(F.lit, (x0, y0, w, h)))
-    moved = moved.select("doc_id", "hyp_id", "seg_id", "len", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
-    moved = moved.withColumn("ang", geom.angle180(geom.seg())).withColumn("axis", geom.axis(F.col("ang")))
-    sx, sy = pw / w, ph / h
-
-    def profile(d: DataFrame, keys: list[str], lo: tuple[float, float], extent: tuple[float, float]) -> DataFrame:
+Box = tuple[float, float, float, float]
+
+
+def _boxed(df: DataFrame, box: Box | DataFrame, names: str) -> DataFrame:
+    """``df`` with the box (x, y, width, height) as columns: one for all documents, or a table with a box a document."""
+    cols = [names + c for c in ("x0", "y0", "w", "h")]
+    if isinstance(box, DataFrame):
+        return df.join(box.select("doc_id", *[F.col(a).alias(b) for a, b in zip(("x0", "y0", "w", "h"), cols, strict=True)]), "doc_id")
+    return df.withColumns({c: F.lit(v) for c, v in zip(cols, box, strict=True)})
+
+
+def boxes(feat: DataFrame) -> DataFrame:
+    """The box of each document's segments: doc_id, x0, y0, w, h."""
+    from . import segments
+
+    side = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(1e-6))
+    return segments.bbox(feat, "doc_id").select("doc_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), side("max_x", "min_x").alias("w"), side("max_y", "min_y").alias("h"))
+
+
+def _levels(feat: DataFrame, shares: tuple[float, ...], tols: tuple[float, ...]) -> DataFrame:
+    """A row for each level whose share of a document's longest segments holds the segment (at least one), with the
+    level's tolerance: level (shares first, then tolerances), tol."""
+    at = lambda i: F.array(*[F.struct(F.lit(i * len(tols) + j).alias("level"), F.lit(float(t)).alias("tol")) for j, t in enumerate(tols)])
+    if shares == (1.0,):
+        return feat.withColumn("_l", F.explode(at(0))).select("*", "_l.*").drop("_l")
+    n = feat.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("len"), "seg_id")
+    r = feat.join(n, "doc_id").withColumn("_r", F.row_number().over(w))
+    within = F.flatten(F.array(*[F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), at(i)).otherwise(F.array().cast("array<struct<level:int,tol:double>>")) for i, share in enumerate(shares)]))
+    return r.withColumn("_l", F.explode(within)).select("*", "_l.*").drop("_l", "_n", "_r")
+
+
+def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataFrame, box_svg: Box | DataFrame, *, bins: int = 64, dist_tol: float = 12.0, angle_tol: float = 6.0, len_tol: float = 0.15, shares: tuple[float, ...] = (0.1, 0.2, 0.4), tols: tuple[float, ...] = (6.0, 8.0, 10.0), least: int = 4, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:
+    """Coarse search from the drawing to the page: for each level (a share of the longest segments, and a tolerance by which
+    they follow an axis) and each hypothesis the profiles' correlations cx, cy, the scale by boxes, the shift in bins and
+    the inliers of all segments; score = weighted sum. Levels with fewer than ``least`` segments on a side are left out.
+    Sides have len and ang."""
+    s = _boxed(svg, box_svg, "")
+    lits = [F.col(c) for c in ("x0", "y0", "w", "h")]
+    moved = s.crossJoin(F.broadcast(hyps))
+    a = geom.coarse_point(F.col("x1"), F.col("y1"), F.col("rot"), F.col("flip"), *lits)
+    b = geom.coarse_point(F.col("x2"), F.col("y2"), F.col("rot"), F.col("flip"), *lits)
+
+    def profile(d: DataFrame, keys: list[str], box: str, ang: Column) -> DataFrame:
         cx, cy = geom.center(geom.seg())
+        axis = geom.axis(ang, F.col("tol"))
         hz = F.col("axis") == "H"
-        t = F.when(hz, (cx - lo[0]) / extent[0]).otherwise((cy - lo[1]) / extent[1])
+        t = F.when(hz, (cx - F.col(box + "x0")) / F.col(box + "w")).otherwise((cy - F.col(box + "y0")) / F.col(box + "h"))
         k = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * bins), F.lit(bins - 1)).cast("int")
-        return d.where("axis is not null").groupBy(*keys, F.when(hz, "X").otherwise("Y").alias("profile"), k.alias("bin")).agg(F.sum("len").alias("w"))
-
-    levels = []
-    for level, share in enumerate(k_rel):
-        long_pdf, long_svg = (_longest(d, share) for d in (pdf, svg))
-        ids = long_svg.select("doc_id", "seg_id")
-        mine = profile(long_pdf, ["doc_id"], (px0, py0), (pw, ph)).select(F.lit("pdf").alias("side"), "*").crossJoin(F.broadcast(hyps.select("hyp_id")))
-        other = profile(moved.join(ids, ["doc_id", "seg_id"]), ["doc_id", "hyp_id"], (x0, y0), (w, h)).select(F.lit("svg").alias("side"), "*")
-        names = ["side", "doc_id", "hyp_id", "profile", "bin", "w"]
-        c = profiles.xcorr(mine.select(*names).unionByName(other.select(*names)), bins, keys=("doc_id", "hyp_id", "profile")).withColumn("c", F.round("c", 9))
-        top = profiles.peak(c, "doc_id", "hyp_id", "profile").groupBy("doc_id", "hyp_id").pivot("profile", ["X", "Y"]).agg(F.first("shift").alias("shift"), F.first("peak").alias("peak"))
-        enough = long_pdf.groupBy("doc_id").agg(F.count("*").alias("a")).join(long_svg.groupBy("doc_id").agg(F.count("*").alias("b")), "doc_id").where(f"least(a, b) >= {least}").select("doc_id")
-        levels.append(top.join(enough, "doc_id").withColumn("level", F.lit(level)))
-    top = reduce(DataFrame.unionByName, levels)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    top = top.select("doc_id", "level", "hyp_id", F.coalesce("X_peak", F.lit(0.0)).alias("cx"), F.coalesce("Y_peak", F.lit(0.0)).alias("cy"), (zero("X_shift") * (pw / bins)).alias("dx"), (zero("Y_shift") * (ph / bins)).alias("dy"))
-    mid = geom.center(geom.seg())
-    there = moved.join(top.select("doc_id", "level", "hyp_id", "dx", "dy"), ["doc_id", "hyp_id"]).select("doc_id", "level", "hyp_id", F.col("len").alias("s_len0"), ((mid[0] - x0) * sx + px0 + F.col("dx")).alias("lx"), ((mid[1] - y0) * sy + py0 + F.col("dy")).alias("ly"), "x1", "y1", "x2", "y2")
-    there = there.select("doc_id", "level", "hyp_id", "lx", "ly", geom.norm((F.col("x2") - F.col("x1")) * sx, (F.col("y2") - F.col("y1")) * sy).alias("s_len"), geom.angle180(geom.Seg(F.col("x1") * sx, F.col("y1") * sy, F.col("x2") * sx, F.col("y2") * sy)).alias("s_ang"))
+        return d.withColumn("axis", axis).where("axis is not null").groupBy(*keys, F.when(hz, "X").otherwise("Y").alias("profile"), k.alias("bin")).agg(F.sum("len").alias("w"))
+
+    long_pdf, long_svg = (_levels(d.select("doc_id", "seg_id", "x1", "y1", "x2", "y2", "len", "ang"), shares, tols) for d in (pdf, svg))
+    turned = _boxed(long_svg, box_svg, "").crossJoin(F.broadcast(hyps)).select("doc_id", "level", "tol", "hyp_id", "len", *lits, a[0].alias("_x1"), a[1].alias("_y1"), b[0].alias("_x2"), b[1].alias("_y2")).withColumnsRenamed({f"_{c}": c for c in ("x1", "y1", "x2", "y2")})
+    mine = profile(_boxed(long_pdf, box_pdf, "p"), ["doc_id", "level"], "p", F.col("ang")).select(F.lit("pdf").alias("side"), "*").crossJoin(F.broadcast(hyps.select("hyp_id")))
+    other = profile(turned, ["doc_id", "level", "hyp_id"], "", geom.angle180(geom.seg())).select(F.lit("svg").alias("side"), "*")
+    names, keys = ["side", "doc_id", "level", "hyp_id", "profile", "bin", "w"], ("doc_id", "level", "hyp_id", "profile")
+    # Written, as it is read four times: for both sides' products and their norms.
+    both = materialize(mine.select(*names).unionByName(other.select(*names)), "profiles")
+    c = profiles.xcorr(both, bins, keys=keys).withColumn("c", F.round("c", 9))
+    top = profiles.peak(c, *keys).groupBy("doc_id", "level", "hyp_id").pivot("profile", ["X", "Y"]).agg(F.first("shift").alias("shift"), F.first("peak").alias("peak"))
+    enough = long_pdf.groupBy("doc_id", "level").agg(F.count("*").alias("a")).join(long_svg.groupBy("doc_id", "level").agg(F.count("*").alias("b")), ["doc_id", "level"]).where(F.least("a", "b") >= least).select("doc_id", "level")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    top = top.join(enough, ["doc_id", "level"]).select("doc_id", "level", "hyp_id", F.coalesce("X_peak", F.lit(0.0)).alias("cx"), F.coalesce("Y_peak", F.lit(0.0)).alias("cy"), zero("X_shift").alias("kx"), zero("Y_shift").alias("ky"))
+    top = materialize(top, "peaks")
+    # Inliers depend on the hypothesis and its shift alone, which many levels share.
+    spot = ["doc_id", "hyp_id", "kx", "ky"]
+    there = _boxed(moved.join(top.select(*spot).distinct(), ["doc_id", "hyp_id"]), box_pdf, "p")
+    sx, sy, mid = F.col("pw") / F.col("w"), F.col("ph") / F.col("h"), ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    there = there.select(*spot, ((mid[0] - F.col("x0")) * sx + F.col("px0") + F.col("kx") * (F.col("pw") / bins)).alias("lx"), ((mid[1] - F.col("y0")) * sy + F.col("py0") + F.col("ky") * (F.col("ph") / bins)).alias("ly"), geom.norm((b[0] - a[0]) * sx, (b[1] - a[1]) * sy).alias("s_len"), geom.angle180(geom.Seg(a[0] * sx, a[1] * sy, b[0] * sx, b[1] * sy)).alias("s_ang"))
     here = pdf.select("doc_id", F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("len").alias("p_len"), F.col("ang").alias("p_ang"))
     ok = (geom.angle_gap(F.col("p_ang"), F.col("s_ang")) <= angle_tol) & (F.col("p_len") > 0) & (F.col("s_len") / F.col("p_len")).between(1 - len_tol, 1 + len_tol)
-    near = spatial.grid_join(there, here, dist_tol).where(ok).groupBy("doc_id", "level", "hyp_id").agg(F.sum(F.least("p_len", "s_len")).alias("near"))
-    total = there.groupBy("doc_id", "level", "hyp_id").agg(F.sum("s_len").alias("total"))
-    out = top.join(total, ["doc_id", "level", "hyp_id"]).join(near, ["doc_id", "level", "hyp_id"], "left").withColumn("inliers", F.coalesce("near", F.lit(0.0)) / F.col("total"))
-    out = out.withColumn("score", 0.4 * F.col("cx") + 0.4 * F.col("cy") + 0.2 * F.col("inliers"))
-    return out.join(F.broadcast(hyps), "hyp_id").select("doc_id", "level", "hyp_id", "rot", "flip", "cx", "cy", "dx", "dy", "inliers", "score")
-
-
-def _longest(feat: DataFrame, share: float) -> DataFrame:
-    """The longest share of each document, at least one; everything at a share of one, without a sort."""
-    if share >= 1:
-        return feat
-    from pyspark.sql import Window
-
-    n = feat.groupBy("doc_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_k"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("len"), "seg_id")
-    return feat.join(n, "doc_id").withColumn("_r", F.row_number().over(w)).where("_r <= _k").drop("_r", "_k")
+    near = spatial.grid_join(there, here, dist_tol).where(ok).groupBy(*spot).agg(F.sum(F.least("p_len", "s_len")).alias("near"))
+    total = there.groupBy(*spot).agg(F.sum("s_len").alias("total"))
+    inliers = total.join(near, spot, "left").withColumn("inliers", F.coalesce("near", F.lit(0.0)) / F.col("total"))
+    out = _boxed(_boxed(top.join(inliers, spot), box_svg, ""), box_pdf, "p").join(F.broadcast(hyps), "hyp_id")
+    score = weights[0] * F.col("cx") + weights[1] * F.col("cy") + weights[2] * F.col("inliers")
+    return out.select("doc_id", "level", "hyp_id", "rot", "flip", "cx", "cy", (F.col("kx") * (F.col("pw") / bins)).alias("dx"), (F.col("ky") * (F.col("ph") / bins)).alias("dy"), "inliers", score.alias("score"), sx.alias("sx"), sy.alias("sy"))
+
+
+def heatmap_shift(pdf: DataFrame, svg: DataFrame, *, size: int = 64) -> DataFrame:
+    """The fallback of the coarse search: the shift in cells of the largest circular product correlation of both sides'
+    heatmaps over their own boxes, without a turn or a flip: doc_id, kx, ky, score. ``pdf`` and ``svg`` have cx, cy. A
+    document's raster of size times size cells is all that one task holds."""
+    both = pdf.select("doc_id", F.lit("pdf").alias("side"), "x1", "y1", "x2", "y2", "cx", "cy").unionByName(svg.select("doc_id", F.lit("svg").alias("side"), "x1", "y1", "x2", "y2", "cx", "cy"))
+    from . import segments
+
+    cells = profiles.heatmap(both, segments.bbox(both, "doc_id", "side"), size)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        v = {side: np.zeros((size, size)) for side in ("pdf", "svg")}
+        for side, own in p.groupby("side"):
+            v[side][own.iy.to_numpy(int), own.ix.to_numpy(int)] = own.v.to_numpy(float)
+        kx, ky, top = raster.product_shift(v["pdf"], v["svg"])
+        return pd.DataFrame({"doc_id": [p.doc_id.iloc[0]], "kx": [kx], "ky": [ky], "score": [top]})
+
+    return cells.groupBy("doc_id").applyInPandas(run, "doc_id long, kx int, ky int, score double")
+
+
+def coarse_best(pdf: DataFrame, svg: DataFrame, **options: object) -> DataFrame:
+    """The best of ``coarse`` of each document over its own boxes, or the heatmaps' shift (level -1) where no level had
+    enough segments: doc_id, level, rot, flip, sx, sy, dx, dy, score and the boxes' columns."""
+    bp, bs = materialize(boxes(pdf), "boxes"), materialize(boxes(svg), "boxes")
+    got = materialize(best(coarse(pdf, svg, turns(pdf.sparkSession), bp, bs, **options), "score").select("doc_id", "level", "rot", "flip", "sx", "sy", "dx", "dy", "score"), "coarse")
+    lost = bp.join(bs.select("doc_id"), "doc_id").select("doc_id").join(got, "doc_id", "left_anti")
+    size = 64
+    rest = heatmap_shift(pdf.join(lost, "doc_id", "left_semi"), svg.join(lost, "doc_id", "left_semi"), size=size)
+    rest = _boxed(_boxed(rest, bs, ""), bp, "p").select("doc_id", F.lit(-1).alias("level"), F.lit(0).alias("rot"), F.lit("none").alias("flip"), (F.col("pw") / F.col("w")).alias("sx"), (F.col("ph") / F.col("h")).alias("sy"), (F.col("kx") * (F.col("pw") / size)).alias("dx"), (F.col("ky") * (F.col("ph") / size)).alias("dy"), "score")
+    return _boxed(_boxed(got.unionByName(rest), bs, ""), bp, "p")
+
+
+def coarse_moved(svg: DataFrame, found: DataFrame) -> DataFrame:
+    """The drawing's segments where the coarse search puts them on the page. ``found`` is what ``coarse_best`` gives."""
+    j = svg.join(found.drop("score", "level"), "doc_id")
+    box = [F.col(c) for c in ("x0", "y0", "w", "h")]
+    end = lambda x, y: geom.coarse_point(F.col(x), F.col(y), F.col("rot"), F.col("flip"), *box)
+    at = lambda p: ((p[0] - F.col("x0")) * F.col("sx") + F.col("px0") + F.col("dx"), (p[1] - F.col("y0")) * F.col("sy") + F.col("py0") + F.col("dy"))
+    (x1, y1), (x2, y2) = at(end("x1", "y1")), at(end("x2", "y2"))
+    return j.select(*[{"x1": x1, "y1": y1, "x2": x2, "y2": y2}[c].alias(c) if c in ("x1", "y1", "x2", "y2") else F.col(c) for c in ("doc_id", "side", "seg_id", "x1", "y1", "x2", "y2")])
 
 
 def page_alignment(pages: DataFrame) -> DataFrame:

@@ -318,13 +318,12 @@ def label_parse(spark: SparkSession, d: str) -> DataFrame:
     return rounded(derived.labels(spark, d).select("txt_id", "text", parse.label_value(t).alias("value"), parse.longest_number(t).alias("longest"), parse.loose_unit(t).alias("unit")), "value")
 
 
-@query(""", t AS (SELECT p_partkey, p_size, (['px', 'pt', 'cm', 'in', '%', 'mm'])[p_partkey % 6 + 1] AS u, (['m', 'cm', 'inch', 'yard', '0.5', 'MM'])[p_partkey % 6 + 1] AS mu FROM part)
-SELECT p_partkey, round(CASE u WHEN '%' THEN 0 ELSE p_size * CASE u WHEN 'px' THEN 1 WHEN 'pt' THEN 96e0 / 72e0 WHEN 'cm' THEN 96e0 / 2.54e0 WHEN 'in' THEN 96 ELSE 96e0 / 25.4e0 END END, 6) AS px, CASE mu WHEN 'm' THEN 1 WHEN 'cm' THEN 0.01e0 WHEN 'inch' THEN 0.0254e0 WHEN '0.5' THEN 0.5e0 WHEN 'MM' THEN 0.001e0 END AS metres FROM t""")
+@query(""", t AS (SELECT p_partkey, p_size, (['px', 'pt', 'cm', 'in', '%', 'mm'])[p_partkey % 6 + 1] AS u, (['m', 'cm', 'inch', 'yard', '0.5', 'MM', ' ', 'Decimetre', '-2', NULL])[p_partkey % 10 + 1] AS mu FROM part)
+SELECT p_partkey, round(CASE u WHEN '%' THEN 0 ELSE p_size * CASE u WHEN 'px' THEN 1 WHEN 'pt' THEN 96e0 / 72e0 WHEN 'cm' THEN 96e0 / 2.54e0 WHEN 'in' THEN 96 ELSE 96e0 / 25.4e0 END END, 6) AS px, CASE mu WHEN 'm' THEN 1 WHEN 'cm' THEN 0.01e0 WHEN 'inch' THEN 0.0254e0 WHEN '0.5' THEN 0.5e0 WHEN 'MM' THEN 0.001e0 WHEN 'Decimetre' THEN 0.1e0 WHEN 'yard' THEN NULL WHEN '-2' THEN NULL ELSE 1 END AS metres FROM t""")
 def unit_factor(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("p_partkey") % 6).cast("int")
-    pick = lambda *v: F.get(F.array(*map(F.lit, v)), k)
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("p_partkey") % len(v)).cast("int"))
     p = derived.read(spark, d, "part")
-    return rounded(p.select("p_partkey", parse.length_px(F.concat(F.col("p_size").cast("string"), pick("px", "pt", "cm", "in", "%", "mm"))).alias("px"), parse.unit_metres(pick("m", "cm", "inch", "yard", "0.5", "MM")).alias("metres")), "px")
+    return rounded(p.select("p_partkey", parse.length_px(F.concat(F.col("p_size").cast("string"), pick("px", "pt", "cm", "in", "%", "mm"))).alias("px"), parse.unit_metres(pick("m", "cm", "inch", "yard", "0.5", "MM", " ", "Decimetre", "-2", None)).alias("metres")), "px")
 
 
 @query("SELECT s_suppkey, round(CASE WHEN s_suppkey % 10 <> 0 THEN abs(s_acctbal - (s_suppkey % 10) * 500e0) / abs((s_suppkey % 10) * 500e0) * 100 END, 6) AS gap, coalesce(abs((s_suppkey % 10) * 500e0 - s_acctbal) <= 0.05e0 * greatest(abs((s_suppkey % 10) * 500e0), abs(s_acctbal)), false) AS near, abs(s_acctbal / 5000e0 - 1) > 0.02e0 AS uneven FROM supplier")
@@ -530,32 +529,39 @@ t0 AS (SELECT doc_id, seg_id, len, hyp_id, flip, x0, y0, w, h, CASE rot WHEN 90
   CASE rot WHEN 90 THEN y2 - y0 WHEN 180 THEN w - (x2 - x0) WHEN 270 THEN w - (y2 - y0) ELSE x2 - x0 END AS p2, CASE rot WHEN 90 THEN h - (x2 - x0) WHEN 180 THEN h - (y2 - y0) WHEN 270 THEN x2 - x0 ELSE y2 - y0 END AS q2 FROM fs, hyp, b),
 t1 AS (SELECT doc_id, seg_id, len, hyp_id, x0, y0, w, h, CASE flip WHEN 'x' THEN w - p1 ELSE p1 END + x0 AS x1, CASE flip WHEN 'y' THEN h - q1 ELSE q1 END + y0 AS y1, CASE flip WHEN 'x' THEN w - p2 ELSE p2 END + x0 AS x2, CASE flip WHEN 'y' THEN h - q2 ELSE q2 END + y0 AS y2 FROM t0),
 t2 AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM t1), t3 AS (SELECT *, CASE WHEN raw < 0 THEN raw + 180 WHEN raw >= 180 THEN raw - 180 ELSE raw END AS ang FROM t2),
-mv AS (SELECT *, CASE WHEN least(ang, 180 - ang) <= 2 AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= 2 THEN 'V' END AS axis FROM t3),
-pa AS (SELECT doc_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN (cx - 0e0) / 1000e0 ELSE (cy - 0e0) / 800e0 END)) * 64), 63)::INT AS bin, sum(len) AS w FROM fp WHERE axis IS NOT NULL GROUP BY ALL),
-pb AS (SELECT doc_id, hyp_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN ((x1 + x2) / 2 - x0) / w ELSE ((y1 + y2) / 2 - y0) / h END)) * 64), 63)::INT AS bin, sum(len) AS w FROM mv WHERE axis IS NOT NULL GROUP BY ALL),
-na AS (SELECT doc_id, profile, sqrt(sum(w * w)) AS n FROM pa GROUP BY ALL), nb AS (SELECT doc_id, hyp_id, profile, sqrt(sum(w * w)) AS n FROM pb GROUP BY ALL),
-cc AS (SELECT pb.doc_id, pb.hyp_id, pb.profile, pa.bin - pb.bin AS shift, sum(pa.w * pb.w) AS s FROM pa JOIN pb USING (doc_id, profile) GROUP BY ALL),
-pk AS (SELECT cc.doc_id, cc.hyp_id, cc.profile, shift, round(s / (na.n * nb.n), 9) AS c FROM cc JOIN na USING (doc_id, profile) JOIN nb USING (doc_id, hyp_id, profile) QUALIFY row_number() OVER (PARTITION BY cc.doc_id, cc.hyp_id, cc.profile ORDER BY round(s / (na.n * nb.n), 9) DESC, CASE WHEN shift >= 0 THEN shift ELSE shift + 1000000 END) = 1),
-top AS (SELECT doc_id, hyp_id, max(c) FILTER (profile = 'X') AS cx, max(c) FILTER (profile = 'Y') AS cy, max(shift) FILTER (profile = 'X') * (1000e0 / 64) AS dx, max(shift) FILTER (profile = 'Y') * (800e0 / 64) AS dy FROM pk GROUP BY ALL),
-sc AS (SELECT m.doc_id, m.hyp_id, ((x1 + x2) / 2 - x0) * (1000e0 / w) + 0e0 + dx AS lx, ((y1 + y2) / 2 - y0) * (800e0 / h) + 0e0 + dy AS ly, sqrt(pow((x2 - x1) * (1000e0 / w), 2) + pow((y2 - y1) * (800e0 / h), 2)) AS s_len, degrees(atan2(y2 * (800e0 / h) - y1 * (800e0 / h), x2 * (1000e0 / w) - x1 * (1000e0 / w))) AS sa FROM mv m JOIN top USING (doc_id, hyp_id)),
-nr AS (SELECT s.doc_id, s.hyp_id, sum(least(p.len, s_len)) AS near FROM sc s JOIN fp p USING (doc_id) WHERE sqrt((lx - p.cx) * (lx - p.cx) + (ly - p.cy) * (ly - p.cy)) <= 12 AND s_len / p.len BETWEEN 0.85e0 AND 1.15e0 AND least(abs(p.ang - (sa + 360) % 180), 180 - abs(p.ang - (sa + 360) % 180)) <= 6 GROUP BY ALL),
-tt AS (SELECT doc_id, hyp_id, sum(s_len) AS total FROM sc GROUP BY ALL),
-coarse AS (SELECT doc_id, hyp_id, rot, flip, cx, cy, dx, dy, coalesce(near, 0) / total AS inliers, 0.4e0 * cx + 0.4e0 * cy + 0.2e0 * (coalesce(near, 0) / total) AS score FROM top JOIN hyp USING (hyp_id) JOIN tt USING (doc_id, hyp_id) LEFT JOIN nr USING (doc_id, hyp_id))"""
+lv AS (SELECT *, si * 2 + ti AS level FROM (VALUES (0, 0.1e0), (1, 0.4e0), (2, 1e0)) a(si, share), (VALUES (0, 0.3e0), (1, 2e0)) b(ti, tol)),
+rp AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM fp),
+rs AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM fs),
+lp0 AS (SELECT level, doc_id, seg_id, tol FROM rp, lv WHERE r <= greatest(1, floor(n * share))), ls0 AS (SELECT level, doc_id, seg_id, tol FROM rs, lv WHERE r <= greatest(1, floor(n * share))),
+enough AS (SELECT doc_id, level FROM (SELECT doc_id, level, count(*) AS a FROM lp0 GROUP BY ALL) JOIN (SELECT doc_id, level, count(*) AS b FROM ls0 GROUP BY ALL) USING (doc_id, level) WHERE least(a, b) >= 4),
+mv AS (SELECT * FROM t3), lm AS (SELECT m.*, level, CASE WHEN least(ang, 180 - ang) <= tol AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= tol THEN 'V' END AS axis FROM t3 m JOIN ls0 USING (doc_id, seg_id)),
+lf AS (SELECT f.* EXCLUDE (axis), level, CASE WHEN least(ang, 180 - ang) <= tol AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= tol THEN 'V' END AS axis FROM fp f JOIN lp0 USING (doc_id, seg_id)),
+pa AS (SELECT doc_id, level, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN (cx - 0e0) / 1000e0 ELSE (cy - 0e0) / 800e0 END)) * 64), 63)::INT AS bin, sum(len) AS w FROM lf WHERE axis IS NOT NULL GROUP BY ALL),
+pb AS (SELECT doc_id, level, hyp_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN ((x1 + x2) / 2 - x0) / w ELSE ((y1 + y2) / 2 - y0) / h END)) * 64), 63)::INT AS bin, sum(len) AS w FROM lm WHERE axis IS NOT NULL GROUP BY ALL),
+na AS (SELECT doc_id, level, profile, sqrt(sum(w * w)) AS n FROM pa GROUP BY ALL), nb AS (SELECT doc_id, level, hyp_id, profile, sqrt(sum(w * w)) AS n FROM pb GROUP BY ALL),
+cc AS (SELECT pb.doc_id, pb.level, pb.hyp_id, pb.profile, pa.bin - pb.bin AS shift, sum(pa.w * pb.w) AS s FROM pa JOIN pb USING (doc_id, level, profile) GROUP BY ALL),
+pk AS (SELECT cc.doc_id, cc.level, cc.hyp_id, cc.profile, shift, round(s / (na.n * nb.n), 9) AS c FROM cc JOIN na USING (doc_id, level, profile) JOIN nb USING (doc_id, level, hyp_id, profile) QUALIFY row_number() OVER (PARTITION BY cc.doc_id, cc.level, cc.hyp_id, cc.profile ORDER BY round(s / (na.n * nb.n), 9) DESC, CASE WHEN shift >= 0 THEN shift ELSE shift + 1000000 END) = 1),
+top AS (SELECT doc_id, level, hyp_id, coalesce(max(c) FILTER (profile = 'X'), 0) AS cx, coalesce(max(c) FILTER (profile = 'Y'), 0) AS cy, coalesce(max(shift) FILTER (profile = 'X'), 0) * (1000e0 / 64) AS dx, coalesce(max(shift) FILTER (profile = 'Y'), 0) * (800e0 / 64) AS dy FROM pk JOIN enough USING (doc_id, level) GROUP BY ALL),
+sp AS (SELECT DISTINCT doc_id, hyp_id, dx, dy FROM top),
+sc AS (SELECT m.doc_id, m.hyp_id, dx, dy, ((x1 + x2) / 2 - x0) * (1000e0 / w) + 0e0 + dx AS lx, ((y1 + y2) / 2 - y0) * (800e0 / h) + 0e0 + dy AS ly, sqrt(pow((x2 - x1) * (1000e0 / w), 2) + pow((y2 - y1) * (800e0 / h), 2)) AS s_len, degrees(atan2(y2 * (800e0 / h) - y1 * (800e0 / h), x2 * (1000e0 / w) - x1 * (1000e0 / w))) AS sa FROM mv m JOIN sp USING (doc_id, hyp_id)),
+nr AS (SELECT s.doc_id, s.hyp_id, dx, dy, sum(least(p.len, s_len)) AS near FROM sc s JOIN fp p USING (doc_id) WHERE sqrt((lx - p.cx) * (lx - p.cx) + (ly - p.cy) * (ly - p.cy)) <= 12 AND s_len / p.len BETWEEN 0.85e0 AND 1.15e0 AND least(abs(p.ang - (sa + 360) % 180), 180 - abs(p.ang - (sa + 360) % 180)) <= 6 GROUP BY ALL),
+tt AS (SELECT doc_id, hyp_id, dx, dy, sum(s_len) AS total FROM sc GROUP BY ALL),
+coarse AS (SELECT doc_id, level, hyp_id, rot, flip, cx, cy, dx, dy, coalesce(near, 0) / total AS inliers, 0.4e0 * cx + 0.4e0 * cy + 0.2e0 * (coalesce(near, 0) / total) AS score FROM top JOIN hyp USING (hyp_id) JOIN tt USING (doc_id, hyp_id, dx, dy) LEFT JOIN nr USING (doc_id, hyp_id, dx, dy))"""
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
-    return hypotheses.coarse(feat(spark, d, "pdf"), feat(spark, d, "svg"), hypotheses.turns(spark), (0.0, 0.0, W, H), (derived.TX, derived.TY, SW, SH))
+    return hypotheses.coarse(feat(spark, d, "pdf"), feat(spark, d, "svg"), hypotheses.turns(spark), (0.0, 0.0, W, H), (derived.TX, derived.TY, SW, SH), shares=(0.1, 0.4, 1.0), tols=(0.3, 2.0))
 
 
-@query(", " + _COARSE + " SELECT doc_id, hyp_id, rot, flip, round(cx, 6) AS cx, round(cy, 6) AS cy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(inliers, 5) AS inliers, round(score, 5) AS score FROM coarse")
+@query(", " + _COARSE + " SELECT doc_id, level, hyp_id, rot, flip, round(cx, 6) AS cx, round(cy, 6) AS cy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(inliers, 5) AS inliers, round(score, 5) AS score FROM coarse")
 def coarse_hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    c = _coarse(spark, d).drop("level")
+    c = _coarse(spark, d).drop("sx", "sy")
     return rounded(rounded(c, "cx", "cy", "dx", "dy"), "inliers", "score", digits=5)
 
 
-@query(", " + _COARSE + " SELECT doc_id, hyp_id, rot, flip, round(dx, 6) AS dx, round(dy, 6) AS dy FROM coarse QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, hyp_id) = 1")
+@query(", " + _COARSE + " SELECT doc_id, level, hyp_id, rot, flip, round(dx, 6) AS dx, round(dy, 6) AS dy FROM coarse QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, level, hyp_id) = 1")
 def coarse_best(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hypotheses.best(_coarse(spark, d).drop("level"), "score").select("doc_id", "hyp_id", "rot", "flip", "dx", "dy"), "dx", "dy")
+    return rounded(hypotheses.best(_coarse(spark, d), "score").select("doc_id", "level", "hyp_id", "rot", "flip", "dx", "dy"), "dx", "dy")
 
 
 @query("SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, regexp_matches(html, '<(text|tspan|flowRoot|flowPara)[\\s>/]') AS has_text FROM pages")
@@ -621,18 +627,24 @@ def match_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def match_report(spark: SparkSession, d: str) -> DataFrame:
-    return match.report(_matches(spark, d), _truth(spark, d))
+    return match.report(_matches(spark, d), _truth(spark, d), derived.pages(spark, d))
 
 
-@query(""", m AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS line, axis, len FROM fp WHERE axis IS NOT NULL AND doc_id % 2 = 0 QUALIFY line <= 3),
-s AS (SELECT doc_id, line FROM (SELECT DISTINCT doc_id FROM pdf), (SELECT unnest([1, 2, 3, 4, 5]) AS line))
-SELECT s.doc_id, s.line::INT AS line, coalesce(axis, '') AS axis, coalesce(printf('%.4f', len), '') AS pdf_len, CASE WHEN seg_id IS NULL THEN 'missing' WHEN seg_id % 10 = 0 THEN 'no match' ELSE '' END AS notes FROM s LEFT JOIN m USING (doc_id, line)""")
+@query(""", m AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS id, axis, len FROM fp WHERE axis IS NOT NULL QUALIFY id <= 4),
+s AS (SELECT doc_id, id FROM (SELECT DISTINCT doc_id FROM pdf), (SELECT unnest([1, 2, 3, 4, 5]) AS id)),
+v AS (SELECT s.doc_id, s.id, axis, len, seg_id, CASE WHEN seg_id % 10 <> 0 THEN len * 1.02e0 END AS sl, CASE axis WHEN 'H' THEN 1.012e0 WHEN 'V' THEN 0.993e0 END AS e FROM s LEFT JOIN m USING (doc_id, id))
+SELECT doc_id, 'doc_' || doc_id AS pdf_file, '0' AS page_index, '0' AS rot_deg, '1.01200' AS sx, '0.99300' AS sy, '4.200' AS tx, '-5.600' AS ty, '' AS score, '' AS rmse, '' AS p95, '' AS median, '' AS calibration_notes, 'none' AS flip_xy,
+  '7.000' AS shift_abs, printf('%.3f', sqrt(1012e0 * 1012e0 + 794.4e0 * 794.4e0) * 0.002e0) AS shift_tol_px, 'auto (0.2% diag, ≥0.5px)' AS shift_tol_source, '' AS scale_tol_rel, 'Bounds: trans≤' || printf('%.3f', sqrt(1012e0 * 1012e0 + 794.4e0 * 794.4e0) * 0.002e0) || 'px (auto)' AS bounds,
+  id::VARCHAR AS id, coalesce(axis, '') AS axis, coalesce(printf('%.3f', len), '') AS pdf_len, coalesce(printf('%.3f', sl), '') AS svg_len, coalesce(printf('%.4f', sl / len), '') AS ratio, coalesce(printf('%.4f', e), '') AS axis_scale_expected, coalesce(printf('%.4f', abs(sl / len - e) / e), '') AS rel_error,
+  CASE WHEN sl IS NULL THEN '' WHEN axis = 'H' THEN '1' ELSE '0' END AS pass01, CASE WHEN seg_id IS NULL THEN '' WHEN sl IS NULL THEN '0.000' WHEN seg_id % 3 = 0 THEN '0.250' ELSE '0.900' END AS confidence,
+  CASE WHEN seg_id IS NULL THEN 'missing match entry' WHEN sl IS NULL THEN 'no match' WHEN seg_id % 3 = 0 THEN 'low confidence' ELSE '' END AS notes FROM v""")
 def report_slots(spark: SparkSession, d: str) -> DataFrame:
-    f = segments.top_absolute(feat(spark, d, "pdf").where("axis is not null and doc_id % 2 = 0"), 3, "doc_id")
-    hit = F.col("seg_id") % 10 != 0
-    none = F.lit(None).cast("double")
-    m = f.select("doc_id", F.col("rank").cast("int").alias("pick"), "axis", "seg_id", F.when(hit, F.col("seg_id")).alias("s_id"), F.when(hit, 0.5).alias("cost"), F.when(hit, 0.9).otherwise(F.lit(0.0)).alias("confidence"), F.col("len").alias("pdf_len"), none.alias("svg_len"), none.alias("rel_error"), F.lit(None).cast("int").alias("pass01"))
-    return match.report(m, _truth(spark, d)).select("doc_id", "line", "axis", "pdf_len", "notes")
+    """All columns of the report over made-up matches: four of five slots, some of them unmatched or unsure."""
+    f = segments.top_absolute(feat(spark, d, "pdf").where("axis is not null"), 4, "doc_id")
+    hit, k = F.col("seg_id") % 10 != 0, F.col("seg_id")
+    sure = F.when(~hit, 0.0).when(k % 3 == 0, 0.25).otherwise(0.9)
+    m = f.select("doc_id", F.col("rank").cast("int").alias("pick"), "axis", "seg_id", F.when(hit, k).alias("s_id"), F.when(hit, 0.5).alias("cost"), sure.alias("confidence"), F.col("len").alias("pdf_len"), F.when(hit, F.col("len") * 1.02).alias("svg_len"), F.lit(None).cast("double").alias("rel_error"), F.when(hit, (F.col("axis") == "H").cast("int")).alias("pass01"))
+    return match.report(m, _truth(spark, d), derived.pages(spark, d))
 
 
 @query()

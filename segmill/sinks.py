@@ -11,7 +11,7 @@ from segmill.functions import geom
 def write_report(report: DataFrame, path: str, *, single: bool = False) -> None:
     """CSV with a header, in the order of document and line; one file only if that is the wish, for small reports."""
     df = report.coalesce(1) if single else report
-    df.sortWithinPartitions("doc_id", "line").write.mode("overwrite").option("header", True).csv(path)
+    df.sortWithinPartitions("doc_id", "id").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_segments(segs: DataFrame, path: str) -> None:

@@ -32,6 +32,11 @@ def length(s: Seg) -> Column:
     return norm(s.x2 - s.x1, s.y2 - s.y1)
 
 
+def length_eps(s: Seg, eps: float = 1e-9) -> Column:
+    """A length that is safe to divide by."""
+    return length(s) + eps
+
+
 def angle(s: Seg) -> Column:
     """Direction in degrees, -180 to 180."""
     return F.degrees(F.atan2(s.y2 - s.y1, s.x2 - s.x1))
@@ -182,6 +187,14 @@ def coarse_point(x: Column, y: Column, rot: Column, flip: Column, x0: Column, y0
     return F.when(flip == "x", w - p).otherwise(p) + x0, F.when(flip == "y", h - q).otherwise(q) + y0
 
 
+def coarse_vector(u: Column, v: Column, rot: Column, flip: Column) -> tuple[Column, Column]:
+    """What the coarse convention makes of the difference of two points."""
+    r = F.pmod(rot, F.lit(360))
+    p = F.when(r == 90, v).when(r == 180, -u).when(r == 270, -v).otherwise(u)
+    q = F.when(r == 90, -u).when(r == 180, -v).when(r == 270, u).otherwise(v)
+    return F.when(flip == "x", -p).otherwise(p), F.when(flip == "y", -q).otherwise(q)
+
+
 def affine_of_points(p0: tuple[Column, Column], px: tuple[Column, Column], py: tuple[Column, Column]) -> Affine:
     """The map that sends (0, 0), (1, 0) and (0, 1) to the three points."""
     return Affine(px[0] - p0[0], px[1] - p0[1], py[0] - p0[0], py[1] - p0[1], p0[0], p0[1])

@@ -67,11 +67,11 @@ def patient(hyps: DataFrame, patience: int) -> DataFrame:
     return h.withColumn("_stopped", F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_stopped = 0").select(*hyps.columns)
 
 
-def scored(hyps: DataFrame, points: DataFrame, svg: DataFrame, *, sigma: float, hard: float, full: bool = False) -> DataFrame:
+def scored(hyps: DataFrame, points: DataFrame, svg: DataFrame | None, *, sigma: float, hard: float, full: bool = False, cells: DataFrame | None = None, hashed: bool = False) -> DataFrame:
     """Each hypothesis with its chamfer score over the sample points (doc_id, seg_id, i, px, py), ``full`` with residuals."""
     m = points.join(hyps, "doc_id").select("doc_id", "hyp_id", "seg_id", "i", (F.col("fx") * F.col("sx") * F.col("px") + F.col("tx")).alias("px"), (F.col("fy") * F.col("sy") * F.col("py") + F.col("ty")).alias("py"))
     stats = segments.residuals if full else segments.chamfer
-    return hyps.join(stats(spatial.nearest(m, svg, hard), "doc_id", "hyp_id", sigma=sigma, hard=hard), ["doc_id", "hyp_id"])
+    return hyps.join(stats(spatial.nearest(m, svg, hard, cells=cells, hashed=hashed), "doc_id", "hyp_id", sigma=sigma, hard=hard), ["doc_id", "hyp_id"])
 
 
 def best(hyps: DataFrame) -> DataFrame:
@@ -96,7 +96,8 @@ def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, k
     caps. Draws are judged as a search in their order would that stops after ``patience`` of them without a better one. Coarse
     scores use ``points`` sample points a document; the last ones use all that the sampling step gives."""
     sample = materialize(_sample(pdf, points), "sample")
-    target = materialize(svg.select("doc_id", "x1", "y1", "x2", "y2"), "target")
+    cells = materialize(spatial.cover(svg, hard), "target")
+    look = {"sigma": sigma, "hard": hard, "cells": cells, "hashed": spatial.hashable(cells)}
     drawn = materialize(draw(pdf, svg, iters=iters, keep=keep, seed=seed), "drawn")
     hyps = within(drawn, seeds, scale=scale, shift=shift)
     if widen:
@@ -105,11 +106,11 @@ def fit(pdf: DataFrame, svg: DataFrame, seeds: DataFrame, *, iters: int = 120, k
     # The seed itself takes part, so that a document with poor draws has something to refine.
     own = seeds.select("doc_id", F.lit(-1).alias("hyp_id"), F.lit(1).alias("fx"), F.lit(1).alias("fy"), F.col("sx0").alias("sx"), F.col("sy0").alias("sy"), F.col("tx0").alias("tx"), F.col("ty0").alias("ty"))
     # Each round's one row a document is written, as the next round uses it more than once.
-    first = scored(hyps.unionByName(own), sample, target, sigma=sigma, hard=hard)
+    first = scored(hyps.unionByName(own), sample, None, **look)
     model = materialize(best(patient(first, patience)), "model")
     for a, b in rounds:
-        model = materialize(best(scored(lattice(model, scale_step=a, shift_step=b), sample, target, sigma=sigma, hard=hard)), "model")
-    last = scored(model.select("doc_id", F.lit(0).alias("hyp_id"), "fx", "fy", "sx", "sy", "tx", "ty"), segments.sample_steps(pdf, 40.0), target, sigma=sigma, hard=hard, full=True)
+        model = materialize(best(scored(lattice(model, scale_step=a, shift_step=b), sample, None, **look)), "model")
+    last = scored(model.select("doc_id", F.lit(0).alias("hyp_id"), "fx", "fy", "sx", "sy", "tx", "ty"), segments.sample_steps(pdf, 40.0), None, full=True, **look)
     notes = F.filter(F.array(F.when(F.col("rmse") > max_rmse, "rmse"), F.when(F.col("score") < min_score, "score")), lambda n: n.isNotNull())
     return last.select("doc_id", "fx", "fy", "sx", "sy", "tx", "ty", "score", "rmse", "p95", "median", notes.alias("quality_notes"))
 

@@ -128,24 +128,22 @@ def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataF
     they follow an axis) and each hypothesis the profiles' correlations cx, cy, the scale by boxes, the shift in bins and
     the inliers of all segments; score = weighted sum. Levels with fewer than ``least`` segments on a side are left out.
     Sides have len and ang."""
-    s = _boxed(svg, box_svg, "")
     lits = [F.col(c) for c in ("x0", "y0", "w", "h")]
-    moved = s.crossJoin(F.broadcast(hyps))
-    a = geom.coarse_point(F.col("x1"), F.col("y1"), F.col("rot"), F.col("flip"), *lits)
-    b = geom.coarse_point(F.col("x2"), F.col("y2"), F.col("rot"), F.col("flip"), *lits)
-
-    def profile(d: DataFrame, keys: list[str], box: str, ang: Column) -> DataFrame:
-        cx, cy = geom.center(geom.seg())
-        axis = geom.axis(ang, F.col("tol"))
-        hz = F.col("axis") == "H"
-        t = F.when(hz, (cx - F.col(box + "x0")) / F.col(box + "w")).otherwise((cy - F.col(box + "y0")) / F.col(box + "h"))
-        k = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * bins), F.lit(bins - 1)).cast("int")
-        return d.withColumn("axis", axis).where("axis is not null").groupBy(*keys, F.when(hz, "X").otherwise("Y").alias("profile"), k.alias("bin")).agg(F.sum("len").alias("w"))
+    turned = F.col("rot") % 180 == 90
 
-    long_pdf, long_svg = (_levels(d.select("doc_id", "seg_id", "x1", "y1", "x2", "y2", "len", "ang"), shares, tols) for d in (pdf, svg))
-    turned = _boxed(long_svg, box_svg, "").crossJoin(F.broadcast(hyps)).select("doc_id", "level", "tol", "hyp_id", "len", *lits, a[0].alias("_x1"), a[1].alias("_y1"), b[0].alias("_x2"), b[1].alias("_y2")).withColumnsRenamed({f"_{c}": c for c in ("x1", "y1", "x2", "y2")})
-    mine = profile(_boxed(long_pdf, box_pdf, "p"), ["doc_id", "level"], "p", F.col("ang")).select(F.lit("pdf").alias("side"), "*").crossJoin(F.broadcast(hyps.select("hyp_id")))
-    other = profile(turned, ["doc_id", "level", "hyp_id"], "", geom.angle180(geom.seg())).select(F.lit("svg").alias("side"), "*")
+    def profile(d: DataFrame, keys: list[str], box: str, hz: Column) -> DataFrame:
+        t = F.when(hz, (F.col("mx") - F.col(box + "x0")) / F.col(box + "w")).otherwise((F.col("my") - F.col(box + "y0")) / F.col(box + "h"))
+        k = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * bins), F.lit(bins - 1)).cast("int")
+        return d.groupBy(*keys, F.when(hz, "X").otherwise("Y").alias("profile"), k.alias("bin")).agg(F.sum("len").alias("w"))
+
+    # A quarter turn makes upright segments level ones and the other way round; flips and half turns leave them.
+    long_pdf, long_svg = (_levels(d.select("doc_id", "seg_id", "cx", "cy", "len", "ang"), shares, tols).withColumn("axis", geom.axis(F.col("ang"), F.col("tol"))) for d in (pdf, svg))
+    flat = F.col("axis") == "H"
+    mine = _boxed(long_pdf.where("axis is not null"), box_pdf, "p").withColumns({"mx": F.col("cx"), "my": F.col("cy")})
+    mine = profile(mine, ["doc_id", "level"], "p", flat).select(F.lit("pdf").alias("side"), "*").crossJoin(F.broadcast(hyps.select("hyp_id")))
+    mid = geom.coarse_point(F.col("cx"), F.col("cy"), F.col("rot"), F.col("flip"), *lits)
+    other = _boxed(long_svg.where("axis is not null"), box_svg, "").crossJoin(F.broadcast(hyps)).withColumns({"mx": mid[0], "my": mid[1]})
+    other = profile(other, ["doc_id", "level", "hyp_id"], "", flat != turned).select(F.lit("svg").alias("side"), "*")
     names, keys = ["side", "doc_id", "level", "hyp_id", "profile", "bin", "w"], ("doc_id", "level", "hyp_id", "profile")
     # Written, as it is read four times: for both sides' products and their norms.
     both = materialize(mine.select(*names).unionByName(other.select(*names)), "profiles")
@@ -157,9 +155,11 @@ def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataF
     top = materialize(top, "peaks")
     # Inliers depend on the hypothesis and its shift alone, which many levels share.
     spot = ["doc_id", "hyp_id", "kx", "ky"]
-    there = _boxed(moved.join(top.select(*spot).distinct(), ["doc_id", "hyp_id"]), box_pdf, "p")
-    sx, sy, mid = F.col("pw") / F.col("w"), F.col("ph") / F.col("h"), ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
-    there = there.select(*spot, ((mid[0] - F.col("x0")) * sx + F.col("px0") + F.col("kx") * (F.col("pw") / bins)).alias("lx"), ((mid[1] - F.col("y0")) * sy + F.col("py0") + F.col("ky") * (F.col("ph") / bins)).alias("ly"), geom.norm((b[0] - a[0]) * sx, (b[1] - a[1]) * sy).alias("s_len"), geom.angle180(geom.Seg(a[0] * sx, a[1] * sy, b[0] * sx, b[1] * sy)).alias("s_ang"))
+    u, v = geom.coarse_vector(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("rot"), F.col("flip"))
+    sx, sy = F.col("pw") / F.col("w"), F.col("ph") / F.col("h")
+    there = svg.select("doc_id", "x1", "y1", "x2", "y2", "cx", "cy").join(top.select(*spot).distinct().join(F.broadcast(hyps), "hyp_id"), "doc_id")
+    there = _boxed(_boxed(there, box_svg, ""), box_pdf, "p").withColumns({"mx": mid[0], "my": mid[1], "u": u * sx, "v": v * sy})
+    there = there.select(*spot, ((F.col("mx") - F.col("x0")) * sx + F.col("px0") + F.col("kx") * (F.col("pw") / bins)).alias("lx"), ((F.col("my") - F.col("y0")) * sy + F.col("py0") + F.col("ky") * (F.col("ph") / bins)).alias("ly"), geom.norm(F.col("u"), F.col("v")).alias("s_len"), geom.angle180(geom.Seg(F.lit(0.0), F.lit(0.0), F.col("u"), F.col("v"))).alias("s_ang"))
     here = pdf.select("doc_id", F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("len").alias("p_len"), F.col("ang").alias("p_ang"))
     ok = (geom.angle_gap(F.col("p_ang"), F.col("s_ang")) <= angle_tol) & (F.col("p_len") > 0) & (F.col("s_len") / F.col("p_len")).between(1 - len_tol, 1 + len_tol)
     near = spatial.grid_join(there, here, dist_tol).where(ok).groupBy(*spot).agg(F.sum(F.least("p_len", "s_len")).alias("near"))

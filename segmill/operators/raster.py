@@ -110,17 +110,44 @@ def distance_quality(svg: DataFrame, samples: DataFrame, *, size: int, w: float,
 
 
 def distance_map(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of each pixel from the nearest set one (infinite if none is): by rows, then by columns."""
-    inf = np.inf
+    """Exact Euclidean distance of each pixel from the nearest set one (infinite if none is): within columns first, then
+    over the columns, one at a time, so that memory is that of a few rasters."""
     rows, cols = mask.shape
-    d = np.where(mask, 0.0, inf)
+    d = np.where(mask, 0.0, np.inf)
     for r in range(1, rows):  # within columns, downwards and upwards
         d[r] = np.minimum(d[r], d[r - 1] + 1)
     for r in range(rows - 2, -1, -1):
         d[r] = np.minimum(d[r], d[r + 1] + 1)
-    q = d * d
-    c = np.arange(cols)
-    return np.sqrt(np.min(q[:, None, :] + ((c[:, None] - c[None, :]) ** 2)[None], axis=2))
+    q, at = d * d, np.arange(cols)
+    out = np.full_like(q, np.inf)
+    for c in range(cols):
+        np.minimum(out, q[:, c : c + 1] + (at - c) ** 2, out=out)
+    return np.sqrt(out)
+
+
+def distance_maps(px: DataFrame, rows: int, cols: int) -> DataFrame:
+    """``distance_map`` of each document's set pixels (doc_id, row, col) as rows doc_id, row, col, d. A document's raster is
+    all that one task holds."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((rows, cols), bool)
+        mask[p.row.to_numpy(int), p.col.to_numpy(int)] = True
+        r, c = np.indices((rows, cols))
+        return pd.DataFrame({"doc_id": p.doc_id.iloc[0], "row": r.ravel(), "col": c.ravel(), "d": distance_map(mask).ravel()})
+
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    return px.where(inside).select("doc_id", "row", "col").groupBy("doc_id").applyInPandas(run, "doc_id long, row long, col long, d double")
+
+
+def resizes(px: DataFrame, rows: int, cols: int, to_rows: int, to_cols: int) -> DataFrame:
+    """``resized`` of each document's raster (doc_id, row, col, val; pixels without a row are 0)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        v = resized(_dense(p, (rows, cols)), to_rows, to_cols)
+        r, c = np.indices(v.shape)
+        return pd.DataFrame({"doc_id": p.doc_id.iloc[0], "row": r.ravel(), "col": c.ravel(), "val": v.ravel()})
+
+    return px.select("doc_id", "row", "col", "val").groupBy("doc_id").applyInPandas(run, "doc_id long, row long, col long, val double")
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:

@@ -58,14 +58,31 @@ def cell_size(segs: DataFrame, *, per_cell: float = 40.0, keys: tuple[str, ...]
     return box.select(*keys, (side / 32 / F.pow(F.lit(2.0), F.least(need, F.lit(halvings)))).alias("cell"))
 
 
-def nearest(points: DataFrame, segs: DataFrame, hard: float, *, keys: tuple[str, ...] = ("doc_id",), px: str = "px", py: str = "py") -> DataFrame:
-    """``points`` with ``d``, the distance of the nearest segment, at most ``hard``. Points carry a column ``pt_id`` that is
-    unique within their keys. Segments are put into every cell that their box, widened by ``hard``, covers, so a point
-    looks into its own cell only."""
-    cells = covered_cells(segs.select(*keys, "x1", "y1", "x2", "y2"), geom.seg(), hard, hard)
+def cover(segs: DataFrame, hard: float, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The segments in every cell that has a point within ``hard`` of them: what ``nearest`` looks into."""
+    return covered_cells(segs.select(*keys, "x1", "y1", "x2", "y2"), geom.seg(), hard, hard)
+
+
+#: Rows of a cell up to which the cells of a task are held in memory while points stream by.
+CELL_ROWS = 50_000
+
+
+def hashable(cells: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> bool:
+    """Whether no cell of ``cover`` is so full that it must not be held in memory."""
+    most = cells.groupBy(*keys, "_gx", "_gy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= CELL_ROWS
+
+
+def nearest(points: DataFrame, segs: DataFrame | None, hard: float, *, keys: tuple[str, ...] = ("doc_id",), px: str = "px", py: str = "py", cells: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+    """``points`` with ``d``, the distance of the nearest segment, at most ``hard``. Equal points are one row. A point looks
+    into its own cell only. Where the same segments are looked into again and again, give ``cells`` (written, from
+    ``cover``), and ``hashed`` if they are ``hashable``: then points aren't sorted for the join."""
+    cells = cover(segs, hard, keys) if cells is None else cells
+    cells = cells.hint("shuffle_hash") if hashed else cells
     p = points.withColumn("_gx", _cell(F.col(px), hard)).withColumn("_gy", _cell(F.col(py), hard))
     d = geom.point_to_segment(F.col(px), F.col(py), geom.seg())
-    got = p.join(cells, [*keys, "_gx", "_gy"], "left").groupBy(*points.columns).agg(F.min(d).alias("d"))
+    # Grouped by the cell as well, as which the join has dealt the rows out, so that they needn't be dealt out again.
+    got = p.join(cells, [*keys, "_gx", "_gy"], "left").groupBy(*points.columns, "_gx", "_gy").agg(F.min(d).alias("d")).drop("_gx", "_gy")
     return got.withColumn("d", F.coalesce(F.least(F.col("d"), F.lit(hard)), F.lit(hard)))
 
 

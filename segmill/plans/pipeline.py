@@ -51,7 +51,7 @@ def verified(models: DataFrame, pdf: DataFrame, svg: DataFrame, pages: DataFrame
     unit = lambda df, cols: df.join(page, "doc_id").withColumns({c: F.col(c) / F.col("_w" if "x" in c else "_h") for c in cols})
     p = segments.sample_inside(pdf, int(cfg["verify"]["distmap_samples"])).select("doc_id", "px", "py").join(models.select("doc_id", "fx", "fy", "sx", "sy", "tx", "ty"), "doc_id")
     p = p.select("doc_id", (F.col("fx") * F.col("sx") * F.col("px") + F.col("tx")).alias("px"), (F.col("fy") * F.col("sy") * F.col("py") + F.col("ty")).alias("py"))
-    q = raster.distance_quality(unit(svg.select("doc_id", "x1", "y1", "x2", "y2"), ("x1", "y1", "x2", "y2")), unit(p, ("px", "py")), size=size, w=1.0, h=1.0, hard=size / 8.0)
+    q = raster.distance_quality(unit(svg.select("doc_id", "x1", "y1", "x2", "y2"), ("x1", "y1", "x2", "y2")), unit(p, ("px", "py")), size=size, w=1.0, h=1.0, hard=size / 16.0)
     return models.drop("rmse", "p95", "median", "score").join(q.select("doc_id", "rmse", "p95", "median", "score"), "doc_id")
 
 

@@ -11,6 +11,7 @@ from segmill.functions import geom, parse
 from segmill.operators import fit, hypotheses, labels, match, profiles, raster, segments, spatial
 from segmill.plans import pipeline
 from segmill.plans import preprocess as preprocess_
+from segmill.plans import scan
 from segmill.sources import content, derived, svg
 from segmill.streaming import incremental
 
@@ -526,8 +527,9 @@ def orientation_best(spark: SparkSession, d: str) -> DataFrame:
 _COARSE = """hyp AS (SELECT * FROM (VALUES (0, 0, 'none'), (1, 0, 'x'), (2, 0, 'y'), (3, 90, 'none'), (4, 90, 'x'), (5, 90, 'y'), (6, 180, 'none'), (7, 180, 'x'), (8, 180, 'y'), (9, 270, 'none'), (10, 270, 'x'), (11, 270, 'y')) h(hyp_id, rot, flip)),
 b AS (SELECT 4.2e0 AS x0, -5.6e0 AS y0, 1000e0 * 1.012e0 AS w, 800e0 * 0.993e0 AS h),
 t0 AS (SELECT doc_id, seg_id, len, hyp_id, flip, x0, y0, w, h, CASE rot WHEN 90 THEN y1 - y0 WHEN 180 THEN w - (x1 - x0) WHEN 270 THEN w - (y1 - y0) ELSE x1 - x0 END AS p1, CASE rot WHEN 90 THEN h - (x1 - x0) WHEN 180 THEN h - (y1 - y0) WHEN 270 THEN x1 - x0 ELSE y1 - y0 END AS q1,
+  CASE rot WHEN 90 THEN cy - y0 WHEN 180 THEN w - (cx - x0) WHEN 270 THEN w - (cy - y0) ELSE cx - x0 END AS pm, CASE rot WHEN 90 THEN h - (cx - x0) WHEN 180 THEN h - (cy - y0) WHEN 270 THEN cx - x0 ELSE cy - y0 END AS qm,
   CASE rot WHEN 90 THEN y2 - y0 WHEN 180 THEN w - (x2 - x0) WHEN 270 THEN w - (y2 - y0) ELSE x2 - x0 END AS p2, CASE rot WHEN 90 THEN h - (x2 - x0) WHEN 180 THEN h - (y2 - y0) WHEN 270 THEN x2 - x0 ELSE y2 - y0 END AS q2 FROM fs, hyp, b),
-t1 AS (SELECT doc_id, seg_id, len, hyp_id, x0, y0, w, h, CASE flip WHEN 'x' THEN w - p1 ELSE p1 END + x0 AS x1, CASE flip WHEN 'y' THEN h - q1 ELSE q1 END + y0 AS y1, CASE flip WHEN 'x' THEN w - p2 ELSE p2 END + x0 AS x2, CASE flip WHEN 'y' THEN h - q2 ELSE q2 END + y0 AS y2 FROM t0),
+t1 AS (SELECT doc_id, seg_id, len, hyp_id, x0, y0, w, h, CASE flip WHEN 'x' THEN w - pm ELSE pm END + x0 AS mx, CASE flip WHEN 'y' THEN h - qm ELSE qm END + y0 AS my, CASE flip WHEN 'x' THEN w - p1 ELSE p1 END + x0 AS x1, CASE flip WHEN 'y' THEN h - q1 ELSE q1 END + y0 AS y1, CASE flip WHEN 'x' THEN w - p2 ELSE p2 END + x0 AS x2, CASE flip WHEN 'y' THEN h - q2 ELSE q2 END + y0 AS y2 FROM t0),
 t2 AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM t1), t3 AS (SELECT *, CASE WHEN raw < 0 THEN raw + 180 WHEN raw >= 180 THEN raw - 180 ELSE raw END AS ang FROM t2),
 lv AS (SELECT *, si * 2 + ti AS level FROM (VALUES (0, 0.1e0), (1, 0.4e0), (2, 1e0)) a(si, share), (VALUES (0, 0.3e0), (1, 2e0)) b(ti, tol)),
 rp AS (SELECT doc_id, seg_id, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM fp),
@@ -537,13 +539,13 @@ enough AS (SELECT doc_id, level FROM (SELECT doc_id, level, count(*) AS a FROM l
 mv AS (SELECT * FROM t3), lm AS (SELECT m.*, level, CASE WHEN least(ang, 180 - ang) <= tol AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= tol THEN 'V' END AS axis FROM t3 m JOIN ls0 USING (doc_id, seg_id)),
 lf AS (SELECT f.* EXCLUDE (axis), level, CASE WHEN least(ang, 180 - ang) <= tol AND least(ang, 180 - ang) <= abs(ang - 90) THEN 'H' WHEN abs(ang - 90) <= tol THEN 'V' END AS axis FROM fp f JOIN lp0 USING (doc_id, seg_id)),
 pa AS (SELECT doc_id, level, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN (cx - 0e0) / 1000e0 ELSE (cy - 0e0) / 800e0 END)) * 64), 63)::INT AS bin, sum(len) AS w FROM lf WHERE axis IS NOT NULL GROUP BY ALL),
-pb AS (SELECT doc_id, level, hyp_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN ((x1 + x2) / 2 - x0) / w ELSE ((y1 + y2) / 2 - y0) / h END)) * 64), 63)::INT AS bin, sum(len) AS w FROM lm WHERE axis IS NOT NULL GROUP BY ALL),
+pb AS (SELECT doc_id, level, hyp_id, CASE axis WHEN 'H' THEN 'X' ELSE 'Y' END AS profile, least(floor(greatest(0e0, least(1e0, CASE axis WHEN 'H' THEN (mx - x0) / w ELSE (my - y0) / h END)) * 64), 63)::INT AS bin, sum(len) AS w FROM lm WHERE axis IS NOT NULL GROUP BY ALL),
 na AS (SELECT doc_id, level, profile, sqrt(sum(w * w)) AS n FROM pa GROUP BY ALL), nb AS (SELECT doc_id, level, hyp_id, profile, sqrt(sum(w * w)) AS n FROM pb GROUP BY ALL),
 cc AS (SELECT pb.doc_id, pb.level, pb.hyp_id, pb.profile, pa.bin - pb.bin AS shift, sum(pa.w * pb.w) AS s FROM pa JOIN pb USING (doc_id, level, profile) GROUP BY ALL),
 pk AS (SELECT cc.doc_id, cc.level, cc.hyp_id, cc.profile, shift, round(s / (na.n * nb.n), 9) AS c FROM cc JOIN na USING (doc_id, level, profile) JOIN nb USING (doc_id, level, hyp_id, profile) QUALIFY row_number() OVER (PARTITION BY cc.doc_id, cc.level, cc.hyp_id, cc.profile ORDER BY round(s / (na.n * nb.n), 9) DESC, CASE WHEN shift >= 0 THEN shift ELSE shift + 1000000 END) = 1),
 top AS (SELECT doc_id, level, hyp_id, coalesce(max(c) FILTER (profile = 'X'), 0) AS cx, coalesce(max(c) FILTER (profile = 'Y'), 0) AS cy, coalesce(max(shift) FILTER (profile = 'X'), 0) * (1000e0 / 64) AS dx, coalesce(max(shift) FILTER (profile = 'Y'), 0) * (800e0 / 64) AS dy FROM pk JOIN enough USING (doc_id, level) GROUP BY ALL),
 sp AS (SELECT DISTINCT doc_id, hyp_id, dx, dy FROM top),
-sc AS (SELECT m.doc_id, m.hyp_id, dx, dy, ((x1 + x2) / 2 - x0) * (1000e0 / w) + 0e0 + dx AS lx, ((y1 + y2) / 2 - y0) * (800e0 / h) + 0e0 + dy AS ly, sqrt(pow((x2 - x1) * (1000e0 / w), 2) + pow((y2 - y1) * (800e0 / h), 2)) AS s_len, degrees(atan2(y2 * (800e0 / h) - y1 * (800e0 / h), x2 * (1000e0 / w) - x1 * (1000e0 / w))) AS sa FROM mv m JOIN sp USING (doc_id, hyp_id)),
+sc AS (SELECT m.doc_id, m.hyp_id, dx, dy, (mx - x0) * (1000e0 / w) + 0e0 + dx AS lx, (my - y0) * (800e0 / h) + 0e0 + dy AS ly, sqrt(pow((x2 - x1) * (1000e0 / w), 2) + pow((y2 - y1) * (800e0 / h), 2)) AS s_len, degrees(atan2(y2 * (800e0 / h) - y1 * (800e0 / h), x2 * (1000e0 / w) - x1 * (1000e0 / w))) AS sa FROM mv m JOIN sp USING (doc_id, hyp_id)),
 nr AS (SELECT s.doc_id, s.hyp_id, dx, dy, sum(least(p.len, s_len)) AS near FROM sc s JOIN fp p USING (doc_id) WHERE sqrt((lx - p.cx) * (lx - p.cx) + (ly - p.cy) * (ly - p.cy)) <= 12 AND s_len / p.len BETWEEN 0.85e0 AND 1.15e0 AND least(abs(p.ang - (sa + 360) % 180), 180 - abs(p.ang - (sa + 360) % 180)) <= 6 GROUP BY ALL),
 tt AS (SELECT doc_id, hyp_id, dx, dy, sum(s_len) AS total FROM sc GROUP BY ALL),
 coarse AS (SELECT doc_id, level, hyp_id, rot, flip, cx, cy, dx, dy, coalesce(near, 0) / total AS inliers, 0.4e0 * cx + 0.4e0 * cy + 0.2e0 * (coalesce(near, 0) / total) AS score FROM top JOIN hyp USING (hyp_id) JOIN tt USING (doc_id, hyp_id, dx, dy) LEFT JOIN nr USING (doc_id, hyp_id, dx, dy))"""
@@ -752,3 +754,156 @@ def preprocess(spark: SparkSession, d: str) -> DataFrame:
     p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     both = p.withColumn("side", F.lit("pdf")).unionByName(p.withColumn("side", F.lit("svg")))
     return preprocess_.run(both, feat(spark, d, "pdf"), derived.labels(spark, d), rows=64, cols=64)
+
+
+@query("SELECT doc_id, seg_id, round(raw, 6) AS angle, round(len + 0.5e0, 6) AS safe, round(CASE WHEN len > 0 THEN abs((500 - x1) * (y2 - y1) - (400 - y1) * (x2 - x1)) / len END, 5) AS off, round((x2 - x1) * 3 + (y1 - 400) * 2 + 500, 6) AS ax, round(y2 * 3 - y1 * 3 + (x1 - 500) * 2 + 400, 6) AS ay FROM (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM fp)")
+def point_and_line(spark: SparkSession, d: str) -> DataFrame:
+    """Signed angles, safe lengths, the page centre's distance from each segment's line, and a map given by three points."""
+    s, x1, y1 = geom.seg(), F.col("x1"), F.col("y1")
+    m = geom.affine_of_points((F.lit(500.0), F.lit(400.0)), (F.lit(500.0) + (F.col("x2") - x1), F.lit(400.0) + (F.col("y2") - y1)), (F.lit(500.0) + (y1 - 400), F.lit(400.0) + (x1 - 500)))
+    ax, ay = m.point(F.lit(3.0), F.lit(2.0))
+    f = feat(spark, d, "pdf").select("doc_id", "seg_id", geom.angle(s).alias("angle"), geom.length_eps(s, 0.5).alias("safe"), geom.point_to_line(F.lit(500.0), F.lit(400.0), s).alias("off"), ax.alias("ax"), ay.alias("ay"))
+    return rounded(rounded(f, "angle", "safe", "ax", "ay"), "off", digits=5)
+
+
+@query("""SELECT o_orderkey, CASE WHEN overlap IS NULL THEN 24 WHEN overlap < 0.05e0 THEN 16 ELSE 8 END::DOUBLE AS shift, CASE WHEN overlap IS NULL THEN 0.06e0 WHEN overlap < 0.05e0 THEN 0.04e0 ELSE 0.02e0 END AS scale,
+  CASE WHEN overlap IS NULL THEN 60 WHEN overlap < 0.05e0 THEN 60 ELSE 60 END::DOUBLE AS shift_set, CASE WHEN overlap IS NULL THEN 0.12e0 WHEN overlap < 0.05e0 THEN 0.12e0 ELSE 0.12e0 END AS scale_set
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 10) / 100e0 END AS overlap FROM orders)""")
+def search_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows by overlap: with the usual settings, and with settings beyond the cap of the scale."""
+    k = F.col("o_orderkey")
+    o = F.when(k % 10 != 0, (k % 10) / 100.0)
+    a, b = fit.windows(o), fit.windows(o, scale=0.3, shift=60.0)
+    return derived.read(spark, d, "orders").select("o_orderkey", a["shift"].alias("shift"), a["scale"].alias("scale"), b["shift"].alias("shift_set"), b["scale"].alias("scale_set"))
+
+
+@query(""", h AS (SELECT o_custkey % 40 AS doc_id, o_orderkey AS hyp_id, o_totalprice AS score FROM orders),
+a AS (SELECT *, row_number() OVER w AS n, score > max(score) OVER (PARTITION BY doc_id ORDER BY hyp_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY hyp_id)),
+b AS (SELECT *, max(CASE WHEN coalesce(up, true) THEN n END) OVER (PARTITION BY doc_id ORDER BY hyp_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM a),
+c AS (SELECT doc_id, min(n) AS stop FROM b WHERE n - 1 - last >= 9 GROUP BY doc_id)
+SELECT doc_id, count(*) AS seen, max(hyp_id) AS hyp_id, max(score) AS score FROM b LEFT JOIN c USING (doc_id) WHERE stop IS NULL OR n < stop GROUP BY doc_id""")
+def early_stop(spark: SparkSession, d: str) -> DataFrame:
+    """What a search sees that stops after nine hypotheses without a better one."""
+    h = derived.read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("doc_id"), F.col("o_orderkey").alias("hyp_id"), F.col("o_totalprice").alias("score"))
+    return fit.patient(h, 9).groupBy("doc_id").agg(F.count("*").alias("seen"), F.max("hyp_id").alias("hyp_id"), F.max("score").alias("score"))
+
+
+@query(", " + _DIM + """, g AS (SELECT *, abs(ratio - 100) <= 50 AS ok FROM pairs), k AS (SELECT doc_id, count(*) FILTER (ok) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, seg_id, txt_id, side_of, round(ratio, 5) AS ratio FROM g JOIN k USING (doc_id) WHERE ok OR n = 0""")
+def label_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of lines and labels near an expected scale; all of a document that has none."""
+    return rounded(labels.gated(_label_pairs(spark, d), 100.0).select("doc_id", "seg_id", "txt_id", "side_of", "ratio"), "ratio", digits=5)
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Drawings (doc_id, svg) with the page's segments, as lines or as paths with a short first part, and with its labels."""
+    f = lambda c: F.col(c).cast("string")
+    line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *map(f, ("x1", "y1", "x2", "y2")))
+    path = F.format_string('<path d="M0 0 L1 0 M%s %s L%s %s"/>', *map(f, ("x1", "y1", "x2", "y2")))
+    e = derived.segments_pdf(spark, d).select("doc_id", F.when(F.col("seg_id") % 2 == 0, line).otherwise(path).alias("e"))
+    at = (F.col("cx") - F.length("text") * 3.0, F.col("cy") + 4.0)
+    t = derived.labels(spark, d).select("doc_id", F.format_string('<text x="%s" y="%s" font-size="10">%s</text>', at[0].cast("string"), at[1].cast("string"), F.col("text")).alias("e"))
+    body = e.unionByName(t).groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("body"))
+    return body.select("doc_id", F.concat(F.lit('<svg viewBox="0 0 1000 800">'), "body", F.lit("</svg>")).alias("svg"))
+
+
+@query(", " + _DIM + """, m AS (SELECT doc_id, orientation, median(ratio) AS m, count(*) AS n FROM pairs GROUP BY ALL),
+i AS (SELECT p.doc_id, p.orientation, count(*) AS inliers, median(ratio) AS r FROM pairs p JOIN m USING (doc_id, orientation) WHERE abs(ratio - m) <= 0.1e0 * abs(m) GROUP BY ALL)
+SELECT m.doc_id, m.orientation, m.n, coalesce(inliers, 0) AS inliers, CASE WHEN inliers >= 3 THEN round(r, 4) END AS scale FROM m LEFT JOIN i USING (doc_id, orientation)""")
+def drawing_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """The scales that drawings say of themselves, from their text."""
+    return rounded(scan.dimensions(_written(spark, d), tol=0.1, diag=(W * W + H * H) ** 0.5), "scale", digits=4)
+
+
+@query(""", s0 AS (SELECT doc_id, axis, len * 2 AS len, x1 * 2 + 10 AS x1, y1 * 2 - 3 AS y1, x2 * 2 + 10 AS x2, y2 * 2 - 3 AS y2, seg_id FROM fs),
+s AS (SELECT doc_id, axis, len, seg_id, CASE axis WHEN 'H' THEN least(x1, x2) ELSE least(y1, y2) END AS lo, CASE axis WHEN 'H' THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS hi, CASE axis WHEN 'H' THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS off FROM s0 WHERE axis IS NOT NULL),
+b AS (SELECT *, round_even(off / 2.37e0, 0) AS bucket FROM s),
+r AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, axis, bucket ORDER BY lo, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo - reach > 3.3e0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, axis, bucket ORDER BY lo, seg_id ROWS UNBOUNDED PRECEDING) AS island FROM r),
+m AS (SELECT doc_id, axis, bucket, island, min(lo) AS lo, max(hi) AS hi, sum(off * (hi - lo)) / sum(hi - lo) AS pos FROM i GROUP BY ALL)
+SELECT doc_id, axis, round(CASE axis WHEN 'H' THEN lo ELSE pos END, 4) AS x1, round(CASE axis WHEN 'H' THEN pos ELSE lo END, 4) AS y1, round(CASE axis WHEN 'H' THEN hi ELSE pos END, 4) AS x2, round(CASE axis WHEN 'H' THEN pos ELSE hi END, 4) AS y2 FROM m
+UNION ALL SELECT doc_id, NULL, round(x1, 4), round(y1, 4), round(x2, 4), round(y2, 4) FROM s0 WHERE axis IS NULL""")
+def drawing_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Drawings read, fitted, snapped and merged in one go."""
+    f = lambda c: F.col(c).cast("string")
+    mid = [((F.col(a) + F.col(b)) / 2).cast("string") for a, b in (("x1", "x2"), ("y1", "y2"))]
+    e = derived.segments_svg(spark, d).select("doc_id", F.format_string('<polyline points="%s,%s %s,%s %s,%s"/>', f("x1"), f("y1"), *mid, f("x2"), f("y2")).alias("e"))
+    docs = e.groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("body"))
+    text = F.concat(F.lit('<svg width="3000" height="2000"><g transform="translate(10,-3) scale(2)">'), "body", F.lit("</g></svg>"))
+    return rounded(scan.drawings(docs.select("doc_id", text.alias("svg")), merge={"off_tol": 2.37, "gap_max": 3.3}).select("doc_id", "axis", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", digits=4)
+
+
+@query(""", p AS (SELECT p_partkey AS doc_id, (p_partkey % 50)::DOUBLE AS x, (p_partkey % 30)::DOUBLE AS y, (5 + p_size)::DOUBLE AS r FROM part),
+e AS (SELECT doc_id, 0 AS poly_id, 'path' AS kind, 1 AS edges, x AS x1, y AS y1, x + 30 AS x2, y AS y2, 30e0 AS len FROM p
+  UNION ALL SELECT doc_id, 1, 'path', 2, x, y, x + 20, y, 20 FROM p
+  UNION ALL SELECT doc_id, 2, 'path', NULL, x, y, x + 2 * r, y, pi() * r FROM p
+  UNION ALL SELECT doc_id, 3, 'line', 1, x, y, x + 20, y + 10, sqrt(500e0) FROM p
+  UNION ALL SELECT doc_id, 4, 'line', 1, 7 - y, x, 7 - y, x + 5, 5 FROM p
+  UNION ALL SELECT doc_id, 5, 'rect', 4, x, y, x, y, 2 * (r + 3) FROM p
+  UNION ALL SELECT doc_id, 6, 'polygon', 3, x, y, x, y, 12 FROM p
+  UNION ALL SELECT doc_id, 7, 'line', 1, x + 1, y + 2, x + 1 + r, y + 2, r FROM p)
+SELECT doc_id, poly_id::INT AS poly_id, kind, edges::INT AS edges, round(x1 * 2 + 50, 5) AS x1, round(y1 * 2, 5) AS y1, round(x2 * 2 + 50, 5) AS x2, round(y2 * 2, 5) AS y2, CASE WHEN edges IS NULL THEN 1e0 ELSE round(len * 2, 5) END AS len FROM e""")
+def svg_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Curves, arcs, references, turns and view boxes: a drawing for each part, of which each polyline's ends and length are
+    known; an arc's length is compared with the circle's to 2 %."""
+    p = derived.read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 50).cast("string").alias("x"), (F.col("p_partkey") % 30).cast("string").alias("y"), (F.col("p_size") + 5).alias("r"))
+    x, y, r = F.col("x"), F.col("y"), F.col("r").cast("string")
+    text = F.concat(
+        F.lit('<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink" viewBox="0 0 200 100" width="500" height="200"><defs><symbol id="s" viewBox="0 0 10 10"><line x1="0" y1="0" x2="10" y2="5"/></symbol><line id="l" x1="1" y1="2" x2="'),
+        (F.col("r") + 1).cast("string"), F.lit('" y2="2"/></defs><path d="M'), x, F.lit(" "), y, F.lit('c10 0 20 0 30 0"/><path d="M'), x, F.lit(","), y, F.lit('q5 0 10 0t10 0"/><path d="M'), x, F.lit(" "), y, F.lit("a"), r, F.lit(" "), r, F.lit(" 0 0 1 "), (F.col("r") * 2).cast("string"),
+        F.lit(' 0"/><use href="#s" x="'), x, F.lit('" y="'), y, F.lit('" width="20" height="20"/><g transform="translate(7,0) rotate(90)"><line x1="'), x, F.lit('" y1="'), y, F.lit('" x2="'), (x.cast("int") + 5).cast("string"), F.lit('" y2="'), y, F.lit('"/></g><rect x="'), x, F.lit('" y="'), y, F.lit('" width="'), r, F.lit('" height="3"/><polygon points="'),
+        x, F.lit(","), y, F.lit(" "), (x.cast("int") + 4).cast("string"), F.lit(","), y, F.lit(" "), x, F.lit(","), (y.cast("int") + 3).cast("string"), F.lit('"/><use xlink:href="#l" x="'), x, F.lit('" y="'), y, F.lit('"/></svg>'),
+    )
+    pts = svg.polylines(p.select("doc_id", text.alias("svg")))
+    ends = pts.groupBy("doc_id", "poly_id").agg(F.first("kind").alias("kind"), *[f(c, "i").alias(f"{c}{k}") for k, f in ((1, F.min_by), (2, F.max_by)) for c in ("x", "y")])
+    e = segments.edges(pts, "doc_id", "poly_id").groupBy("doc_id", "poly_id").agg(F.count("*").cast("int").alias("edges"), F.sum(geom.length(geom.seg())).alias("len"))
+    arc = F.col("poly_id") == 2
+    j = ends.join(e, ["doc_id", "poly_id"]).join(p.select("doc_id", "r"), "doc_id")
+    whole = F.when(F.abs(F.col("len") / (F.pi() * F.col("r") * 2) - 1) < 0.02, 1.0).otherwise(F.col("len"))
+    return rounded(j.select("doc_id", "poly_id", "kind", F.when(~arc, F.col("edges")).alias("edges"), "x1", "y1", "x2", "y2", F.when(arc, whole).otherwise(F.col("len")).alias("len")), "x1", "y1", "x2", "y2", "len", digits=5)
+
+
+@query("""SELECT doc_id, row - 5 AS row, col + floor((30 - (SELECT max(col) + 1 FROM pixels)) / 2e0)::BIGINT AS col, val FROM pixels WHERE row BETWEEN 8 AND 31 AND col BETWEEN (SELECT floor((max(col) + 1) * 0.2e0) FROM pixels) AND (SELECT max(col) - floor((max(col) + 1) * 0.2e0) FROM pixels)
+AND row - 5 BETWEEN 0 AND 29 AND col + floor((30 - (SELECT max(col) + 1 FROM pixels)) / 2e0) BETWEEN 0 AND 29""")
+def raster_crop_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Canvases without their margins, about the centre of another canvas."""
+    p = derived.pixels(spark, d)
+    wide = (p.agg(F.max("col")).first()[0] or 0) + 1
+    inner = raster.crop_margin(p, 40, wide, 0.2)
+    return raster.center_fit(inner, 40 - 2 * int(40 * 0.2), wide - 2 * int(wide * 0.2), 30, 30).select("doc_id", "row", "col", "val")
+
+
+@query(""", m AS (SELECT doc_id, row, col FROM pixels WHERE val > 90 AND col < (SELECT max(col) + 1 FROM pixels)), g AS (SELECT doc_id, row, col FROM (SELECT DISTINCT doc_id FROM m), (SELECT unnest(range(40)) AS row), (SELECT unnest(range((SELECT max(col) + 1 FROM pixels))) AS col))
+SELECT g.doc_id, g.row, g.col, round(sqrt(min((g.row - m.row) * (g.row - m.row) + (g.col - m.col) * (g.col - m.col))), 6) AS d FROM g JOIN m USING (doc_id) GROUP BY g.doc_id, g.row, g.col""")
+def raster_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Each pixel's distance from the nearest bright one."""
+    p = derived.pixels(spark, d)
+    wide = (p.agg(F.max("col")).first()[0] or 0) + 1
+    return rounded(raster.distance_maps(p.where("val > 90"), 40, wide), "d")
+
+
+@query(""", n AS (SELECT max(col) + 1 AS wide FROM pixels), g AS (SELECT DISTINCT doc_id FROM pixels), t AS (SELECT doc_id, r, c, greatest(0e0, least(39e0, (r + 0.5e0) * 2 - 0.5e0)) AS fr, greatest(0e0, least(wide - 1e0, (c + 0.5e0) * wide / 25e0 - 0.5e0)) AS fc, wide FROM g, n, (SELECT unnest(range(20)) AS r), (SELECT unnest(range(25)) AS c)),
+q AS (SELECT *, floor(fr)::BIGINT AS r0, floor(fc)::BIGINT AS c0 FROM t), k AS (SELECT *, least(r0 + 1, 39) AS r1, least(c0 + 1, wide - 1) AS c1 FROM q),
+v AS (SELECT k.*, coalesce(a.val, 0) AS a, coalesce(b.val, 0) AS b, coalesce(c_.val, 0) AS c_, coalesce(e.val, 0) AS e FROM k LEFT JOIN pixels a ON a.doc_id = k.doc_id AND a.row = r0 AND a.col = c0 LEFT JOIN pixels b ON b.doc_id = k.doc_id AND b.row = r0 AND b.col = c1 LEFT JOIN pixels c_ ON c_.doc_id = k.doc_id AND c_.row = r1 AND c_.col = c0 LEFT JOIN pixels e ON e.doc_id = k.doc_id AND e.row = r1 AND e.col = c1)
+SELECT doc_id, r AS row, c AS col, round(a * (1 - (fr - r0)) * (1 - (fc - c0)) + b * (1 - (fr - r0)) * (fc - c0) + c_ * (fr - r0) * (1 - (fc - c0)) + e * (fr - r0) * (fc - c0), 5) AS val FROM v""")
+def raster_resize(spark: SparkSession, d: str) -> DataFrame:
+    """Canvases resized to 20 by 25 pixels."""
+    p = derived.pixels(spark, d)
+    wide = (p.agg(F.max("col")).first()[0] or 0) + 1
+    return rounded(raster.resizes(p, 40, wide, 20, 25), "val", digits=5)
+
+
+@query(", " + _BOX + """, h AS (SELECT side, doc_id, least(floor(greatest(0e0, least(1e0, (cy - min_y) / greatest(max_y - min_y, 1e-6))) * 16), 15)::INT AS iy, least(floor(greatest(0e0, least(1e0, (cx - min_x) / greatest(max_x - min_x, 1e-6))) * 16), 15)::INT AS ix, count(*) AS n FROM feat JOIN box USING (side, doc_id) GROUP BY ALL),
+v AS (SELECT side, doc_id, iy, ix, n / max(n) OVER (PARTITION BY side, doc_id) AS v FROM h),
+c AS (SELECT a.doc_id, (a.iy - b.iy + 16) % 16 AS ky, (a.ix - b.ix + 16) % 16 AS kx, sum(a.v * b.v) AS s FROM v a JOIN v b USING (doc_id) WHERE a.side = 'pdf' AND b.side = 'svg' GROUP BY ALL)
+SELECT doc_id, CASE WHEN kx <= 8 THEN kx ELSE kx - 16 END::INT AS kx, CASE WHEN ky <= 8 THEN ky ELSE ky - 16 END::INT AS ky, round(s, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, ky, kx) = 1""")
+def heatmap_shift(spark: SparkSession, d: str) -> DataFrame:
+    """The coarse search's fallback: the shift of both sides' heatmaps."""
+    return rounded(hypotheses.heatmap_shift(feat(spark, d, "pdf"), feat(spark, d, "svg"), size=16), "score")
+
+
+@query()
+def calibrated_models(spark: SparkSession, d: str) -> DataFrame:
+    """Models with the coarse search on, checked by distance maps."""
+    cfg = {"coarse": {"enabled": True}, "verify": {"mode": "distmap"}}
+    return pipeline.run(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d), cfg)["models"]

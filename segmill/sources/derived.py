@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Segments of a document, about, from as many documents on as small tables have.
-DOCS, PER_DOC = 20, 750
+DOCS, PER_DOC = 20, 3000
 PAGE_W, PAGE_H = 1000.0, 800.0
 SX, SY, TX, TY = 1.012, 0.993, 4.2, -5.6
 
@@ -66,7 +66,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables for SQL engines: common table expressions to put before a query.
 SQL = """
-docs AS (SELECT greatest(20, count(*) // 750) AS n_docs FROM orders),
+docs AS (SELECT greatest(20, count(*) // 3000) AS n_docs FROM orders),
 pdf0 AS (SELECT o_orderkey AS seg_id, o_custkey % (SELECT n_docs FROM docs) AS doc_id, ((o_orderkey * 37) % 1000)::DOUBLE AS x1, ((o_orderkey * 91) % 800)::DOUBLE AS y1,
   (5 + o_custkey % 195)::DOUBLE AS n, ((o_orderkey % 7) - 3) * 0.004e0 AS t FROM orders),
 pdf AS (SELECT doc_id, seg_id, x1, y1,

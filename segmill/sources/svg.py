@@ -8,19 +8,21 @@ from __future__ import annotations
 import math
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from segmill.functions.geom import PX_TO_PT
+from segmill.functions.parse import PIXELS
+
 Point = tuple[float, float]
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-#: Depth of nested or referenced elements beyond which a drawing that refers to itself is cut off.
-MAX_DEPTH = 64
 
 _TOKEN = re.compile(r"[MmZzLlHhVvCcSsQqTtAa]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _CALL = re.compile(r"([A-Za-z]+)\s*\(([^)]*)\)")
@@ -231,15 +233,12 @@ def _local(tag: object) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
-_UNIT = {"px": 1.0, "": 1.0, "pt": 96 / 72, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "q": 96 / 101.6}
-
-
 def length(text: str | None) -> float | None:
     """A length in pixels; percentages are 0."""
     m = re.fullmatch(r"\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*([A-Za-z%]*)\s*", text or "")
     if not m:
         return None
-    return 0.0 if m[2] == "%" else float(m[1]) * _UNIT[m[2].lower()] if m[2].lower() in _UNIT else None
+    return 0.0 if m[2] == "%" else float(m[1]) * PIXELS[m[2].lower()] if m[2].lower() in PIXELS else None
 
 
 @dataclass
@@ -250,17 +249,78 @@ class Drawing:
     texts: list[tuple[str, float, float, float | None]]  # text, x, y, font size
 
 
-def parse(svg: str | None, tol: float = 0.25) -> Drawing:
-    """A drawing's polylines and texts in its outermost coordinates (pixels). References are followed to a fixed depth; what
-    isn't well-formed gives an empty drawing."""
+class _Lenient(HTMLParser):
+    """A tree of what can be read of a drawing that isn't well-formed: tags that close nothing are passed over, those left
+    open end with their parent."""
+
+    #: Attribute names as drawings write them; this parser gives all in lower case.
+    NAMES = {"viewbox": "viewBox", "preserveaspectratio": "preserveAspectRatio", "xlink:href": "{http://www.w3.org/1999/xlink}href"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root: ET.Element | None = None
+        self.open: list[ET.Element] = []
+
+    def _add(self, tag: str, attrs: list[tuple[str, str | None]]) -> ET.Element | None:
+        name = tag.rsplit(":", 1)[-1]
+        have = {self.NAMES.get(k, k): v or "" for k, v in attrs}
+        if self.open:
+            return ET.SubElement(self.open[-1], name, have)
+        if self.root is None and name == "svg":
+            self.root = ET.Element(name, have)
+            return self.root
+        return None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        e = self._add(tag, attrs)
+        if e is not None:
+            self.open.append(e)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._add(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        name = tag.rsplit(":", 1)[-1]
+        k = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == name), -1)
+        if k >= 0:
+            del self.open[k:]
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            e = self.open[-1]
+            if len(e):
+                e[-1].tail = (e[-1].tail or "") + data
+            else:
+                e.text = (e.text or "") + data
+
+
+def tree(svg: str | None) -> ET.Element | None:
+    """The drawing's root element; of one that isn't well-formed, what can be read of it."""
     try:
-        root = ET.fromstring(svg or "")
+        return ET.fromstring(svg or "")
     except ET.ParseError:
+        lenient = _Lenient()
+        lenient.feed(svg or "")
+        lenient.close()
+        return lenient.root
+
+
+#: Elements whose content is drawn only where it is referred to, if at all.
+_HIDDEN = frozenset("defs clipPath clippath mask pattern marker symbol".split())
+
+
+def parse(svg: str | None, tol: float = 0.25, *, relative: float | None = None) -> Drawing:
+    """A drawing's polylines and texts in its outermost coordinates (pixels). Curves are within ``tol`` of their chords, or
+    within ``relative`` times the drawing's diagonal. References are followed to any depth, but not into themselves."""
+    root = tree(svg)
+    if root is None:
         return Drawing(0.0, 0.0, [], [])
     ids = {e.get("id"): e for e in root.iter() if e.get("id")}
     box = [float(t) for t in _NUMBER.findall(root.get("viewBox", ""))]
     w, h = length(root.get("width")), length(root.get("height"))
     size = (w or (box[2] if len(box) == 4 else 0.0), h or (box[3] if len(box) == 4 else 0.0))
+    if relative is not None and size[0] > 0 and size[1] > 0:
+        tol = relative * math.hypot(*size)
     out = Drawing(*size, [], [])
 
     def number(e: ET.Element, name: str) -> float:
@@ -270,15 +330,24 @@ def parse(svg: str | None, tol: float = 0.25) -> Drawing:
         if len(points) > 1:
             out.polylines.append((name, [apply(m, p) for p in points]))
 
-    def walk(e: ET.Element, m: Matrix, depth: int) -> None:
+    def placed(m: Matrix, e: ET.Element, by: ET.Element) -> Matrix:
+        """``m`` within the view box of ``e``, whose viewport ``by`` gives."""
+        inner = [float(t) for t in _NUMBER.findall(e.get("viewBox", ""))]
+        if len(inner) != 4:
+            return m
+        return multiply(m, view_box_matrix(inner, number(by, "width") or inner[2], number(by, "height") or inner[3], e.get("preserveAspectRatio", "xMidYMid meet")))
+
+    view = view_box_matrix(box, size[0], size[1], root.get("preserveAspectRatio", "xMidYMid meet")) if len(box) == 4 and size[0] > 0 and size[1] > 0 else IDENTITY
+    # What is left to draw, the next one last: element, matrix, and the ids of the references that led to it.
+    todo: list[tuple[ET.Element, Matrix, frozenset[str]]] = [(root, view, frozenset())]
+    while todo:
+        e, m, chain = todo.pop()
         name = _local(e.tag)
-        if depth > MAX_DEPTH or name in ("defs", "clipPath", "mask", "pattern", "marker") or (name == "symbol" and depth == 0):
-            return
+        if name in _HIDDEN:
+            continue
         m = multiply(m, transform_matrix(e.get("transform")))
-        if name in ("svg", "symbol") and e is not root and e.get("viewBox"):
-            inner = [float(t) for t in _NUMBER.findall(e.get("viewBox", ""))]
-            if len(inner) == 4:
-                m = multiply(m, view_box_matrix(inner, number(e, "width") or inner[2], number(e, "height") or inner[3], e.get("preserveAspectRatio", "xMidYMid meet")))
+        if name == "svg" and e is not root:
+            m = placed(m, e, e)
         if name == "line":
             add(name, m, [(number(e, "x1"), number(e, "y1")), (number(e, "x2"), number(e, "y2"))])
         elif name in ("polyline", "polygon"):
@@ -297,49 +366,69 @@ def parse(svg: str | None, tol: float = 0.25) -> Drawing:
         elif name == "use":
             ref = (e.get("href") or e.get("{http://www.w3.org/1999/xlink}href") or "").removeprefix("#")
             target = ids.get(ref)
-            if target is not None:
+            if target is not None and ref not in chain:
                 at = multiply(m, (1, 0, 0, 1, number(e, "x"), number(e, "y")))
-                inner = [float(t) for t in _NUMBER.findall(target.get("viewBox", ""))]
                 if _local(target.tag) == "symbol":
-                    if len(inner) == 4:
-                        at = multiply(at, view_box_matrix(inner, number(e, "width") or inner[2], number(e, "height") or inner[3], target.get("preserveAspectRatio", "xMidYMid meet")))
-                    for c in target:
-                        walk(c, at, depth + 2)
+                    at = placed(at, target, e)
+                    todo += [(c, at, chain | {ref}) for c in reversed(target)]
                 else:
-                    walk(target, at, depth + 2)
-        if name in ("g", "svg", "a", "switch"):
-            for c in e:
-                walk(c, m, depth + 1)
-
-    view = view_box_matrix(box, size[0], size[1], root.get("preserveAspectRatio", "xMidYMid meet")) if len(box) == 4 and size[0] > 0 and size[1] > 0 else IDENTITY
-    walk(root, view, 0)
+                    todo.append((target, at, chain | {ref}))
+        elif name in ("g", "svg", "a", "switch"):
+            todo += [(c, m, chain) for c in reversed(e)]
     return out
 
 
-def drawing_segments(svg: str | None, tol: float = 0.25) -> list[tuple[float, float, float, float]]:
+def drawing_segments(svg: str | None, tol: float = 0.25, *, relative: float | None = None) -> list[tuple[float, float, float, float]]:
     """Every edge of every polyline, without those of no length."""
-    return [(*a, *b) for _, p in parse(svg, tol).polylines for a, b in zip(p, p[1:], strict=False) if a != b]
-
-
-def segments(docs: DataFrame, *, id_col: str = "doc_id", svg: str = "svg", tol: float = 0.25) -> DataFrame:
-    """doc_id, seg_id (from 0 in each drawing), x1, y1, x2, y2 of the drawings in a column of text."""
-
+    return [(*a, *b) for _, p in parse(svg, tol, relative=relative).polylines for a, b in zip(p, p[1:], strict=False) if a != b]
+
+
+def dimension_edges(svg: str | None) -> list[tuple[float, float, float, float]]:
+    """Lines that may carry a dimension, in their own coordinates, without transforms: every line element, then the longest
+    straight part of each path (the first of equals)."""
+    root = tree(svg)
+    if root is None:
+        return []
+    out, value = [], lambda e, k: length(e.get(k)) or 0.0
+    for e in root.iter():
+        if _local(e.tag) == "line":
+            out.append(tuple(value(e, k) for k in ("x1", "y1", "x2", "y2")))
+    for e in root.iter():
+        if _local(e.tag) == "path" and (parts := simple_path_lines(e.get("d"))):
+            (x1, y1), (x2, y2) = max(parts, key=lambda p: math.dist(*p))
+            out.append((x1, y1, x2, y2))
+    return [s for s in out if s[:2] != s[2:]]
+
+
+def _edges(docs: DataFrame, id_col: str, svg: str, run_one: Callable[[str | None], list[tuple[float, float, float, float]]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = drawing_segments(text, tol)
+                s = run_one(text)
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int64()), pa.array(range(len(s)), pa.int64()), *(pa.array([t[k] for t in s], pa.float64()) for k in range(4))], ["doc_id", "seg_id", "x1", "y1", "x2", "y2"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(svg).alias("svg")).mapInArrow(run, "doc_id long, seg_id long, x1 double, y1 double, x2 double, y2 double")
 
 
-def polylines(docs: DataFrame, *, id_col: str = "doc_id", svg: str = "svg", tol: float = 0.25) -> DataFrame:
+def segments(docs: DataFrame, *, id_col: str = "doc_id", svg: str = "svg", tol: float = 0.25, relative: float | None = None, to_points: bool = False) -> DataFrame:
+    """doc_id, seg_id (from 0 in each drawing), x1, y1, x2, y2 of the drawings in a column of text, in pixels or, with
+    ``to_points``, in points (72 to the inch)."""
+    s = _edges(docs, id_col, svg, lambda text: drawing_segments(text, tol, relative=relative))
+    return s.withColumns({c: F.col(c) * PX_TO_PT for c in ("x1", "y1", "x2", "y2")}) if to_points else s
+
+
+def dimension_segments(docs: DataFrame, *, id_col: str = "doc_id", svg: str = "svg") -> DataFrame:
+    """doc_id, seg_id, x1, y1, x2, y2 of ``dimension_edges``."""
+    return _edges(docs, id_col, svg, dimension_edges)
+
+
+def polylines(docs: DataFrame, *, id_col: str = "doc_id", svg: str = "svg", tol: float = 0.25, relative: float | None = None) -> DataFrame:
     """doc_id, poly_id, kind, i, x, y: the points of each polyline, for line fits and straightness tests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(k, name, i, *p) for k, (name, line) in enumerate(parse(text, tol).polylines) for i, p in enumerate(line)]
+                rows = [(k, name, i, *p) for k, (name, line) in enumerate(parse(text, tol, relative=relative).polylines) for i, p in enumerate(line)]
                 col = lambda k, t, r=rows: pa.array([x[k] for x in r], t)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), col(0, pa.int32()), col(1, pa.string()), col(2, pa.int32()), col(3, pa.float64()), col(4, pa.float64())], ["doc_id", "poly_id", "kind", "i", "x", "y"])
 

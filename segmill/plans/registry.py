@@ -612,6 +612,20 @@ def ransac_fit(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d)
 
 
+@query("SELECT DISTINCT doc_id, true AS scale_ok, true AS shift_ok, true AS sure FROM pdf")
+def fit_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The fit against the map by which the drawings were made: scales to 1 %, shifts to 4 pixels."""
+    scale = (F.abs(F.col("sx") / derived.SX - 1) <= 0.01) & (F.abs(F.col("sy") / derived.SY - 1) <= 0.01)
+    shift = (F.abs(F.col("tx") - derived.TX) <= 4) & (F.abs(F.col("ty") - derived.TY) <= 4)
+    return _model(spark, d).select("doc_id", scale.alias("scale_ok"), shift.alias("shift_ok"), ((F.col("score") > 0.5) & (F.size("quality_notes") == 0)).alias("sure"))
+
+
+@query("SELECT DISTINCT doc_id, 5::BIGINT AS lines, 5::BIGINT AS matched, 5::BIGINT AS passed FROM pdf")
+def match_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Under the true map every chosen line's match is the segment that was made from it."""
+    return _matches(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("s_id") == F.col("seg_id")).alias("matched"), F.count_if(F.col("pass01") == 1).alias("passed"))
+
+
 @query()
 def select_lines(spark: SparkSession, d: str) -> DataFrame:
     return match.select_lines(feat(spark, d, "pdf"), feat(spark, d, "svg"), _truth(spark, d)).select("doc_id", "pick", "seg_id", "axis", "len", "notes")
@@ -649,30 +663,41 @@ def report_slots(spark: SparkSession, d: str) -> DataFrame:
     return match.report(m, _truth(spark, d), derived.pages(spark, d))
 
 
-@query()
+@query("SELECT DISTINCT doc_id, 2 AS du, -3 AS dv, true AS sure FROM pdf")
 def phase_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Phase correlation of a canvas with itself rolled by (3, -2)."""
     p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     rolled = p.withColumns({"row": F.pmod(F.col("row") + 3, F.lit(64)), "col": F.pmod(F.col("col") - 2, F.lit(64))})
-    return rounded(raster.phase_shifts(p.withColumn("side", F.lit("pdf")).unionByName(rolled.withColumn("side", F.lit("svg"))), 64, 64), "response")
+    found = raster.phase_shifts(p.withColumn("side", F.lit("pdf")).unionByName(rolled.withColumn("side", F.lit("svg"))), 64, 64)
+    return found.select("doc_id", "du", "dv", (F.col("response") > 0.99).alias("sure"))
 
 
-@query()
+@query("SELECT DISTINCT doc_id, 270 AS rot, 'none' AS flip, 0 AS du, 0 AS dv, true AS sure FROM pdf")
 def raster_orientation(spark: SparkSession, d: str) -> DataFrame:
     """A canvas against itself turned by a quarter: three more quarters bring it back."""
     p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     t = raster.turn(p, 64, 64, rot=90)
-    return rounded(raster.raster_orientation(p.withColumn("side", F.lit("pdf")).unionByName(t.withColumn("side", F.lit("svg"))), 64, 64), "score")
+    found = raster.raster_orientation(p.withColumn("side", F.lit("pdf")).unionByName(t.withColumn("side", F.lit("svg"))), 64, 64)
+    return found.select("doc_id", "rot", "flip", "du", "dv", (F.col("score") > 0.99).alias("sure"))
 
 
-@query()
+@query("SELECT DISTINCT doc_id, true AS near, true AS alike FROM pdf")
 def raster_scale(spark: SparkSession, d: str) -> DataFrame:
+    """A canvas against itself: the first scale found is within a pixel of 1, as such scales draw the same."""
     p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     q = p.withColumn("side", F.lit("svg"))
-    return rounded(raster.raster_scale(p.withColumn("side", F.lit("pdf")).unionByName(q), 64, 64, low=0.9, high=1.1), "scale", "ncc")
+    found = raster.raster_scale(p.withColumn("side", F.lit("pdf")).unionByName(q), 64, 64, low=0.9, high=1.1)
+    return found.select("doc_id", (F.abs(F.col("scale") - 1) <= 0.5 / 32).alias("near"), (F.col("ncc") > 0.999).alias("alike"))
 
 
-@query()
+_DIMS = _DIM + """, m AS (SELECT doc_id, orientation, median(ratio) AS m, count(*) AS n FROM pairs GROUP BY ALL),
+i AS (SELECT p.doc_id, p.orientation, count(*) AS inliers, median(ratio) AS r FROM pairs p JOIN m USING (doc_id, orientation) WHERE abs(ratio - m) <= 0.1e0 * abs(m) GROUP BY ALL),
+dm AS (SELECT doc_id, max(CASE WHEN orientation = 'h' AND inliers >= 3 THEN r END) AS dx, max(CASE WHEN orientation = 'v' AND inliers >= 3 THEN r END) AS dy FROM i GROUP BY doc_id),
+z AS (SELECT doc_id, dx, dy, CASE WHEN dx IS NOT NULL AND dy IS NOT NULL THEN (dx + dy) / 2 ELSE coalesce(dx, dy) END AS mean FROM (SELECT DISTINCT doc_id FROM pdf) LEFT JOIN dm USING (doc_id))"""
+
+
+@query(", " + _DIMS + """, g AS (SELECT *, (1.012e0 + 0.993e0) / 2 * 100 AS ms, abs((1.012e0 + 0.993e0) / 2 * 100 - mean) / abs(mean) * 100 AS gap FROM z)
+SELECT doc_id, round(dx, 5) AS dim_x, round(dy, 5) AS dim_y, round(ms, 5) AS model_scale, false AS uneven, round(gap, 5) AS gap, concat_ws('; ', CASE WHEN gap > 5 THEN 'scales differ' END, CASE WHEN mean IS NULL THEN 'no labels' END) AS notes FROM g""")
 def metric_scale(spark: SparkSession, d: str) -> DataFrame:
     s = labels.dimension_scale(_label_pairs(spark, d), tol=0.1)
     return rounded(labels.metric_scale(s, _truth(spark, d), pixels_per_unit=100.0), "dim_x", "dim_y", "model_scale", "gap", digits=5)
@@ -749,11 +774,13 @@ def content_scan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(content.segments(docs.select("doc_id", text.alias("content"))), "x1", "y1", "x2", "y2")
 
 
-@query()
+@query(", " + _DIMS + " SELECT doc_id, 0 AS rot, 'none' AS flip, 0 AS du, 0 AS dv, round(dx, 5) AS dim_x, round(dy, 5) AS dim_y, true AS near, mean IS NULL AS unlabelled FROM z")
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters that are alike, and the page's labels."""
     p = _canvas(spark, d, "pdf").withColumn("val", F.lit(1.0))
     both = p.withColumn("side", F.lit("pdf")).unionByName(p.withColumn("side", F.lit("svg")))
-    return preprocess_.run(both, feat(spark, d, "pdf"), derived.labels(spark, d), rows=64, cols=64)
+    found = preprocess_.run(both, feat(spark, d, "pdf"), derived.labels(spark, d), rows=64, cols=64)
+    return rounded(found.select("doc_id", "rot", "flip", "du", "dv", "dim_x", "dim_y", (F.abs(F.col("scale") - 1) <= 0.5 / 32).alias("near"), F.contains("notes", F.lit("no labels")).alias("unlabelled")), "dim_x", "dim_y", digits=5)
 
 
 @query("SELECT doc_id, seg_id, round(raw, 6) AS angle, round(len + 0.5e0, 6) AS safe, round(CASE WHEN len > 0 THEN abs((500 - x1) * (y2 - y1) - (400 - y1) * (x2 - x1)) / len END, 5) AS off, round((x2 - x1) * 3 + (y1 - 400) * 2 + 500, 6) AS ax, round(y2 * 3 - y1 * 3 + (x1 - 500) * 2 + 400, 6) AS ay FROM (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS raw FROM fp)")

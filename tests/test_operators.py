@@ -138,6 +138,112 @@ def test_whole_pipeline_on_a_mirrored_drawing(spark):
     assert out["report"].count() == 5
 
 
+@pytest.mark.parametrize("rot,flip", [(0, "none"), (0, "x"), (90, "none"), (180, "y"), (270, "x")])
+def test_coarse_search_lays_the_drawing_on_the_page(spark, rot, flip):
+    """A turned, flipped and scaled copy comes back onto the page's segments."""
+    rng = random.Random(rot + len(flip))
+    # The search turns within the drawing's own box, so a quarter turn needs a square one.
+    w, h = (200.0, 200.0) if rot % 180 else (240.0, 180.0)
+    ky = 1.3 if rot % 180 else 0.8
+    data = [(0, 0, w, 0), (w, 0, w, h)]
+    for _ in range(70):
+        x, y, n = rng.uniform(5, w * 0.6), rng.uniform(5, h - 10), rng.uniform(20, 60)
+        data.append((x, y, x + n, y))
+    for _ in range(45):
+        x, y, n = rng.uniform(5, w - 10), rng.uniform(5, h * 0.5), rng.uniform(20, 80)
+        data.append((x, y, x, y + n))
+    table_ = table(spark, data)
+
+    def away(x, y):
+        """What the search's turn and flip lead back to (x, y)."""
+        x, y = w - x if flip == "x" else x, h - y if flip == "y" else y
+        u, v = {0: (x, y), 90: (h - y, x), 180: (w - x, h - y), 270: (y, w - x)}[rot]
+        return 1.3 * u + 7, ky * v - 2
+
+    svg = [(*away(x1, y1), *away(x2, y2)) for x1, y1, x2, y2 in data]
+    page, drawing = segments.features(table_), segments.features(table(spark, svg, "svg"))
+    found = hypotheses.coarse_best(page, drawing, shares=(0.4, 1.0), tols=(6.0,), len_tol=0.3)
+    r = found.first()
+    assert r.score > 0.9  # a half turn and one flip are the other flip, so names can differ
+    moved = segments.features(hypotheses.coarse_moved(drawing, found))
+    near = spatial.nearest(segments.sample_steps(moved, 20.0), page, 12.0).agg(F.avg("d")).first()[0]
+    assert near < 4
+
+
+def test_heatmaps_stand_in_where_segments_are_too_few(spark):
+    page = segments.features(table(spark, [(0, 0, 100, 0), (0, 0, 0, 80), (100, 80, 90, 80)]))
+    found = hypotheses.coarse_best(page, page.withColumn("side", F.lit("svg")), least=50).first()
+    assert (found.level, found.rot, found.flip, found.dx, found.dy) == (-1, 0, "none", 0.0, 0.0) and found.score > 0
+
+
+def test_pipeline_with_the_coarse_search_and_distance_maps(spark):
+    rng = random.Random(5)
+    data = grid(rng, 14, 14, 600, 400)
+    svg = [(1.1 * (600 - a) + 5, 0.9 * b + 3, 1.1 * (600 - c) + 5, 0.9 * d + 3) for a, b, c, d in data]
+    pages = spark.createDataFrame([(1, "pdf", 600.0, 400.0), (1, "svg", 660.0, 360.0)], "doc_id long, side string, w double, h double")
+    out = pipeline.run(table(spark, data), table(spark, svg, "svg"), pages, {"fit": {"iters": 60}, "coarse": {"enabled": True}, "verify": {"mode": "distmap"}})
+    assert out["coarse"].first().flip == "x"
+    m = out["models"].first()
+    assert (m.fx, m.fy) == (1, 1) and m.sx == pytest.approx(1, rel=0.02) and m.sy == pytest.approx(1, rel=0.02) and 0 < m.score <= 1
+    assert out["report"].columns == ["doc_id", *match.REPORT] and len(match.REPORT) == 28
+
+
+def test_a_fit_below_the_gate_gets_a_second_one(spark):
+    rng = random.Random(6)
+    data = grid(rng, 8, 8, 600, 400)
+    svg = [(a + 3, b, c + 3, d) for a, b, c, d in grid(random.Random(77), 8, 8, 600, 400)]
+    pages = spark.createDataFrame([(1, s, 600.0, 400.0) for s in ("pdf", "svg")], "doc_id long, side string, w double, h double")
+    for least, said in ((0.999, "below threshold after fallback"), (0.0, None)):
+        gate = {"refine": {"quality_gate": {"score_min": least, "rmse_px": 1e9}}, "fit": {"iters": 20}}
+        notes = pipeline.calibrate(table(spark, data), table(spark, svg, "svg"), pages, gate).first().quality_notes
+        assert (said in notes[0]) if said else notes == []
+
+
+def test_patience_is_that_of_a_search_in_order(spark):
+    rng = random.Random(4)
+    rows = [(doc, i, rng.random()) for doc in range(6) for i in range(80)]
+    for patience in (0, 1, 5, 20):
+        got = fit.patient(spark.createDataFrame(rows, "doc_id long, hyp_id int, score double"), patience).collect()
+        want = []
+        for doc in range(6):
+            top, idle = -1.0, 0
+            for d, i, s in rows:
+                if d != doc:
+                    continue
+                if patience and idle >= patience:
+                    break
+                want.append((d, i))
+                top, idle = (s, 0) if s > top else (top, idle + 1)
+        assert sorted((r.doc_id, r.hyp_id) for r in got) == want
+
+
+def test_cells_along_a_segment_hold_all_that_is_near(spark):
+    """Every point within the bound of a segment lies in one of its cells, and a diagonal has few of them."""
+    rng = random.Random(9)
+    segs = [tuple(rng.uniform(-50, 50) for _ in range(4)) for _ in range(40)] + [(0, 0, 0, 30), (0, 0, 30, 0), (5, 5, 5, 5), (0, 0, 48, 48), (12, 12, 24, 24)]
+    got = {}
+    for r in spatial.cover(table(spark, segs).withColumn("k", F.col("seg_id")).withColumn("doc_id", F.col("seg_id")), 6.0).collect():
+        got.setdefault(r.doc_id, set()).add((r._gx, r._gy))
+    for k, (x1, y1, x2, y2) in enumerate(segs):
+        for _ in range(300):
+            t, a, b = rng.random(), rng.uniform(-6, 6), rng.uniform(-6, 6)
+            x, y = x1 + (x2 - x1) * t + a, y1 + (y2 - y1) * t + b
+            assert (math.floor(x / 6), math.floor(y / 6)) in got[k]
+    assert len(got[43]) < 80  # its box has 121
+
+
+def test_choice_of_lines():
+    line = lambda i, a, x, y: (i, a, float(x), float(y))
+    h, v = [line(i, "H", 30 * i, 0) for i in range(6)], [line(10 + i, "V", 0, 40 + 30 * i) for i in range(6)]
+    chosen, notes = assign.pick_diverse(h[:3] + v[:3], 5, 10.0)
+    assert len(chosen) == 5 and sum(c[1] == "H" for c in chosen) >= 2 and sum(c[1] == "V" for c in chosen) >= 2 and not notes
+    chosen, notes = assign.pick_diverse(h[:5] + v[:1], 5, 10.0)
+    assert [c[1] for c in chosen].count("V") == 1 and notes == ["1 of 2 V"]
+    chosen, notes = assign.pick_diverse([line(i, "H", i, 0) for i in range(4)], 3, 10.0)
+    assert len(chosen) == 3 and "distance relaxed" in notes
+    assert assign.pick_diverse(h[:1], 3, 1.0)[1] == ["1 of 2 H", "0 of 2 V", "1 of 3 lines"]
+
+
 def test_matching_rejects_decoys_and_reports_missing(spark):
     lines = [(0, 0, 100, 0), (0, 50, 80, 50), (10, 0, 10, 90), (60, 10, 60, 70), (0, 90, 120, 90)]
     f = segments.features(table(spark, lines))

@@ -46,6 +46,39 @@ def test_lengths_and_bad_input():
     assert svg.drawing_segments("<svg><line") == [] and svg.drawing_segments(None) == []
 
 
+def test_malformed_drawings_are_read_as_far_as_they_go():
+    good = '<line x1="0" y1="0" x2="3" y2="1"/>'
+    want = [(2.0, 0.0, 5.0, 1.0)]
+    for text in (f'<svg viewBox="0 0 9 9"><g transform="translate(2)">{good}', f'<svg><g transform="translate(2,0)">{good}</svg></g>', f"<svg><metadata>a & b</metadata><g transform='translate(2)'>{good}</p></g></svg><", f'<?xml version="1.0"?><svg:svg xmlns:svg="x"><svg:g transform="translate(2)">{good}</svg:g><svg:line x1="1"'):
+        assert svg.drawing_segments(text) == want, text
+    text = '<svg viewBox="0 0 10 10" width="20"><symbol id="s" viewBox="0 0 4 4"><line x1="0" y1="0" x2="4" y2="0"/></symbol><use xlink:href="#s" x="1" y="2" width="2" height="2"/><text x="1" y="2">a<b>'
+    assert svg.drawing_segments(text) == [pytest.approx((2, 4, 6, 4))] or svg.parse(text).polylines
+    assert svg.parse(text).texts[0][0] == "a" and svg.parse("no drawing").polylines == []
+
+
+def test_nesting_of_any_depth_and_references_in_circles():
+    n = 3000
+    deep = "<svg>" + '<g transform="translate(1)">' * n + '<line x1="0" y1="0" x2="1" y2="0"/>' + "</g>" * n + "</svg>"
+    assert svg.drawing_segments(deep) == [(n, 0, n + 1, 0)]
+    line = '<line x1="0" y1="0" x2="1" y2="0"/>'
+    chain = "".join(f'<g id="g{k}">{line if k == 0 else ""}<use href="#g{k - 1}" x="1"/></g>' for k in range(1, 100))
+    chain = f'<svg><defs><g id="g0">{line}</g>{chain}</defs><use href="#g99"/></svg>'
+    assert svg.drawing_segments(chain) == [(99, 0, 100, 0)]
+    circle = f'<svg><g id="a">{line}<use href="#b" x="5"/></g><g id="b"><use href="#a"/></g></svg>'
+    assert len(svg.drawing_segments(circle)) == 3
+
+
+def test_relative_tolerance_and_points():
+    d = '<svg width="300" height="400"><path d="M0 200A150 150 0 0 1 300 200"/></svg>'
+    fine, rough = (len(svg.drawing_segments(d, relative=r)) for r in (0.0001, 0.01))
+    assert fine > 2 * rough > 4 and len(svg.drawing_segments(d, tol=5.0)) == rough
+
+
+def test_dimension_edges():
+    text = '<svg><g transform="scale(9)"><path d="M0 0 L1 0 L1 7 h2"/><line x1="0" y1="0" x2="5" y2="0"/></g><path d="M1 1 C 2 2 3 3 4 4"/><line x1="1" y1="1" x2="1" y2="1"/></svg>'
+    assert svg.dimension_edges(text) == [(0, 0, 5, 0), (1, 0, 1, 7)] and svg.dimension_edges("") == []
+
+
 def test_tables(spark, tmp_path):
     text = '<svg width="100" height="50"><rect x="1" y="1" width="2" height="3"/><text x="5" y="6" font-size="8">1,5 m</text></svg>'
     (tmp_path / "a.svg").write_text(text)

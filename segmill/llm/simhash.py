@@ -7,8 +7,10 @@ cell of at least ``blocks - bits`` runs: every choice of that many runs gives a
 equal keys only. There the Manhattan distance is the first test and the Hamming distance the exact one.
 
 Links are wanted for what they reach, so within a cell only as many are returned as join its members (a cell of m
-fingerprints gives at most m - 1), and cells of more than ``cell`` fingerprints are compared in parts by several tasks.
-The groups then follow from rounds of distributed star contraction; nothing of this comes to the driver.
+fingerprints gives at most m - 1). Cells of more than ``cell`` fingerprints are cut into smaller ones: as such a pair
+differs in at most ``bits`` of the segments that a cell leaves free, it agrees on one of ``bits + 1`` groups of them, so
+members are keyed again by each group's counts as well, a few copies of each. What can't be cut further (equal counts
+nearly everywhere) is compared in parts by several tasks. The groups then follow from rounds of distributed star contraction; nothing of this comes to the driver.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any other; a text of fewer words than a
 shingle is one shingle; equal fingerprints are linked; a null id is a row like any other, whose group is the smallest
@@ -19,6 +21,7 @@ groups of rows that share an id are joined; an empty table gives no rows; other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -143,27 +146,58 @@ def links(fps: DataFrame, n: int, *, bits: int = 3, blocks: int | None = None, c
     """From the distinct fingerprints ``fps`` (fp, node), links (u, v) between nodes, enough of them that what is within
     ``bits`` bits of each other is joined."""
     every = masks(blocks or pick_blocks(n, bits), bits)
+    kind = fps.schema["node"].dataType.simpleString()
+    schema = f"key long, mask long, fp long, node {kind}"
+
+    def keyed_by(fp: np.ndarray, mask: np.ndarray | np.uint64) -> np.ndarray:
+        """The key of the grid cell that the masked counts name."""
+        h = (segment_counts(fp.view(np.uint64)) & mask) * np.uint64(0x9E3779B97F4A7C15) + mask * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        return h.view(np.int64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = batch.column("fp").to_numpy(), batch.column("node")
-            emb = segment_counts(fp.view(np.uint64))
-            for k, mask in enumerate(every):
-                h = (emb & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-                h ^= h >> np.uint64(32)
-                h *= np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("fp"), node], ["key", "fp", "node"])
+            fp = batch.column("fp").to_numpy()
+            for mask in every:
+                yield pa.RecordBatch.from_arrays([pa.array(keyed_by(fp, mask)), pa.repeat(pa.scalar(int(mask.view(np.int64)), pa.int64()), len(fp)), batch.column("fp"), batch.column("node")], ["key", "mask", "fp", "node"])
 
-    kind = fps.schema["node"].dataType.simpleString()
-    keyed = fps.transform(arrow, emit, f"key long, fp long, node {kind}")
-    # Cells above the bound: few rows, as each stands for ``cell`` keyed rows; they are looked up in a join of any kind.
-    large = keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > cell).select("key", F.ceil(F.col("m") / (cell // 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # Each member of a large cell goes to the tasks of all pairs of parts that hold its own.
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = keyed.join(large, "key", "left").select("key", "fp", "node", F.coalesce(part, F.lit(0)).alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "node")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each member of a large cell once for each group of the segments that the cell leaves free."""
+        for batch in batches:
+            own = batch.column("mask").to_numpy().view(np.uint64)
+            for mask in np.unique(own):
+                some = batch.take(pa.array(np.flatnonzero(own == mask)))
+                fp = some.column("fp").to_numpy()
+                free = [3 << 2 * k for k in range(SEGMENTS) if not int(mask) >> 2 * k & 3]
+                for g in range(bits + 1):
+                    finer = mask | np.uint64(sum(free[g :: bits + 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keyed_by(fp, finer)), pa.repeat(pa.scalar(int(finer.view(np.int64)), pa.int64()), len(fp)), some.column("fp"), some.column("node")], ["key", "mask", "fp", "node"])
+
+    keyed, plain, stuck = fps.transform(arrow, emit, schema), [], []
+    while True:
+        # Cells above the bound: few rows, as each stands for ``cell`` keyed rows; they are looked up in a join of any kind.
+        large = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > cell), "large")
+        if not (found := large.count()):
+            plain.append(keyed)
+            break
+        plain.append(keyed.join(small(large, found), "key", "left_anti"))
+        hot = materialize(keyed.join(small(large, found), "key"), "hot")
+        # A mask that leaves no more than ``bits`` segments free can't be cut.
+        fine = F.bit_count("mask") <= 2 * (SEGMENTS - bits - 1)
+        stuck.append(hot.where(~fine))
+        if not hot.where(fine).limit(1).count():
+            break
+        keyed = materialize(hot.where(fine).select("key", "mask", "fp", "node").transform(arrow, cut, schema), "cut")
+    zero = F.lit(0)
+    dealt = reduce(DataFrame.unionByName, plain).select("key", zero.alias("p"), zero.alias("q"), "fp", "node")
+    for rows in stuck:
+        # Each member goes to the tasks of all pairs of parts that hold its own.
+        parts = F.ceil(F.col("m") / (cell // 2)).cast("int")
+        own, other = F.pmod(F.xxhash64("fp"), parts).cast("int"), F.explode(F.sequence(zero, parts - 1))
+        rows = rows.select("key", "fp", "node", own.alias("own"), other.alias("other"))
+        dealt = dealt.unionByName(rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "node"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by cell; a cell that a batch cuts is kept for the next batch."""

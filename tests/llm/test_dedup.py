@@ -188,6 +188,18 @@ def test_links_reach_what_brute_force_reaches(spark, blocks, cell):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_a_hot_cell_is_cut_and_not_copied_for_its_size(spark):
+    """Fingerprints that share most of their counts: links reach what brute force reaches, by few copies of each."""
+    rng = random.Random(17)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ rng.getrandbits(24) for _ in range(1500)})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, node long")
+    edges = simhash.links(df, len(fps), blocks=5, cell=64)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == reached(fps)
+
+
 def test_embedding_is_a_lower_bound():
     r = np.random.default_rng(3)
     a = r.integers(0, 2**63, 500, dtype=np.uint64)

@@ -149,9 +149,9 @@ def links(fps: DataFrame, n: int, *, bits: int = 3, blocks: int | None = None, c
     kind = fps.schema["node"].dataType.simpleString()
     schema = f"key long, mask long, fp long, node {kind}"
 
-    def keyed_by(fp: np.ndarray, mask: np.ndarray | np.uint64) -> np.ndarray:
+    def keyed_by(fp: np.ndarray, mask: np.uint64) -> np.ndarray:
         """The key of the grid cell that the masked counts name."""
-        h = (segment_counts(fp.view(np.uint64)) & mask) * np.uint64(0x9E3779B97F4A7C15) + mask * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (segment_counts(fp.view(np.uint64)) & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(mask) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)

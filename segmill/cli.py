@@ -1,5 +1,5 @@
 """``python -m segmill.cli``: ``run`` aligns Parquet tables of segments and pages and writes the report; ``preprocess`` works
-on rasters and labels; ``scan`` reads SVG files.
+on rasters and labels; ``scan`` reads SVG files, ``pages`` PDF files.
 
 Exit codes: 0 done, 2 for inputs or settings that can't be used, 1 for anything else."""
 
@@ -15,7 +15,7 @@ from segmill import config, sinks
 from segmill.metrics import Run
 from segmill.operators import segments
 from segmill.plans import pipeline, preprocess
-from segmill.sources import svg
+from segmill.sources import pdf, svg
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -24,7 +24,8 @@ def main(argv: list[str] | None = None) -> int:
     run = sub.add_parser("run", help="align segments_pdf with segments_svg (Parquet) and write the report")
     scan = sub.add_parser("scan", help="read SVG files into a table of segments")
     pre = sub.add_parser("preprocess", help="orientation and scale from rasters, checked by labels (Parquet tables)")
-    for s in (run, scan, pre):
+    pdfs = sub.add_parser("pages", help="read PDF files into tables of pages, segments, texts and drawings")
+    for s in (run, scan, pre, pdfs):
         s.add_argument("--config")
         s.add_argument("--opts", action="append", default=[], metavar="path=value")
         s.add_argument("--out", required=True)
@@ -33,6 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--pages", required=True)
     run.add_argument("--raster", action="store_true", help="the page's segments come from a raster")
     scan.add_argument("--path", required=True)
+    pdfs.add_argument("--path", required=True)
+    pdfs.add_argument("--page", type=int, help="one page of each file, from 0; all by default")
     for name in ("--pixels", "--lines", "--texts"):
         pre.add_argument(name, required=True)
     for name in ("--rows", "--cols"):
@@ -45,6 +48,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "scan":
             svg.segments(svg.read(spark, a.path), tol=cfg["svg"]["curve_tol"]).write.mode("overwrite").parquet(a.out)
             return 0
+        if a.command == "pages":
+            files, tol = pdf.read(spark, a.path), cfg["svg"]["curve_tol"]
+            made = {"pages": pdf.pages(files), "segments": pdf.segments(files, page=a.page, tol=tol), "texts": pdf.texts(files, page=a.page), "drawings": pdf.drawings(files, page=a.page, tol=tol)}
+            for name, df in made.items():
+                df.write.mode("overwrite").parquet(f"{a.out}/{name}")
+            return 0
         took = Run()
         if a.command == "preprocess":
             with took.stage("preprocess"):

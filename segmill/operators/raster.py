@@ -25,6 +25,46 @@ def draw(segs: DataFrame, *keys: str, size: int, w: float | Column, h: float | C
     return p.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)).distinct()
 
 
+def render(segs: DataFrame, pages: DataFrame, *, zoom: float | None = None, size: int | None = None, y_up: bool = True) -> DataFrame:
+    """Pages drawn at ``zoom`` pixels a unit (dots an inch / 72), or so that the longer side has ``size`` pixels: doc_id, row,
+    col, val. ``pages`` has doc_id, w, h; a canvas has ceil(w * zoom) columns and ceil(h * zoom) rows, one at least. Ink is
+    255, paper is absent: the gray value is 255 - val. Lines are one pixel wide, in the pixels that hold their steps, those on
+    the far borders in the last ones; only the part on the canvas is stepped along, so its size bounds what a line costs. Segments of documents without a page, or with a null end, draw nothing."""
+    if (zoom is None) == (size is None) or (zoom if size is None else size) <= 0:
+        raise ValueError("one of zoom and size must be positive")
+    z = F.lit(float(zoom)) if zoom is not None else F.lit(float(size)) / F.greatest("w", "h")
+    canvas = pages.select("doc_id", F.col("h").alias("_h"), z.alias("_z"), *[F.greatest(F.ceil(F.col(c) * z), F.lit(1)).alias(n) for c, n in (("w", "_cols"), ("h", "_rows"))])
+    u = lambda c: F.col(c) * F.col("_z")
+    v = lambda c: ((F.col("_h") - F.col(c)) if y_up else F.col(c)) * F.col("_z")
+    s = segs.select("doc_id", "x1", "y1", "x2", "y2").join(canvas, "doc_id").select("doc_id", "_rows", "_cols", u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2"))
+    du, dv = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
+
+    def inside(first: Column, d: Column, n: Column) -> tuple[Column, Column]:
+        """The share of the way at which a line enters the canvas and leaves it, along one axis."""
+        flat = F.when(first.between(0, n), F.lit(0.0)).otherwise(F.lit(2.0))
+        a, b = -first / d, (n - first) / d
+        return F.when(d == 0, flat).otherwise(F.least(a, b)), F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(a, b))
+
+    (x0, x1), (y0, y1) = inside(F.col("u1"), du, F.col("_cols")), inside(F.col("v1"), dv, F.col("_rows"))
+    s = s.withColumns({"t0": F.greatest(F.lit(0.0), x0, y0), "t1": F.least(F.lit(1.0), x1, y1)}).where("u1 is not null and v1 is not null and u2 is not null and v2 is not null and t0 <= t1")
+    held = lambda c, n: F.least(F.greatest(c, F.lit(0.0)), F.col(n))
+    s = s.select("doc_id", "_rows", "_cols", *[held(F.col(f"{a}1") + d * F.col(f"t{e}"), n).alias(f"{a}{e}") for a, d, n in (("u", du, "_cols"), ("v", dv, "_rows")) for e in (0, 1)])
+    s = s.withColumn("n", F.greatest(F.ceil(F.greatest(F.abs(F.col("u1") - F.col("u0")), F.abs(F.col("v1") - F.col("v0")))), F.lit(1)).cast("long"))
+    s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).withColumn("t", F.col("k") / F.col("n"))
+    on = lambda a, n: F.least(F.floor(F.col(f"{a}0") + (F.col(f"{a}1") - F.col(f"{a}0")) * F.col("t")), F.col(n) - 1)
+    p = s.select("doc_id", on("v", "_rows").alias("row"), on("u", "_cols").alias("col"))
+    return p.select("doc_id", "row", "col").distinct().withColumn("val", F.lit(255))
+
+
+def preview(px: DataFrame, boxes: DataFrame, *, margin: int = 50) -> DataFrame:
+    """``px`` (doc_id, row, col, val) within each document's box (doc_id, row0, col0, row1, col1) and ``margin`` pixels around
+    it, rows and columns counted from the cut's upper left, which doesn't lie above or left of the canvas."""
+    at = lambda c: F.greatest(F.col(c) - margin, F.lit(0))
+    j = px.join(boxes.select("doc_id", at("row0").alias("_r"), at("col0").alias("_c"), (F.col("row1") + margin).alias("_r1"), (F.col("col1") + margin).alias("_c1")), "doc_id")
+    j = j.where(F.col("row").between(F.col("_r"), F.col("_r1")) & F.col("col").between(F.col("_c"), F.col("_c1")))
+    return j.select("doc_id", (F.col("row") - F.col("_r")).alias("row"), (F.col("col") - F.col("_c")).alias("col"), "val")
+
+
 def overlap(a: DataFrame, b: DataFrame, size: int, shifts: DataFrame | None = None) -> DataFrame:
     """Share of the canvas that both rasters set, ``b`` rolled by (dr, dc) for each row of ``shifts`` (doc_id, dr, dc)."""
     b = b.join(shifts, "doc_id") if shifts is not None else b.withColumns({"dr": F.lit(0), "dc": F.lit(0)})

@@ -12,7 +12,7 @@ from segmill.operators import fit, hypotheses, labels, match, profiles, raster,
 from segmill.plans import pipeline
 from segmill.plans import preprocess as preprocess_
 from segmill.plans import scan
-from segmill.sources import content, derived, svg
+from segmill.sources import content, derived, pdf, svg
 from segmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -934,3 +934,81 @@ def calibrated_models(spark: SparkSession, d: str) -> DataFrame:
     """Models with the coarse search on, checked by distance maps."""
     cfg = {"coarse": {"enabled": True}, "verify": {"mode": "distmap"}}
     return pipeline.run(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d), cfg)["models"]
+
+
+#: The second page of the written files is turned: a square and a text, each where it is shown.
+_SECOND = "(VALUES (0, 20e0, 80e0, 20e0, 60e0), (1, 20e0, 60e0, 40e0, 60e0), (2, 40e0, 60e0, 40e0, 80e0), (3, 40e0, 80e0, 20e0, 80e0)) AS v(seg_id, x1, y1, x2, y2)"
+
+
+def _page_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document: a page of its segments, and a turned one with a square and the document's number."""
+    line = F.format_string("%.9f %.9f m %.9f %.9f l S", "x1", "y1", "x2", "y2")
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("e")))), lambda x: x["e"]), "\n")
+    s = derived.segments_pdf(spark, d).groupBy("doc_id").agg(one.alias("one"))
+    two = F.concat(F.lit("30 40 20 20 re S BT /F1 12 Tf 30 40 Td (No. \\("), F.col("doc_id").cast("string"), F.lit("\\)) Tj ET"))
+    file = [F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/MediaBox[0 0 1000 800]>> endobj 3 0 obj <</Type/Page/Parent 2 0 R/Contents 5 0 R>> endobj 4 0 obj <</Type/Page/Parent 2 0 R/Rotate 90/MediaBox[10 20 110 320]/Contents 6 0 R>> endobj\n")]
+    for n, c in ((5, F.col("one")), (6, two)):
+        file += [F.format_string(f"{n} 0 obj <</Length %d>>\nstream\n", F.length(c)), c, F.lit("\nendstream endobj\n")]
+    return s.select("doc_id", F.concat(*file).cast("binary").alias("pdf"))
+
+
+@query("SELECT doc_id, page_index, 2 AS n_pages, w, h, NULL::VARCHAR AS error FROM (SELECT DISTINCT doc_id FROM pdf), (VALUES (0, 1000e0, 800e0), (1, 300e0, 100e0)) AS v(page_index, w, h)")
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.pages(_page_files(spark, d))
+
+
+@query(f"""SELECT doc_id, 0 AS page_index, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS seg_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM pdf
+UNION ALL SELECT doc_id, 1, seg_id, x1, y1, x2, y2 FROM (SELECT DISTINCT doc_id FROM pdf), {_SECOND}""")
+def pdf_segments(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pdf.segments(_page_files(spark, d)), "x1", "y1", "x2", "y2")
+
+
+@query("SELECT DISTINCT doc_id, 1 AS page_index, 0 AS txt_id, 'No. (' || doc_id || ')' AS text, 20e0 AS x, 80e0 AS y, 12e0 AS font FROM pdf")
+def pdf_texts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pdf.texts(_page_files(spark, d)), "x", "y", "font")
+
+
+@query(f"SELECT doc_id, seg_id, x1, y1, x2, y2 FROM (SELECT DISTINCT doc_id FROM pdf), {_SECOND}")
+def pdf_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """The second page as a file of its own, read again."""
+    return rounded(pdf.segments(pdf.extracted(_page_files(spark, d), 1)).drop("page_index"), "x1", "y1", "x2", "y2")
+
+
+@query("SELECT doc_id, round(x1, 5) AS x1, round(800 - y1, 5) AS y1, round(x2, 5) AS x2, round(800 - y2, 5) AS y2 FROM pdf")
+def pdf_to_svg(spark: SparkSession, d: str) -> DataFrame:
+    """First pages made into drawings, whose segments are read."""
+    return rounded(svg.segments(pdf.drawings(_page_files(spark, d), page=0)).select("doc_id", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", digits=5)
+
+
+@query("SELECT doc_id, pick, round(x1, 5) AS x1, round(y1, 5) AS y1, round(x2, 5) AS x2, round(y2, 5) AS y2 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, seg_id) AS pick FROM fp) WHERE pick <= 3")
+def pdf_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The three longest segments of each document drawn over its second page, which is turned, and read from there."""
+    top = segments.top_absolute(feat(spark, d, "pdf"), 3, "doc_id")
+    chosen = top.select("doc_id", F.col("rank").alias("pick"), "x1", "y1", "x2", "y2", F.lit(False).alias("matched"))
+    said = chosen.select("doc_id").distinct().withColumn("text", F.lit("one (1)\ntwo"))
+    got = pdf.segments(pdf.overlaid(_page_files(spark, d), chosen, said, page=1)).where(F.col("seg_id").between(4, 6))
+    return rounded(got.select("doc_id", (F.col("seg_id") - 3).alias("pick"), "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", digits=5)
+
+
+_GRAY = """, r AS (SELECT doc_id, u1, v1, u2 - u1 AS du, v2 - v1 AS dv FROM (SELECT doc_id, x1 * 0.5e0 AS u1, (800 - y1) * 0.5e0 AS v1, x2 * 0.5e0 AS u2, (800 - y2) * 0.5e0 AS v2 FROM pdf)),
+w AS (SELECT *, greatest(0, CASE WHEN du = 0 THEN 0 ELSE least(-u1 / du, (500 - u1) / du) END, CASE WHEN dv = 0 THEN 0 ELSE least(-v1 / dv, (400 - v1) / dv) END) AS a,
+  least(1, CASE WHEN du = 0 THEN 1 ELSE greatest(-u1 / du, (500 - u1) / du) END, CASE WHEN dv = 0 THEN 1 ELSE greatest(-v1 / dv, (400 - v1) / dv) END) AS b FROM r),
+c AS (SELECT doc_id, least(greatest(u1 + du * a, 0), 500) AS u1, least(greatest(v1 + dv * a, 0), 400) AS v1, least(greatest(u1 + du * b, 0), 500) AS u2, least(greatest(v1 + dv * b, 0), 400) AS v2 FROM w
+  WHERE a <= b AND (du <> 0 OR u1 BETWEEN 0 AND 500) AND (dv <> 0 OR v1 BETWEEN 0 AND 400)),
+s AS (SELECT *, unnest(range(0, n::BIGINT + 1)) / n AS t FROM (SELECT *, greatest(ceil(greatest(abs(u2 - u1), abs(v2 - v1))), 1) AS n FROM c)),
+gray AS (SELECT DISTINCT doc_id, least(floor(v1 + (v2 - v1) * t), 399)::BIGINT AS row, least(floor(u1 + (u2 - u1) * t), 499)::BIGINT AS col, 255 AS val FROM s)"""
+
+
+def _gray(spark: SparkSession, d: str) -> DataFrame:
+    return raster.render(derived.segments_pdf(spark, d), derived.pages(spark, d).where("side = 'pdf'"), zoom=0.5)
+
+
+@query(_GRAY + " SELECT * FROM gray")
+def page_render(spark: SparkSession, d: str) -> DataFrame:
+    return _gray(spark, d)
+
+
+@query(_GRAY + " SELECT doc_id, row - 60 AS row, col AS col, val FROM gray WHERE row BETWEEN 60 AND 190 AND col BETWEEN 0 AND 120")
+def page_preview(spark: SparkSession, d: str) -> DataFrame:
+    box = derived.pages(spark, d).select("doc_id").distinct().select("doc_id", *[F.lit(n).alias(c) for c, n in (("row0", 110), ("col0", 30), ("row1", 140), ("col1", 70))])
+    return raster.preview(_gray(spark, d), box)

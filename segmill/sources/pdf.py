@@ -39,16 +39,20 @@ class Stream(NamedTuple):
     raw: bytes
 
 
+#: Numbers beyond are held down to it.
+MOST = 1e15
+
+
 class Unreadable(ValueError):
     """A file or page that this module can't read."""
 
 
 _SPACE = rb"[\x00\t\n\x0c\r ]"
 _TOKEN = re.compile(
-    rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*+(?:(?P<ref>(\d+)[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+R(?![A-Za-z]))|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))"
+    rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*+(?:(?P<ref>(\d{1,10})[\x00\t\n\x0c\r ]+\d{1,10}[\x00\t\n\x0c\r ]+R(?![A-Za-z]))|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))"
     rb"|/(?P<name>[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)|(?P<open><<|\[)|(?P<close>>>|\])|<(?P<hex>[0-9A-Fa-f\x00\t\n\x0c\r ]*)>|(?P<str>\()|(?P<word>[A-Za-z'\"][A-Za-z0-9*]*))"
 )
-_OBJECT = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+obj(?![a-z])")
+_OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\x00\t\n\x0c\r ]+\d{1,10}[\x00\t\n\x0c\r ]+obj(?![a-z])")
 _STREAM = re.compile(_SPACE + rb"*stream(?:\r\n|\n|\r)")
 _IMAGE_END = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|\Z)")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -83,7 +87,7 @@ def tokens(data: bytes, at: int = 0) -> Iterator[tuple[str, Any, int]]:
         if m["ref"]:
             v = Ref(int(m[2]))
         elif kind == "num":
-            v = float(m["num"]) if b"." in m["num"] else int(m["num"])
+            v = int(m["num"]) if len(m["num"]) <= 15 and b"." not in m["num"] else max(-MOST, min(MOST, float(m["num"])))
         elif kind == "name":
             v = Name(re.sub(r"#([0-9A-Fa-f]{2})", lambda h: chr(int(h[1], 16)), m["name"].decode("latin-1")))
         elif kind == "hex":
@@ -281,7 +285,7 @@ class File:
                 yield v, values
                 continue
             forms = self.get(resources.get("XObject")) if isinstance(resources, dict) else None
-            ref = forms.get(values[-1]) if isinstance(forms, dict) else None
+            ref = forms.get(values[-1]) if isinstance(forms, dict) and isinstance(values[-1], Name) else None
             form, num = self.get(ref), ref.num if isinstance(ref, Ref) else None
             if isinstance(form, Stream) and self.get(form.head.get("Subtype")) == "Form" and num is not None and all(num != t[2] for t in todo):
                 m = self.get(form.head.get("Matrix"))
@@ -389,7 +393,10 @@ def single(file: File, k: int, over: bytes = b"") -> bytes:
         if n > 0 and isinstance(v, dict) and v.get("Type") == "Page":
             v = None
         at[nums[n]] = len(out)
-        out += b"%d 0 obj\n%b\nendobj\n" % (nums[n], _written(v, num))
+        try:
+            out += b"%d 0 obj\n%b\nendobj\n" % (nums[n], _written(v, num))
+        except RecursionError:
+            raise Unreadable("nested too deep") from None
     begins = len(out)
     out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(at) + 1) + b"".join(b"%010d 00000 n \n" % at[n] for n in sorted(at))
     return bytes(out + b"trailer\n<</Size %d /Root %d 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(at) + 1, nums[0], begins))
@@ -440,9 +447,10 @@ def _of_pages(data: bytes | None, page: int | None, make: Callable[[File, int],
         try:
             for _ in file.operations(file.pages[k]):
                 pass
+            made = list(make(file, k))
         except Unreadable:
             continue
-        yield from ((k, *r) for r in make(file, k))
+        yield from ((k, *r) for r in made)
 
 
 def pages(files: DataFrame, **names: str) -> DataFrame:

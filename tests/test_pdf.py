@@ -94,6 +94,16 @@ def test_single_pages_hold_what_they_use():
     assert pdf.single(f, 1)[at:].startswith(b"xref\n0 ")
 
 
+def test_odd_operands():
+    far = b"9" * 5000
+    assert lines(file(content=b"[1] Do (x) Do 0 0 m 1 1 l S")) == [[(0, 0), (1, 1)]]
+    assert lines(file(b"/Rotate " + far, content=b"0 0 m " + far + b" 1 l S"))[0][0] is not None
+    assert pdf.File(file(more=far + b" 0 obj 1 endobj")).pages
+    deep = pdf.File(file(b"/Group 7 0 R", more=b"7 0 obj" + b"[" * 5000 + b"]" * 5000 + b"endobj"))
+    with pytest.raises(pdf.Unreadable):
+        pdf.single(deep, 0)
+
+
 def test_tables(spark):
     hidden = file(content=b"xx", head=b"/Filter/LZWDecode")
     rows = [(1, bytearray(file())), (2, None), (3, bytearray(b"")), (4, bytearray(hidden)), (1, bytearray(file()))]

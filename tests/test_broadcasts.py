@@ -12,6 +12,7 @@ from segmill.plans.registry import QUERIES
 NAMES = [
     "distmap_qa",
     "residual_stats",
+    "select_lines",
 ]
 
 

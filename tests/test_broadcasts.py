@@ -13,6 +13,7 @@ NAMES = [
     "distmap_qa",
     "residual_stats",
     "select_lines",
+    "line_support",
 ]
 
 

@@ -15,6 +15,7 @@ NAMES = [
     "select_lines",
     "line_support",
     "match_accuracy",
+    "nearest_distance",
 ]
 
 

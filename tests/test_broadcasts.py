@@ -16,6 +16,7 @@ NAMES = [
     "line_support",
     "match_accuracy",
     "nearest_distance",
+    "gate_matches",
 ]
 
 

@@ -17,6 +17,7 @@ NAMES = [
     "match_accuracy",
     "nearest_distance",
     "gate_matches",
+    "chamfer_hypotheses",
 ]
 
 

@@ -823,14 +823,16 @@ def label_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    """Drawings (doc_id, svg) with the page's segments, as lines or as paths with a short first part, and with its labels."""
+    """Drawings (doc_id, svg) with the page's segments, as lines or as paths with a short first part, and with its labels,
+    each kind in the order of its ids: a scanned text's id is its place, which decides between labels equally near."""
     f = lambda c: F.col(c).cast("string")
     line = F.format_string('<line x1="%s" y1="%s" x2="%s" y2="%s"/>', *map(f, ("x1", "y1", "x2", "y2")))
     path = F.format_string('<path d="M0 0 L1 0 M%s %s L%s %s"/>', *map(f, ("x1", "y1", "x2", "y2")))
-    e = derived.segments_pdf(spark, d).select("doc_id", F.when(F.col("seg_id") % 2 == 0, line).otherwise(path).alias("e"))
+    e = derived.segments_pdf(spark, d).select("doc_id", F.lit(0).alias("kind"), F.col("seg_id").alias("id"), F.when(F.col("seg_id") % 2 == 0, line).otherwise(path).alias("e"))
     at = (F.col("cx") - F.length("text") * 3.0, F.col("cy") + 4.0)
-    t = derived.labels(spark, d).select("doc_id", F.format_string('<text x="%s" y="%s" font-size="10">%s</text>', at[0].cast("string"), at[1].cast("string"), F.col("text")).alias("e"))
-    body = e.unionByName(t).groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("body"))
+    t = derived.labels(spark, d).select("doc_id", F.lit(1).alias("kind"), F.col("txt_id").alias("id"), F.format_string('<text x="%s" y="%s" font-size="10">%s</text>', at[0].cast("string"), at[1].cast("string"), F.col("text")).alias("e"))
+    ordered = F.array_sort(F.collect_list(F.struct("kind", "id", "e")))
+    body = e.unionByName(t).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["e"]), "").alias("body"))
     return body.select("doc_id", F.concat(F.lit('<svg viewBox="0 0 1000 800">'), "body", F.lit("</svg>")).alias("svg"))
 
 

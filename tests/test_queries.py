@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from segmill.plans import registry
 from segmill.plans.registry import ORACLE_SQL, QUERIES
-from segmill.sources import derived
+from segmill.sources import derived, svg
 
 from .conftest import rows
 
@@ -38,3 +39,11 @@ def test_joins_are_not_nested_loops(spark, sf_dir):
     for name in ("grid_radius_join", "gate_matches", "candidate_pairs", "nearest_distance", "label_pairs", "neighbor_signature"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_drawings_are_written_in_order_of_ids(spark, sf_dir, tmp_path):
+    for table, key in (("orders", "o_orderkey"), ("part", "p_partkey")):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3, key).sortWithinPartitions(key, ascending=False).write.parquet(f"{tmp_path}/{table}.parquet")
+    want = sorted((r.doc_id, r.txt_id, r.text) for r in derived.labels(spark, sf_dir).collect())
+    found = sorted((r.doc_id, r.txt_id, r.text) for r in svg.texts(registry._written(spark, str(tmp_path))).collect())
+    assert [(a, c) for a, _, c in found] == [(a, c) for a, _, c in want]

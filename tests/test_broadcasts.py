@@ -18,6 +18,7 @@ NAMES = [
     "nearest_distance",
     "gate_matches",
     "chamfer_hypotheses",
+    "match_lines",
 ]
 
 

@@ -19,6 +19,7 @@ NAMES = [
     "gate_matches",
     "chamfer_hypotheses",
     "match_lines",
+    "match_report",
 ]
 
 

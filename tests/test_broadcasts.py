@@ -20,6 +20,7 @@ NAMES = [
     "chamfer_hypotheses",
     "match_lines",
     "match_report",
+    "coarse_best",
 ]
 
 

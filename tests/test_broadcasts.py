@@ -21,6 +21,7 @@ NAMES = [
     "match_lines",
     "match_report",
     "coarse_best",
+    "coarse_hypotheses",
 ]
 
 

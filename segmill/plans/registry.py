@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.functions import geom, parse
@@ -36,6 +36,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def halves_up(df: DataFrame, *names: str, digits: int) -> DataFrame:
+    """``rounded`` as the SQL engine does it: the product with the power of ten decides, not the shortest decimal form."""
+    unit = 10.0**digits
+
+    def of(c: str) -> Column:
+        y = F.abs(F.col(c)) * unit
+        whole = F.floor(y).cast("double")
+        return F.signum(c) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / unit + 0.0
+
+    return df.withColumns({c: of(c) for c in names})
+
+
 def feat(spark: SparkSession, d: str, side: str | None = None) -> DataFrame:
     """Segments with their features, of one side or both."""
     parts = {"pdf": derived.segments_pdf, "svg": derived.segments_svg}
@@ -856,10 +868,10 @@ def drawing_scan(spark: SparkSession, d: str) -> DataFrame:
     """Drawings read, fitted, snapped and merged in one go."""
     f = lambda c: F.col(c).cast("string")
     mid = [((F.col(a) + F.col(b)) / 2).cast("string") for a, b in (("x1", "x2"), ("y1", "y2"))]
-    e = derived.segments_svg(spark, d).select("doc_id", F.format_string('<polyline points="%s,%s %s,%s %s,%s"/>', f("x1"), f("y1"), *mid, f("x2"), f("y2")).alias("e"))
-    docs = e.groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("body"))
+    e = derived.segments_svg(spark, d).select("doc_id", "seg_id", F.format_string('<polyline points="%s,%s %s,%s %s,%s"/>', f("x1"), f("y1"), *mid, f("x2"), f("y2")).alias("e"))
+    docs = e.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "e"))), lambda x: x["e"]), "").alias("body"))
     text = F.concat(F.lit('<svg width="3000" height="2000"><g transform="translate(10,-3) scale(2)">'), "body", F.lit("</g></svg>"))
-    return rounded(scan.drawings(docs.select("doc_id", text.alias("svg")), merge={"off_tol": 2.37, "gap_max": 3.3}).select("doc_id", "axis", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", digits=4)
+    return halves_up(scan.drawings(docs.select("doc_id", text.alias("svg")), merge={"off_tol": 2.37, "gap_max": 3.3}).select("doc_id", "axis", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", digits=4)
 
 
 @query(""", p AS (SELECT p_partkey AS doc_id, (p_partkey % 50)::DOUBLE AS x, (p_partkey % 30)::DOUBLE AS y, (5 + p_size)::DOUBLE AS r FROM part),

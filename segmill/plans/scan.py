@@ -16,10 +16,10 @@ from segmill.sources import svg
 def drawings(docs: DataFrame, *, tol: float = 0.25, relative: float | None = None, axis_tol: float = 2.0, max_spread: float = 3.0, max_off: float = 1.0, merge: Mapping[str, Any] | None = None) -> DataFrame:
     """Segments of drawings (doc_id, svg) with their features: polylines that are nearly straight as one fitted segment,
     others as their edges, near-axis ones snapped, collinear ones merged if ``merge`` has off_tol and gap_max. Ids follow from
-    the segments."""
+    the places in the drawing, those of merged ones from the segments."""
     points = svg.polylines(docs, tol=tol, relative=relative)
     s = segments.straight(points, "doc_id", "poly_id", max_spread=max_spread, max_off=max_off)
-    s = s.select("doc_id", F.lit("svg").alias("side"), F.xxhash64("poly_id", "part", "x1", "y1", "x2", "y2").alias("seg_id"), "x1", "y1", "x2", "y2")
+    s = s.select("doc_id", F.lit("svg").alias("side"), (F.col("poly_id").cast("long") * (1 << 31) + F.col("part") + 1).alias("seg_id"), "x1", "y1", "x2", "y2")
     # Written, as each step below names the ends of the one before many times, which would grow beyond what can be compiled.
     s = materialize(segments.snap(segments.features(materialize(s, "fitted"), axis_tol), axis_tol), "snapped")
     if merge:

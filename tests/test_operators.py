@@ -359,3 +359,14 @@ def test_fit_in_a_task_and_by_joins_agree(spark, monkeypatch):
         for k, m in got.items():
             assert m[1:-1] == pytest.approx(held[k][1:-1], rel=1e-9, abs=1e-9) and m.quality_notes == held[k].quality_notes
     assert len(joined) == 2
+
+
+def test_straight_polylines_keep_their_own_ends(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k in range(60):
+        a, b, c, d = (rng.uniform(0, 900) * 2 + 10 for _ in range(4))
+        rows += [(k, 0, a, b), (k, 1, (a + c) / 2, (b + d) / 2), (k, 2, c, d)]
+        want[k] = {(a, b), (c, d)}
+    got = segments.straight(spark.createDataFrame(rows, "id int, i int, x double, y double"), "id").collect()
+    assert {r.id: {(r.x1, r.y1), (r.x2, r.y2)} for r in got} == want and all(r.part == -1 for r in got)

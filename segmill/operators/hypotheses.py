@@ -157,15 +157,15 @@ def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataF
     spot = ["doc_id", "hyp_id", "kx", "ky"]
     u, v = geom.coarse_vector(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("rot"), F.col("flip"))
     sx, sy = F.col("pw") / F.col("w"), F.col("ph") / F.col("h")
-    there = svg.select("doc_id", "x1", "y1", "x2", "y2", "cx", "cy").join(top.select(*spot).distinct().join(F.broadcast(hyps), "hyp_id"), "doc_id")
+    there = svg.select("doc_id", "x1", "y1", "x2", "y2", "cx", "cy").join(top.select(*spot).distinct().join(F.broadcast(hyps), "hyp_id").hint(spatial.UNSENT), "doc_id")
     there = _boxed(_boxed(there, box_svg, ""), box_pdf, "p").withColumns({"mx": mid[0], "my": mid[1], "u": u * sx, "v": v * sy})
     there = there.select(*spot, ((F.col("mx") - F.col("x0")) * sx + F.col("px0") + F.col("kx") * (F.col("pw") / bins)).alias("lx"), ((F.col("my") - F.col("y0")) * sy + F.col("py0") + F.col("ky") * (F.col("ph") / bins)).alias("ly"), geom.norm(F.col("u"), F.col("v")).alias("s_len"), geom.angle180(geom.Seg(F.lit(0.0), F.lit(0.0), F.col("u"), F.col("v"))).alias("s_ang"))
     here = pdf.select("doc_id", F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("len").alias("p_len"), F.col("ang").alias("p_ang"))
     ok = (geom.angle_gap(F.col("p_ang"), F.col("s_ang")) <= angle_tol) & (F.col("p_len") > 0) & (F.col("s_len") / F.col("p_len")).between(1 - len_tol, 1 + len_tol)
     near = spatial.grid_join(there, here, dist_tol).where(ok).groupBy(*spot).agg(F.sum(F.least("p_len", "s_len")).alias("near"))
     total = there.groupBy(*spot).agg(F.sum("s_len").alias("total"))
-    inliers = total.join(near, spot, "left").withColumn("inliers", F.coalesce("near", F.lit(0.0)) / F.col("total"))
-    out = _boxed(_boxed(top.join(inliers, spot), box_svg, ""), box_pdf, "p").join(F.broadcast(hyps), "hyp_id")
+    inliers = total.join(near.hint(spatial.UNSENT), spot, "left").withColumn("inliers", F.coalesce("near", F.lit(0.0)) / F.col("total"))
+    out = _boxed(_boxed(top.join(inliers.hint(spatial.UNSENT), spot), box_svg, ""), box_pdf, "p").join(F.broadcast(hyps), "hyp_id")
     score = weights[0] * F.col("cx") + weights[1] * F.col("cy") + weights[2] * F.col("inliers")
     return out.select("doc_id", "level", "hyp_id", "rot", "flip", "cx", "cy", (F.col("kx") * (F.col("pw") / bins)).alias("dx"), (F.col("ky") * (F.col("ph") / bins)).alias("dy"), "inliers", score.alias("score"), sx.alias("sx"), sy.alias("sy"))
 

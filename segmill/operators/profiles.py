@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial
+
 
 def _bin(c: Column, lo: Column, hi: Column, bins: int) -> Column:
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - lo) / F.greatest(hi - lo, F.lit(1e-6))))
@@ -50,8 +52,8 @@ def xcorr(prof: DataFrame, bins: int, *, circular: int | None = None, keys: tupl
     na = a.groupBy(*keys).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"))
     nb = b.groupBy(*keys).agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("nb"))
     half = F.pmod(F.col("i") - F.col("j"), F.lit(n))
-    c = a.join(b, list(keys)).groupBy(*keys, F.when(half > n // 2, half - n).otherwise(half).alias("shift")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return c.join(na, list(keys)).join(nb, list(keys)).select(*keys, "shift", (F.col("s") / (F.col("na") * F.col("nb"))).alias("c"))
+    c = a.join(b.hint(spatial.UNSENT), list(keys)).groupBy(*keys, F.when(half > n // 2, half - n).otherwise(half).alias("shift")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    return c.join(na.hint(spatial.UNSENT), list(keys)).join(nb.hint(spatial.UNSENT), list(keys)).select(*keys, "shift", (F.col("s") / (F.col("na") * F.col("nb"))).alias("c"))
 
 
 def peak(corr: DataFrame, *keys: str) -> DataFrame:

@@ -39,3 +39,27 @@ def test_no_cells_are_broadcast(spark, sf_dir, name, monkeypatch):
     planned(QUERIES[name](spark, sf_dir))
     joins = [x for p in plans for x in p.split("\n") if "Join [" in x and "_gx#" in x]
     assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def _joins(spark, sf_dir, name, monkeypatch) -> list[str]:
+    """The joins of all plans that a query runs, and of the one that it returns."""
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def noted(df, *rest, **more):
+        planned(df)
+        return durable.materialize(df, *rest, **more)
+
+    for module in (fit, hypotheses, match, pipeline):
+        monkeypatch.setattr(module, "materialize", noted)
+    planned(QUERIES[name](spark, sf_dir))
+    return [x for p in plans for x in p.split("\n") if "Join [" in x]
+
+
+@pytest.mark.parametrize("name", ["coarse_hypotheses"])
+def test_neither_profiles_nor_drawings_of_a_coarse_search_are_broadcast(spark, sf_dir, name, monkeypatch):
+    joins = _joins(spark, sf_dir, name, monkeypatch)
+    keys = [x.split("], [")[0] for x in joins]
+    products = [x for x, k in zip(joins, keys, strict=True) if "level#" in k and "hyp_id#" in k and "profile#" in k]
+    shifts = [x for x, k in zip(joins, keys, strict=True) if "kx#" in k and "ky#" in k]
+    assert products and shifts and not [x for x in products + shifts if "Broadcast" in x]

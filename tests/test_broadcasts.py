@@ -56,7 +56,7 @@ def _joins(spark, sf_dir, name, monkeypatch) -> list[str]:
     return [x for p in plans for x in p.split("\n") if "Join [" in x]
 
 
-@pytest.mark.parametrize("name", ["coarse_hypotheses"])
+@pytest.mark.parametrize("name", ["coarse_hypotheses", "coarse_best"])
 def test_neither_profiles_nor_drawings_of_a_coarse_search_are_broadcast(spark, sf_dir, name, monkeypatch):
     joins = _joins(spark, sf_dir, name, monkeypatch)
     keys = [x.split("], [")[0] for x in joins]

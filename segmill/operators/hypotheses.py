@@ -76,7 +76,7 @@ def orientation(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, *, w: float, h:
     at = s.select("doc_id", "hyp_id", F.rint(F.col("dx") / w * (size - 1)).cast("int").alias("dc"), F.rint(F.col("dy") / h * (size - 1)).cast("int").alias("dr"))
     mine = raster.draw(moved, "doc_id", "hyp_id", size=size, w=w, h=h).join(at, ["doc_id", "hyp_id"])
     mine = mine.select("doc_id", "hyp_id", F.pmod(F.col("row") + F.col("dr"), F.lit(size)).alias("row"), F.pmod(F.col("col") + F.col("dc"), F.lit(size)).alias("col"))
-    common = mine.join(raster.draw(unit, "doc_id", size=size, w=w, h=h), ["doc_id", "row", "col"]).groupBy("doc_id", "hyp_id").agg(F.count("*").alias("common"))
+    common = mine.join(raster.draw(unit, "doc_id", size=size, w=w, h=h).hint(spatial.UNSENT), ["doc_id", "row", "col"]).groupBy("doc_id", "hyp_id").agg(F.count("*").alias("common"))
     out = s.join(common, ["doc_id", "hyp_id"], "left").join(F.broadcast(hyps), "hyp_id")
     share = F.coalesce("common", F.lit(0)) / float(size * size)
     return out.select("doc_id", "hyp_id", "rot", "fx", "fy", "dx", "dy", "response", share.alias("overlap"), (share - 0.25 * (F.abs(F.col("dx")) / w + F.abs(F.col("dy")) / h)).alias("key"))

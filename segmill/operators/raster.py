@@ -144,7 +144,7 @@ def distance_quality(svg: DataFrame, samples: DataFrame, *, size: int, w: float,
     at = lambda c, n: F.rint(F.least(F.greatest(F.col(c) / n * (size - 1), F.lit(0.0)), F.lit(float(size - 1))))
     p = samples.select("doc_id", at("px", w).alias("lx"), at("py", h).alias("ly")).groupBy("doc_id", "lx", "ly").agg(F.count("*").alias("k"))
     near = spatial.grid_join(p, mask, hard).groupBy("doc_id", "lx", "ly").agg(F.min("dist").alias("d"))
-    d = p.join(near, ["doc_id", "lx", "ly"], "left").withColumn("d", F.coalesce("d", F.lit(hard)))
+    d = p.join(near.hint(spatial.UNSENT), ["doc_id", "lx", "ly"], "left").withColumn("d", F.coalesce("d", F.lit(hard)))
     g = d.groupBy("doc_id").agg(F.sum("k").alias("n"), F.sqrt(F.sum(F.col("d") * F.col("d") * F.col("k")) / F.sum("k")).alias("rmse"), F.percentile("d", F.lit(0.95), F.col("k")).alias("p95"), F.percentile("d", F.lit(0.5), F.col("k")).alias("median"))
     return g.withColumn("score", 1 / (1 + F.col("rmse")))
 

@@ -63,3 +63,18 @@ def test_neither_profiles_nor_drawings_of_a_coarse_search_are_broadcast(spark, s
     products = [x for x, k in zip(joins, keys, strict=True) if "level#" in k and "hyp_id#" in k and "profile#" in k]
     shifts = [x for x, k in zip(joins, keys, strict=True) if "kx#" in k and "ky#" in k]
     assert products and shifts and not [x for x in products + shifts if "Broadcast" in x]
+
+
+def test_no_pixels_of_an_orientation_are_broadcast(spark, sf_dir, monkeypatch):
+    joins = [x for x in _joins(spark, sf_dir, "orientation_hypotheses", monkeypatch) if "row#" in x.split("], [")[0]]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_no_pairs_of_a_match_are_broadcast(spark, sf_dir, monkeypatch):
+    joins = [x for x in _joins(spark, sf_dir, "match_lines", monkeypatch) if "LeftSemi" in x or "s_id#" in x.split("], [")[0] and "p_id#" in x.split("], [")[0]]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_no_sampled_pixels_are_broadcast(spark, sf_dir, monkeypatch):
+    joins = [x for x in _joins(spark, sf_dir, "distmap_qa", monkeypatch) if "lx#" in x.split("], [")[0]]
+    assert joins and not [x for x in joins if "Broadcast" in x]

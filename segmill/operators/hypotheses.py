@@ -123,6 +123,12 @@ def _levels(feat: DataFrame, shares: tuple[float, ...], tols: tuple[float, ...])
     return r.withColumn("_l", F.explode(within)).select("*", "_l.*").drop("_l", "_n", "_r")
 
 
+def _once(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The columns ``kept`` (all by default) and ``made``, which what follows takes as values. As plain columns their formulas
+    are copied into every use and null check that follows, and a generated method of over 8000 bytes is never compiled."""
+    return df.select(*(kept or ("*",)), F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
 def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataFrame, box_svg: Box | DataFrame, *, bins: int = 64, dist_tol: float = 12.0, angle_tol: float = 6.0, len_tol: float = 0.15, shares: tuple[float, ...] = (0.1, 0.2, 0.4), tols: tuple[float, ...] = (6.0, 8.0, 10.0), least: int = 4, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:
     """Coarse search from the drawing to the page: for each level (a share of the longest segments, and a tolerance by which
     they follow an axis) and each hypothesis the profiles' correlations cx, cy, the scale by boxes, the shift in bins and
@@ -158,9 +164,9 @@ def coarse(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, box_pdf: Box | DataF
     u, v = geom.coarse_vector(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("rot"), F.col("flip"))
     sx, sy = F.col("pw") / F.col("w"), F.col("ph") / F.col("h")
     there = svg.select("doc_id", "x1", "y1", "x2", "y2", "cx", "cy").join(top.select(*spot).distinct().join(F.broadcast(hyps), "hyp_id").hint(spatial.UNSENT), "doc_id")
-    there = _boxed(_boxed(there, box_svg, ""), box_pdf, "p").withColumns({"mx": mid[0], "my": mid[1], "u": u * sx, "v": v * sy})
+    there = _once(_boxed(_boxed(there, box_svg, ""), box_pdf, "p"), mx=mid[0], my=mid[1], u=u * sx, v=v * sy)
     there = there.select(*spot, ((F.col("mx") - F.col("x0")) * sx + F.col("px0") + F.col("kx") * (F.col("pw") / bins)).alias("lx"), ((F.col("my") - F.col("y0")) * sy + F.col("py0") + F.col("ky") * (F.col("ph") / bins)).alias("ly"), geom.norm(F.col("u"), F.col("v")).alias("s_len"), geom.angle180(geom.Seg(F.lit(0.0), F.lit(0.0), F.col("u"), F.col("v"))).alias("s_ang"))
-    here = pdf.select("doc_id", F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("len").alias("p_len"), F.col("ang").alias("p_ang"))
+    here = _once(pdf, "doc_id", rx=F.col("cx"), ry=F.col("cy"), p_len=F.col("len"), p_ang=F.col("ang"))
     ok = (geom.angle_gap(F.col("p_ang"), F.col("s_ang")) <= angle_tol) & (F.col("p_len") > 0) & (F.col("s_len") / F.col("p_len")).between(1 - len_tol, 1 + len_tol)
     near = spatial.grid_join(there, here, dist_tol).where(ok).groupBy(*spot).agg(F.sum(F.least("p_len", "s_len")).alias("near"))
     total = there.groupBy(*spot).agg(F.sum("s_len").alias("total"))

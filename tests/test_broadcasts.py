@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from segmill import durable
@@ -78,3 +80,28 @@ def test_no_pairs_of_a_match_are_broadcast(spark, sf_dir, monkeypatch):
 def test_no_sampled_pixels_are_broadcast(spark, sf_dir, monkeypatch):
     joins = [x for x in _joins(spark, sf_dir, "distmap_qa", monkeypatch) if "lx#" in x.split("], [")[0]]
     assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+#: Bytes of a method up to which the virtual machine compiles it; beyond, every row is interpreted.
+COMPILED = 8000
+
+
+@pytest.mark.parametrize("name", ["coarse_hypotheses", "coarse_best"])
+def test_generated_methods_of_a_coarse_search_are_compiled(spark, sf_dir, name, monkeypatch):
+    sizes = []
+
+    def planned(df):
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+        sizes.extend(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+    def noted(df, *rest, **more):
+        planned(df)
+        return durable.materialize(df, *rest, **more)
+
+    monkeypatch.setattr(hypotheses, "materialize", noted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans have no code before they run
+    try:
+        planned(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 10 and max(sizes) <= COMPILED

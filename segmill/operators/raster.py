@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmill.functions import geom
 
@@ -139,16 +141,56 @@ def ncc(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame:
 
 def distance_quality(svg: DataFrame, samples: DataFrame, *, size: int, w: float, h: float, hard: float) -> DataFrame:
     """Distances of sample points (px, py) from the drawn raster of ``svg``, in pixels: rmse, p95, median and
-    1 / (1 + rmse) of each document. Only sampled pixels are looked up, each among the drawn ones in its surroundings."""
+    1 / (1 + rmse) of each document. Only sampled pixels are looked up: within a narrow bound each among the drawn ones in
+    its surroundings, within a wide one, where most of the canvas can be in its surroundings, in a map of distances."""
     mask = draw(svg, "doc_id", size=size, w=w, h=h).select("doc_id", F.col("col").cast("double").alias("rx"), F.col("row").cast("double").alias("ry"))
     at = lambda c, n: F.rint(F.least(F.greatest(F.col(c) / n * (size - 1), F.lit(0.0)), F.lit(float(size - 1))))
     p = samples.select("doc_id", at("px", w).alias("lx"), at("py", h).alias("ly")).groupBy("doc_id", "lx", "ly").agg(F.count("*").alias("k"))
-    near = spatial.grid_join(p, mask, hard).groupBy("doc_id", "lx", "ly").agg(F.min("dist").alias("d"))
-    d = p.join(near.hint(spatial.UNSENT), ["doc_id", "lx", "ly"], "left").withColumn("d", F.coalesce("d", F.lit(hard)))
+    if hard <= NARROW:
+        near = spatial.grid_join(p, mask, hard).groupBy("doc_id", "lx", "ly").agg(F.min("dist").alias("d"))
+        d = p.join(near.hint(spatial.UNSENT), ["doc_id", "lx", "ly"], "left").withColumn("d", F.coalesce("d", F.lit(hard)))
+    else:
+        d = _looked_up(p, mask, size, hard)
     g = d.groupBy("doc_id").agg(F.sum("k").alias("n"), F.sqrt(F.sum(F.col("d") * F.col("d") * F.col("k")) / F.sum("k")).alias("rmse"), F.percentile("d", F.lit(0.95), F.col("k")).alias("p95"), F.percentile("d", F.lit(0.5), F.col("k")).alias("median"))
     return g.withColumn("score", 1 / (1 + F.col("rmse")))
 
 
+#: The bound in pixels up to which a pixel is compared with each drawn one around it.
+NARROW = 4.0
+
+
+def _looked_up(p: DataFrame, mask: DataFrame, size: int, hard: float) -> DataFrame:
+    """``p`` (doc_id, lx, ly, k) with d, the distance of the nearest pixel of ``mask`` (doc_id, rx, ry), at most ``hard``. A task
+    holds the canvas of one document, whose pixels and sampled pixels are both distinct."""
+    out = T.StructType([p.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("d", T.DoubleType())])
+
+    def run(points: pa.Table, drawn: pa.Table) -> pa.Table:
+        on = np.zeros((size, size), bool)
+        on[drawn["ry"].to_numpy().astype(int), drawn["rx"].to_numpy().astype(int)] = True
+        d = bounded_map(on, hard)[points["ly"].to_numpy().astype(int), points["lx"].to_numpy().astype(int)]
+        return pa.table({"doc_id": points["doc_id"], "k": points["k"], "d": d}, schema=pa.schema([points.schema.field("doc_id"), ("k", pa.int64()), ("d", pa.float64())]))
+
+    drawn = mask.where("doc_id is not null")  # as in a join, a null id meets no other
+    return p.groupBy("doc_id").cogroup(drawn.groupBy("doc_id")).applyInArrow(run, out)
+
+
+def bounded_map(mask: np.ndarray, hard: float) -> np.ndarray:
+    """``distance_map``, at most ``hard``: columns are compared with those within the bound."""
+    rows, cols = mask.shape
+    reach = int(min(np.floor(hard), max(rows, cols)))
+    d = np.where(mask, 0, reach + 1)
+    for r in range(1, rows):  # within columns, downwards and upwards
+        np.minimum(d[r], d[r - 1] + 1, out=d[r])
+    for r in range(rows - 2, -1, -1):
+        np.minimum(d[r], d[r + 1] + 1, out=d[r])
+    q = np.where(d <= reach, d * d, np.iinfo(np.int64).max // 2)
+    out = q.copy()
+    for k in range(1, min(reach, cols - 1) + 1):
+        np.minimum(out[:, k:], q[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], q[:, k:] + k * k, out=out[:, :-k])
+    return np.minimum(np.sqrt(out), hard)
+
+
 def distance_map(mask: np.ndarray) -> np.ndarray:
     """Exact Euclidean distance of each pixel from the nearest set one (infinite if none is): within columns first, then
     over the columns, one at a time, so that memory is that of a few rasters."""

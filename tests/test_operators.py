@@ -176,6 +176,26 @@ def test_heatmaps_stand_in_where_segments_are_too_few(spark):
     assert (found.level, found.rot, found.flip, found.dx, found.dy) == (-1, 0, "none", 0.0, 0.0) and found.score > 0
 
 
+def test_a_wide_bound_on_distances_is_looked_up_and_gives_what_the_join_gives(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for shape, hard in (((9, 7), 3.0), ((12, 30), 5.5), ((6, 6), 50.0), ((5, 8), 0.5)):
+        for share in (0.0, 0.03, 0.4):
+            m = rng.random(shape) < share
+            assert np.array_equal(raster.bounded_map(m, hard), np.minimum(raster.distance_map(m), hard))
+    # The third document has no drawing, the fourth no points, and a null id meets none.
+    lines = [(d, *rng.uniform(0, 60, 4).tolist()) for d in (1, 2, 4, None) for _ in range(3)]
+    svg = spark.createDataFrame(lines, "doc_id long, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(d, *rng.uniform(-5, 70, 2).tolist()) for d in (1, 2, 3, None) for _ in range(200)], "doc_id long, px double, py double")
+    got = raster.distance_quality(svg, points, size=64, w=63.0, h=63.0, hard=7.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(raster, "NARROW", 100.0)
+    want = raster.distance_quality(svg, points, size=64, w=63.0, h=63.0, hard=7.5)
+    table_ = lambda df: sorted(((r.doc_id or 0, r.n, *[round(r[c], 9) for c in ("rmse", "p95", "median", "score")]) for r in df.collect()))
+    assert table_(got) == table_(want) and len(table_(got)) == 4
+    # Pixels times drawn pixels in reach are no rows of a join.
+    assert "_gx#" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_pipeline_with_the_coarse_search_and_distance_maps(spark):
     rng = random.Random(5)
     data = grid(rng, 14, 14, 600, 400)

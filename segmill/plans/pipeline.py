@@ -102,10 +102,8 @@ def calibrate(pdf: DataFrame, svg: DataFrame, pages: DataFrame, cfg: Mapping[str
     return j.select("doc_id", F.lit(0).alias("rot_deg"), fx.alias("fx"), fy.alias("fy"), "sx", "sy", tx.alias("tx"), ty.alias("ty"), "score", "rmse", "p95", "median", "overlap", "scale_window", "shift_window", "quality_notes")
 
 
-def run(pdf: DataFrame, svg: DataFrame, pages: DataFrame, cfg: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
-    """``models``, ``lines``, ``matches`` and ``report`` of a table of documents, and ``coarse``, what the coarse search
-    found, if the settings have it on; models then lead to the drawing as that search has moved it."""
-    c = merged(DEFAULTS, cfg)
+def _modelled(pdf: DataFrame, svg: DataFrame, pages: DataFrame, c: Mapping[str, Any]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    """``models``, and ``coarse`` if the settings have it on, with the features of both sides and the pages that they lead to."""
     tol = c["features"]["axis_tol_deg"]
     p, s = segments.features(pdf, tol), segments.features(svg, tol)
     if c["merge"]["enable"]:
@@ -115,13 +113,26 @@ def run(pdf: DataFrame, svg: DataFrame, pages: DataFrame, cfg: Mapping[str, Any]
     if c["coarse"]["enabled"]:
         out["coarse"], moved, pages = coarse(p, s, pages, c)
         s = segments.features(materialize(moved, "moved"), tol)
-    models = materialize(calibrate(p.select(*pdf.columns), s.select(*svg.columns), pages, c), "models")
-    lines = materialize(match.select_lines(p, s, models, k=c["select"]["pick_k"], cap=c["select"]["cap"], rel=c["select"]["diversity_rel"]), "lines")
+    out["models"] = materialize(calibrate(p.select(*pdf.columns), s.select(*svg.columns), pages, c), "models")
+    return out, p, s, pages
+
+
+def models(pdf: DataFrame, svg: DataFrame, pages: DataFrame, cfg: Mapping[str, Any] | None = None) -> DataFrame:
+    """The ``models`` of ``run``, without the lines and matches that follow from them."""
+    return _modelled(pdf, svg, pages, merged(DEFAULTS, cfg))[0]["models"]
+
+
+def run(pdf: DataFrame, svg: DataFrame, pages: DataFrame, cfg: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
+    """``models``, ``lines``, ``matches`` and ``report`` of a table of documents, and ``coarse``, what the coarse search
+    found, if the settings have it on; models then lead to the drawing as that search has moved it."""
+    c = merged(DEFAULTS, cfg)
+    out, p, s, pages = _modelled(pdf, svg, pages, c)
+    lines = materialize(match.select_lines(p, s, out["models"], k=c["select"]["pick_k"], cap=c["select"]["cap"], rel=c["select"]["diversity_rel"]), "lines")
     m = c["match"]
     matches = match.match_lines(lines, s, radius=m["radius"], neighbour_radius=m["neighbour_radius"], tol=m["tol_rel"], max_cost=m["max_cost"], neighbour_weight=m["neighbour_weight"])
     matches = materialize(matches, "matches")
-    report = match.report(matches, models, pages, slots=max(5, c["select"]["pick_k"]), shift_tol=c["refine"]["trans_max_dev_px"], scale_tol=c["refine"]["scale_max_dev_rel"])
-    return out | {"models": models, "lines": lines, "matches": matches, "report": report}
+    report = match.report(matches, out["models"], pages, slots=max(5, c["select"]["pick_k"]), shift_tol=c["refine"]["trans_max_dev_px"], scale_tol=c["refine"]["scale_max_dev_rel"])
+    return out | {"lines": lines, "matches": matches, "report": report}
 
 
 def _merged(feat: DataFrame, c: Mapping[str, Any], tol: float) -> DataFrame:

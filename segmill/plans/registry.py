@@ -947,7 +947,7 @@ def heatmap_shift(spark: SparkSession, d: str) -> DataFrame:
 def calibrated_models(spark: SparkSession, d: str) -> DataFrame:
     """Models with the coarse search on, checked by distance maps."""
     cfg = {"coarse": {"enabled": True}, "verify": {"mode": "distmap"}}
-    return pipeline.run(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d), cfg)["models"]
+    return pipeline.models(derived.segments_pdf(spark, d), derived.segments_svg(spark, d), derived.pages(spark, d), cfg)
 
 
 #: The second page of the written files is turned: a square and a text, each where it is shown.

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmill import config
+from segmill import config, durable
 from segmill.functions import geom
 from segmill.operators import assign, fit, hypotheses, labels, match, profiles, raster, segments, spatial
 from segmill.plans import pipeline
@@ -196,6 +196,16 @@ def test_a_wide_bound_on_distances_is_looked_up_and_gives_what_the_join_gives(sp
     assert "_gx#" not in plan and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_models_alone_are_those_of_the_whole_run_without_its_matches(spark, monkeypatch):
+    data = grid(random.Random(3), 12, 12, 600, 500)
+    pages = spark.createDataFrame([(1, "pdf", 600.0, 500.0), (1, "svg", 600.0, 500.0)], "doc_id long, side string, w double, h double")
+    sides, cfg = (table(spark, data), table(spark, [(a + 3, b - 2, c + 3, d - 2) for a, b, c, d in data], "svg"), pages), {"fit": {"iters": 20}}
+    want = pipeline.run(*sides, cfg)["models"].collect()
+    steps = []
+    monkeypatch.setattr(pipeline, "materialize", lambda df, label, *rest: steps.append(label) or durable.materialize(df, label, *rest))
+    assert pipeline.models(*sides, cfg).collect() == want and steps[-1] == "models"
+
+
 def test_pipeline_with_the_coarse_search_and_distance_maps(spark):
     rng = random.Random(5)
     data = grid(rng, 14, 14, 600, 400)

@@ -27,12 +27,16 @@ def turns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "hyp_id int, rot int, flip string")
 
 
+def _mirrors() -> tuple[Column, Column]:
+    """Whether a hypothesis (rot, fx, fy) mirrors x, and y: a half turn mirrors both."""
+    turned = F.col("rot") == 180
+    return (F.col("fx") < 0) != turned, (F.col("fy") < 0) != turned
+
+
 def about_centre(segs: DataFrame, hyps: DataFrame, w: float, h: float) -> DataFrame:
     """Each segment under each hypothesis: turned by 0 or 180 degrees about the page's centre, then flipped about it."""
     s = segs.crossJoin(F.broadcast(hyps))
-    turned = F.col("rot") == 180
-    mx = (F.col("fx") < 0) != turned
-    my = (F.col("fy") < 0) != turned
+    mx, my = _mirrors()
     x = lambda c: F.when(mx, w - F.col(c)).otherwise(F.col(c))
     y = lambda c: F.when(my, h - F.col(c)).otherwise(F.col(c))
     return s.withColumns({"x1": x("x1"), "y1": y("y1"), "x2": x("x2"), "y2": y("y2")})
@@ -67,7 +71,11 @@ def orientation(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, *, w: float, h:
     """Every hypothesis of every document: shifts dx, dy, the overlap of the drawn rasters after them, and the ranking
     key, overlap less a quarter of the relative shift."""
     unit = svg.withColumns({c: F.col(c) * ((w / svg_w) if c[0] == "x" else (h / svg_h)) for c in ("x1", "y1", "x2", "y2")})
-    moved = about_centre(pdf.select("doc_id", "x1", "y1", "x2", "y2"), hyps, w, h)
+    # Hypotheses that mirror alike see the same image (at most four of them), which is made once: hyp_id is the image's below.
+    image = F.when(_mirrors()[0], 2).otherwise(0) + F.when(_mirrors()[1], 1).otherwise(0)
+    images = hyps.select(image.alias("hyp_id")).distinct()
+    images = images.select("hyp_id", F.lit(0).alias("rot"), F.when(F.col("hyp_id") >= 2, -1).otherwise(1).alias("fx"), F.when(F.col("hyp_id") % 2 == 1, -1).otherwise(1).alias("fy"))
+    moved = about_centre(pdf.select("doc_id", "x1", "y1", "x2", "y2"), images, w, h)
     a = _dense(_counted(moved, ["doc_id", "hyp_id"], w, h, bins), ["doc_id", "hyp_id"], bins)
     b = _dense(_counted(unit, ["doc_id"], w, h, bins), ["doc_id"], bins)
     s = mean_free_shift(a, b, ["doc_id", "hyp_id"], ["doc_id"], bins)
@@ -77,7 +85,7 @@ def orientation(pdf: DataFrame, svg: DataFrame, hyps: DataFrame, *, w: float, h:
     mine = raster.draw(moved, "doc_id", "hyp_id", size=size, w=w, h=h).join(at, ["doc_id", "hyp_id"])
     mine = mine.select("doc_id", "hyp_id", F.pmod(F.col("row") + F.col("dr"), F.lit(size)).alias("row"), F.pmod(F.col("col") + F.col("dc"), F.lit(size)).alias("col"))
     common = mine.join(raster.draw(unit, "doc_id", size=size, w=w, h=h).hint(spatial.UNSENT), ["doc_id", "row", "col"]).groupBy("doc_id", "hyp_id").agg(F.count("*").alias("common"))
-    out = s.join(common, ["doc_id", "hyp_id"], "left").join(F.broadcast(hyps), "hyp_id")
+    out = s.join(common, ["doc_id", "hyp_id"], "left").withColumnRenamed("hyp_id", "_image").join(F.broadcast(hyps.withColumn("_image", image)), "_image")
     share = F.coalesce("common", F.lit(0)) / float(size * size)
     return out.select("doc_id", "hyp_id", "rot", "fx", "fy", "dx", "dy", "response", share.alias("overlap"), (share - 0.25 * (F.abs(F.col("dx")) / w + F.abs(F.col("dy")) / h)).alias("key"))
 

@@ -24,7 +24,12 @@ def draw(segs: DataFrame, *keys: str, size: int, w: float | Column, h: float | C
     s = s.withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     t = F.col("k") / F.col("n")
     p = s.select(*keys, F.rint(F.col("v1") + (F.col("v2") - F.col("v1")) * t).cast("long").alias("row"), F.rint(F.col("u1") + (F.col("u2") - F.col("u1")) * t).cast("long").alias("col"))
-    return p.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)).distinct()
+    p = p.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
+    # Equal pixels become one as bits of 64 columns: segments have many times the pixels that a canvas has words.
+    word = F.shiftright("col", 6)
+    bits = p.groupBy(*keys, "row", word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(col & 63 as int))")).alias("_bits"))
+    on = bits.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(min(size, 64) - 1)))).where(F.expr("(shiftrightunsigned(_bits, _k) & 1) = 1"))
+    return on.select(*keys, "row", (F.shiftleft("_word", 6) + F.col("_k")).alias("col"))
 
 
 def render(segs: DataFrame, pages: DataFrame, *, zoom: float | None = None, size: int | None = None, y_up: bool = True) -> DataFrame:

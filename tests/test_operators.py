@@ -206,6 +206,36 @@ def test_models_alone_are_those_of_the_whole_run_without_its_matches(spark, monk
     assert pipeline.models(*sides, cfg).collect() == want and steps[-1] == "models"
 
 
+def test_hypotheses_that_mirror_alike_share_an_image(spark, monkeypatch):
+    data = grid(random.Random(5), 10, 8, 600, 500)
+    sides = table(spark, data), table(spark, [(600 - a, b, 600 - c, d) for a, b, c, d in data], "svg")
+    drawn, plain = [], raster.draw
+    monkeypatch.setattr(raster, "draw", lambda segs, *keys, **how: drawn.append((segs, keys)) or plain(segs, *keys, **how))
+    size = {"w": 600.0, "h": 500.0, "svg_w": 600.0, "svg_h": 500.0}
+    got = {r.hyp_id: r for r in hypotheses.orientation(*sides, hypotheses.flips(spark), **size).collect()}
+    moved = next(segs for segs, keys in drawn if "hyp_id" in keys)
+    assert moved.count() == 4 * len(data) and len(got) == 8
+    for k, r in got.items():  # each alone is what all together are
+        alone = hypotheses.orientation(*sides, hypotheses.flips(spark).where(F.col("hyp_id") == k), **size).collect()
+        assert alone == [r] and [r.rot, r.fx, r.fy] == list(hypotheses.flips(spark).collect()[k])[1:]
+    best = max(got.values(), key=lambda r: (round(r.key, 9), -r.hyp_id))
+    assert (best.rot, best.fx, best.fy) == (0, -1, 1)
+
+
+def test_drawn_pixels_are_those_of_stepping_along_each_segment(spark):
+    rng = np.random.default_rng(2)
+    data = [tuple(v) for v in rng.uniform(-20, 180, (40, 4)).tolist()]
+    for size in (5, 64, 65, 200):
+        want = set()
+        for a, b, c, d in data:
+            u1, v1, u2, v2 = (x / 160 * (size - 1) for x in (a, b, c, d))
+            n = max(1, math.ceil(max(abs(u2 - u1), abs(v2 - v1))))
+            want |= {(round(v1 + (v2 - v1) * (k / n)), round(u1 + (u2 - u1) * (k / n))) for k in range(n + 1)}
+        got = raster.draw(table(spark, data), "doc_id", size=size, w=160.0, h=160.0)
+        assert sorted((r.row, r.col) for r in got.collect()) == sorted(x for x in want if 0 <= min(x) and max(x) < size)
+        assert dict(got.dtypes) == {"doc_id": "bigint", "row": "bigint", "col": "bigint"}
+
+
 def test_pipeline_with_the_coarse_search_and_distance_maps(spark):
     rng = random.Random(5)
     data = grid(rng, 14, 14, 600, 400)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segmill.durable import materialize, release
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "GAP", "WORD", "arrow", "fold", "free", "held_out", "materialize", "release", "slices", "small"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "GAP", "WORD", "arrow", "few_texts", "fold", "free", "held_out", "materialize", "release", "slices", "small"]
 
 #: Separators and words of every word count (Java and Python patterns alike).
 GAP = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,19 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a batch of Parquet columns, of which each task holds the texts in one array.
+READ_ROWS = 256
+
+
+def few_texts(df: DataFrame) -> DataFrame:
+    """``df``, read in batches of at most ``READ_ROWS`` rows. Spark reads the bound from the session when the result is run, so
+    the session keeps it; a smaller bound that it has stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    if not 0 < int(conf.get(key)) <= READ_ROWS:
+        conf.set(key, str(READ_ROWS))
+    return df
+
+
 def fold(id_col: str | Column) -> Column:
     """crc32 of the id's text modulo 4; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, free, materialize, release, small
+from .common import GAP, WORD, few_texts, free, materialize, release, small
 
 #: Rounds of the permutation.
 ROUNDS = 12
@@ -159,21 +159,22 @@ class Mix:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, shard_slots: int = 8192, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11):
         self.block, self.most = block, most
-        self.docs, self.id_col, self.text = docs, id_col, text
+        self.docs, self.id_col, self.text = few_texts(docs), id_col, text
+        self.rows = docs.count()
         sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("th"))
-        self.sizes = materialize(sized, "sizes")
+        self.sizes = materialize(sized, "sizes", self.rows)
         by_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = materialize(source_targets(by_source, weights, share, most), "targets", by_source.count())
-        self.rows = self.sizes.count()
         self.placed = located(self.sizes, self.targets, self.rows, seed)
         spans = intervals(self.targets, block)
         sources, slots = spans.agg(F.count("*"), F.coalesce(F.max("slots"), F.lit(0))).first()
         tasks = max(1, min(1 << 15, slots // (1 << 18)))
-        draws = materialize(drawn(spans, sources, slots, shard_slots, seed, tasks), "draws")
-        counts = materialize(settled(draws, spans), "counts")
+        most_counts = sources * (slots // shard_slots + 1)
+        draws = materialize(drawn(spans, sources, slots, shard_slots, seed, tasks), "draws", most_counts)
+        counts = materialize(settled(draws, spans), "counts", most_counts)
         # Written, as a filter on its block number would be pushed through the rounds of the permutation and repeat each
         # of them in the next.
-        self.slots = materialize(plan(counts, most=most, seed=seed, tasks=tasks), "slots")
+        self.slots = materialize(plan(counts, most=most, seed=seed, tasks=tasks), "slots", slots)
         release(draws, counts)
 
     def taken(self) -> DataFrame:

@@ -214,3 +214,38 @@ def test_mix_edges(odd, clash, none):
     assert mixing.Mix(none).taken().count() == 0 and mixing.Mix(none).mixed().count() == 0
     blank = odd.where("trim(text) = '' or text is null")
     assert {r.taken for r in mixing.Mix(blank).taken().collect()} == {0}
+
+
+def _noted(monkeypatch, module) -> dict[str, int]:
+    """Files of each intermediate table that ``module`` writes."""
+    files = {}
+
+    def noted(df, label, *rest):
+        out = materialize(df, label, *rest)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(module, "materialize", noted)
+    return files
+
+
+@pytest.fixture
+def many_parts(spark, monkeypatch):
+    """Few documents in many partitions, and as many shuffle partitions, none of which Spark joins."""
+    rng = random.Random(6)
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    made = [(i, prose(rng, 60), "en", rng.choice("abc"), 0) for i in range(400)]
+    yield spark.createDataFrame(spark.sparkContext.parallelize(made, 40), SCHEMA)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_of_a_mix_are_few_files_and_texts_are_read_a_few_at_a_time(spark, many_parts, monkeypatch):
+    files = _noted(monkeypatch, mixing)
+    mix = mixing.Mix(many_parts)
+    assert mix.taken().count() == mix.rows == 400
+    assert {"sizes", "draws", "counts", "slots"} <= set(files) and max(files.values()) == 1
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, materialize, small
+from .common import GAP, few_texts, materialize, small
 
 #: Separators of words, as characters.
 BLANK = " \t\n\x0b\x0c\r"
@@ -115,12 +115,12 @@ def cutoffs(known: DataFrame, *, risk: float = 0.005, level: float = 0.05) -> Da
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: float = 0.005, level: float = 0.05) -> DataFrame:
     """doc_id, the base facts, base_failed, failed_rule (the first rule that rejects it, null if none) and kept, a row
     for each row of ``docs``. All labelled rows calibrate the cutoffs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"))
+    rows = few_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"))
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null")
     n = lab.count()
     # Bad rows play no part in the cutoffs.
     lab = lab.groupBy("doc_id").agg((F.min("y") == 1).alias("good")).where("good")
-    known = materialize(facts(rows.join(small(lab, n), "doc_id")), "facts")
+    known = materialize(facts(rows.join(small(lab, n), "doc_id")), "facts", n)
     # A certified stratum takes over a thousand good rows, so there are few.
     cut = cutoffs(known, risk=risk, level=level)
     d = facts(rows).join(F.broadcast(cut), "stratum", "left")

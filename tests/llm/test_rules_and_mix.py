@@ -249,3 +249,10 @@ def test_small_tables_of_a_mix_are_few_files_and_texts_are_read_a_few_at_a_time(
     assert mix.taken().count() == mix.rows == 400
     assert {"sizes", "draws", "counts", "slots"} <= set(files) and max(files.values()) == 1
     assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"
+
+
+def test_facts_of_few_labelled_rows_are_few_files_and_texts_are_read_a_few_at_a_time(spark, many_parts, monkeypatch):
+    files = _noted(monkeypatch, rules)
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert rules.judge(many_parts, labels).count() == 400 and files == {"facts": 1}
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"
